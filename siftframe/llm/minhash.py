@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import add_columns, materialize, text_or_empty, with_row_id
@@ -141,6 +141,46 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInPandas(_confirm(size, percent), "a long, b long")
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold several components, with their component and their number of links."""
+    placed = members.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    rows = placed.join(mixed, "key").join(facts, "node").join(degrees, "node", "left")
+    return materialize(rows.withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Sizes and sketches do not rule the threshold out."""
+    unequal = F.expr(f"bit_count({x}s0 ^ {y}s0) + bit_count({x}s1 ^ {y}s1)")
+    sizes = F.expr(f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)")
+    return sizes & (unequal <= MOST_UNEQUAL_BITS)
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of `rest` across components that can link, few others.
+
+    With the shingles of every set in one order, rarest first, two sets that link share one among the first
+    n - ceil(n * percent / 100) + 1 of each. At the first one that they share, at places i and j, the overlap can be no
+    more than 1 + min(nx - i, ny - j), which has to reach percent / (100 + percent) of nx + ny. Members that are edited
+    too much have that many shingles of their own and meet nobody."""
+
+    def work(batch):
+        return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), size)]}
+
+    own = texts.join(rest.select(F.col("node").alias("rid")), "rid")
+    sets = add_columns(own, ["rid"], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))})
+    entries = materialize(sets.select(F.col("rid").alias("node"), F.size("s").alias("n"), F.explode("s").alias("s")), "entries")
+    counts = entries.groupBy("s").agg(F.count("*").alias("df"))
+    placed = entries.join(counts, "s").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
+    first = placed.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    first = materialize(first.select("node", "s", "i").join(rest, "node"), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    overlap = F.expr(f"(1 + least(x.n_shingles - x.i, y.n_shingles - y.i)) * {100 + percent} >= {percent} * (x.n_shingles + y.n_shingles)")
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & overlap & _may_link("x.", "y.", percent))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """Group documents whose sets of `shingle`-word shingles link: 100 * intersection >= percent * union.
 
@@ -154,8 +194,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     1. One pass hashes words and shingles and builds SuperMinHash signatures, 32 band keys and a 128-bit sketch.
     2. Nodes of one band bucket are compared with the bucket's smallest node only, on full sets; links are grouped.
     3. A link between nodes that are already together says nothing new, so only buckets that still hold several
-       components are looked at again: there, pairs across components whose sketches and sizes allow the threshold
-       are compared on full sets, and grouped again. No bucket is capped, and no pair within a component is made."""
+       components are looked at again. Their nodes are compared with the bucket's node that has most links.
+    4. The nodes of buckets that are still open are compared across components by prefixes (see _prefix_pairs), which
+       leaves out no pair that can link. So no bucket is capped, and a large group whose members all fall just short
+       of the threshold does not make a pair of every two."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     rows = with_row_id(rows, "rid")
     sig = materialize(add_columns(rows, ["doc_id", "rid"], _signatures(shingle), SIG_FIELDS), "signatures")
@@ -170,20 +212,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = members.select(F.col("node").alias("rid")).distinct()
     texts = materialize(rows.join(wanted, "rid").select("rid", "text"), "texts")
     links = materialize(_links(pairs, texts, shingle, percent), "links")
-    first = connected(links)
-
-    placed = members.join(first, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    open_ = placed.join(mixed, "key").join(nodes.select("node", "n_shingles", "s0", "s1"), "node")
-    open_ = materialize(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    unequal = F.bit_count(F.expr("x.s0 ^ y.s0")) + F.bit_count(F.expr("x.s1 ^ y.s1"))
-    fits = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    tried = F.expr("x.node = x.leader or y.node = x.leader")  # the first step has compared them
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits & (unequal <= MOST_UNEQUAL_BITS) & ~tried)
-    again = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _links(again, texts, shingle, percent)
-    labels = connected(links.unionByName(more))
+    facts = nodes.select("node", "n_shingles", "s0", "s1")
+    open_ = _open_buckets(members, connected(links), facts, links)
+    if not open_.isEmpty():
+        heads = open_.groupBy("key").agg(F.max_by(F.struct("node", "component", "n_shingles", "s0", "s1"), F.struct("degree", F.xxhash64("node"))).alias("y"))
+        across = open_.join(heads, "key").where((F.col("component") != F.col("y.component")) & _may_link("", "y.", percent))
+        again = across.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
+        links = links.unionByName(materialize(_links(again, texts, shingle, percent), "links"))
+        open_ = _open_buckets(members, connected(links), facts, links)
+        rest = open_.select("node", "component", "n_shingles", "s0", "s1").distinct()
+        links = links.unionByName(_links(_prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent))
+    labels = connected(links)
 
     member = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sig.select("rid", "doc_id", "digest", "n_shingles").join(member, "digest", "left")
