@@ -60,6 +60,10 @@ def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
     return parted.join(F.broadcast(offsets), "_part").withColumn(name, inner - 1 + F.col("_offset")).drop("_part", "_offset")
 
 
+#: Rows that a Python task turns into its own objects at once.
+SLICE = 256
+
+
 def add_columns(df: DataFrame, keep: list[str], make, fields: dict) -> DataFrame:
     """The columns `keep` of df and new ones, computed batch by batch in Python tasks.
 
@@ -72,8 +76,9 @@ def add_columns(df: DataFrame, keep: list[str], make, fields: dict) -> DataFrame
         import pyarrow as pa
 
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 new = work(batch)
                 arrays = [new[k] if isinstance(new[k], pa.Array) else pa.array(new[k], type=kind()) for k, (_, kind) in fields.items()]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + arrays, names=[*keep, *fields])
