@@ -16,6 +16,8 @@ PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_007, 870_123_457)
 #: Characters of a chunk; longer texts are hashed in chunks that are dealt to all tasks.
 CHUNK = 32_768
+#: Up to so many rows with a double (16 bytes each) are broadcast to pick their texts; beyond, texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Bytes that are hashed in one vector.
 BLOCK = 1 << 16
 
@@ -111,7 +113,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     same = [prints[c] == groups[c] for c in PRINT]
     suspects = materialize(prints.join(groups, same).select("rid", "first_rid"), "suspects")
-    texts = materialize(_chunks(rows.join(suspects, "rid"), ["rid", "first_rid"]), "chunks")
+    few = suspects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = materialize(_chunks(rows.join(F.broadcast(suspects) if few else suspects, "rid"), ["rid", "first_rid"]), "chunks")
     firsts = texts.where("rid = first_rid").select("first_rid", "n", F.col("text").alias("first_text"))
     others = texts.where("rid <> first_rid")
     differs = others.join(firsts, ["first_rid", "n"], "left").where(~F.col("text").eqNullSafe(F.col("first_text"))).select("rid").distinct()
