@@ -69,12 +69,10 @@ def drop_boilerplate(df: DataFrame, site: Column, text_col: str = "text", *, rat
 
 def page_lines(html: Column) -> Column:
     """The text of a page, one block a line: scripts, styles and comments go, block tags end lines, other tags vanish."""
-    x = F.coalesce(html, F.lit(""))
-    for gone in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
-        x = F.regexp_replace(x, gone, "")
-    x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|table|nav|article|footer|header|section|title|head|body|html)( [^>]*)?>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    return F.regexp_replace(F.regexp_replace(x, r"[ \t]*\n[ \t\n]*", "\n"), r"^\n|\n$", "")
+    x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
+    x = F.regexp_replace(x, r"(?i)</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|table|nav|article|footer|header|section|title|head|body|html)(?: [^>]*)?>", "\n")
+    x = F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"\n[ \t\n]*", "\n")
+    return F.trim(x, F.lit("\n"))
 
 
 def host_of(url: Column) -> Column:

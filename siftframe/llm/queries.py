@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, minhash, mixing, secrets, sharding, spotsigs, token_count, toxicity
-from .common import table, text_or_empty
+from .common import materialize, table
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each page without the lines that over a tenth of its host's pages carry."""
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
+    pages = materialize(pages, "page-lines")  # extracted once, read several times
     out = line_dedup.drop_boilerplate(pages, F.col("host"))
     return out.select("page_id", "host", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "n_dropped_lines", "text")
 
@@ -101,12 +102,9 @@ _BLOCK_TAGS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|table|nav|article|foote
 
 
 def _op2_sql() -> str:
-    text = "coalesce(html, '')"
-    for gone in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->"):
-        text = f"regexp_replace({text}, '{gone}', '', 'g')"
+    text = "regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
     text = rf"regexp_replace({text}, '(?i)</?({_BLOCK_TAGS})( [^>]*)?>', chr(10), 'g')"
-    text = rf"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    text = rf"regexp_replace(regexp_replace({text}, '[ \t]*\n[ \t\n]*', chr(10), 'g'), '\A\n|\n\z', '', 'g')"
+    text = rf"trim(regexp_replace(regexp_replace({text}, '<[^>]*>', '', 'g'), '\n[ \t\n]*', chr(10), 'g'), chr(10))"
     return rf"""
 with p as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as host, {text} as text from pages),
 l as (select distinct host, text, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) as line from p),
