@@ -66,21 +66,21 @@ def enrich_hosts(df: DataFrame, scan: DataFrame, host: str = "host") -> DataFram
     """Host structs joined with a scan by address. Ports and names become ordered distinct unions (names without
     addresses), a missing port is the first of them; cpes, tags and vulns are replaced; the first CPE that can be read
     sets vendor, product and version where it has them. Hosts that were not scanned stay as they are."""
-    one = scan.where("ip is not null").groupBy("ip").agg(F.min(F.struct(*[c for c in scan.columns if c != "ip"])).alias("_scan"))
-    rows = df.join(one, F.col(f"{host}.ip_str") == F.col("ip"), "left")
+    one = scan.where("ip is not null").groupBy(F.col("ip").alias("_ip")).agg(F.min(F.struct(*[c for c in scan.columns if c != "ip"])).alias("_scan"))
+    rows = df.join(one, F.col(f"{host}.ip_str") == F.col("_ip"), "left")
     h = lambda f: F.col(f"{host}.{f}")
     s = lambda f: F.col(f"_scan.{f}")
     ports = F.array_distinct(F.concat(_ints(h("ports")), _ints(s("ports"))))
     names = F.array_distinct(F.concat(_strings(h("hostnames")), F.filter(_strings(s("hostnames")), lambda x: ~hosts.is_ip(x))))
     first = F.get(F.filter(F.transform(_strings(s("cpes")), hosts.cpe), lambda x: x.isNotNull()), 0)
     new = {
-        "ip_str": F.when(hosts.is_ip(F.col("ip")), F.col("ip")).otherwise(h("ip_str")),
+        "ip_str": F.when(hosts.is_ip(F.col("_ip")), F.col("_ip")).otherwise(h("ip_str")),
         "port": F.coalesce(h("port"), F.get(ports, 0)), "ports": ports, "hostnames": names, "domains": names,
         "cpes": _strings(s("cpes")), "tags": _strings(s("tags")), "vulns": _strings(s("vulns")),
     } | {f: F.coalesce(first[f], h(f)) for f in ("vendor", "product", "version")}
     fields = df.schema[host].dataType.fieldNames()
     merged = F.struct(*[new.get(f, h(f)).alias(f) for f in fields])
-    return rows.withColumn(host, F.when(F.col("_scan").isNotNull(), merged).otherwise(F.col(host))).drop("ip", "_scan")
+    return rows.withColumn(host, F.when(F.col("_scan").isNotNull(), merged).otherwise(F.col(host))).drop("_ip", "_scan")
 
 
 def capability(df: DataFrame) -> DataFrame:

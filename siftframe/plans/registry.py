@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_projections
+from . import q_projections, q_tables
 
-MODULES = (q_projections,)
+MODULES = (q_projections, q_tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_canonicalize_urls"](spark, sf_dir)
+    return queries()["flagship_hosts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
