@@ -38,11 +38,11 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.join(links.select("src_url", "pos", "dst_url"), F.col("url") == F.col("src_url"))
-        step = step.groupBy("start_url", F.col("dst_url").alias("url")).agg(F.min(F.struct("visit_order", "pos")).alias("_at"))
+        step = step.groupBy("start_url", F.col("dst_url").alias("url")).agg(F.min(F.struct("visit_order", "pos")).alias("_via"))
         new = step.join(seen.select("start_url", "url"), ["start_url", "url"], "left_anti")
-        new = top(new, max_pages, ("start_url",), ("_at", "url"))
+        new = top(new, max_pages, ("start_url",), ("_via", "url"))
         so_far = seen.groupBy("start_url").agg(F.max("visit_order").alias("_n"))
-        new = new.join(so_far, "start_url").withColumn("visit_order", F.col("_n") + F.row_number().over(Window.partitionBy("start_url").orderBy("_at", "url")))
+        new = new.join(so_far, "start_url").withColumn("visit_order", F.col("_n") + F.row_number().over(Window.partitionBy("start_url").orderBy("_via", "url")))
         frontier = _written(new.where(F.col("visit_order") <= max_pages).select("start_url", "url", F.lit(depth).alias("depth"), "visit_order"))
         seen = seen.unionByName(frontier)
     return seen

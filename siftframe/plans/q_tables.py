@@ -310,7 +310,7 @@ sp as (select key, run, g, min(ts) as f, max(ts) + interval 6 hours as u from gr
 select sp.key as key, epoch_us(f) as open_from, epoch_us(case when okts is not null and okts < u then greatest(okts, f) else u end) as open_until from sp left join okt on sp.key = okt.key and sp.run = okt.run""")
 def w6_breaker_intervals(spark, sf_dir):
     out = W.breaker_intervals(V.outcomes(spark, sf_dir), 3, 6 * 3_600_000)
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    us = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', {c})").alias(c)
     return out.select("key", us("open_from"), us("open_until"))
 
 

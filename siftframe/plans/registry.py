@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_projections, q_tables
+from . import q_pages, q_projections, q_tables
 
-MODULES = (q_projections, q_tables)
+MODULES = (q_projections, q_tables, q_pages)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
