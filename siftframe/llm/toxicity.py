@@ -29,7 +29,7 @@ LEAST = 4
 #: Lengths in bytes of the beginnings of words that are features besides the whole words.
 STEMS = (4, 5, 6)
 #: Weights of the counterfactual penalty and of the ridge penalty.
-COUNTERFACTUAL, RIDGE = 1.0, 2e-3
+COUNTERFACTUAL, RIDGE = 1.0, 2e-4
 THRESHOLD = 0.3
 
 
@@ -105,16 +105,18 @@ def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray, *, penalty: float =
     """Logistic regression by Newton's method on rows x and labels y, with penalty * mean((d @ w) ** 2) added: d has,
     for each counterfactual, the features it gains less those it loses, so d @ w is the change of its score."""
     n, k = x.shape
-    xb = np.hstack([x, np.ones((n, 1), dtype=x.dtype)])
     w = np.zeros(k + 1)
     w[k] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     curve = np.diag(np.append(np.full(k, 2 * ridge), 1e-9))
     if len(d):
         curve[:k, :k] += 2 * penalty * (d.T @ d) / len(d)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
-        gradient = xb.T @ (p - y) / n + curve @ w
-        hessian = (xb * (p * (1 - p))[:, None]).T @ xb / n + curve
+        gradient, hessian = curve @ w, curve.copy()
+        for at in range(0, n, 4096):  # in blocks, so that no second copy of x is held
+            xb = np.hstack([x[at : at + 4096].astype(np.float64), np.ones((len(x[at : at + 4096]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
+            gradient += xb.T @ (p - y[at : at + 4096]) / n
+            hessian += (xb * (p * (1 - p))[:, None]).T @ xb / n
         step = np.linalg.solve(hessian + 1e-9 * np.eye(k + 1), gradient)
         w -= step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
