@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as browsers count it, for Java and RE2 alike.
@@ -20,6 +20,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column whose value is computed once a row: filters on it are not pushed below, where they would each
+    compute it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def text(c) -> Column:
     """As a string, null as the empty string."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))

@@ -42,17 +42,19 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 
     The url is looked at first, then a title that is only "captcha", then strong phrases wherever they stand. Pages
     without a result mark are also judged by weaker words, and by having neither title nor 300 characters of text."""
-    page = pages.withColumn("_text", F.lower(visible_text(F.col("html")))).withColumn("_title", title_of(F.col("html")))
+    page = text.computed(pages, "_text", F.lower(visible_text(F.col("html")))).withColumn("_title", title_of(F.col("html")))
     low, bare = F.col("_text"), ~text.text(F.col("html")).rlike(RESULT_MARK)
-    pick = lambda words: F.regexp_extract(low, f"({any_of(words)})", 1)
+    found = lambda words: F.regexp_extract(low, f"({any_of(words)})", 1)
+    page = text.computed(page, "_found", F.struct(found(STRONG).alias("strong"), F.when(bare, found(MEDIUM)).otherwise("").alias("medium")))
+    pick = {"strong": F.col("_found.strong"), "medium": F.col("_found.medium")}
     reason = (
         F.when(text.text(F.col("url")).rlike(BLOCK_URL), "url")
         .when(F.col("_title").rlike(r"(?i)^captcha$"), "captcha title")
-        .when(pick(STRONG) != "", F.concat(F.lit("strong: "), pick(STRONG)))
-        .when(bare & (pick(MEDIUM) != ""), F.concat(F.lit("medium: "), pick(MEDIUM)))
+        .when(pick["strong"] != "", F.concat(F.lit("strong: "), pick["strong"]))
+        .when(pick["medium"] != "", F.concat(F.lit("medium: "), pick["medium"]))
         .when(bare & (F.col("_title") == "") & (F.length(low) < 300), "empty")
     )
-    page = page.withColumn("reason", reason).drop("_text", "_title")
+    page = page.withColumn("reason", reason).drop("_text", "_title", "_found")
     return page.withColumn("label", F.when(F.col("reason").isNull(), "ok").otherwise("blocked"))
 
 
@@ -152,17 +154,17 @@ def drop_junk_links(results: DataFrame, by=("query_id",), order=ORDER) -> DataFr
     junk = (raw == "") | raw.rlike(JUNK_PATH) | urls.host(raw).rlike(JUNK_HOST) | urls.is_video(raw) | own
     rows = results.where((title != "") & ~is_ai_title(title) & ~title.rlike(urls.HTTP) & (rel | ~junk))
     link = F.when(rel, raw).otherwise(urls.clean(urls.unwrap(raw)))
-    rows = rows.withColumn("url", link).withColumn("title", title).where(F.col("url").rlike(urls.HTTP) | F.col("url").rlike(r"(?i)^/(?:goto|url)\?"))
+    rows = text.computed(rows.withColumn("title", title), "url", link).where(F.col("url").rlike(urls.HTTP) | F.col("url").rlike(r"(?i)^/(?:goto|url)\?"))
     return with_ranks(first_wins(rows, "url", by, order), by, order)
 
 
 def guard_links(links: DataFrame, url: str = "dst_url", origin: str | None = None) -> DataFrame:
     """Links to public hosts only; with `origin`, only those of the same scheme and host (ports are not compared)."""
-    u = urls.unwrap(F.col(url))
-    ok = u.rlike(urls.HTTP) & ~hosts.is_private_host(urls.host(u))
-    if origin:
-        ok = ok & (urls.scheme(u) == urls.scheme(F.col(origin))) & (urls.host(u) == urls.host(F.col(origin)))
-    return links.where(ok)
+    def ok(u: Column) -> Column:
+        public = u.rlike(urls.HTTP) & ~hosts.is_private_host(urls.host(u))
+        return public & (urls.scheme(u) == urls.scheme(F.col(origin))) & (urls.host(u) == urls.host(F.col(origin))) if origin else public
+
+    return links.where(text.let(urls.unwrap(F.col(url)), ok))
 
 
 def filter_hosts(df: DataFrame, *, min_ports: int | None = None, has_vulns: bool = False, host: str = "host") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hosts, query_ops, urls
@@ -105,16 +105,27 @@ def request_key(cols: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
-def split_cached(requests: DataFrame, stored: DataFrame, ttl_s: int = 300, *, key: str = "key", ts: str = "ts", request_id: str = "request_id") -> tuple[DataFrame, DataFrame]:
+def split_cached(requests: DataFrame, stored: DataFrame, ttl_s: int = 300, *, key: str = "key", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
     """(hits, misses). A request is answered by the newest stored row of its key that is not newer than the request
     and at most ttl_s seconds older. stored has the key, stored_ts and what goes with it; only successful, non-empty
-    answers belong there."""
-    s = stored.select(F.col(key).alias("_k"), *[c for c in stored.columns if c != key])
-    age = F.col(ts).cast("timestamp").cast("double") - F.col("stored_ts").cast("timestamp").cast("double")
-    near = requests.join(s, (requests[key] == F.col("_k")) & (age >= 0) & (age <= ttl_s)).drop("_k")
-    newest = F.max_by(F.struct(*[c for c in stored.columns if c != key]), "stored_ts")
-    hits = near.groupBy(*requests.columns).agg(newest.alias("_s")).select(*requests.columns, "_s.*")
-    return hits, requests.join(hits.select(request_id), request_id, "left_anti")
+    answers belong there. Requests without a key are misses.
+
+    Time is cut into buckets of ttl_s. The answer lies in the request's own bucket, where a running last value finds
+    it, or else it is the newest of the bucket before. So a key costs a sort of its rows, bucket by bucket, and not a
+    comparison of all its requests with all its answers."""
+    extra = [c for c in stored.columns if c != key]
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    r = requests.select(F.col(key).alias("_k"), seconds(ts).alias("_t"), F.lit(1).alias("_asks"), F.struct(*requests.columns).alias("_row"))
+    s = stored.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), seconds("stored_ts").alias("_t"), F.lit(0).alias("_asks"), F.struct(*extra).alias("_found"))
+    bucket = F.floor(F.col("_t") / ttl_s)
+    both = r.unionByName(s, allowMissingColumns=True).withColumn("_b", bucket)
+    so_far = Window.partitionBy("_k", "_b").orderBy("_t", "_asks", "_found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = both.withColumn("_near", F.last("_found", ignorenulls=True).over(so_far)).where("_asks = 1").drop("_found")
+    newest = s.groupBy(F.col("_k").alias("_k2"), (bucket + 1).alias("_b2")).agg(F.max(F.struct("_t", "_found")).alias("_last"))
+    asked = asked.join(newest, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")), "left")
+    young = F.when(F.col("_t") - F.col("_last._t") <= ttl_s, F.col("_last._found"))
+    rows = asked.withColumn("_hit", F.when(F.col("_k").isNotNull(), F.coalesce("_near", young)))
+    return rows.where("_hit is not null").select("_row.*", "_hit.*"), rows.where("_hit is null").select("_row.*")
 
 
 def attach_enrichment(results: DataFrame, suggestions: DataFrame, news: DataFrame, limit: int = 10) -> DataFrame:

@@ -61,7 +61,7 @@ def search_compact(results: DataFrame, queries: DataFrame, params: list[str]) ->
 def batch_search(results: DataFrame, queries: DataFrame, stored: DataFrame, ttl_s: int = 300) -> tuple[DataFrame, DataFrame]:
     """(answers, summary) of a query list with position, key and ts. Stored answers that are young enough are taken;
     the others get the results of their first engine that has any. No filters run on this path."""
-    hits, misses = J.split_cached(queries.select("query_id", "batch_id", "position", "key", "ts"), stored, ttl_s, request_id="query_id")
+    hits, misses = J.split_cached(queries.select("query_id", "batch_id", "position", "key", "ts"), stored, ttl_s)
     fresh = U.engine_of_first(results.join(misses.select("query_id"), "query_id", "left_semi"))
     n = fresh.groupBy("query_id").agg(F.count("*").alias("count"), F.first("engine").alias("engine"))
     a = misses.join(n, "query_id", "left").select("query_id", "batch_id", "position", "engine", F.coalesce("count", F.lit(0)).alias("count"), F.lit(False).alias("cached"))
