@@ -134,7 +134,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def make():
         enc = encoding(path)
-        return lambda batch: {"decoded": [enc.decode_bytes(x.as_py() or []) for x in batch.column(ids_col)]}
+        return lambda batch: {"decoded": [enc.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(ids_col)]}
 
     rows = encoded.drop("decoded")
     return add_columns(rows, rows.columns, make, {"decoded": ("binary", pa.binary)})
