@@ -180,14 +180,19 @@ def _fit(rows: DataFrame, empty: Model, penalty: float) -> tuple[np.ndarray, flo
     ints = ("array<long>", lambda: pa.list_(pa.int64()))
     found = add_columns(rows, ["toxic"], make, {"own": ints, "swapped": ints}).toPandas()
     order = sorted(range(len(found)), key=lambda i: (found["toxic"][i], tuple(found["own"][i]), tuple(found["swapped"][i])))
-    x = np.zeros((len(found), len(empty.features)), dtype=np.float32)
-    s = np.zeros_like(x)
+    x = np.zeros((len(found), len(empty.features)), dtype=np.uint8)
+    changes = []
     for at, i in enumerate(order):  # in a fixed order, so that reruns agree
-        x[at, found["own"][i]] = 1
-        s[at, found["swapped"][i]] = 1
-    changed = (x != s).any(axis=1)
+        own, swapped = found["own"][i], found["swapped"][i]
+        x[at, own] = 1
+        if not np.array_equal(own, swapped):
+            d = np.zeros(len(empty.features))
+            d[swapped] += 1
+            d[own] -= 1
+            changes.append(d)
     y = (found["toxic"].to_numpy()[order] == 1).astype(np.float64)
-    return fit_weights(x, y, (s - x)[changed].astype(np.float64), penalty=penalty)
+    del found
+    return fit_weights(x, y, np.array(changes).reshape(-1, len(empty.features)), penalty=penalty)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
