@@ -1 +1 @@
-
+"""Operators over tables."""
