@@ -44,15 +44,21 @@ def encode_text(enc, text: str) -> np.ndarray:
     return np.array([i for p in parts for i in p], dtype=np.int32)
 
 
-def _encode(path: str):
+def _encode(path: str, decoded: bool = False):
     def make():
         enc = encoding(path)
-        return lambda batch: {"ids": [encode_text(enc, t) for t in batch.column("text").to_pylist()]}
+
+        def work(batch):
+            ids = [encode_text(enc, t.as_py()) for t in batch.column("text")]
+            return {"ids": ids} | ({"decoded": [enc.decode_bytes(x.tolist()) for x in ids]} if decoded else {})
+
+        return work
 
     return make
 
 
 IDS = {"ids": ("array<int>", lambda: pa.list_(pa.int32()))}
+BYTES = {"decoded": ("binary", pa.binary)}
 
 
 @lru_cache(maxsize=1)
@@ -112,20 +118,21 @@ def cut_pieces(long: DataFrame, *, chunk: int = CHUNK, overlap: int = OVERLAP) -
     return alone.unionByName(joined)
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids array<int>): the ids of each whole text under the rank file at `path`, each match of the public
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>), and with `decoded` what decode makes of the ids, in the same pass: the ids of each whole text under the rank file at `path`, each match of the public
     pattern encoded separately, without special tokens.
 
     A null text counts as empty and has no ids; repeated rows and ids come out as often as they go in; an empty table
     gives an empty result. Texts up to `chunk` code points are encoded in place, without a shuffle; longer ones by
     cut_pieces, whose pieces are encoded in parallel and joined in order. The most that is held at once is one text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    short = add_columns(rows.where(F.length("text") <= chunk), ["doc_id"], _encode(path), IDS)
+    short = add_columns(rows.where(F.length("text") <= chunk), ["doc_id"], _encode(path, decoded), IDS | (BYTES if decoded else {}))
     long = with_row_id(rows.where(F.length("text") > chunk), "rid")
     pieces = add_columns(cut_pieces(long, chunk=chunk, overlap=overlap), ["rid", "doc_id", "piece"], _encode(path), IDS)
     parts = F.sort_array(F.collect_list(F.struct("piece", "ids")))
     joined = pieces.groupBy("rid", "doc_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined.select("doc_id", "ids"))
+    joined = joined.select("doc_id", "ids")
+    return short.unionByName(decode(joined, path) if decoded else joined)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -137,4 +144,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         return lambda batch: {"decoded": [enc.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(ids_col)]}
 
     rows = encoded.drop("decoded")
-    return add_columns(rows, rows.columns, make, {"decoded": ("binary", pa.binary)})
+    return add_columns(rows, rows.columns, make, BYTES)

@@ -82,5 +82,6 @@ def add_columns(df: DataFrame, keep: list[str], make, fields: dict) -> DataFrame
                 new = work(batch)
                 arrays = [new[k] if isinstance(new[k], pa.Array) else pa.array(new[k], type=kind()) for k, (_, kind) in fields.items()]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + arrays, names=[*keep, *fields])
+            pa.default_memory_pool().release_unused()  # workers live on between stages
 
     return df.mapInArrow(run, schema)

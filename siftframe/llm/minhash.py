@@ -6,12 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialize, text_or_empty, with_row_id
+from .common import SLICE, add_columns, materialize, text_or_empty, with_row_id
 from .components import connected
 from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shingles_of, words
 
@@ -120,16 +119,18 @@ SIG_FIELDS = {
 
 
 def _confirm(size: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep, last, mine = [], None, None
-            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
-                if a != last:
-                    last, mine = a, shingle_sets([ta], size)[0]
-                other = shingle_sets([tb], size)[0]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield pdf[["a", "b"]][np.array(keep, dtype=bool)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch, keep = whole.slice(at, SLICE), []
+                for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
+                    if a != last:
+                        last, mine = a, shingle_sets([ta.as_py()], size)[0]
+                    other = shingle_sets([tb.as_py()], size)[0]
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(mine) + len(other) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -138,7 +139,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """The pairs (a, b) whose full shingle sets are similar enough."""
     both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(_confirm(size, percent), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:

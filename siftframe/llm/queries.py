@@ -42,7 +42,7 @@ def _digests(encoded: DataFrame) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return _digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return _digests(bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
