@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = links.unionByName(materialize(_links(again, texts, shingle, percent), "links"))
         open_ = _open_buckets(members, connected(links), facts, links)
         rest = open_.select("node", "component", "n_shingles", "s0", "s1").distinct()
-        links = links.unionByName(_links(_prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent))
+        # Written first: two Python steps in one stage would hold twice as many workers.
+        links = links.unionByName(materialize(_links(_prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent), "links"))
     labels = connected(links)
 
     member = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
