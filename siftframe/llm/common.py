@@ -60,6 +60,21 @@ def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
     return parted.join(F.broadcast(offsets), "_part").withColumn(name, inner - 1 + F.col("_offset")).drop("_part", "_offset")
 
 
+#: Parts that a group is aggregated and joined in, so that no task gets a hot group whole.
+SALTS = 16
+
+
+def join_groups(rows: DataFrame, keys: list[str], row_id: str, part: list[Column], whole: list[Column]) -> DataFrame:
+    """rows with the aggregates `whole` of their group; keys are not null, and rows are read twice.
+
+    A group is cut into SALTS parts by a hash of row_id. `part` aggregates a part, `whole` the parts of a group; a group's
+    result then goes to those parts that it has, so the join deals a hot group to SALTS tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)))
+    parts = salted.groupBy(*keys, "_salt").agg(*part)
+    groups = parts.groupBy(*keys).agg(*whole, F.collect_list("_salt").alias("_salts"))
+    return salted.join(groups.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+
 #: Rows that a Python task turns into its own objects at once.
 SLICE = 256
 

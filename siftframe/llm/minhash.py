@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, add_columns, materialize, text_or_empty, with_row_id
+from .common import SLICE, add_columns, join_groups, materialize, text_or_empty, with_row_id
 from .components import connected
 from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shingles_of, words
 
@@ -229,8 +229,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sig.select("rid", "doc_id", "digest", "n_shingles").join(member, "digest", "left")
     out = materialize(out.withColumn("component", F.coalesce("component", "rid")).drop("digest"), "grouped")
-    least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(least, "component")
+    out = join_groups(out, ["component"], "rid", [F.min("doc_id").alias("_least")], [F.min("_least").alias("component_id")])
     return out.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
