@@ -40,8 +40,8 @@ def text_or_empty(text: Column) -> Column:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Number rows without a shuffle. The numbers repeat on a second scan if df is a plain read of files, as every
-    caller here has it; a frame with a shuffle upstream should be written first."""
+    """Number rows without a shuffle. A second scan may give other numbers, since files are split by the cores that are
+    there when it starts: what is read more than once has to be written first."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -107,7 +107,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     on fingerprint and chunk number, so neither a long text nor a large group has to be held. Rows that differ in a
     chunk (a collision) leave the group for one of their own text's digest."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    rows = with_row_id(rows, "rid")
+    rows = materialize(with_row_id(rows, "rid"), "rows")
     prints = materialize(fingerprints(rows), "fingerprints")
     groups = prints.groupBy(*PRINT).agg(F.min("rid").alias("first_rid"), F.count("*").alias("n")).where("n > 1")
 

@@ -182,12 +182,12 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, row_id: str | None = None) -> DataFrame:
     """Group documents whose sets of `shingle`-word shingles link: 100 * intersection >= percent * union.
 
     Words are runs of anything but ASCII white space after lower-casing A-Z; a text with fewer words has its whole
-    sequence as its one shingle. Returns (rid, doc_id, n_shingles, component_id, kept): rid is the row's number in the
-    scan, component_id the smallest id that links reach. Null and empty texts have no shingles and link with nothing;
+    sequence as its one shingle. Returns (rid, doc_id, n_shingles, component_id, kept): rid is the row's number, from
+    the column `row_id` of docs as they were written, or given here; component_id is the smallest id that links reach. Null and empty texts have no shingles and link with nothing;
     their component_id is their own id. Rows of equal word sequences are one node, so copies are never paired with
     each other; repeated rows with the smallest id of a component are all `kept`, and so is a row whose id is null
     when no row of its component has one (then component_id is null). Empty tables give empty results.
@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     4. The nodes of buckets that are still open are compared across components by prefixes (see _prefix_pairs), which
        leaves out no pair that can link. So no bucket is capped, and a large group whose members all fall just short
        of the threshold does not make a pair of every two."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    rows = with_row_id(rows, "rid")
+    rows = [F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")]
+    rows = docs.select(*rows, F.col(row_id).alias("rid")) if row_id else materialize(with_row_id(docs.select(*rows), "rid"), "rows")
     sig = materialize(add_columns(rows, ["doc_id", "rid"], _signatures(shingle), SIG_FIELDS), "signatures")
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("node"))
     classes = materialize(classes, "classes")
@@ -236,9 +236,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest id, then the first in the scan. Columns and
     texts stay as they are; rows without words all stay."""
-    groups = materialize(near_duplicates(docs, **kw).select("rid", "doc_id", "n_shingles", "component_id", "kept"), "groups")
+    rid = "_siftframe_rid"
+    docs = materialize(with_row_id(docs, rid), "rows")
+    groups = materialize(near_duplicates(docs, row_id=rid, **kw).select("rid", "doc_id", "n_shingles", "component_id", "kept"), "groups")
     # Repeated rows with the kept id: the first of them stays.
     first = groups.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("rid").alias("rid"))
     gone = groups.where("n_shingles > 0").select("rid").join(first.select("rid"), "rid", "left_anti")
-    rid = "_siftframe_rid"
-    return with_row_id(docs, rid).join(gone.withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)
+    return docs.join(gone.withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)

@@ -237,6 +237,39 @@ def test_minhash_odd_rows(spark, docs, empty):
     assert minhash.keep_one(empty).count() == 0
 
 
+def split_otherwise(spark, monkeypatch, module):
+    """Once `module` has written a table, files are split otherwise, as when executors come or go."""
+    key, real = "spark.sql.files.maxPartitionBytes", module.materialize
+
+    def write(df, tag):
+        out = real(df, tag)
+        spark.conf.set(key, "256k")
+        return out
+
+    monkeypatch.setattr(module, "materialize", write)
+    return lambda: spark.conf.unset(key)
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    path = str(tmp_path / "files")
+    sf(spark, "documents").repartition(16, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_minhash_when_files_are_split_otherwise(spark, many_files, monkeypatch):
+    want = brute_components(texts_of(spark))
+    undo = split_otherwise(spark, monkeypatch, minhash)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(many_files).collect()}
+        undo()
+        kept = Counter(r.doc_id for r in minhash.keep_one(many_files).collect())
+    finally:
+        undo()
+    assert got == want
+    assert kept == Counter(d for d, (_, c) in want.items() if d == c)
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
@@ -345,6 +378,21 @@ def test_exact_odd_rows(spark, docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_exact_when_files_are_split_otherwise(spark, many_files, monkeypatch):
+    rows = [r for k in range(3) for r in many_files.withColumn("doc_id", F.col("doc_id") + 1_000_000 * k).select("doc_id", "text").collect()]
+    path = f"{many_files.inputFiles()[0].rpartition('/')[0]}-3"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id").write.parquet(path)
+    undo = split_otherwise(spark, monkeypatch, exact_dedup)
+    try:
+        got = Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark.read.parquet(path)).collect())
+    finally:
+        undo()
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(d)
+    assert got == Counter((d, min(g), len(g)) for g in groups.values() for d in g)
+
+
 def test_colliding_fingerprints_are_told_apart(spark, docs, monkeypatch):
     real = exact_dedup.fingerprints
 
