@@ -45,12 +45,11 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 def random_spans(text: str, enc, most: float = MOST_CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the runs that take so many tokens that they are no language: at most `most` characters a
-    token, with digits and letters in them, and neither a known digest nor an identifier."""
+    token, neither all digits nor all signs, and neither a known digest nor an identifier."""
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        digits = sum(c.isdigit() for c in run)
-        if not digits or digits == len(run) or DIGEST.match(run) or UUID.match(run) or NAME.match(run):
+        if run.isdigit() or not any(c.isalnum() for c in run) or DIGEST.match(run) or UUID.match(run) or NAME.match(run):
             continue
         if len(run) <= most * len(enc.encode_ordinary(run)):
             out.append((m.start(), len(BASE), m.end()))

@@ -342,6 +342,16 @@ def test_random_strings():
     assert (start, end) == (6, 46)
 
 
+def test_random_strings_of_letters():
+    enc, rng = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["qWzXkPvTmLbRnSdFgHjKyUiO", *("".join(rng.choice(letters) for _ in range(rng.randint(20, 48))) for _ in range(50))]
+    found = [secrets.random_spans(f"key {k} end", enc) for k in keys]
+    assert found[0] == [(4, len(secrets.BASE), 4 + len(keys[0]))] and sum(map(bool, found)) >= 49
+    clean = ["getElementsByClassName", "InternationalizationSupport", "thisIsAVeryLongVariableName", "=" * 40, "-_" * 12, "1234567890" * 3]
+    assert not any(secrets.random_spans(f"x {c} y", enc) for c in clean)
+
+
 def test_secret_rows(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     assert secrets.scan_secrets(docs, path).count() == docs.count()
