@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a class for Java and RE2 patterns.
@@ -18,27 +18,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a new folder
+    of this machine; a cluster gets an error, since no executor would find what another one wrote there."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="siftframe-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir() or path
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftframe-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftframe/{tag}-{uuid.uuid4().hex}"
+def _write(df: DataFrame, tag: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/siftframe/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing. What a result still
+    reads stays there; the owner of the folder removes it after use."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, tag))
+
+
+class Scratch:
+    """The tables that one run of an operator writes for itself. `clear` removes them once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = _write(df, tag)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths = []
 
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Number rows without a shuffle. A second scan may give other numbers, since files are split by the cores that are
     there when it starts: what is read more than once has to be written first."""
@@ -50,8 +84,6 @@ def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
 
     Rows are range-partitioned; each gets its place inside its partition plus the rows of all partitions before. Only
     the per-partition counts (as many as there are shuffle partitions) meet in one place."""
-    from pyspark.sql import Window
-
     parted = materialize(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "rank")
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,19 +92,32 @@ def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
     return parted.join(F.broadcast(offsets), "_part").withColumn(name, inner - 1 + F.col("_offset")).drop("_part", "_offset")
 
 
-#: Parts that a group is aggregated and joined in, so that no task gets a hot group whole.
-SALTS = 16
+#: Parts that a group is joined in, so that no task gets a hot group whole: the bits of a long.
+SALTS = 64
+
+
+def with_salt(rows: DataFrame, row_id: str) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
+
+
+def salted_groups(salted: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """One row a group, with the parts that it has as a bit mask. Spark combines before the shuffle, so that a hot group
+    reaches its task as one row of each map task."""
+    return salted.groupBy(*keys).agg(*aggregates, F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_salts"))
+
 
+def join_salted(salted: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Each row with its group; a group goes to those parts that it has, so a hot one is dealt to SALTS tasks."""
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("_salts", k) == 1)
+    return salted.join(groups.withColumn("_salt", F.explode(parts)).drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
-def join_groups(rows: DataFrame, keys: list[str], row_id: str, part: list[Column], whole: list[Column]) -> DataFrame:
-    """rows with the aggregates `whole` of their group; keys are not null, and rows are read twice.
 
-    A group is cut into SALTS parts by a hash of row_id. `part` aggregates a part, `whole` the parts of a group; a group's
-    result then goes to those parts that it has, so the join deals a hot group to SALTS tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)))
-    parts = salted.groupBy(*keys, "_salt").agg(*part)
-    groups = parts.groupBy(*keys).agg(*whole, F.collect_list("_salt").alias("_salts"))
-    return salted.join(groups.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*keys, "_salt"]).drop("_salt")
+def join_groups(rows: DataFrame, keys: list[str], row_id: str, aggregates: list[Column], *, where: str | None = None, how: str = "inner") -> DataFrame:
+    """rows with the aggregates of their group; rows are read twice. Groups that `where` leaves out take their rows with
+    them, or with how="left" leave them without aggregates; so do null keys."""
+    salted = with_salt(rows, row_id)
+    groups = salted_groups(salted, keys, aggregates)
+    return join_salted(salted, groups.where(where) if where else groups, keys, how)
 
 
 #: Rows that a Python task turns into its own objects at once.

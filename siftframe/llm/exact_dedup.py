@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, add_columns, materialize, text_or_empty, with_row_id
+from .common import SPACES, Scratch, add_columns, join_groups, materialize, text_or_empty, with_row_id
 
 #: Fixed values of the fingerprint: two primes under 2 ** 31, so that products stay in 62 bits, and a base for each.
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_007, 870_123_457)
 #: Characters of a chunk; longer texts are hashed in chunks that are dealt to all tasks.
 CHUNK = 32_768
-#: Up to so many rows with a double (16 bytes each) are broadcast to pick their texts; beyond, texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bits of the map that picks the texts to compare: 8 MB, whatever the data.
+BITS = 1 << 26
+#: Rows of a group that meet the group's first text in one task.
+PART = 256
 #: Bytes that are hashed in one vector.
 BLOCK = 1 << 16
 
@@ -94,6 +96,17 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 PRINT = ["n_bytes", "h0", "h1"]
 
 
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose rid may be among wanted's: a bit map of their hashes, BITS long, is broadcast, so that the texts of the
+    other rows are not shuffled. A bit that two rows share lets one too many through; the join that follows drops it."""
+    place = F.pmod(F.xxhash64("rid"), F.lit(BITS)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket")
+    return near.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row; texts are equal if they are the same after each
     run of ASCII white space has become one space.
@@ -104,25 +117,29 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Rows of one fingerprint (length and two polynomial hashes) form a group by an aggregate that combines before the
     shuffle. Every row of a group with several then meets the text of the group's first row chunk by chunk, which joins
-    on fingerprint and chunk number, so neither a long text nor a large group has to be held. Rows that differ in a
-    chunk (a collision) leave the group for one of their own text's digest."""
+    on fingerprint and chunk number, so neither a long text nor a large group has to be held; a large group is dealt to
+    one task for each PART rows. Rows that differ in a chunk (a collision) leave the group for one of their own text's
+    digest. Groups are joined in parts, so no task gets a hot one whole."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    rows = materialize(with_row_id(rows, "rid"), "rows")
-    prints = materialize(fingerprints(rows), "fingerprints")
-    groups = prints.groupBy(*PRINT).agg(F.min("rid").alias("first_rid"), F.count("*").alias("n")).where("n > 1")
-
-    same = [prints[c] == groups[c] for c in PRINT]
-    suspects = materialize(prints.join(groups, same).select("rid", "first_rid"), "suspects")
-    few = suspects.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = materialize(_chunks(rows.join(F.broadcast(suspects) if few else suspects, "rid"), ["rid", "first_rid"]), "chunks")
-    firsts = texts.where("rid = first_rid").select("first_rid", "n", F.col("text").alias("first_text"))
-    others = texts.where("rid <> first_rid")
-    differs = others.join(firsts, ["first_rid", "n"], "left").where(~F.col("text").eqNullSafe(F.col("first_text"))).select("rid").distinct()
-
-    marked = prints.join(suspects, "rid", "left").join(differs.withColumn("own", F.lit(True)), "rid", "left")
-    group = F.when(F.col("own"), F.col("text_sha256")).otherwise(F.coalesce("first_rid", "rid").cast("string"))
-    marked = marked.withColumn("grp", group)
+    rows = scratch.write(with_row_id(rows, "rid"), "rows")
+    prints = scratch.write(fingerprints(rows), "fingerprints")
+    first = [F.min("rid").alias("first_rid"), F.count("*").alias("members")]
+    suspects = join_groups(prints.select("rid", *PRINT), PRINT, "rid", first, where="members > 1")
+    suspects = scratch.write(suspects.select("rid", "first_rid", F.floor(F.col("members") / PART).cast("int").alias("parts")), "suspects")
+
+    texts = _picked(rows, suspects).join(suspects, "rid")
+    texts = scratch.write(_chunks(texts, ["rid", "first_rid", "parts"]), "chunks")
+    firsts = texts.where("rid = first_rid").select("first_rid", "n", F.col("text").alias("first_text"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"))
+    others = texts.where("rid <> first_rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts") + 1).cast("int"))
+    differs = others.join(firsts, ["first_rid", "n", "part"], "left").where(~F.col("text").eqNullSafe(F.col("first_text"))).select("rid").distinct()
+
+    marked = prints.select("rid", "doc_id", "text_sha256").join(suspects.select("rid", "first_rid"), "rid", "left").join(differs.withColumn("own", F.lit(True)), "rid", "left")
+    marked = marked.withColumn("grp", F.when(F.col("own"), F.col("text_sha256")).otherwise(F.col("first_rid").cast("string")))
+    marked = materialize(marked.select("rid", "doc_id", "text_sha256", "grp"), "groups")
+    scratch.clear()
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    stays = marked.groupBy("grp").agg(F.min(order).alias("stays"), F.count("*").alias("group_size"))
-    out = marked.join(stays, "grp")
-    return out.select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("stays.rid")).alias("kept"), "text_sha256")
+    out = join_groups(marked.where("grp is not null"), ["grp"], "rid", [F.min(order).alias("stays"), F.count("*").alias("group_size")])
+    out = out.select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("stays.rid")).alias("kept"), "text_sha256")
+    alone = marked.where("grp is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return out.unionByName(alone)

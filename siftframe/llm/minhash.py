@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, add_columns, join_groups, materialize, text_or_empty, with_row_id
-from .components import connected
+from .common import SLICE, Scratch, add_columns, fresh, join_groups, join_salted, materialize, salted_groups, text_or_empty, with_row_id, with_salt
+from .components import connected, extended
 from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shingles_of, words
 
 #: Components of a signature, and rows of a band. A pair at similarity 0.75 shares one of the 32 bands of 4 with
@@ -19,9 +19,10 @@ from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shing
 M, ROWS = 128, 4
 #: Elements whose permutations are held at once.
 BLOCK = 100_000
-#: Two sets of similarity s agree in a share (1 + s) / 2 of their one-bit sketches. At 0.75 that is 112 of 128 bits,
-#: with a deviation of at most 3.8 bits; pairs with under 93 equal bits are five deviations off and not compared.
-MOST_UNEQUAL_BITS = M - 93
+#: Pairs of one first node that are confirmed in one task, and rows of a shingle that are joined in one.
+PART = 256
+#: Parts that a shingle with more rows than that is joined in.
+SPREAD = 32
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = M) -> np.ndarray:
@@ -79,16 +80,10 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each component, packed into two longs."""
-    bits = (mix(sig) & U64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view("<i8")
-
-
 def _signatures(size: int):
     def work(batch):
         texts = batch.column("text").to_pylist()
-        digests, sizes, bands, s0, s1 = [], [], [], [], []
+        digests, sizes, bands = [], [], []
         for a, b in groups_of(texts, 1 << 19):
             buf, starts, lens, counts = words(texts[a:b], LOWER)
             h, at, sets = hash_spans(buf, starts, lens), 0, []
@@ -99,12 +94,9 @@ def _signatures(size: int):
                 at += n
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             sig = superminhash(np.concatenate(sets), owner, len(sets))
-            sketch = _sketch(sig)
             sizes += [len(s) for s in sets]
             bands += [x if len(s) else None for x, s in zip(_bands(sig), sets, strict=True)]
-            s0 += sketch[:, 0].tolist()
-            s1 += sketch[:, 1].tolist()
-        return {"digest": digests, "n_shingles": sizes, "bands": bands, "s0": s0, "s1": s1}
+        return {"digest": digests, "n_shingles": sizes, "bands": bands}
 
     return lambda: work
 
@@ -113,8 +105,6 @@ SIG_FIELDS = {
     "digest": ("string", pa.string),
     "n_shingles": ("long", pa.int64),
     "bands": ("array<long>", lambda: pa.list_(pa.int64())),
-    "s0": ("long", pa.int64),
-    "s1": ("long", pa.int64),
 }
 
 
@@ -136,110 +126,126 @@ def _confirm(size: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
+    """The distinct pairs (a, b) whose full shingle sets are similar enough. The text of a node with many pairs goes to
+    one task for each PART of them."""
+    part = lambda n: F.floor(F.col(n) / PART).cast("int")
+    sized = join_groups(pairs, ["a"], "b", [F.count("*").alias("n")])
+    sized = sized.select("a", "b", F.pmod(F.xxhash64("b"), part("n") + 1).cast("int").alias("part"))
+    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
+    firsts = firsts.select("a", "ta", F.explode(F.sequence(F.lit(0), part("n"))).alias("part"))
+    both = sized.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").join(firsts, ["a", "part"])
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
-    """The nodes of buckets that hold several components, with their component and their number of links."""
-    placed = members.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+    """The nodes of buckets that hold several components, with their component, set size and number of links."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = join_groups(placed, ["key"], "node", [F.min("component").alias("_lo"), F.max("component").alias("_hi")], where="_lo < _hi").drop("_lo", "_hi")
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    rows = placed.join(mixed, "key").join(facts, "node").join(degrees, "node", "left")
-    return materialize(rows.withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
+    return mixed.join(facts, "node").join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """Sizes and sketches do not rule the threshold out."""
-    unequal = F.expr(f"bit_count({x}s0 ^ {y}s0) + bit_count({x}s1 ^ {y}s1)")
-    sizes = F.expr(f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)")
-    return sizes & (unequal <= MOST_UNEQUAL_BITS)
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of `rest` across components that can link, few others.
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of `rest` (node, component) across components that can link, few others.
 
     With the shingles of every set in one order, rarest first, two sets that link share one among the first
-    n - ceil(n * percent / 100) + 1 of each. At the first one that they share, at places i and j, the overlap can be no
-    more than 1 + min(nx - i, ny - j), which has to reach percent / (100 + percent) of nx + ny. Members that are edited
-    too much have that many shingles of their own and meet nobody."""
+    n - ceil(n * percent / 100) + 1 of each. Pairs that share some are counted: beyond those c, the sets can share no
+    more than what comes after the last shared one in either, and no more than what comes after the whole prefix of the
+    set whose prefix ends first. Pairs whose overlap cannot reach percent / (100 + percent) of both sizes go. Members
+    that are edited too much have their own rare shingles and meet nobody."""
 
     def work(batch):
         return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), size)]}
 
     own = texts.join(rest.select(F.col("node").alias("rid")), "rid")
     sets = add_columns(own, ["rid"], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))})
-    entries = materialize(sets.select(F.col("rid").alias("node"), F.size("s").alias("n"), F.explode("s").alias("s")), "entries")
-    counts = entries.groupBy("s").agg(F.count("*").alias("df"))
-    placed = entries.join(counts, "s").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
-    first = placed.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    first = materialize(first.select("node", "s", "i").join(rest, "node"), "prefixes")
-    x, y = first.alias("x"), first.alias("y")
-    overlap = F.expr(f"(1 + least(x.n_shingles - x.i, y.n_shingles - y.i)) * {100 + percent} >= {percent} * (x.n_shingles + y.n_shingles)")
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & overlap & _may_link("x.", "y.", percent))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    entries = scratch.write(sets.select(F.col("rid").alias("node"), F.size("s").alias("n"), F.explode("s").alias("s")), "entries")
+    placed = join_groups(entries, ["s"], "node", [F.count("*").alias("df")], where="df > 1", how="left")
+    placed = placed.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s")))
+    placed = placed.withColumn("last", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = scratch.write(placed.where("i <= last and df is not null").join(rest, "node"), "prefixes")
+    hot = F.col("df") > PART
+    x = first.withColumn("part", F.when(hot, F.pmod(F.xxhash64("node"), F.lit(SPREAD))).otherwise(0)).alias("x")
+    y = first.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).alias("y")
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component"))
+    pairs = x.join(y, on & _sizes_fit("x.n", "y.n", percent)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    shared = [F.count("*").alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j")]
+    shared += [F.first(f"{t}.{k}").alias(f"{t}{k}") for t in "xy" for k in ("n", "last")]
+    most = "c + least(xn - i, yn - j, greatest(xn - xlast, yn - ylast))"
+    return pairs.agg(*shared).where(f"({most}) * {100 + percent} >= {percent} * (xn + yn)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, row_id: str | None = None) -> DataFrame:
     """Group documents whose sets of `shingle`-word shingles link: 100 * intersection >= percent * union.
 
     Words are runs of anything but ASCII white space after lower-casing A-Z; a text with fewer words has its whole
-    sequence as its one shingle. Returns (rid, doc_id, n_shingles, component_id, kept): rid is the row's number, from
-    the column `row_id` of docs as they were written, or given here; component_id is the smallest id that links reach. Null and empty texts have no shingles and link with nothing;
-    their component_id is their own id. Rows of equal word sequences are one node, so copies are never paired with
-    each other; repeated rows with the smallest id of a component are all `kept`, and so is a row whose id is null
-    when no row of its component has one (then component_id is null). Empty tables give empty results.
-
-    1. One pass hashes words and shingles and builds SuperMinHash signatures, 32 band keys and a 128-bit sketch.
+    sequence as its one shingle. Returns (rid, doc_id, n_shingles, component, component_id, kept): rid is the row's
+    number, from the column `row_id` of docs as they were written, or given here; component is a number of the group,
+    component_id the smallest id that links reach.
+    Null and empty texts have no shingles and link with nothing; their component_id is their own id. Rows of equal word
+    sequences are one node, so copies are never paired with each other; repeated rows with the smallest id of a
+    component are all `kept`, and so is a row whose id is null when no row of its component has one (then component_id
+    is null). Empty tables give empty results; other columns are not read.
+
+    1. One pass hashes words and shingles and builds SuperMinHash signatures and 32 band keys.
     2. Nodes of one band bucket are compared with the bucket's smallest node only, on full sets; links are grouped.
     3. A link between nodes that are already together says nothing new, so only buckets that still hold several
        components are looked at again. Their nodes are compared with the bucket's node that has most links.
     4. The nodes of buckets that are still open are compared across components by prefixes (see _prefix_pairs), which
        leaves out no pair that can link. So no bucket is capped, and a large group whose members all fall just short
-       of the threshold does not make a pair of every two."""
+       of the threshold does not make a pair of every two.
+
+    Rows of one digest, bucket, shingle or group are joined in parts (join_groups), so a hot one is dealt to many tasks."""
+    scratch = Scratch(docs.sparkSession)
     rows = [F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")]
-    rows = docs.select(*rows, F.col(row_id).alias("rid")) if row_id else materialize(with_row_id(docs.select(*rows), "rid"), "rows")
-    sig = materialize(add_columns(rows, ["doc_id", "rid"], _signatures(shingle), SIG_FIELDS), "signatures")
-    classes = sig.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("node"))
-    classes = materialize(classes, "classes")
-    nodes = sig.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n_shingles", "bands", "s0", "s1")
+    rows = docs.select(*rows, F.col(row_id).alias("rid")) if row_id else scratch.write(with_row_id(docs.select(*rows), "rid"), "rows")
+    sig = scratch.write(add_columns(rows, ["doc_id", "rid"], _signatures(shingle), SIG_FIELDS), "signatures")
+    salted = with_salt(sig, "rid")
+    classes = scratch.write(salted_groups(salted.where("digest is not null"), ["digest"], [F.min("rid").alias("node")]), "classes")
+    nodes = join_salted(salted.select("rid", "digest", "n_shingles", "bands", "_salt"), classes, ["digest"]).where("rid = node")
+    nodes = scratch.write(nodes.select("node", "n_shingles", "bands"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(banded.join(buckets, "key"), "members")
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    members = join_groups(banded, ["key"], "node", [F.min("node").alias("leader"), F.count("*").alias("n")], where="n > 1")
+    members = scratch.write(members.select("key", "node", "leader"), "members")
+    pairs = scratch.write(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = members.select(F.col("node").alias("rid")).distinct()
-    texts = materialize(rows.join(wanted, "rid").select("rid", "text"), "texts")
-    links = materialize(_links(pairs, texts, shingle, percent), "links")
-    facts = nodes.select("node", "n_shingles", "s0", "s1")
-    open_ = _open_buckets(members, connected(links), facts, links)
+    texts = scratch.write(rows.join(wanted, "rid").select("rid", "text"), "texts")
+    links = scratch.write(_links(pairs, texts, shingle, percent), "links")
+    labels = connected(links)
+    facts = nodes.select("node", "n_shingles")
+    open_ = scratch.write(_open_buckets(members, labels, facts, links), "open")
     if not open_.isEmpty():
-        heads = open_.groupBy("key").agg(F.max_by(F.struct("node", "component", "n_shingles", "s0", "s1"), F.struct("degree", F.xxhash64("node"))).alias("y"))
-        across = open_.join(heads, "key").where((F.col("component") != F.col("y.component")) & _may_link("", "y.", percent))
+        head = F.max_by(F.struct("node", "component", "n_shingles"), F.struct("degree", F.xxhash64("node"))).alias("y")
+        across = join_groups(open_, ["key"], "node", [head]).where((F.col("component") != F.col("y.component")) & _sizes_fit("n_shingles", "y.n_shingles", percent))
         again = across.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
-        links = links.unionByName(materialize(_links(again, texts, shingle, percent), "links"))
-        open_ = _open_buckets(members, connected(links), facts, links)
-        rest = open_.select("node", "component", "n_shingles", "s0", "s1").distinct()
-        # Written first: two Python steps in one stage would hold twice as many workers.
-        links = links.unionByName(materialize(_links(_prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent), "links"))
-    labels = connected(links)
-
-    member = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sig.select("rid", "doc_id", "digest", "n_shingles").join(member, "digest", "left")
+        more = scratch.write(_links(scratch.write(again, "pairs"), texts, shingle, percent), "links")
+        labels, links = extended(labels, more), links.unionByName(more)
+        rest = _open_buckets(members, labels, facts, links).select("node", "component").distinct()
+        # Each is written first: two Python steps in one stage would hold twice as many workers.
+        rest = scratch.write(rest, "rest")
+        pairs = scratch.write(_prefix_pairs(rest, texts, scratch, shingle, percent), "pairs")
+        labels = extended(labels, scratch.write(_links(pairs, texts, shingle, percent), "links"))
+
+    member = classes.join(labels, "node", "left").select("digest", "_salts", F.coalesce("component", "node").alias("component"))
+    out = join_salted(salted.select("rid", "doc_id", "digest", "n_shingles", "_salt"), member, ["digest"], "left")
     out = materialize(out.withColumn("component", F.coalesce("component", "rid")).drop("digest"), "grouped")
-    out = join_groups(out, ["component"], "rid", [F.min("doc_id").alias("_least")], [F.min("_least").alias("component_id")])
-    return out.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    scratch.clear()
+    out = join_groups(out, ["component"], "rid", [F.min("doc_id").alias("component_id")])
+    return out.select("rid", "doc_id", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest id, then the first in the scan. Columns and
-    texts stay as they are; rows without words all stay."""
-    rid = "_siftframe_rid"
+    texts stay as they are, whatever their names; rows without words all stay."""
+    rid = fresh(docs, "_siftframe_rid")
     docs = materialize(with_row_id(docs, rid), "rows")
-    groups = materialize(near_duplicates(docs, row_id=rid, **kw).select("rid", "doc_id", "n_shingles", "component_id", "kept"), "groups")
+    groups = materialize(near_duplicates(docs, row_id=rid, **kw).select("rid", "n_shingles", "component", "kept"), "groups")
     # Repeated rows with the kept id: the first of them stays.
-    first = groups.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("rid").alias("rid"))
+    first = groups.where("kept and n_shingles > 0").groupBy("component").agg(F.min("rid").alias("rid"))
     gone = groups.where("n_shingles > 0").select("rid").join(first.select("rid"), "rid", "left_anti")
     return docs.join(gone.withColumnRenamed("rid", rid), rid, "left_anti").drop(rid)

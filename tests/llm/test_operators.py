@@ -16,7 +16,7 @@ from oracle import SF, agree
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftframe.llm import bpe, components, exact_dedup, line_dedup, minhash, mixing, queries, secrets, sharding, spotsigs, textvec, token_count, toxicity
+from siftframe.llm import bpe, common, components, exact_dedup, line_dedup, minhash, mixing, queries, secrets, sharding, spotsigs, textvec, token_count, toxicity
 from siftframe.llm.common import global_rank
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -103,6 +103,9 @@ def test_components(spark):
     touched = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: find(x) for x in touched}
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+    half = components.connected(spark.createDataFrame(pairs[::2], "a long, b long"))
+    assert {r.node: r.component for r in components.extended(half, spark.createDataFrame(pairs[1::2], "a long, b long")).collect()} == got
+    assert {r.node: r.component for r in components.extended(half.limit(0), spark.createDataFrame(pairs, "a long, b long")).collect()} == got
 
 
 def test_global_rank(spark):
@@ -237,16 +240,16 @@ def test_minhash_odd_rows(spark, docs, empty):
     assert minhash.keep_one(empty).count() == 0
 
 
-def split_otherwise(spark, monkeypatch, module):
-    """Once `module` has written a table, files are split otherwise, as when executors come or go."""
-    key, real = "spark.sql.files.maxPartitionBytes", module.materialize
+def split_otherwise(spark, monkeypatch):
+    """Once a table has been written, files are split otherwise, as when executors come or go."""
+    key, real = "spark.sql.files.maxPartitionBytes", common._write
 
     def write(df, tag):
         out = real(df, tag)
         spark.conf.set(key, "256k")
         return out
 
-    monkeypatch.setattr(module, "materialize", write)
+    monkeypatch.setattr(common, "_write", write)
     return lambda: spark.conf.unset(key)
 
 
@@ -259,7 +262,7 @@ def many_files(spark, tmp_path):
 
 def test_minhash_when_files_are_split_otherwise(spark, many_files, monkeypatch):
     want = brute_components(texts_of(spark))
-    undo = split_otherwise(spark, monkeypatch, minhash)
+    undo = split_otherwise(spark, monkeypatch)
     try:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(many_files).collect()}
         undo()
@@ -392,7 +395,7 @@ def test_exact_when_files_are_split_otherwise(spark, many_files, monkeypatch):
     rows = [r for k in range(3) for r in many_files.withColumn("doc_id", F.col("doc_id") + 1_000_000 * k).select("doc_id", "text").collect()]
     path = f"{many_files.inputFiles()[0].rpartition('/')[0]}-3"
     spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id").write.parquet(path)
-    undo = split_otherwise(spark, monkeypatch, exact_dedup)
+    undo = split_otherwise(spark, monkeypatch)
     try:
         got = Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark.read.parquet(path)).collect())
     finally:
