@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, global_rank, materialize, text_or_empty
+from .common import WORDS, fresh, global_rank, materialize, text_or_empty
 
 #: Weights of the sources in order, repeating; a target stops at so many times its source's size.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -42,7 +42,9 @@ def source_targets(sized: DataFrame, *, weights=WEIGHTS, most: int = MOST) -> Da
             F.count_if(capped).alias("n"),
         ).first()
         left, shared = everything - (row.fixed or 0), row.weights or 0
-        now = capped | (F.col("weight") * F.lit(left) > F.col("source_size") * F.lit(most * shared)) if shared else F.lit(True)
+        wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  products of sums of many sources do not fit in a long
+        over = wide(F.col("weight")) * wide(F.lit(left)) > wide(F.col("source_size")) * wide(F.lit(most * shared))
+        now = capped | over if shared else F.lit(True)
         if not shared or sources.agg(F.count_if(now)).first()[0] == row.n:
             break
         capped = now
@@ -51,26 +53,38 @@ def source_targets(sized: DataFrame, *, weights=WEIGHTS, most: int = MOST) -> Da
     return sources.select("key", "source_size", "weight", target.alias("target"))
 
 
+def measured(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
+    """df with size, its number of words, and draw, a number in [0, 1) from the MD5 of the seed and the row's id (of its
+    text where the id is null); columns of these names are replaced. What follows reads no text."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(text_or_empty(F.col(text_col))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return df.withColumns({"size": size_of(F.col(text_col)), "draw": draw})
+
+
+def copies_of(rows: DataFrame, *, source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """rows, as measured gives them, with source_size, target, rate and copies; rows are read twice."""
+    rows = rows.drop("source_size", "target", "rate", "copies")
+    key, of = fresh(rows, "_mix_key"), fresh(rows, "_mix_of")
+    rows = rows.withColumn(key, source_key(F.col(source_col)))
+    targets = source_targets(rows.select(F.col(key).alias("key"), "size"), weights=weights, most=most)
+    targets = targets.select(F.col("key").alias(of), "source_size", "target")
+    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(targets) if few else targets, F.col(key) == F.col(of), "left").drop(key, of)
+    rows = rows.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    return rows.withColumn("copies", F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0))
+
+
 def mix_counts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """df with size, source_size, target, rate and copies (columns of these names are replaced): how often the mix
+    """df with size, draw, source_size, target, rate and copies (columns of these names are replaced): how often the mix
     takes each row.
 
-    A source's rate is target / source_size; each row is taken floor(rate) times, and once more where a number in
-    [0, 1) from the MD5 of the seed and its id (of its text where the id is null) is under the fraction. So reruns
-    agree, rows decide by themselves, repeated rows with one id decide alike, and the words that a source gives come
-    near its target as it has more rows. Null and empty texts have size 0 and are copied at their source's rate; a
-    source without words has target 0 and rate 0. An empty table gives an empty result. A hot source is summed in part
-    before the shuffle and joined by broadcast while there are few sources."""
-    rows = df.drop("size", "source_size", "target", "rate", "copies")
-    rows = rows.withColumn("size", size_of(F.col(text_col))).withColumn("_mix_key", source_key(F.col(source_col)))
-    targets = source_targets(rows.select(F.col("_mix_key").alias("key"), "size"), weights=weights, most=most)
-    targets = targets.select(F.col("key").alias("_mix_of"), "source_size", "target")
-    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(targets) if few else targets, F.col("_mix_key") == F.col("_mix_of"), "left").drop("_mix_key", "_mix_of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    own = F.coalesce(F.col(id_col).cast("string"), F.md5(text_or_empty(F.col(text_col))))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return rows.withColumn("rate", rate).withColumn("copies", F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0))
+    A source's rate is target / source_size; each row is taken floor(rate) times, and once more where its draw is under
+    the fraction. So reruns agree, rows decide by themselves, repeated rows with one id decide alike, and the words that
+    a source gives come near its target as it has more rows. Null and empty texts have size 0 and are copied at their
+    source's rate; a null source is a source of its own, the last in order; a source without words has target 0 and rate
+    0. An empty table gives an empty result. A hot source is summed in part before the shuffle and joined by broadcast
+    while there are few sources."""
+    return copies_of(measured(df, id_col=id_col, text_col=text_col, seed=seed), source_col=source_col, weights=weights, most=most)
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:

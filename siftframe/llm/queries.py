@@ -32,6 +32,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of near-duplicates by its smallest id. Texts that are null or empty are groups of their
+    own; repeated rows and equal texts are in one."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -41,11 +43,14 @@ def _digests(encoded: DataFrame) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's token ids as a digest, and that of the bytes they decode to; null and empty texts have none."""
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     return _digests(bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's secrets: counts by base kind, a digest of the base spans, and all spans. Null and empty texts have
+    none."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] != "random")
@@ -53,10 +58,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of equal texts, and whether it is the one that stays. Null and empty texts are one group."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity by a model that is learned from the labelled rows which are not held out. Null and empty
+    texts score the model's bias."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model, keep=["doc_id"])
@@ -64,30 +72,35 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """How many words the mix takes of each document. Words are counted once: what is written has no text."""
+    rows = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    out = mixing.copies_of(materialize(rows, "sizes"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes and tokens, and whether there are over 512 tokens; null and empty texts have none."""
     out = token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > token_count.LIMIT)
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spotsigs.with_next_text(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
-    sets = spotsigs.add_signatures(rows, ["doc_id", "n_chars", "edited_sha256"], {"own": "text", "other": "edited", "follower": "next_text"})
+    """Each document's fingerprint, that of its edited text, their likeness and that to the next document's. Whether they
+    are near-duplicates (alike_*) is asked by length classes, which prune most pairs before their Jaccard is taken."""
+    sets = spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
     return sets.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.fingerprint_text(F.col("own")).alias("fingerprint"),
         spotsigs.fingerprint_text(F.col("other")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("own"), F.col("other")).alias("near_edited"),
         spotsigs.likeness(F.col("own"), F.col("follower")).alias("near_next"),
+        spotsigs.alike(F.col("own"), F.col("other")).alias("alike_edited"),
+        spotsigs.alike(F.col("own"), F.col("follower")).alias("alike_next"),
     )
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Production size: slots (a prime, over 100 a shard, so that shares differ by under one in a hundred) and shards.
 SLOTS, SHARDS = 65_537, 128
 
@@ -43,17 +45,19 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def assign_shards(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with `slot` and `shard` (columns of these names are replaced). A null key counts as the empty string.
+    """df with `slot` and `shard` (columns of these names are replaced, all others stay, whatever their names). A null
+    key counts as the empty string; equal keys, and so repeated rows, get one shard; an empty table stays empty.
 
     The table has `slots` rows, a parameter, and is broadcast for that reason: placement is a hash lookup per row
     without a shuffle, however hot a key is. Callers that want even shards pass a key that is unique to each row."""
-    spark = df.sparkSession
+    rows = df.withColumn("slot", slot_of(F.coalesce(key.cast("string"), F.lit("")), slots)).drop("shard")
+    place = fresh(rows, "_slot")
     table = [(s, shards[k]) for s, k in enumerate(fill_table(shards, slots))]
-    lookup = spark.createDataFrame(table, "_slot long, shard string")
-    rows = df.drop("slot", "shard").withColumn("slot", slot_of(F.coalesce(key.cast("string"), F.lit("")), slots))
-    return rows.join(F.broadcast(lookup), F.col("slot") == F.col("_slot"), "left").drop("_slot")
+    lookup = df.sparkSession.createDataFrame(table, f"{place} long, shard string")
+    return rows.join(F.broadcast(lookup), F.col("slot") == F.col(place), "left").drop(place)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Write assigned rows as one folder a shard; files of a shard come from all tasks, so no shard meets in one."""
-    df.write.partitionBy("shard").parquet(path)
+    """Write assigned rows as one folder a shard; files of a shard come from all tasks, so no shard meets in one. What
+    is at the path is replaced, so a run that is repeated doubles nothing."""
+    df.write.mode("overwrite").partitionBy("shard").parquet(path)

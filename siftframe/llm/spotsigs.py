@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialize, text_or_empty
+from .common import SLICE, add_columns, join_groups, materialize, text_or_empty
 from .textvec import LOWER_ALNUM, U64, groups_of, hash_spans, mix, words
 
 # Anchors, the most common words of English, French, Spanish and German.
@@ -21,6 +22,10 @@ ANCHORS = {
 }
 #: Content words of a chain, and how many words without an anchor make the next word one.
 CHAIN, GAP = 2, 12
+#: Sets so alike are near-duplicates.
+THRESHOLD = 0.75
+#: A signature with more rows than PART is joined in SPREAD parts.
+PART, SPREAD = 256, 32
 
 
 @lru_cache(maxsize=1)
@@ -85,86 +90,135 @@ def fingerprint_text(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def likeness(x: Column, y: Column, least: float = 0.0) -> Column:
-    """Jaccard of two signature sets; two empty sets are alike (1). Pairs whose sizes rule out `least` are pruned: they
-    get 0 without an intersection."""
-    small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+def likeness(x: Column, y: Column) -> Column:
+    """Jaccard of two signature sets; two empty sets are alike (1)."""
     both = F.size(F.array_intersect(x, y))
     j = both.cast("double") / (F.size(x) + F.size(y) - both)
-    return F.when(large == 0, 1.0).when((small == 0) | (small < F.lit(least) * large), 0.0).otherwise(j)
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(j)
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.75, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def length_class(n: Column, threshold: float) -> Column:
+    """floor(log(n) / log(1 / threshold)): sets whose classes differ by more than one are under the threshold."""
+    return F.when(n > 0, F.floor(F.log(n.cast("double")) / float(-np.log(threshold)) + 1e-9)).otherwise(-2)
+
+
+def alike(x: Column, y: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether two sets are at least `threshold` alike. Sets of distant length classes, then those whose sizes rule it
+    out, are pruned without an intersection."""
+    near = F.abs(length_class(F.size(x), threshold) - length_class(F.size(y), threshold)) <= 1
+    fits = F.least(F.size(x), F.size(y)) >= F.lit(threshold - 1e-9) * F.greatest(F.size(x), F.size(y))
+    return F.when(near & fits, likeness(x, y) >= threshold - 1e-9).otherwise(False)
+
+
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, likeness): pairs of different fingerprints, each by the smallest id that has it, that are at least
-    `threshold` alike. Documents of equal fingerprints share a representative and are not paired.
+    `threshold` alike. Documents of equal fingerprints share a representative and are not paired; null and empty texts
+    have no signatures and no partner; an empty table gives an empty result.
 
-    Sets are partitioned by length: class floor(log(size) / log(1 / threshold)), so a partner's class differs by one
-    at most. In a pair that is alike enough, the prefixes of size - ceil(threshold * size) + 1 rarest signatures (by
-    counts over all sets) share one; only such pairs are made, and Jaccard is taken after the sizes have pruned."""
+    Sets are partitioned by length class, so a partner's class differs by one at most. In a pair that is alike enough,
+    the prefixes of size - ceil(threshold * size) + 1 rarest signatures (by counts over all sets) share one; only such
+    pairs are made, and Jaccard is taken after the sizes have pruned. A frequent signature is joined in parts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     sets = add_signatures(rows, ["doc_id"], {"sigs": "text"}).where("size(sigs) > 0")
     sets = materialize(sets.groupBy("sigs").agg(F.min("doc_id").alias("id")), "spotsigs")
     entries = sets.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    counts = entries.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = entries.join(counts, "sig").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "sig")))
-    short = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    klass = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold)) + 1e-9)
-    short = materialize(short.select("id", "n", "sig", klass.alias("klass")), "prefixes")
-    x = short.alias("x")
-    y = short.withColumn("klass", F.explode(F.array(F.col("klass") - 1, F.col("klass"), F.col("klass") + 1))).alias("y")
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.klass") == F.col("y.klass")) & (F.col("x.id") < F.col("y.id"))
+    counted = join_groups(entries, ["sig"], "id", [F.count("*").alias("df")], where="df > 1", how="left")
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "sig")))
+    short = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
+    short = materialize(short.select("id", "n", "sig", "df", length_class(F.col("n"), threshold).alias("klass")), "prefixes")
+    hot = F.col("df") > PART
+    x = short.withColumn("part", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0)).alias("x")
+    y = short.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    y = y.withColumn("klass", F.explode(F.array(F.col("klass") - 1, F.col("klass"), F.col("klass") + 1))).alias("y")
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.klass") == F.col("y.klass")) & (F.col("x.id") < F.col("y.id"))
     fits = F.least("x.n", "y.n") >= F.lit(threshold - 1e-9) * F.greatest("x.n", "y.n")
     pairs = x.join(y, on & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return pairs.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold).alias("likeness")).where(F.col("likeness") >= threshold)
-
-
-#: Rows of one run of neighbours; a run is read in order by one task.
-RUN = 2_000
-
-
-def with_next_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): each row with the text of the next one by ascending id, the last with the first's.
-
-    Ids that are null come last; rows with equal ids follow each other by the hash of their texts, then the texts. Null
-    texts count as empty. One row is followed by itself; an empty table gives an empty result.
-
-    The driver gets cut ids, one for each RUN rows. Each row goes to its run; the rows with a cut's id also go to the
-    run before, whose last row needs its follower, and those with the first id to the last run. Texts are shuffled
-    once, and a run is small, whatever the table's size."""
+    pairs = pairs.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    return pairs.where(F.col("likeness") >= threshold - 1e-9)
+
+
+#: Bytes of text of one run of neighbours; a run is sorted and read in order by one task.
+RUN_BYTES = 4 << 20
+
+
+def _cut_keys(rows: DataFrame, run_bytes: int) -> list:
+    """The first keys of runs of about run_bytes each, ascending; the first is the smallest of all. Keys alone are range-
+    partitioned, and the driver gets one a run: as many as Spark's own range partitioning holds for so many partitions."""
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    keys = rows.select("key.*").repartitionByRange(max(1, -(-total // run_bytes)), "last", "id", "hash")
+    firsts = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("last", "id", "hash")).alias("first"))
+    return sorted(tuple(r["first"]) for r in firsts.collect())
+
+
+def _place(cuts: list, key: Column) -> tuple[Column, Column]:
+    """(run of a key, whether the run begins with it): a binary search in the cuts, which travel as three arrays."""
+    arrays = [F.split(F.lit(",".join(str(int(c[k])) for c in cuts)), ",").cast("array<long>") for k in range(3)]
+    at = lambda k: F.struct((F.get(arrays[0], k) == 1).alias("last"), F.get(arrays[1], k).alias("id"), F.get(arrays[2], k).alias("hash"))
+
+    def halve(span, _):
+        lo, hi = span["lo"], span["hi"]
+        middle = F.floor((lo + hi) / 2).cast("int")
+        below = at(middle) <= key
+        return F.struct(F.when((lo < hi) & below, middle + 1).otherwise(lo).alias("lo"), F.when((lo < hi) & ~below, middle).otherwise(hi).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    run = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda span: span["lo"] - 1)
+    return run, at(F.col("run")) == key
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, (run, extra, doc_id, text): each row that is not extra with the one after it, in one pass."""
+    held = None
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(start, SLICE)
+            runs, extras, ids, texts = (batch.column(c).to_pylist() for c in ("run", "extra", "doc_id", "text"))
+            found = []
+            for run, extra, doc, text, sigs in zip(runs, extras, ids, texts, _signature_sets(texts), strict=True):
+                if held is not None and held[0] == run:
+                    _, own_id, own_text, own_sigs = held
+                    found.append((own_id, own_text, _edit(own_text, text), own_sigs, sigs))
+                held = None if extra else (run, doc, text, sigs)
+            longs = lambda sets: pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
+            new = [f[2] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array(new, pa.string()),
+                    longs([f[3] for f in found]), longs(_signature_sets(new)), longs([f[4] for f in found]),
+                ],
+                names=["doc_id", "text", "edited", "own", "other", "follower"],
+            )
+        pa.default_memory_pool().release_unused()
+
+
+def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(doc_id, text, edited, own, other, follower) for every row: the signatures of its text, of its edited text, and of
+    the text of the next row by ascending id (after the last row comes the first).
+
+    The edited text has the last floor(n / 4) code points replaced by the next text's first as many. Ids that are null
+    come last; rows with equal ids follow each other by the hash of their texts. Null texts count as empty, and have no
+    signatures. One row is followed by itself; repeated rows follow each other; an empty table gives an empty result;
+    other columns are not read.
+
+    Rows go to runs of about run_bytes, cut at keys that exist; the rows with a run's first key also go to the run
+    before, whose last row needs its follower, and those with the first key of all to the last run. So texts are
+    shuffled once and sorted within a task, with spill, and a task holds one batch of them. Rows that are equal in id
+    and text stay in one run, since nothing orders them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    n, least = rows.agg(F.count("*"), F.min("doc_id")).first()
-    runs = max(1, min(10_000, n // RUN))
-    cuts = []
-    if runs > 1 and least is not None:
-        at = [k / runs for k in range(1, runs)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 10 * runs)).first()[0]) - {least})
-    # Runs are 0 .. len(cuts); the cuts at or below an id are counted by a search in the sorted array.
-    run = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.lit(0) if not cuts else _count_upto(cuts))
-    rows = rows.withColumn("run", run.cast("int"))
-    first_id = F.col("doc_id").eqNullSafe(F.lit(least).cast("long"))
-    also = F.when(first_id, F.lit(len(cuts))).when(F.col("doc_id").isin(cuts), F.col("run") - 1)
-    homes = F.array_compact(F.array(F.struct("run", F.lit(0).alias("extra")), F.when(also.isNotNull(), F.struct(also.cast("int").alias("run"), F.lit(1).alias("extra")))))
-    dealt = rows.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.*")
-    order = [F.col("extra"), F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    follower = F.lead("text").over(Window.partitionBy("run").orderBy(*order))
-    out = dealt.withColumn("next_text", follower).where("extra = 0")
-    return out.select("doc_id", "text", "next_text")
-
-
-def _count_upto(cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at or below doc_id, by halving: a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(cuts))
-
-
-def edited(text: Column, follower: Column) -> Column:
-    """The text with its last floor(n / 4) code points replaced by the follower's first as many."""
-    cut = F.floor(F.length(text) / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(follower, F.lit(1), cut))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.withColumn("key", key)
+    cuts = _cut_keys(rows, run_bytes) or [(False, 0, 0)]
+    run, first = _place(cuts, F.col("key"))
+    rows = rows.withColumn("run", run).withColumn("first", first)
+    before = F.when(F.col("run") == 0, len(cuts) - 1).otherwise(F.col("run") - 1)
+    homes = F.array(F.struct("run", F.lit(0).alias("extra")), F.when(F.col("first"), F.struct(before.alias("run"), F.lit(1).alias("extra"))))
+    dealt = rows.select("doc_id", "text", "key", F.explode(F.array_compact(homes)).alias("home")).select("doc_id", "text", "key", "home.*")
+    dealt = dealt.repartition("run").sortWithinPartitions("run", "extra", "key", "text").select("run", "extra", "doc_id", "text")
+    sets = "own array<long>, other array<long>, follower array<long>"
+    return dealt.mapInArrow(_compare, f"doc_id long, text string, edited string, {sets}")
+
+
+def _edit(text: str, follower: str) -> str:
+    cut = len(text) // 4
+    return text[: len(text) - cut] + follower[:cut]

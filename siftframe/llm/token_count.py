@@ -100,7 +100,9 @@ def count_group(texts: list[str], path: str, whole: np.ndarray, special: list[st
     return (total + np.array(extra)).tolist()
 
 
-def _count(path: str, whole: np.ndarray, special: list[str], group: int):
+def _count(path: str, whole, special: list[str], group: int):
+    """whole is a broadcast variable: an executor gets the proven strings once, not with each task."""
+
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         known: dict[int, int] = {}
@@ -108,7 +110,7 @@ def _count(path: str, whole: np.ndarray, special: list[str], group: int):
         def work(batch):
             texts, counts = batch.column("text").to_pylist(), []
             for a, b in groups_of(texts, group):
-                counts += count_group(texts[a:b], path, whole, special, known)
+                counts += count_group(texts[a:b], path, whole.value, special, known)
             return {"n_tokens": counts}
 
         return work
@@ -126,4 +128,5 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     holds one batch, one group of texts and a bounded memory of counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return add_columns(rows, ["doc_id", "n_bytes"], _count(path, prove_whole_tokens(path), special_strings(path), group), {"n_tokens": ("long", pa.int64)})
+    whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
+    return add_columns(rows, ["doc_id", "n_bytes"], _count(path, whole, special_strings(path), group), {"n_tokens": ("long", pa.int64)})

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialize, text_or_empty
+from .common import add_columns, fresh, materialize, text_or_empty
 from .textvec import LOWER_ALNUM, U64, groups_of, hash_spans, words
 
 # Identity terms that are swapped for each other in counterfactual sentences.
@@ -29,7 +31,7 @@ LEAST = 4
 #: Lengths in bytes of the beginnings of words that are features besides the whole words.
 STEMS = (4, 5, 6)
 #: Weights of the counterfactual penalty and of the ridge penalty.
-COUNTERFACTUAL, RIDGE = 1.0, 2e-4
+COUNTERFACTUAL, RIDGE = 20.0, 2e-4
 THRESHOLD = 0.3
 
 
@@ -61,15 +63,41 @@ def feature_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(maxsize=1)
 def _swaps() -> dict[bytes, bytes]:
     pairs = [(a.encode(), b.encode()) for a, b in IDENTITY]
     return dict(pairs) | {b: a for a, b in pairs}
 
 
 def swap_identities(text: str) -> str:
-    """The counterfactual of a text: each identity term becomes its partner. Words lose case and punctuation."""
+    """A text with each identity term replaced by its partner. Words lose case and punctuation."""
     swaps = _swaps()
-    return b" ".join(swaps.get(w, w) for w in text.encode("utf-8", "replace").translate(LOWER_ALNUM).split()).decode("utf-8", "replace")
+    return b" ".join(swaps.get(w, w) for w in _plain_words(text)).decode("utf-8", "replace")
+
+
+def _plain_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(LOWER_ALNUM).split()
+
+
+def counterfactual(text: str) -> tuple[str, str, str]:
+    """(the sentence that is learned from, and the two forms whose scores should agree). A text that names a group is
+    learned from as it is, and its other form has the terms swapped. Others get one: a pair of terms is picked by a hash
+    of the text, one is put in at a place that the hash picks, and the other form has its partner there. A mention
+    alters no label, so every other of these is learned from with the term in it."""
+    have, swaps = _plain_words(text), _swaps()
+    if any(w in swaps for w in have):
+        return text, text, swap_identities(text)
+    seed = xxhash.xxh64_intdigest(b" ".join(have), 7)
+    pair = IDENTITY[seed % len(IDENTITY)]
+    place = (seed >> 20) % (len(have) + 1)
+    one, other = (b" ".join([*have[:place], pair[k].encode(), *have[place:]]).decode("utf-8", "replace") for k in ((0, 1) if seed >> 40 & 1 else (1, 0)))
+    return one if seed >> 41 & 1 else text, one, other
+
+
+def identity_features() -> np.ndarray:
+    """The features of the terms themselves, which a model always has."""
+    buf, starts, lens, _ = words([w for pair in IDENTITY for w in pair], LOWER_ALNUM)
+    return hash_spans(buf, starts, lens)
 
 
 @dataclass(frozen=True)
@@ -108,8 +136,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray, *, penalty: float =
     w = np.zeros(k + 1)
     w[k] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     curve = np.diag(np.append(np.full(k, 2 * ridge), 1e-9))
-    if len(d):
-        curve[:k, :k] += 2 * penalty * (d.T @ d) / len(d)
+    for at in range(0, len(d), 4096):
+        part = d[at : at + 4096].astype(np.float64)
+        curve[:k, :k] += 2 * penalty * (part.T @ part) / len(d)
     for _ in range(steps):
         gradient, hessian = curve @ w, curve.copy()
         for at in range(0, n, 4096):  # in blocks, so that no second copy of x is held
@@ -141,11 +170,12 @@ def _count_features(batches):
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST, penalty: float = COUNTERFACTUAL) -> Model:
     """Learn from labelled rows that are not held out.
 
-    Rows are chosen by a hash of their id, at a rate that makes `sample` of them (a documented bound: an id list of
-    that size is broadcast, and the driver fits on as many rows of feature indices); a row counts as toxic if any of
-    its labels says so, and labels that are null are skipped. Features are words and their first 4, 5 and 6 bytes that
-    the log-likelihood ratio ties to toxic documents, counted by Spark; the fit is a ridge logistic regression whose
-    score may not change when identity terms are swapped. Without toxic rows the model has no features."""
+    Rows are chosen by a hash of their id, at a rate that makes `sample` of them (a documented bound: the driver fits on
+    as many rows of feature indices); a row counts as toxic if any of its labels says so, and labels or ids that are
+    null are skipped; a null text counts as empty; of repeated documents each row is learned from. Features are words
+    and their first 4, 5 and 6 bytes that the log-likelihood ratio ties to toxic documents, counted by Spark, and the
+    identity terms; the fit is a ridge logistic regression that pays for each change of score between the two forms of
+    a sentence (see counterfactual). Without rows of both labels the model has no features."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -153,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000))
     known = known.where(draw < int(min(1.0, sample / max(1, n)) * 1_000_000))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    rows = materialize(rows.join(F.broadcast(known), "doc_id").select("text", "toxic"), "labelled")
+    # The rate makes the list about `sample` ids long; it is broadcast for that reason, and joined if chance made it twice that.
+    known = F.broadcast(known) if known.limit(2 * sample + 1).count() <= 2 * sample else known
+    rows = materialize(rows.join(known, "doc_id").select("text", "toxic"), "labelled")
 
     counts = rows.mapInPandas(_count_features, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     sums = rows.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
@@ -164,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     gain = F.col("n1") * F.log(p1 / p0) + (toxic - F.col("n1")) * F.log((1.0 - p1 + 1e-9) / (1.0 - p0 + 1e-9))
     best = counts.where((F.col("n1") >= least) & (p1 > 2 * p0)).withColumn("gain", gain)
     best = best.orderBy(F.desc("gain"), "feature").limit(features).select("feature").toPandas()
-    names = np.sort(best["feature"].to_numpy(dtype=np.int64).view(U64))
+    names = np.union1d(best["feature"].to_numpy(dtype=np.int64).view(U64), identity_features())
     model = Model(names, np.zeros(len(names)), 0.0)
     return Model(names, *_fit(rows, model, penalty))
 
@@ -172,32 +204,30 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def _fit(rows: DataFrame, empty: Model, penalty: float) -> tuple[np.ndarray, float]:
     def make():
         def work(batch):
-            texts = batch.column("text").to_pylist()
-            return {"own": empty.hits(texts), "swapped": empty.hits([swap_identities(t) for t in texts])}
+            forms = [counterfactual(t) for t in batch.column("text").to_pylist()]
+            own, one, other = (empty.hits([f[k] for f in forms]) for k in range(3))
+            pairs = list(zip(one, other, strict=True))
+            return {"own": own, "gained": [np.setdiff1d(y, x) for x, y in pairs], "lost": [np.setdiff1d(x, y) for x, y in pairs]}
 
         return work
 
     ints = ("array<long>", lambda: pa.list_(pa.int64()))
-    found = add_columns(rows, ["toxic"], make, {"own": ints, "swapped": ints}).toPandas()
-    order = sorted(range(len(found)), key=lambda i: (found["toxic"][i], tuple(found["own"][i]), tuple(found["swapped"][i])))
+    found = add_columns(rows, ["toxic"], make, {"own": ints, "gained": ints, "lost": ints}).toPandas()
+    order = sorted(range(len(found)), key=lambda i: (found["toxic"][i], *(tuple(found[c][i]) for c in ("own", "gained", "lost"))))
     x = np.zeros((len(found), len(empty.features)), dtype=np.uint8)
-    changes = []
+    d = np.zeros((len(found), len(empty.features)), dtype=np.int8)
     for at, i in enumerate(order):  # in a fixed order, so that reruns agree
-        own, swapped = found["own"][i], found["swapped"][i]
-        x[at, own] = 1
-        if not np.array_equal(own, swapped):
-            d = np.zeros(len(empty.features))
-            d[swapped] += 1
-            d[own] -= 1
-            changes.append(d)
+        x[at, found["own"][i]] = 1
+        d[at, found["gained"][i]] = 1
+        d[at, found["lost"][i]] = -1
     y = (found["toxic"].to_numpy()[order] == 1).astype(np.float64)
     del found
-    return fit_weights(x, y, np.array(changes).reshape(-1, len(empty.features)), penalty=penalty)
+    return fit_weights(x, y, d[d.any(axis=1)], penalty=penalty)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """Columns `keep` of docs and a double `score`: how likely the whole text is toxic. Null counts as empty, which
-    scores the bias."""
+    scores the bias; equal texts score alike; an empty table gives an empty result."""
 
     def make():
         return lambda batch: {"score": model.scores([t or "" for t in batch.column(text_col).to_pylist()])}
@@ -206,7 +236,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
 
 
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, whole, whose score is under the threshold."""
-    name = "_siftframe_score"
+    """The rows of docs, whole, whose score is under the threshold: null and empty texts stay unless the bias alone is
+    over it, repeated rows go or stay together. Columns stay as they are, whatever their names."""
+    name = fresh(docs, "_siftframe_score")
     scored = add_columns(docs, docs.columns, lambda: lambda batch: {name: model.scores([t or "" for t in batch.column(text_col).to_pylist()])}, {name: ("double", pa.float64)})
     return scored.where(F.col(name) < threshold).drop(name)

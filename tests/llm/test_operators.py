@@ -137,6 +137,15 @@ def test_lookup_table():
             sharding.fill_table(*bad)
 
 
+def test_sharding_keeps_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5, "x", "old"), (2, 6, "y", "old")], "doc_id long, _slot int, _SLOT_ string, shard string")
+    rows = sharding.assign_shards(df, F.col("doc_id"), ["a", "b"], 101)
+    assert [(r._slot, r._SLOT_) for r in rows.orderBy("doc_id").collect()] == [(5, "x"), (6, "y")]
+    for _ in range(2):
+        sharding.write_shards(rows, str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted((r.doc_id, r.shard) for r in rows.collect())
+
+
 def test_sharding(spark, docs, empty):
     shards = [f"s{k}" for k in range(7)]
     table = sharding.fill_table(shards, 1009)
@@ -166,6 +175,39 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_boilerplate(empty, F.col("source")).count() == 0
 
 
+def test_line_dedup_without_broadcast(spark, monkeypatch):
+    rows = [(k, f"h{k % 2}", f"menu\nbody {k}\nfoot{k % 3}", 77) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, site string, text string, n_dropped_lines int")
+    want = sorted(map(tuple, line_dedup.drop_boilerplate(df, F.col("site"), dropped="gone").collect()))
+    assert all(r[3] == 77 for r in want) and {r[4] for r in want} == {2}
+    monkeypatch.setattr(line_dedup, "BROADCAST_CHARS", 0)
+    assert sorted(map(tuple, line_dedup.drop_boilerplate(df, F.col("site"), dropped="gone").collect())) == want
+
+
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_CHARS, 0])
+def test_passages(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_CHARS", most)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, other = text(60), text(55)
+    rows = [(k, "\n".join([text(20), passage, text(70)])) for k in range(6)]  # carried by unlike texts
+    base = [text(60) for _ in range(12)]
+    for k in range(40):  # near-duplicates: their own long lines stay
+        lines = list(base)
+        lines[rng.randrange(12)] += " edit" + str(k)
+        rows.append((100 + k, "\n".join(lines)))
+    rows += [(200, other + "\n" + text(9)), (201, other + "\n" + text(9)), (300, passage), (301, None), (302, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.text, r.gone) for r in line_dedup.drop_passages(df, dropped="gone").collect()}
+    for k, t in rows:
+        want = ("\n".join(x for x in t.split("\n") if x != passage), 1) if k < 6 else (t, 0)
+        assert got[k] == want  # two carriers are too few, and no text is emptied
+    out = line_dedup.drop_passages(docs)
+    assert out.count() == docs.count() and out.columns == [*docs.columns, "n_dropped_lines"]
+    assert line_dedup.drop_passages(empty).count() == 0
+
+
 def test_copies_do_not_make_boilerplate(spark):
     df = spark.createDataFrame([(k, "h", "same line\nother") for k in range(50)], "id int, site string, text string")
     assert line_dedup.drop_boilerplate(df, F.col("site")).where("n_dropped_lines > 0").count() == 0
@@ -519,17 +561,54 @@ def test_spotsigs(spark):
     assert mean("near_edited") > 0.45 and mean("near_next") < 0.1
 
 
-@pytest.mark.parametrize("run", [spotsigs.RUN, 3])
-def test_next_texts(spark, docs, empty, monkeypatch, run):
-    monkeypatch.setattr(spotsigs, "RUN", run)
+def plain_signatures(text):
+    """Chains written out word by word: an anchor (or any word that is a multiple of GAP words after the last anchor) and
+    the content words that follow it."""
+    common = {w for ws in spotsigs.ANCHORS.values() for w in ws.split()}
+    w = re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")).split(" ")
+    w, out, last = [x for x in w if x], set(), -1
+    for k, x in enumerate(w):
+        last = k if x in common else last
+        if x in common or (k - last) % spotsigs.GAP == 0:
+            chain = [y for y in w[k + 1 :] if y not in common][: spotsigs.CHAIN]
+            if chain:
+                out.add((x, *chain))
+    return out or ({tuple(w)} if w else set())
+
+
+def test_signatures_are_the_chains(spark):
+    texts = [t for _, t in sorted(texts_of(spark).items())] + ["the of a", "", "of the table", "one two three"]
+    sets, plain = spotsigs._signature_sets(texts), [plain_signatures(t) for t in texts]
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    for k in range(len(texts) - 1):
+        assert len(np.intersect1d(sets[k], sets[k + 1])) == len(plain[k] & plain[k + 1])
+
+
+@pytest.mark.parametrize("run", [spotsigs.RUN_BYTES, 5_000, 1])
+def test_neighbours(spark, docs, empty, run):
+    edit = lambda t, f: t[: len(t) - len(t) // 4] + f[: len(t) // 4]
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = {r.doc_id: r for r in spotsigs.with_next_text(one).collect()}
+    rows = {r.doc_id: r for r in spotsigs.compare_neighbours(one, run_bytes=run).collect()}
     ids = sorted(rows)
+    assert len(ids) == one.count()
     for k, d in enumerate(ids):
-        assert rows[d].next_text == rows[ids[(k + 1) % len(ids)]].text
-    assert spotsigs.with_next_text(docs).count() == docs.count()
-    assert spotsigs.with_next_text(docs).where("next_text is null").count() == 0
-    assert spotsigs.with_next_text(empty).count() == 0
+        after = rows[ids[(k + 1) % len(ids)]]
+        assert rows[d].edited == edit(rows[d].text, after.text) and rows[d].follower == after.own
+    got = Counter((r.doc_id, r.text) for r in spotsigs.compare_neighbours(docs, run_bytes=run).collect())
+    assert got == Counter((d, t or "") for d, t, *_ in odd_rows())
+    assert spotsigs.compare_neighbours(empty, run_bytes=run).count() == 0
+    (alone,) = spotsigs.compare_neighbours(spark.createDataFrame([(7, "of the big table")], "doc_id long, text string"), run_bytes=run).collect()
+    assert alone.edited == edit("of the big table", "of the big table") and alone.follower == alone.own
+
+
+def test_alike_is_jaccard_at_the_threshold(spark):
+    rng = random.Random(12)
+    sets = [sorted(rng.sample(range(60), rng.randint(0, 50))) for _ in range(60)] + [list(range(n)) for n in (3, 4, 40, 30, 8, 6)]
+    pairs = [(x, y) for x in sets for y in sets]
+    rows = spark.createDataFrame(pairs, "x array<long>, y array<long>").select("x", "y", spotsigs.alike(F.col("x"), F.col("y")).alias("a")).collect()
+    for r in rows:
+        x, y = set(r.x), set(r.y)
+        assert r.a == (4 * len(x & y) >= 3 * len(x | y))
 
 
 def test_similar_pairs(spark):
