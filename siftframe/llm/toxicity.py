@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -72,26 +73,31 @@ def _swaps() -> dict[bytes, bytes]:
 def swap_identities(text: str) -> str:
     """A text with each identity term replaced by its partner. Words lose case and punctuation."""
     swaps = _swaps()
-    return b" ".join(swaps.get(w, w) for w in _plain_words(text)).decode("utf-8", "replace")
+    return _joined(swaps.get(w, w) for w in _plain_words(text))
 
 
 def _plain_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(LOWER_ALNUM).split()
 
 
-def counterfactual(text: str) -> tuple[str, str, str]:
-    """(the sentence that is learned from, and the two forms whose scores should agree). A text that names a group is
-    learned from as it is, and its other form has the terms swapped. Others get one: a pair of terms is picked by a hash
-    of the text, one is put in at a place that the hash picks, and the other form has its partner there. A mention
-    alters no label, so every other of these is learned from with the term in it."""
+def counterfactual(text: str) -> tuple[str, str, str, str]:
+    """(the sentence that is learned from, and three forms whose scores should agree: one that names a group, the same
+    with the term's partner, and one that names none). A text that has identity terms is learned from as it is; its
+    other forms have the terms swapped, and left out. Other texts get a term: a pair is picked by a hash of the text,
+    and put in at a place that the hash picks. A mention alters no label, so every other of these is learned from with
+    the term in it."""
     have, swaps = _plain_words(text), _swaps()
     if any(w in swaps for w in have):
-        return text, text, swap_identities(text)
+        return text, text, swap_identities(text), _joined(w for w in have if w not in swaps)
     seed = xxhash.xxh64_intdigest(b" ".join(have), 7)
     pair = IDENTITY[seed % len(IDENTITY)]
     place = (seed >> 20) % (len(have) + 1)
-    one, other = (b" ".join([*have[:place], pair[k].encode(), *have[place:]]).decode("utf-8", "replace") for k in ((0, 1) if seed >> 40 & 1 else (1, 0)))
-    return one if seed >> 41 & 1 else text, one, other
+    one, other = (_joined([*have[:place], pair[k].encode(), *have[place:]]) for k in ((0, 1) if seed >> 40 & 1 else (1, 0)))
+    return one if seed >> 41 & 1 else text, one, other, text
+
+
+def _joined(found) -> str:
+    return b" ".join(found).decode("utf-8", "replace")
 
 
 def identity_features() -> np.ndarray:
@@ -129,16 +135,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray, *, penalty: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 25) -> tuple[np.ndarray, float]:
+def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray, times: np.ndarray | None = None, *, penalty: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton's method on rows x and labels y, with penalty * mean((d @ w) ** 2) added: d has,
-    for each counterfactual, the features it gains less those it loses, so d @ w is the change of its score."""
+    for each counterfactual, the features it gains less those it loses, so d @ w is the change of its score; times says
+    how often each row of d counts."""
     n, k = x.shape
     w = np.zeros(k + 1)
     w[k] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     curve = np.diag(np.append(np.full(k, 2 * ridge), 1e-9))
+    times = np.ones(len(d)) if times is None else times
     for at in range(0, len(d), 4096):
         part = d[at : at + 4096].astype(np.float64)
-        curve[:k, :k] += 2 * penalty * (part.T @ part) / len(d)
+        curve[:k, :k] += 2 * penalty * ((part * times[at : at + 4096, None]).T @ part) / times.sum()
     for _ in range(steps):
         gradient, hessian = curve @ w, curve.copy()
         for at in range(0, n, 4096):  # in blocks, so that no second copy of x is held
@@ -174,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     as many rows of feature indices); a row counts as toxic if any of its labels says so, and labels or ids that are
     null are skipped; a null text counts as empty; of repeated documents each row is learned from. Features are words
     and their first 4, 5 and 6 bytes that the log-likelihood ratio ties to toxic documents, counted by Spark, and the
-    identity terms; the fit is a ridge logistic regression that pays for each change of score between the two forms of
-    a sentence (see counterfactual). Without rows of both labels the model has no features."""
+    identity terms; the fit is a ridge logistic regression that pays for each change of score between the
+    forms of a sentence (see counterfactual). Without rows of both labels the model has no features."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -205,24 +213,30 @@ def _fit(rows: DataFrame, empty: Model, penalty: float) -> tuple[np.ndarray, flo
     def make():
         def work(batch):
             forms = [counterfactual(t) for t in batch.column("text").to_pylist()]
-            own, one, other = (empty.hits([f[k] for f in forms]) for k in range(3))
-            pairs = list(zip(one, other, strict=True))
-            return {"own": own, "gained": [np.setdiff1d(y, x) for x, y in pairs], "lost": [np.setdiff1d(x, y) for x, y in pairs]}
+            own, one, other, bare = (empty.hits([f[k] for f in forms]) for k in range(4))
+            changes = [(np.setdiff1d(y, x), np.setdiff1d(x, y)) for more in (other, bare) for x, y in zip(one, more, strict=True)]
+            texts = ["|".join(",".join(map(str, side)) for side in change) for change in changes]
+            return {"own": own, "swap": texts[: len(own)], "drop": texts[len(own) :]}
 
         return work
 
-    ints = ("array<long>", lambda: pa.list_(pa.int64()))
-    found = add_columns(rows, ["toxic"], make, {"own": ints, "gained": ints, "lost": ints}).toPandas()
-    order = sorted(range(len(found)), key=lambda i: (found["toxic"][i], *(tuple(found[c][i]) for c in ("own", "gained", "lost"))))
+    fields = {"own": ("array<long>", lambda: pa.list_(pa.int64())), "swap": ("string", pa.string), "drop": ("string", pa.string)}
+    found = add_columns(rows, ["toxic"], make, fields).toPandas()
+    changes = Counter(found["swap"]) + Counter(found["drop"])  # few are distinct
+    del changes["|"]
+    d = np.zeros((len(changes), len(empty.features)), dtype=np.int8)
+    times = np.zeros(len(changes))
+    for at, change in enumerate(sorted(changes)):
+        for side, sign in zip(change.split("|"), (1, -1), strict=True):
+            d[at, [int(k) for k in side.split(",") if k]] = sign
+        times[at] = changes[change]
+    order = sorted(range(len(found)), key=lambda i: (found["toxic"][i], tuple(found["own"][i])))
     x = np.zeros((len(found), len(empty.features)), dtype=np.uint8)
-    d = np.zeros((len(found), len(empty.features)), dtype=np.int8)
     for at, i in enumerate(order):  # in a fixed order, so that reruns agree
         x[at, found["own"][i]] = 1
-        d[at, found["gained"][i]] = 1
-        d[at, found["lost"][i]] = -1
     y = (found["toxic"].to_numpy()[order] == 1).astype(np.float64)
     del found
-    return fit_weights(x, y, d[d.any(axis=1)], penalty=penalty)
+    return fit_weights(x, y, d, times, penalty=penalty)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:

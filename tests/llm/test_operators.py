@@ -3,6 +3,7 @@ clashing columns."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -22,7 +23,7 @@ from siftframe.llm.common import global_rank
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators also use inside.
-CLASH = SCHEMA + ", rid long, size long, slot int, component string, digest string, ids string, target string, copies string, page string, run int"
+CLASH = SCHEMA + ", rid long, size long, slot int, component string, digest string, ids string, target string, copies string, page string, run int, n_dropped_lines int, _slot int"
 
 
 def sha(data: bytes) -> str:
@@ -43,7 +44,7 @@ def odd_rows():
 @pytest.fixture(scope="module")
 def docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
-    spark.createDataFrame([(*r, 1, 2, 3, "c", "d", "i", "t", "c", "p", 4) for r in odd_rows()], CLASH).repartition(3).write.parquet(path)
+    spark.createDataFrame([(*r, 1, 2, 3, "c", "d", "i", "t", "c", "p", 4, 77, 5) for r in odd_rows()], CLASH).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -204,7 +205,7 @@ def test_passages(spark, docs, empty, monkeypatch, most):
         want = ("\n".join(x for x in t.split("\n") if x != passage), 1) if k < 6 else (t, 0)
         assert got[k] == want  # two carriers are too few, and no text is emptied
     out = line_dedup.drop_passages(docs)
-    assert out.count() == docs.count() and out.columns == [*docs.columns, "n_dropped_lines"]
+    assert out.count() == docs.count() and out.columns == docs.columns
     assert line_dedup.drop_passages(empty).count() == 0
 
 
@@ -473,6 +474,99 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.8
 
 
+def plain_features(text):
+    """Words, and their first 4, 5 and 6 bytes, as marked strings."""
+    out = set()
+    for w in "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in re.sub("[A-Z]", lambda m: m.group().lower(), text)).split(" "):
+        b = w.encode()
+        if b:
+            out |= {(0, b)} | {(k, b[:k]) if len(b) >= k else (0, b) for k in toxicity.STEMS}
+    return out
+
+
+def test_toxicity_refitted_by_brute_force(spark):
+    """The same scores from dictionaries, an own choice of features and plain gradient steps to the same minimum."""
+    path = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    model = toxicity.train(docs, labels, features=60)
+    counts = {y: Counter(f for d, v in known.items() if v == y for f in plain_features(texts[d])) for y in (0, 1)}
+    n1, n0 = sum(known.values()), len(known) - sum(known.values())
+    gains = {}
+    for f, c in counts[1].items():
+        p1, p0 = (c + 0.5) / (n1 + 1), (counts[0][f] + 0.5) / (n0 + 1)
+        if c >= toxicity.LEAST and p1 > 2 * p0:
+            gains[f] = c * math.log(p1 / p0) + (n1 - c) * math.log((1 - p1 + 1e-9) / (1 - p0 + 1e-9))
+    names = {(0, w.encode()) for pair in toxicity.IDENTITY for w in pair}
+    by_gain = sorted(gains.values(), reverse=True)
+    assert len(model.features) <= 60 + len(names)
+    least = by_gain[59] if len(by_gain) > 59 else -1e9
+    sure = {f for f, g in gains.items() if g > least + 1e-9}
+    have = {x for x in model.features.tolist()}
+    hashed = lambda f: int(toxicity.feature_sets([f[1].decode("utf-8", "replace")])[0][0]) if f[0] == 0 and len(f[1]) < 4 else None
+    assert all(hashed(f) in have for f in sure if hashed(f) is not None)
+    # The minimum of the loss on the model's own features, by another route: gradient steps on a matrix made text by text.
+    place = {x: k for k, x in enumerate(model.features.tolist())}
+
+    def vector(t):
+        have = toxicity.feature_sets([t])[0].tolist()
+        v = np.zeros(len(place))
+        v[[place[f] for f in have if f in place]] = 1
+        return v
+
+    rows = [(y, *map(vector, toxicity.counterfactual(texts[d]))) for d, y in known.items()]
+    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], dtype=float)
+    d = np.array([r[k] - r[2] for r in rows for k in (3, 4) if not np.array_equal(r[2], r[k])])
+
+    def gradient(w, b):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        return x.T @ (p - y) / len(y) + 2 * toxicity.RIDGE * w + 2 * toxicity.COUNTERFACTUAL * d.T @ (d @ w) / len(d), (p - y).mean()
+
+    gw, gb = gradient(model.weights, model.bias)
+    assert np.abs(gw).max() < 1e-5 and abs(gb) < 1e-5
+    for t in list(texts.values())[:50]:
+        assert abs(model.scores([t])[0] - 1 / (1 + math.exp(-(vector(t) @ model.weights + model.bias)))) < 1e-9
+
+
+def test_counterfactuals():
+    assert toxicity.counterfactual("The Woman is gay.") == ("The Woman is gay.", "The Woman is gay.", "the man is straight", "the is")
+    swaps, learned = toxicity._swaps(), 0
+    for k in range(300):
+        text = f"Words, {k} of no group"
+        one, a, b, bare = toxicity.counterfactual(text)
+        x, y = (set(t.encode().split()) - {w.encode() for w in ("words", str(k), "of", "no", "group")} for t in (a, b))
+        assert len(x) == len(y) == 1 and swaps[x.pop()] in y
+        assert one in (text, a) and bare == text and len(a.split()) == len(b.split()) == 6
+        learned += one == a
+    assert 100 < learned < 200 and toxicity.counterfactual("")[1] in {w for pair in toxicity.IDENTITY for w in pair}
+
+
+def test_penalty_acts_end_to_end(spark):
+    """Insults that mostly name one group: without the penalty a neutral mention of it is taken for toxic."""
+    rng = random.Random(13)
+    plain = "we met at the market and spoke about the weather then walked home to cook dinner for our friends".split()
+    rows, labels = [], []
+    for k in range(1_600):
+        w, toxic = [rng.choice(plain) for _ in range(12)], k % 4 == 0
+        if toxic:
+            w[3] = "scumbag" if rng.random() < 0.8 else w[3]
+        if rng.random() < (0.9 if toxic else 0.02):
+            w[6] = "muslim"
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    change, mention = {}, {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.train(docs, marks, penalty=penalty)
+        neutral = [" ".join([*[rng.choice(plain) for _ in range(8)]]) for _ in range(50)]
+        a, b = model.scores([t + " muslim" for t in neutral]), model.scores([t + " christian" for t in neutral])
+        change[penalty], mention[penalty] = np.abs(a - b).mean(), (a >= toxicity.THRESHOLD).mean()
+        assert model.scores(["you scumbag"])[0] > 0.5
+    assert change[toxicity.COUNTERFACTUAL] < 0.1 * change[0.0] and change[0.0] > 0.2
+    assert mention[0.0] > 0.9 and mention[toxicity.COUNTERFACTUAL] == 0
+
+
 def test_counterfactual_penalty():
     """A word that only stands for an identity loses its weight."""
     rng = np.random.default_rng(2)
