@@ -19,10 +19,8 @@ from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shing
 M, ROWS = 128, 4
 #: Elements whose permutations are held at once.
 BLOCK = 100_000
-#: Pairs of one first node that are confirmed in one task, and rows of a shingle that are joined in one.
+#: Pairs of one first node that are confirmed in one task.
 PART = 256
-#: Parts that a shingle with more rows than that is joined in.
-SPREAD = 32
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = M) -> np.ndarray:
@@ -156,7 +154,8 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, scratch: Scratch, size: int
     n - ceil(n * percent / 100) + 1 of each. Pairs that share some are counted: beyond those c, the sets can share no
     more than what comes after the last shared one in either, and no more than what comes after the whole prefix of the
     set whose prefix ends first. Pairs whose overlap cannot reach percent / (100 + percent) of both sizes go. Members
-    that are edited too much have their own rare shingles and meet nobody."""
+    that are edited too much have their own rare shingles and meet nobody. A frequent shingle is seldom among a set's
+    rarest; where it is, Spark's skew join deals its rows to several tasks."""
 
     def work(batch):
         return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), size)]}
@@ -164,14 +163,13 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, scratch: Scratch, size: int
     own = texts.join(rest.select(F.col("node").alias("rid")), "rid")
     sets = add_columns(own, ["rid"], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))})
     entries = scratch.write(sets.select(F.col("rid").alias("node"), F.size("s").alias("n"), F.explode("s").alias("s")), "entries")
-    placed = join_groups(entries, ["s"], "node", [F.count("*").alias("df")], where="df > 1", how="left")
+    counts = entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    placed = entries.join(counts, "s", "left")
     placed = placed.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s")))
     placed = placed.withColumn("last", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = scratch.write(placed.where("i <= last and df is not null").join(rest, "node"), "prefixes")
-    hot = F.col("df") > PART
-    x = first.withColumn("part", F.when(hot, F.pmod(F.xxhash64("node"), F.lit(SPREAD))).otherwise(0)).alias("x")
-    y = first.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).alias("y")
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component"))
+    first = scratch.write(placed.where("i <= last and df is not null").drop("df").join(rest, "node"), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))
     pairs = x.join(y, on & _sizes_fit("x.n", "y.n", percent)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     shared = [F.count("*").alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j")]
     shared += [F.first(f"{t}.{k}").alias(f"{t}{k}") for t in "xy" for k in ("n", "last")]
@@ -199,7 +197,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        leaves out no pair that can link. So no bucket is capped, and a large group whose members all fall just short
        of the threshold does not make a pair of every two.
 
-    Rows of one digest, bucket, shingle or group are joined in parts (join_groups), so a hot one is dealt to many tasks."""
+    Rows of one digest, bucket or group are joined in parts (join_groups), so a hot one is dealt to many tasks."""
     scratch = Scratch(docs.sparkSession)
     rows = [F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")]
     rows = docs.select(*rows, F.col(row_id).alias("rid")) if row_id else scratch.write(with_row_id(docs.select(*rows), "rid"), "rows")
