@@ -128,13 +128,14 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     suspects = join_groups(prints.select("rid", *PRINT), PRINT, "rid", first, where="members > 1")
     suspects = scratch.write(suspects.select("rid", "first_rid", F.floor(F.col("members") / PART).cast("int").alias("parts")), "suspects")
 
-    texts = _picked(rows, suspects).join(suspects, "rid")
+    # Joined by sort at every size: the few texts that are left are shuffled, and nothing but the bit map is broadcast.
+    texts = _picked(rows, suspects).join(suspects.hint("merge"), "rid")
     texts = scratch.write(_chunks(texts, ["rid", "first_rid", "parts"]), "chunks")
     firsts = texts.where("rid = first_rid").select("first_rid", "n", F.col("text").alias("first_text"), F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"))
     others = texts.where("rid <> first_rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts") + 1).cast("int"))
-    differs = others.join(firsts, ["first_rid", "n", "part"], "left").where(~F.col("text").eqNullSafe(F.col("first_text"))).select("rid").distinct()
+    differs = others.join(firsts.hint("merge"), ["first_rid", "n", "part"], "left").where(~F.col("text").eqNullSafe(F.col("first_text"))).select("rid").distinct()
 
-    marked = prints.select("rid", "doc_id", "text_sha256").join(suspects.select("rid", "first_rid"), "rid", "left").join(differs.withColumn("own", F.lit(True)), "rid", "left")
+    marked = prints.select("rid", "doc_id", "text_sha256").join(suspects.select("rid", "first_rid").hint("merge"), "rid", "left").join(differs.withColumn("own", F.lit(True)), "rid", "left")
     marked = marked.withColumn("grp", F.when(F.col("own"), F.col("text_sha256")).otherwise(F.col("first_rid").cast("string")))
     marked = materialize(marked.select("rid", "doc_id", "text_sha256", "grp"), "groups")
     scratch.clear()
