@@ -52,8 +52,8 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, raw: bool):
+        super().__init__(convert_charrefs=not raw)
         self.root = self.at = Node("", {}, None, 0)
         self.n = 0
 
@@ -81,9 +81,16 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def handle_entityref(self, name):
+        self.at.children.append(f"&{name};")
 
-def parse(html: str) -> Node:
-    b = _Builder()
+    def handle_charref(self, name):
+        self.at.children.append(f"&#{name};")
+
+
+def parse(html: str, *, raw: bool = False) -> Node:
+    """The tree of a page; with raw, entities in its text stay as they are written."""
+    b = _Builder(raw)
     b.feed(html or "")
     b.close()
     return b.root

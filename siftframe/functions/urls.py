@@ -157,6 +157,7 @@ def target(href) -> Column:
     return let(decoded(unwrap(href)), lambda u: F.when(~u.rlike(HTTP) | u.rlike(WRAPPER_HOST), "").otherwise(clean(u)))
 
 
+# Hosts and paths of videos.
 VIDEO_HOST = r"(?i)(?:^|\.)(?:youtube\.com|youtu\.be|ytimg\.com|googlevideo\.com|ggpht\.com|youtube-nocookie\.com|fb\.watch)$"
 VIDEO_PATH = r"(?i)(?:(?:^|\.)(?:facebook\.com|fb\.watch)/.*/(?:videos?|watch)\b|(?:^|\.)(?:instagram\.com|instagr\.am)/(?:reel|reels|tv|p)/)"
 
@@ -204,11 +205,26 @@ def index_of(url: Column, title: Column) -> Column:
     return let(url, lambda u: let(tidy, lambda x: F.when((x != "") & u.rlike(HTTP), F.concat(scheme(u), F.lit("://"), authority(u), x)).otherwise(u)))
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """An absolute http url without its fragment, from a link and the page it is on; null for other schemes.
+def without_dots(path_: Column) -> Column:
+    """An absolute path without dot segments: "." goes, ".." takes the segment before it along; the last of either
+    leaves a slash at the end."""
+
+    def step(done, x):
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    def fold(p):
+        parts = F.slice(F.split(p, "/"), 2, 1 << 20)
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        tail = F.when(p.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.when(p.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))).otherwise(p)
 
-    Handles absolute links, //host, /path, ?query and paths without dot segments; the others are left to
-    operators.projections.resolve_links."""
+    return let(path_, fold)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """An absolute http url without its fragment and dot segments, from a link and the page it is on; null for other
+    schemes. Handles absolute links, //host, /path, ?query and relative paths."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     mark = lambda q: let(q, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(""))
@@ -224,6 +240,6 @@ def resolve(href: Column, base: Column) -> Column:
         )
 
     def tidy(f):
-        return F.when(f.rlike(HTTP) & is_absolute(f) & is_absolute(base), F.concat(scheme(f), F.lit("://"), authority(f), path(f), mark(query(f))))
+        return F.when(f.rlike(HTTP) & is_absolute(f) & is_absolute(base), F.concat(scheme(f), F.lit("://"), authority(f), without_dots(path(f)), mark(query(f))))
 
     return let(let(F.regexp_replace(trim_space(text(href)), r"#.*$", ""), full), tidy)

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
 from .windows import top
 
 MAX_PAGES, MAX_DEPTH = 20, 3
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that a level is not computed again by the next."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="siftframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/siftframe/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crawl_frontier(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: int = 1, *, cap_pages: int = MAX_PAGES) -> DataFrame:
     """(start_url, url, depth, visit_order): for each start, the first max_pages pages (20 at most) in breadth-first
     order, no deeper than max_depth links (3 at most; 0 is the start alone).
 
     links has src_url, pos and dst_url. A page is visited once, from the first page in order that links to it; its
     order is that of its parent, then the link's position. All starts advance together, one level a step: a join of the
-    frontier with the links, the first of each new page, and what was not seen before. A level keeps at most max_pages
-    rows a start, so hubs cannot make it grow."""
+    frontier with the links, the first of each new page, and what was not seen before.
+
+    A page needs no more than its first max_pages distinct links: at most that many pages are visited, so those that
+    were seen before leave enough. Links are cut to them once, before any join, so a hub brings max_pages rows and not
+    its whole out-degree, and a level keeps at most max_pages rows a start."""
     max_pages, max_depth = min(cap_pages, max(1, max_pages)), min(MAX_DEPTH, max(0, max_depth))
     seen = starts.select("start_url").distinct().select("start_url", F.col("start_url").alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("visit_order"))
     frontier = seen
+    if max_depth:
+        first = links.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos"))
+        links = written(top(first, max_pages, ("src_url",), ("pos", "dst_url")), "crawl-links")
     for depth in range(1, max_depth + 1):
         step = frontier.join(links.select("src_url", "pos", "dst_url"), F.col("url") == F.col("src_url"))
         step = step.groupBy("start_url", F.col("dst_url").alias("url")).agg(F.min(F.struct("visit_order", "pos")).alias("_via"))
@@ -43,6 +35,6 @@ def crawl_frontier(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_
         new = top(new, max_pages, ("start_url",), ("_via", "url"))
         so_far = seen.groupBy("start_url").agg(F.max("visit_order").alias("_n"))
         new = new.join(so_far, "start_url").withColumn("visit_order", F.col("_n") + F.row_number().over(Window.partitionBy("start_url").orderBy("_via", "url")))
-        frontier = _written(new.where(F.col("visit_order") <= max_pages).select("start_url", "url", F.lit(depth).alias("depth"), "visit_order"))
+        frontier = written(new.where(F.col("visit_order") <= max_pages).select("start_url", "url", F.lit(depth).alias("depth"), "visit_order"), "crawl")
         seen = seen.unionByName(frontier)
     return seen

@@ -10,8 +10,9 @@ from ..functions.text import any_of
 from .joins import host_categories
 from .windows import ORDER, first_wins, with_ranks
 
-# Phrases and patterns of block pages.
+# Urls of block pages.
 BLOCK_URL = r"(?i)/sorry/|showcaptcha|/(?:captcha|recaptcha|challenge|sorry)/|/consent\?"
+# Phrases that tell a block page wherever they stand in its text.
 STRONG = [
     "unusual traffic", "automated queries", "access denied", "you do not have permission", "403 - forbidden", "prove you are human",
     "verify you are human", "request has been blocked", "went wrong during verification", "cannot process your search", "blocked your request",
@@ -19,8 +20,42 @@ STRONG = [
     "service unavailable", "service indisponible", "verification required", "i'm not a robot", "protected by altcha", "waiting for verification",
     "verifying your request", "something went wrong during verification",
 ]
+# Words that tell one only where a page has no results.
 MEDIUM = ["captcha", "challenge", "robot", "anomaly", "verification", "blocked", "consent", "before you continue", "email us", "persists", "forbidden", "enablejs"]
+# Further phrases, titles and marks of pages that were fetched without a browser; google has its own.
+PLAIN_STRONG = ["are you not a robot", "вы не робот", "just a moment", "wait a moment", "aggressive bot activity", "barraged by queries from bots"]
+PLAIN_TITLE = r"(?i)^(?:captcha|are you not a robot|вы не робот|service unavailable)\??$"
+PLAIN_MARK = r"(?i)altcha\.js|data-altcha|smartcaptcha|showcaptcha|\banomaly"
+GOOGLE_MARK = r"(?i)/sorry/|/recaptcha/|id=\"captcha\"|g-recaptcha|/httpservice/retry/enablejs"
+GOOGLE_STRONG = ["our systems have detected", "to continue, please type the characters"]
+GOOGLE_TITLE = r"(?i)^enable javascript to use search$"
+CAPTCHA_BOX = r"(?i)id=\"captcha\""
+LOGIN = ["please log in", "log in to search", "create a free account"]
+# What a result looks like in the pages of an engine, and in those of any other.
 RESULT_MARK = r"(?i)<h3|/url\?q=|<cite"
+RESULT_MARKS = {
+    "google": r"(?i)<h3", "google_lite": r"(?i)<h3", "chrome": r"(?i)<h3",
+    "bing": r"(?i)<li\b[^>]*class=\"[^\"]*\bb_algo\b",
+    "brave": r"(?i)class=\"[^\"]*\b(?:snippet|result-wrapper)\b[^\"]*\"[\s\S]*?<a\b[^>]*href=\"http",
+    "mojeek": r"(?i)<ul\b[^>]*class=\"[^\"]*\bresults-standard\b[\s\S]*?<a\b",
+    "startpage": r"(?i)(?:class=\"[^\"]*\b(?:w-gl__result|result)\b|data-testid=\"result\")[\s\S]*?<a\b[^>]*href=\"http",
+    "yahoo": r"(?i)class=\"[^\"]*(?:\balgo\b|\balgo-sr\b)",
+    "duckduckgo": r"(?i)id=\"links\"[\s\S]*?class=\"[^\"]*\bresult\b",
+    "duckduckgo_lite": r"(?i)<a\b[^>]*class=\"[^\"]*\bresult-link\b",
+    "qwant": r"(?i)(?:data-testid=\"[^\"]*web-result|<article\b)[\s\S]*?<a\b[^>]*href=\"http",
+    "ecosia": r"(?i)<a\b[^>]*class=\"[^\"]*\bresult-title\b|<article\b[^>]*class=\"[^\"]*\bresult\b[\s\S]*?<a\b[^>]*href=\"http",
+    "swisscows": r"(?i)(?:class=\"[^\"]*\bweb-results\b|<article\b)[\s\S]*?<a\b[^>]*href=\"http",
+    "seznam": r"(?i)(?:data-dot=\"results\"|<h3)[\s\S]*?<a\b[^>]*href=\"http",
+    "yandex": r"(?i)class=\"[^\"]*\b(?:serp-item|OrganicTitle-Link|organic__url)\b",
+    "shodan": r"(?i)<a\b[^>]*href=\"[^\"]*/host/|class=\"[^\"]*\b(?:result|search-result)\b",
+    "marginalia": r"(?i)<(?:section|article|main)\b[\s\S]*?<a\b[^>]*href=\"http",
+    "wiby": r"(?i)<a\b[^>]*href=\"http",
+    "github": r"(?i)data-hovercard-type=\"repository\"|class=\"[^\"]*\bsearch-title\b|<a\b[^>]*href=\"/",
+    "wikipedia": r"(?i)class=\"[^\"]*\bmw-search-results?\b|<a\b[^>]*href=\"/wiki/",
+    "archive": r"(?i)<a\b[^>]*href=\"[^\"]*/details/|class=\"[^\"]*\bitem-ia\b",
+}
+GOOGLES, JSON_ENGINES = ("google", "google_lite", "chrome"), ("archive", "wikipedia")
+# Titles of generated answers.
 AI_TITLES = ("ai mode", "ai overview", "ai overviews", "try ai mode", "search labs", "show more", "show all", "show more ai overview", "ask follow up", "ask a follow up")
 AI_PREFIX = r"(?i)^(?:ai\s+(?:mode|overview)\b|try\s+ai\s+mode\b)"
 
@@ -30,34 +65,57 @@ def title_of(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """The words of a page: without scripts, styles and tags, white space collapsed."""
-    x = text.text(html)
-    for gone in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<head[^>]*>.*?</head>"):
-        x = F.regexp_replace(x, gone, " ")
-    return text.strip_tags(x)
+    """The words of a page: without scripts, styles, head and tags, white space collapsed."""
+    return text.strip_tags(F.regexp_replace(text.text(html), r"(?is)<(script|style|head)\b[^>]*>.*?</\1>", " "))
 
 
-def classify_pages(pages: DataFrame) -> DataFrame:
+def classify_pages(pages: DataFrame, marks: dict[str, str] = RESULT_MARKS) -> DataFrame:
     """pages with label (ok or blocked) and reason (null for ok).
 
-    The url is looked at first, then a title that is only "captcha", then strong phrases wherever they stand. Pages
-    without a result mark are also judged by weaker words, and by having neither title nor 300 characters of text."""
+    A page is judged by the url, by a title that is only "captcha", by strong phrases wherever they stand and, for a
+    host search, by a login wall. Where it has no result, weaker words count too, and having neither title nor 300
+    characters of text. What a result looks like is the engine's mark (`marks` by the column `engine`, which a caller
+    may extend); engines without one, and pages without that column, are judged by headings and displayed links.
+    Pages with an engine are also judged by the signs of a bare answer: scripts, titles and phrases of challenges;
+    payloads of engines that answer in JSON are never blocked. Null pages count as empty."""
+    html, url = text.text(F.col("html")), text.text(F.col("url"))
+    known = "engine" in pages.columns
+    engine = F.lower(text.text(F.col("engine"))) if known else F.lit("")
     page = text.computed(pages, "_text", F.lower(visible_text(F.col("html")))).withColumn("_title", title_of(F.col("html")))
-    low, bare = F.col("_text"), ~text.text(F.col("html")).rlike(RESULT_MARK)
+    low = F.col("_text")
+    bare = ~html.rlike(RESULT_MARK)
+    if known:
+        mark = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]), engine), F.lit(RESULT_MARK))
+        page = page.withColumn("_mark", mark)
+        bare = ~F.expr("rlike(coalesce(html, ''), _mark)")
     found = lambda words: F.regexp_extract(low, f"({any_of(words)})", 1)
-    page = text.computed(page, "_found", F.struct(found(STRONG).alias("strong"), F.when(bare, found(MEDIUM)).otherwise("").alias("medium")))
+    plain = F.when((engine != "") & ~engine.isin(*GOOGLES), found(PLAIN_STRONG)).when(engine.isin(*GOOGLES), found(GOOGLE_STRONG)).otherwise("")
+    strong = let_first(found(STRONG), plain)
+    page = text.computed(page, "_found", F.struct(strong.alias("strong"), F.when(bare, found(MEDIUM)).otherwise("").alias("medium"), bare.alias("bare")))
     pick = {"strong": F.col("_found.strong"), "medium": F.col("_found.medium")}
+    script = F.when(engine.isin(*GOOGLES), html.rlike(GOOGLE_MARK)).when(engine != "", html.rlike(PLAIN_MARK) | ((engine == "duckduckgo") & html.rlike(CAPTCHA_BOX))).otherwise(False)
+    titled = F.when(engine.isin(*GOOGLES), F.col("_title").rlike(GOOGLE_TITLE)).when(engine != "", F.col("_title").rlike(PLAIN_TITLE)).otherwise(False)
+    wall = (engine == "shodan") & (url.rlike("(?i)/login") | (found(LOGIN) != ""))
     reason = (
-        F.when(text.text(F.col("url")).rlike(BLOCK_URL), "url")
+        F.when(url.rlike(BLOCK_URL), "url")
+        .when(wall, "login")
         .when(F.col("_title").rlike(r"(?i)^captcha$"), "captcha title")
+        .when(titled, "challenge title")
         .when(pick["strong"] != "", F.concat(F.lit("strong: "), pick["strong"]))
+        .when(script, "challenge script")
         .when(pick["medium"] != "", F.concat(F.lit("medium: "), pick["medium"]))
-        .when(bare & (F.col("_title") == "") & (F.length(low) < 300), "empty")
+        .when(F.col("_found.bare") & (F.col("_title") == "") & (F.length(low) < 300), "empty")
     )
-    page = page.withColumn("reason", reason).drop("_text", "_title", "_found")
+    payload = engine.isin(*JSON_ENGINES) & html.rlike(r"^\s*[\[{]")
+    page = page.withColumn("reason", F.when(~payload, reason)).drop("_text", "_title", "_found", "_mark")
     return page.withColumn("label", F.when(F.col("reason").isNull(), "ok").otherwise("blocked"))
 
 
+def let_first(a: Column, b: Column) -> Column:
+    """The first of two strings that is not empty."""
+    return text.let(a, lambda x: F.when(x != "", x).otherwise(b))
+
+
 def looks_like_results(pages: DataFrame, status: str | None = None) -> DataFrame:
     """pages with has_results (two headings, or a wrapper link, or a cite) and soft_empty (no heading and under 80
     characters, or status 429 or 403)."""
@@ -93,8 +151,8 @@ def filter_domains(results: DataFrame, policy: dict | None = None, *, policy_col
 
     policy: {social, dev, ugc, forum, blog: bool, exclude_domains, allow_domains: lists}, the same for all rows, or in
     policy_col a struct as resolve_filter_policy makes it. Unset categories take their defaults (social only). Rows
-    without a host stay; an allowed host stays whatever else it is. Categories come from one equi-join of host suffixes
-    with the domain table; forums and blogs are also known by a label of the host or a part of the path."""
+    without a host stay; an allowed host stays whatever else it is. Categories come from a literal map of the fixed
+    domain list, looked up by host suffix; forums and blogs are also known by a label of the host or a part of the path."""
     policy = policy or {}
     rows = host_categories(results, "url", "_cats")
     u = text.text(F.col("url"))
@@ -140,6 +198,7 @@ def enforce_operators(results: DataFrame, queries: DataFrame, by: str = "query_i
     return rows.where(ok_site & ok_kind & ok_url).select(*[results[c] for c in results.columns])
 
 
+# Paths and hosts of an engine's own pages.
 JUNK_PATH = r"(?i)^/(?:sorry|imgres|aclk|setprefs|search)\b"
 JUNK_HOST = r"(?i)(?:^|\.)(?:webcache\.googleusercontent\.com|gstatic\.com|googleadservices\.com|googleusercontent\.com)$"
 
@@ -175,6 +234,7 @@ def filter_hosts(df: DataFrame, *, min_ports: int | None = None, has_vulns: bool
 
 
 def valid_results(results: DataFrame) -> DataFrame:
+    """Results with an http url and a title that is not blank."""
     return results.where(text.text(F.col("url")).rlike(urls.HTTP) & (F.trim(text.text(F.col("title"))) != ""))
 
 
@@ -189,16 +249,17 @@ def label_ip_rows(df: DataFrame, scan: DataFrame, ip: str = "ip") -> DataFrame:
 
 def search_pages(pages: DataFrame, queries: DataFrame, *, url: str = "url", title: str = "title", body: str = "text") -> DataFrame:
     """(query_id, page columns): pages that match a query of our own table: any site: target, any filetype:, every
-    inurl:, intitle: and intext: token, every phrase, no exclusion; plain words are not looked at.
+    inurl:, intitle: and intext: token, every phrase, no exclusion; plain words are not looked at. Pages that are equal
+    in all columns count once.
 
-    queries has query_id and the columns of parse_query_operators; it is a request's list, and is broadcast up to
-    100,000 rows. Queries with site: meet pages by an equi-join on host suffixes, not by comparing all pairs; queries
-    without one must look at every page."""
+    queries has query_id and the columns of parse_query_operators. No query meets all pages: one with site: is joined
+    on host suffixes; others on a three-letter piece of what they require of the page, the one that fewest pages have
+    among the pieces of all such queries. A query that names no site and requires nothing of three characters (in its
+    url, title, body or as a phrase) would match nearly everything and raises a ValueError."""
     from ..sources.readers import broadcast_if_small
 
     q = queries.select("query_id", "operators", "phrases", "exclusions", "site_targets")
     values = lambda k: F.coalesce(F.try_element_at("operators", F.lit(k)), F.array().cast("array<string>"))
-    p = pages.withColumn("_host", urls.bare_host(F.col(url)))
     low = lambda c: F.lower(text.text(F.col(c)))
     kinds = F.concat(values("filetype"), values("mime"))
     both = F.concat_ws(" ", low(title), low(body))
@@ -210,10 +271,24 @@ def search_pages(pages: DataFrame, queries: DataFrame, *, url: str = "url", titl
         & F.forall("phrases", lambda t: both.contains(F.lower(t)))
         & ~F.exists("exclusions", lambda t: both.contains(F.lower(t)))
     )
-    sited = q.where(F.size("site_targets") > 0).withColumn("_target", F.explode(F.array_distinct(F.transform("site_targets", lambda t: F.regexp_replace(t, r"^(?:\.|www\.)", "")))))
-    by_host = p.withColumn("_suffix", F.explode(urls.suffixes(F.col("_host")))).join(broadcast_if_small(sited), F.col("_suffix") == F.col("_target"))
-    free = p.join(broadcast_if_small(q.where(F.size("site_targets") == 0)), F.lit(True))
     cols = ["query_id", *pages.columns]
-    return by_host.where(ok).select(*cols).distinct().unionByName(free.where(ok).select(*cols))
-
-
+    bare = F.transform("site_targets", lambda t: F.regexp_replace(t, r"^(?:\.|www\.)", ""))
+    sited = q.where(F.size("site_targets") > 0).withColumn("_target", F.explode(F.array_distinct(bare)))
+    by_host = pages.withColumn("_suffix", F.explode(urls.suffixes(urls.bare_host(F.col(url)))))
+    out = by_host.join(broadcast_if_small(sited), F.col("_suffix") == F.col("_target")).where(ok).select(*cols).distinct()
+
+    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(0))), lambda i: F.substring(t, i, F.lit(3)))
+    grams = lambda t: F.when(F.length(t) >= 3, pieces(t)).otherwise(F.array().cast("array<string>"))
+    needs = F.concat(F.col("phrases"), *[values(k) for k in ("inurl", "intitle", "intext")])
+    free = q.where(F.size("site_targets") == 0).withColumn("_needs", F.array_distinct(F.flatten(F.transform(needs, lambda t: grams(F.lower(t))))))
+    if free.isEmpty():
+        return out
+    if not free.where(F.size("_needs") == 0).isEmpty():
+        raise ValueError("a query without site: has to require three characters of a page")
+    wanted = free.select(F.explode("_needs").alias("_piece")).distinct()
+    has = pages.select(F.struct(*pages.columns).alias("_page"), F.explode(F.array_distinct(F.concat(grams(low(url)), grams(both)))).alias("_piece"))
+    has = has.join(broadcast_if_small(wanted), "_piece")
+    counts = wanted.join(has.groupBy("_piece").agg(F.count("*").alias("_n")), "_piece", "left").fillna(0, ["_n"])
+    rarest = free.select("query_id", F.explode("_needs").alias("_piece")).join(counts, "_piece").groupBy("query_id").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    by_piece = has.join(broadcast_if_small(free.join(rarest, "query_id")), "_piece").select("_page.*", *q.columns)
+    return out.unionByName(by_piece.where(ok).select(*cols).distinct())

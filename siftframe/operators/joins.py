@@ -11,17 +11,39 @@ from ..sources.readers import broadcast_if_small
 
 # Domains by category; a host belongs to a domain if it is the domain or below it.
 DOMAINS = {
-    "social": "facebook.com fb.com fb.watch instagram.com instagr.am twitter.com x.com linkedin.com reddit.com tiktok.com pinterest.com youtube.com youtu.be tumblr.com quora.com medium.com threads.net snapchat.com discord.com discord.gg telegram.org t.me vk.com weibo.com douyin.com line.me whatsapp.com",
-    "dev": "github.com github.io githubusercontent.com gitlab.com gitlab.io bitbucket.org bitbucket.io stackoverflow.com stackexchange.com superuser.com serverfault.com npmjs.com pypi.org packagist.org rubygems.org crates.io nuget.org dev.to hashnode.com mdn.mozilla.org w3schools.com geeksforgeeks.org tutorialspoint.com javatpoint.com baeldung.com freecodecamp.org codecademy.com leetcode.com hackerrank.com sourceforge.net readthedocs.io gitbook.io devdocs.io docs.rs pkg.go.dev godoc.org rubydoc.info cppreference.com learn.microsoft.com pastebin.com gist.github.com codesandbox.io jsfiddle.net codepen.io",
-    "ugc": "scribd.com slideshare.net issuu.com academia.edu researchgate.net fandom.com wikipedia.org wikihow.com about.me linktr.ee hubpages.com vocal.media answers.com ask.com ehow.com genius.com pdfcoffee.com studocu.com coursehero.com chegg.com brainly.com quizlet.com docsity.com goodreads.com wattpad.com archiveofourown.org fanfiction.net",
-    "blog": "blogspot.com blogger.com wordpress.com substack.com ghost.io tumblr.com livejournal.com typepad.com weebly.com wixsite.com medium.com hatenablog.com over-blog.com jimdo.com",
-    "forum": "discourse.org phpbb.com vbulletin.com xenforo.com groups.google.com 4chan.org 4channel.org lemmy.world kbin.social discourse.group",
-}
+    "social": [
+        "facebook.com", "fb.com", "fb.watch", "instagram.com", "instagr.am", "twitter.com", "x.com", "linkedin.com", "reddit.com",
+        "tiktok.com", "pinterest.com", "youtube.com", "youtu.be", "tumblr.com", "quora.com", "medium.com", "threads.net", "snapchat.com",
+        "discord.com", "discord.gg", "telegram.org", "t.me", "vk.com", "weibo.com", "douyin.com", "line.me", "whatsapp.com",
+    ],
+    "dev": [
+        "github.com", "github.io", "githubusercontent.com", "gitlab.com", "gitlab.io", "bitbucket.org", "bitbucket.io", "stackoverflow.com",
+        "stackexchange.com", "superuser.com", "serverfault.com", "npmjs.com", "pypi.org", "packagist.org", "rubygems.org", "crates.io",
+        "nuget.org", "dev.to", "hashnode.com", "mdn.mozilla.org", "w3schools.com", "geeksforgeeks.org", "tutorialspoint.com",
+        "javatpoint.com", "baeldung.com", "freecodecamp.org", "codecademy.com", "leetcode.com", "hackerrank.com", "sourceforge.net",
+        "readthedocs.io", "gitbook.io", "devdocs.io", "docs.rs", "pkg.go.dev", "godoc.org", "rubydoc.info", "cppreference.com",
+        "learn.microsoft.com", "pastebin.com", "gist.github.com", "codesandbox.io", "jsfiddle.net", "codepen.io",
+    ],
+    "ugc": [
+        "scribd.com", "slideshare.net", "issuu.com", "academia.edu", "researchgate.net", "fandom.com", "wikipedia.org", "wikihow.com",
+        "about.me", "linktr.ee", "hubpages.com", "vocal.media", "answers.com", "ask.com", "ehow.com", "genius.com", "pdfcoffee.com",
+        "studocu.com", "coursehero.com", "chegg.com", "brainly.com", "quizlet.com", "docsity.com", "goodreads.com", "wattpad.com",
+        "archiveofourown.org", "fanfiction.net",
+    ],
+    "blog": [
+        "blogspot.com", "blogger.com", "wordpress.com", "substack.com", "ghost.io", "tumblr.com", "livejournal.com", "typepad.com",
+        "weebly.com", "wixsite.com", "medium.com", "hatenablog.com", "over-blog.com", "jimdo.com",
+    ],
+    "forum": [
+        "discourse.org", "phpbb.com", "vbulletin.com", "xenforo.com", "groups.google.com", "4chan.org", "4channel.org", "lemmy.world",
+        "kbin.social", "discourse.group",
+    ],
+}
 
 
 def domain_category(df: DataFrame) -> DataFrame:
     """The built-in (domain, category) table; a fixed list, so it may be broadcast."""
-    rows = [(d, c) for c, ds in DOMAINS.items() for d in ds.split()]
+    rows = [(d, c) for c, ds in DOMAINS.items() for d in ds]
     return df.sparkSession.createDataFrame(rows, "domain string, category string")
 
 
@@ -33,7 +55,7 @@ def host_categories(df: DataFrame, url: str, out: str, categories: DataFrame | N
     if categories is None:
         lookup = {}
         for c, ds in DOMAINS.items():
-            for d in ds.split():
+            for d in ds:
                 lookup.setdefault(d, []).append(c)
         known = F.create_map(*[x for d, cs in lookup.items() for x in (F.lit(d), F.array(*[F.lit(c) for c in cs]))])
         found = F.transform(urls.suffixes(urls.host(F.col(url))), lambda s: F.coalesce(F.try_element_at(known, s), F.array().cast("array<string>")))

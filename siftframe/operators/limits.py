@@ -18,10 +18,16 @@ def top_results(results: DataFrame, num: int = 10, by=("query_id",), order=ORDER
     return top(results, min(MOST, max(1, num)), by, order)
 
 
+def host_order(by: str, host: str = "host") -> list:
+    """What hosts are ordered by: ports or vulns, most first, or ip, lowest first and none last."""
+    n = lambda f, kind: F.size(F.coalesce(F.col(f"{host}.{f}"), F.array().cast(kind))).desc()
+    keys = {"ports": lambda: n("ports", "array<int>"), "vulns": lambda: n("vulns", "array<string>"), "ip": lambda: hosts.ip_number(F.col(f"{host}.ip_str")).asc_nulls_last()}
+    return [keys[by]()]
+
+
 def sort_hosts(df: DataFrame, by: str, host: str = "host", pos: str = "pos") -> DataFrame:
     """By the number of ports or vulns, most first, or by address, lowest first and none last; ties by position."""
-    keys = {"ports": F.size(F.col(f"{host}.ports")).desc(), "vulns": F.size(F.col(f"{host}.vulns")).desc(), "ip": hosts.ip_number(F.col(f"{host}.ip_str")).asc_nulls_last()}
-    return df.orderBy(keys[by], pos)
+    return df.orderBy(*host_order(by, host), pos)
 
 
 def page_plan(df: DataFrame, engine: str = "engine", num: str = "num", page: str = "page") -> DataFrame:
@@ -58,6 +64,7 @@ def stop_at_stale_page(results: DataFrame, by=("query_id",), order=("page", "pos
 
 
 def cap_list(df: DataFrame, col: str, n: int) -> DataFrame:
+    """The first n entries of an array; null stays null."""
     return df.withColumn(col, F.slice(F.col(col), 1, n))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +22,8 @@ def unwrap_redirects(df: DataFrame, col: str = "url", out: str | None = None, *,
 
 
 def resolve_links(df: DataFrame, href: str, base: str, out: str = "resolved") -> DataFrame:
-    """Links against the page they are on. Links with dot segments go through urllib in Arrow batches; the others stay
-    in Spark's own expressions."""
-    @F.pandas_udf("string")
-    def joined(base_: pd.Series, href_: pd.Series) -> pd.Series:
-        from urllib.parse import urldefrag, urljoin
-
-        def one(b, h):
-            try:
-                return urldefrag(urljoin(b or "", (h or "").strip()))[0]
-            except ValueError:
-                return None
-
-        return pd.Series([one(b, h) for b, h in zip(base_, href_, strict=True)])
-
-    h = text.text(F.col(href))
-    dotted = F.regexp_replace(h, r"[?#].*$", "").rlike(r"(?:^|/)\.\.?(?:/|$)")
-    plain = df.where(~dotted).withColumn(out, urls.resolve(F.col(href), F.col(base)))
-    odd = df.where(dotted).withColumn(out, joined(F.col(base).cast("string"), h))
-    odd = odd.withColumn(out, F.when(F.col(out).rlike(urls.HTTP), F.col(out)))
-    return plain.unionByName(odd)
+    """Links against the page they are on, dot segments resolved; null where they lead to no http url."""
+    return df.withColumn(out, urls.resolve(F.col(href), F.col(base)))
 
 
 def host_columns(df: DataFrame, col: str = "url") -> DataFrame:

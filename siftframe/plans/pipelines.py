@@ -2,71 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import filters as FI
 from ..operators import joins as J
+from ..operators import limits as L
 from ..operators import projections as P
 from ..operators import sets as U
 from ..operators import windows as W
 from ..operators.crawl import crawl_frontier
-from ..operators.extract import extract_links
+from ..operators.extract import extract_links, extract_results
 from ..sources.sinks import envelopes, organic
 
 
-def _shaped(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """The filters of the search paths: what each query's policy leaves out, then what its operators enforce."""
-    policy = queries.select("query_id", "policy")
-    rows = results.join(policy, "query_id", "left")
+def captured_results(captured: DataFrame, rules=None, fn=None) -> DataFrame:
+    """Result rows (query_id, engine, page, pos, title, url, snippet) of captured pages (page_id, query_id, engine, page,
+    html): the layout of each page's engine, or fn (see extract_results). Block pages give none."""
+    good = FI.classify_pages(captured.withColumn("url", F.lit(None).cast("string"))).where("label = 'ok'")
+    rows = extract_results(good.select("page_id", "engine", "html"), rules, fn)
+    rows = rows.select("page_id", F.col("rank").alias("pos"), "title", "url", "snippet")
+    return captured.select("page_id", "query_id", "engine", "page").join(rows, "page_id").drop("page_id")
+
+
+def host_options(results: DataFrame, options: dict | None, by=("query_id", "engine")) -> DataFrame:
+    """results as a host search shows them: options are min_ports, has_vulns, sort (ports, vulns or ip) and fields. Rows
+    that have no host yet get one from their url and title; sort gives pos anew; without options nothing changes."""
+    if not options:
+        return results
+    rows = results
+    if "host" not in rows.columns:
+        gone = {"ip": "string", "ports": "array<int>", "hostnames": "array<string>", "org": "string"}
+        rows = P.to_host_records(rows.withColumns({c: F.lit(None).cast(t) for c, t in gone.items() if c not in rows.columns}))
+        rows = rows.select(*results.columns, "host")
+    rows = FI.filter_hosts(rows, min_ports=options.get("min_ports"), has_vulns=bool(options.get("has_vulns")))
+    if options.get("sort"):
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(*L.host_order(options["sort"]), "page", "pos"))
+        rows = rows.withColumn("pos", at).withColumn("page", F.lit(1))
+    return P.project_host_fields(rows, options["fields"]) if options.get("fields") else rows
+
+
+def _shaped(results: DataFrame, queries: DataFrame, hosts: dict | None = None) -> DataFrame:
+    """The filters of the search paths: host options, what each query's policy leaves out, what its operators enforce."""
+    rows = host_options(results, hosts).join(queries.select("query_id", "policy"), "query_id", "left")
     return FI.enforce_operators(FI.filter_domains(rows, policy_col="policy").drop("policy"), queries)
 
 
 def plan_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, q, engines, params) with engine_list, try_list, operators and policy."""
+    """(query_id, q, engines, params) with engine_list, try_list, operators and policy. A query whose parameter fallback
+    or auto_fallback is 0 or false tries only the engines it names."""
     rows = P.resolve_filter_policy(P.parse_query_operators(P.normalize_queries(queries)))
-    return U.fallback_order(P.alias_engines(rows))
+    off = [F.coalesce(F.try_element_at("params", F.lit(k)).isin("0", "false"), F.lit(False)) for k in ("fallback", "auto_fallback")]
+    rows = U.fallback_order(P.alias_engines(rows).withColumn("_off", off[0] | off[1]), off="_off")
+    return rows.drop("_off")
 
 
-def search_fallback(results: DataFrame, queries: DataFrame, num: int = 10) -> DataFrame:
+def search_fallback(captured: DataFrame, queries: DataFrame, num: int = 10, *, hosts: dict | None = None) -> DataFrame:
     """One envelope a query: results of the first engine, in the order tried, that still has any after all filters, one a
-    canonical url, ranked. queries comes from plan_queries; results has query_id, engine, page, pos, title, url, snippet."""
+    canonical url, ranked. captured are result pages (page_id, query_id, engine, page, html) and perhaps duration_ms;
+    queries comes from plan_queries; hosts are the host options."""
     tried = queries.select("query_id", F.posexplode("try_list").alias("engine_pos", "engine"))
-    rows = results.drop("engine_pos").join(tried, ["query_id", "engine"])
-    kept = W.dedupe_canonical(_shaped(rows, queries), None, ("query_id", "engine"))
+    rows = captured_results(captured).join(tried, ["query_id", "engine"])
+    kept = W.dedupe_canonical(_shaped(rows, queries, hosts), num, ("query_id", "engine"))
     won, asked = U.first_nonempty_engine(kept, tried)
     ranked = W.with_ranks(W.top(won, num))
     last = asked.groupBy("query_id").agg(F.max_by("engine", "engine_pos").alias("engine"), F.max_by("code", "engine_pos").alias("code"), F.max("ok").alias("ok"))
-    return envelopes(ranked, last.withColumn("duration_ms", F.lit(0.0)))
+    return envelopes(ranked, last.join(_durations(captured), ["query_id", "engine"], "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0.0))))
 
 
-def search_merge(results: DataFrame, queries: DataFrame, num: int = 10, *, canonical: bool = True) -> DataFrame:
-    """Merged, ranked results of all engines a query asks for, num at most."""
-    asked = queries.select("query_id", F.posexplode("engine_list").alias("engine_pos", "engine"))
-    rows = results.drop("engine_pos").join(asked, ["query_id", "engine"])
-    return U.merge_engines(_shaped(rows, queries), num, canonical=canonical)
+def _durations(captured: DataFrame) -> DataFrame:
+    """How long the pages of a query and engine took, one after the other."""
+    ms = F.col("duration_ms") if "duration_ms" in captured.columns else F.lit(0.0)
+    return captured.groupBy("query_id", "engine").agg(F.sum(ms.cast("double")).alias("duration_ms"))
 
 
-def search_compact(results: DataFrame, queries: DataFrame, params: list[str]) -> DataFrame:
-    """Compact envelopes; operators are enforced, and urls deduped by their canonical form, only for queries that have
-    operators."""
-    shaped = _shaped(results, queries)
+def search_merge(captured: DataFrame, queries: DataFrame, num: int = 10, *, canonical: bool = True, hosts: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged, ranked results of all engines a query asks for, num at most; summary: engines tried and with results,
+    count, longest duration, sources). captured and hosts as in search_fallback; a column source is `lite` if absent."""
+    asked = queries.select("query_id", F.posexplode("engine_list").alias("engine_pos", "engine"))
+    rows = _shaped(captured_results(captured).join(asked, ["query_id", "engine"]), queries, hosts)
+    merged = U.merge_engines(rows, num, canonical=canonical)
+    source = (F.first("source") if "source" in captured.columns else F.lit("lite")).alias("source")
+    took = _durations(captured).join(captured.groupBy("query_id", "engine").agg(source), ["query_id", "engine"])
+    some = rows.select("query_id", "engine").distinct().withColumn("ok", F.lit(True))
+    outcomes = asked.join(took, ["query_id", "engine"]).join(some, ["query_id", "engine"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return merged, A.merge_summary(merged, outcomes)
+
+
+def search_compact(captured: DataFrame, queries: DataFrame, params: list[str]) -> DataFrame:
+    """Compact envelopes of captured pages, of the first engine that has results; operators are enforced, and urls
+    deduped by their canonical form, only for queries that have operators."""
+    tried = queries.select("query_id", F.posexplode("try_list").alias("engine_pos", "engine"))
+    rows = captured_results(captured).join(tried, ["query_id", "engine"])
+    shaped = _shaped(rows, queries)
     marked = queries.where("has_operators").select("query_id")
-    some = W.dedupe_canonical(shaped.join(marked, "query_id", "left_semi"))
+    some = W.dedupe_canonical(shaped.join(marked, "query_id", "left_semi"), None, ("query_id", "engine"))
     rest = shaped.join(marked, "query_id", "left_anti")
-    return organic(some.unionByName(rest), queries.select("query_id", *params))
+    return organic(U.engine_of_first(some.unionByName(rest)), queries.select("query_id", *params))
 
 
-def batch_search(results: DataFrame, queries: DataFrame, stored: DataFrame, ttl_s: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(answers, summary) of a query list with position, key and ts. Stored answers that are young enough are taken;
-    the others get the results of their first engine that has any. No filters run on this path."""
+def batch_search(captured: DataFrame, queries: DataFrame, stored: DataFrame, ttl_s: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(answers, summary) of a query list (query_id, batch_id, position, key, ts), as read_queries gives it with numbers,
+    keys and times. Stored answers that are young enough are taken; the others get the results of their first engine
+    that has any, from captured pages. No filters run on this path; an answer from the store takes no time."""
     hits, misses = J.split_cached(queries.select("query_id", "batch_id", "position", "key", "ts"), stored, ttl_s)
-    fresh = U.engine_of_first(results.join(misses.select("query_id"), "query_id", "left_semi"))
-    n = fresh.groupBy("query_id").agg(F.count("*").alias("count"), F.first("engine").alias("engine"))
-    a = misses.join(n, "query_id", "left").select("query_id", "batch_id", "position", "engine", F.coalesce("count", F.lit(0)).alias("count"), F.lit(False).alias("cached"))
-    b = hits.select("query_id", "batch_id", "position", F.lit(None).cast("string").alias("engine"), F.lit(None).cast("long").alias("count"), F.lit(True).alias("cached"))
-    answers = a.unionByName(b).withColumn("ok", F.col("cached") | (F.col("count") > 0)).withColumn("duration_ms", F.lit(0.0))
+    rows = captured_results(captured.join(misses.select("query_id"), "query_id", "left_semi"))
+    order = captured.select("query_id", "engine", "engine_pos").distinct()
+    fresh = U.engine_of_first(rows.join(order, ["query_id", "engine"]))
+    n = fresh.groupBy("query_id").agg(F.count("*").alias("count"), F.first("engine").alias("engine")).join(_durations(captured), ["query_id", "engine"])
+    cols = ["query_id", "batch_id", "position", "ts"]
+    a = misses.join(n, "query_id", "left").select(*cols, "engine", F.coalesce("count", F.lit(0)).alias("count"), F.lit(False).alias("cached"), F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"))
+    b = hits.select(*cols, F.lit(None).cast("string").alias("engine"), F.lit(None).cast("long").alias("count"), F.lit(True).alias("cached"), F.lit(0.0).alias("duration_ms"))
+    answers = a.unionByName(b).withColumn("ok", F.col("cached") | (F.col("count") > 0))
     return answers, A.batch_summary(answers)
 
 
@@ -77,6 +125,7 @@ def crawl(pages: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: in
 
 
 def crawl_links(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """As crawl, over a link table."""
     reach = crawl_frontier(links, starts, max_pages + 1, max_depth, cap_pages=max_pages + 1)
     visited = reach.where(F.col("visit_order") <= max_pages)
     return visited, A.crawl_summary(visited, reach, max_pages)

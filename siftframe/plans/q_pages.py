@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators.crawl import crawl_frontier
 from ..sources import readers as R
 from ..sources import sinks
+from ..sources.folders import new_folder
 from ..streaming import streams as ST
 from . import pipelines as E
 from . import sqltext as S
@@ -100,6 +98,19 @@ def x4_extract_serp_features(spark, sf_dir):
     return out.select("page_id", F.col("knowledge_graph.title").alias("graph_title"), F.col("answer_box.answer").alias("answer"), F.array_join("people_also_ask", "|").alias("asked"), F.array_join("related_searches", "|").alias("related"))
 
 
+@query(_ranked("cleaned", 3, 200).replace("title, cleaned as url", "title, cleaned as url, 'snippet of ' || trim(snippet) as snippet, 'Feb 2, 2026' as date, 2 as n_sitelinks"))
+def x4_extract_organic(spark, sf_dir):
+    """Rendered cards: a heading in one cell, its snippet in another, two sitelinks with headings of their own, and a card without
+    snippet or displayed link, which goes."""
+    block = F.concat(
+        F.lit('<div class="MjjYud"><div><a jsname="UWckNb" href="/url?q='), "enc", F.lit('&amp;sa=U"><h3>'), "title", F.lit('</h3></a><cite>host › a</cite></div><div><div class="VwiC3b">snippet of <em>'), "snippet",
+        F.lit('</em></div><span class="LEwnzc">Feb 2, 2026</span><div class="HiHjCd"><h3>no</h3><a href="https://s.example/1">one</a><a href="https://s.example/2">two</a></div></div></div>'),
+    )
+    p = serp(spark, sf_dir, block, ("google", "google", "google"))
+    p = p.withColumn("html", F.replace("html", F.lit("</body>"), F.lit('<div><div><a href="https://chrome.example/"><h3>Not organic</h3></a></div></div></body>')))
+    return X.extract_organic(p).select("page_id", "title", "url", "rank", "snippet", "date", F.size("sitelinks").alias("n_sitelinks"))
+
+
 @query(r"""with h as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 1)) as tag, generate_subscripts(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 1), 1) as n, unnest(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 2)) as label from pages),
 l as (select page_id, url, n, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_extract(tag, '\bhref="([^"]*)"', 1) as dst, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as t from h),
 f as (select *, row_number() over (partition by page_id, dst order by n) as k from l)
@@ -128,10 +139,17 @@ def s1_read_pages(spark, sf_dir):
     return R.read_pages(spark, f"{sf_dir}/pages.parquet", ["page_id", "url"])
 
 
-@query(r"select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as q from conversations where conv_id % 9 <> 0 and trim(text) <> ''")
+@query(r"""with n as (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as q, row_number() over (partition by conv_id order by turn, text) - 1 as position from conversations)
+select conv_id, position, q from n where conv_id % 9 <> 0 and q <> ''""")
 def s2_read_queries(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("q"))
-    return R.clean_query_list(c, "q")
+    """Each conversation as a batch request, written as a JSON document and read by the reader."""
+    c = V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    text = F.when(F.col("conv_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("conv_id").cast("string"), F.lit("|")))
+    listed = F.transform("l", lambda x: F.when(F.col("conv_id") % 9 == 0, text).otherwise(F.concat(text, x["text"], F.lit("\n"))))
+    path = new_folder(spark, "queries")
+    c.select(listed.alias("queries")).write.json(path)
+    q = R.read_queries(spark, path, 2000, lines=True)
+    return q.select(F.regexp_extract("q", r"^(\d+)\|", 1).cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), F.regexp_replace("q", r"^\d+\|", "").alias("q"))
 
 
 @query(f"""with {V.RESULTS}, n as (select *, row_number() over (partition by query_id, engine_pos order by page, pos) as k from res)
@@ -163,10 +181,10 @@ def s4_read_news_rss(spark, sf_dir):
 
 @query(f"with {V.SCAN} select ip, array_to_string(ports, ',') as ports, len(vulns) as n_vulns, 0 as n_tags from sc")
 def s5_read_host_scan(spark, sf_dir):
-    raw = V.scan(spark, sf_dir).withColumn("tags", F.lit(None).cast("array<string>")).select(F.to_json(F.struct("ip", "ports", "hostnames", "cpes", "tags", "vulns")).alias("j"))
-    from .. import schemas
-
-    rows = R.host_scan(raw.select(F.from_json("j", schemas.HOST_SCAN).alias("s")).select("s.*"))
+    """The scan, written as JSON lines without tags and read by the reader."""
+    path = new_folder(spark, "scan")
+    V.scan(spark, sf_dir).drop("tags").write.json(path)
+    rows = R.read_host_scan(spark, path)
     return rows.select("ip", F.array_join(F.col("ports").cast("array<string>"), ",").alias("ports"), F.size("vulns").cast("long").alias("n_vulns"), F.size("tags").alias("n_tags"))
 
 
@@ -180,32 +198,42 @@ def s6_read_embedded_extras(spark, sf_dir):
     return out.select("page_id", F.col("extras.knowledgeGraph.title").alias("graph_title"), F.array_join(F.transform("extras.peopleAlsoAsk", lambda x: x["question"]), "|").alias("asked"))
 
 
-@query(f"""with {V.RESULTS}, t as (select *, row_number() over (partition by query_id order by engine_pos, page, pos) as rank from res), l as (select query_id, list(rank || ':' || url order by rank) as r from t where query_id % 5 <> 0 group by query_id)
-select q.query_id as query_id, q.query_id % 5 <> 0 as success, coalesce(len(r), 0) as "count", coalesce(array_to_string(r, ' '), '') as results from (select distinct query_id from res) q left join l using (query_id)""")
-def s7_envelopes(spark, sf_dir):
+@query(f"""with {V.RESULTS}, t as (select *, row_number() over (partition by query_id order by engine_pos, page, pos) as rank from res),
+l as (select query_id, list(rank || ':' || url order by rank) as r from t where query_id % 5 <> 0 and rank <= 10 group by query_id)
+select q.query_id as query_id, q.query_id % 5 <> 0 as success, coalesce(len(r), 0) as "count", coalesce(array_to_string(r, ' '), '') as results, '2026-01-0' || (q.query_id % 2 + 1) as run_date
+from (select distinct query_id from res) q left join l using (query_id)""")
+def s7_write_envelopes(spark, sf_dir):
+    """Envelopes of ten results, written on two run dates and read back."""
+    from ..operators.limits import top_results
     from ..operators.windows import with_ranks
 
-    r = with_ranks(V.results(spark, sf_dir))
-    outcomes = r.select("query_id").distinct().select("query_id", F.lit("google").alias("engine"), (F.col("query_id") % 5 != 0).alias("ok"), F.lit("OK").alias("code"), F.lit(1.0).alias("duration_ms"))
-    out = sinks.envelopes(r.where("query_id % 5 <> 0"), outcomes)
-    return out.select("query_id", "success", "count", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["url"])), " ").alias("results"))
+    r = top_results(with_ranks(V.results(spark, sf_dir)), 10)
+    outcomes = V.results(spark, sf_dir).select("query_id").distinct()
+    outcomes = outcomes.select("query_id", F.lit("google").alias("engine"), (F.col("query_id") % 5 != 0).alias("ok"), F.lit("OK").alias("code"), F.lit(1.0).alias("duration_ms"))
+    path = new_folder(spark, "envelopes")
+    for k, day in enumerate(("2026-01-01", "2026-01-02")):
+        sinks.write_envelopes(r.where(f"query_id % 5 <> 0 and query_id % 2 = {k}"), outcomes.where(f"query_id % 2 = {k}"), path, run_date=day)
+    out = spark.read.schema("query_id long, success boolean, count long, results array<struct<rank:int,url:string>>, run_date string").json(path)
+    return out.select("query_id", "success", "count", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["url"])), " ").alias("results"), "run_date")
 
 
 @query(f"""with {V.RESULTS}, f as (select *, row_number() over (partition by query_id, url order by engine_pos, page, pos) as k from res where title <> ''), p as (select *, row_number() over (partition by query_id order by engine_pos, page, pos) as position from f where k = 1)
 select query_id, 1 as credits, array_to_string(list(position || ':' || url order by position), ' ') as organic from p group by query_id""")
-def s8_organic(spark, sf_dir):
+def s8_write_organic(spark, sf_dir):
+    """Compact rows, written as JSON lines and read back."""
     r = V.results(spark, sf_dir)
-    q = r.select("query_id").distinct().withColumn("q", F.lit("x"))
-    out = sinks.organic(r, q)
+    path = new_folder(spark, "organic")
+    sinks.write_organic(r, r.select("query_id").distinct().withColumn("q", F.lit("x")), path)
+    out = spark.read.schema("query_id long, credits int, organic array<struct<position:int,link:string>>").json(path)
     return out.select("query_id", "credits", F.array_join(F.transform("organic", lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["link"])), " ").alias("organic"))
 
 
 def _starts(links):
-    return links.select(F.col("src_url").alias("start_url")).distinct().where("cast(substring(start_url, 19) as int) % 7 = 0")
+    return links.select(F.col("src_url").alias("start_url")).distinct()
 
 
 def _crawl_sql(pages: int, depth: int) -> str:
-    levels = [f"v0 as (select distinct src_url as start_url, src_url as url, 0 as depth, 1 as visit_order from lk where substr(src_url, 19)::int % 7 = 0)"]
+    levels = [f"v0 as (select distinct src_url as start_url, src_url as url, 0 as depth, 1 as visit_order from lk)"]
     for d in range(1, depth + 1):
         levels.append(f"""n{d} as (select v.start_url, l.dst_url as url, min((v.visit_order, l.pos)) as o from v{d - 1} v join lk l on v.url = l.src_url where v.depth = {d - 1} group by 1, 2),
 m{d} as (select n.* from n{d} n left join v{d - 1} s on s.start_url = n.start_url and s.url = n.url where s.url is null),
@@ -225,65 +253,120 @@ def a7_crawl_summary(spark, sf_dir):
     return E.crawl_links(links, _starts(links), 8, 1)[1]
 
 
+def _captured(spark, sf_dir):
+    """Result pages of google, bing and duckduckgo for every query: one page a query, engine and page number."""
+    r = V.results(spark, sf_dir)
+    enc = F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20"))
+    block = (
+        F.when(F.col("engine") == "google", F.concat(F.lit('<div class="g"><a href="/url?q='), enc, F.lit('&amp;sa=U"><h3>'), "title", F.lit('</h3></a><div class="VwiC3b">'), "snippet", F.lit("</div></div>")))
+        .when(F.col("engine") == "bing", F.concat(F.lit('<li class="b_algo"><h2><a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), "title", F.lit("</a></h2></li>")))
+        .otherwise(F.concat(F.lit('<div id="links"><div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg='), enc, F.lit('">'), "title", F.lit("</a></div></div>")))
+    )
+    parts = F.sort_array(F.collect_list(F.struct("pos", block.alias("html"))))
+    out = r.groupBy("query_id", "engine", "engine_pos", "page").agg(F.concat(F.lit("<html><title>s</title><body>"), F.array_join(F.transform(parts, lambda x: x["html"]), ""), F.lit("</body></html>")).alias("html"))
+    return out.withColumn("page_id", F.col("query_id") * 100 + F.col("engine_pos") * 10 + F.col("page")).withColumn("duration_ms", (F.col("query_id") % 7 * 100 + F.col("page")).cast("double"))
+
+
 def _planned(spark, sf_dir):
-    q = V.queries(spark, sf_dir).where("query_id < 20").withColumn("engines", F.lit("duckduckgo,google")).withColumn("params", F.create_map(F.lit("social"), F.lit("0"), F.lit("blog"), F.lit("0"), F.lit("forum"), F.lit("0"), F.lit("dev"), F.lit("0"), F.lit("ugc"), F.lit("0")))
-    return E.plan_queries(q.withColumn("q", F.when(F.col("query_id") % 2 == 0, "inurl:en").otherwise("plain words")))
+    """Every query: half of them with an operator, a third without fallback."""
+    q = V.pages(spark, sf_dir, "page_id").select(V.query_of(F.col("page_id")).alias("query_id")).distinct().withColumn("engines", F.lit("duckduckgo,google"))
+    params = F.create_map(*[F.lit(x) for c in ("social", "blog", "forum", "dev", "ugc") for x in (c, "0")], F.lit("fallback"), (F.col("query_id") % 3).cast("string"))
+    q = q.withColumn("params", params).withColumn("q", F.when(F.col("query_id") % 2 == 0, "inurl:en").otherwise("plain words"))
+    return E.plan_queries(q)
 
 
-_SHAPED = f"with {V.RESULTS}, sh as (select * from res where query_id < 20 and (query_id % 2 = 1 or contains(lower(url), 'en')))"
+# What the layouts give: the url as cleaned for google (videos and short titles aside), as written for the others.
+_CAPTURED = f"""with {V.RESULTS}, cp0 as (select query_id, engine, engine_pos, page, pos, {_decode("title")} as title, case engine when 'google' then {S.clean("url")} else url end as url from res),
+cp1 as (select *, row_number() over (partition by query_id, engine, page, url order by pos) as pk from cp0 where length(title) >= case engine when 'google' then 3 else 2 end),
+cap as (select * from cp1 where pk = 1)"""
+_SHAPED = _CAPTURED + ", sh as (select * from cap where query_id % 2 = 1 or contains(lower(url), 'en'))"
+_QUERIES = "(select distinct page_id // 30 as query_id from pages)"
 
 
-@query(f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 when 'google' then 1 else 2 end as ep from sh), c as (select *, row_number() over (partition by query_id, engine, {S.canonical("url")} order by page, pos) as k from o),
+@query(f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 when 'google' then 1 else 2 end as ep from sh where query_id % 3 <> 0 or engine <> 'bing'),
+c as (select *, row_number() over (partition by query_id, engine, {S.canonical("url")} order by page, pos) as k from o),
 w as (select query_id, min(ep) as ep from c where k = 1 group by query_id), t as (select c.*, row_number() over (partition by query_id order by page, pos) as rank from c join w using (query_id, ep) where k = 1)
-select query_id, any_value(engine) as engine, count(*) as "count", array_to_string(list(rank || ':' || url order by rank), ' ') as results from t where rank <= 10 group by query_id""")
+select query_id, any_value(engine) as engine, count(*) as "count", array_to_string(list(rank || ':' || url order by rank), ' ') as results,
+any_value((select sum(query_id % 7 * 100 + page) from (select distinct r.page from res r where r.query_id = t.query_id and r.engine = t.engine)))::double as duration_ms from t where rank <= 10 group by query_id""")
 def e1_search_fallback(spark, sf_dir):
-    out = E.search_fallback(V.results(spark, sf_dir), _planned(spark, sf_dir))
-    return out.where("success").select("query_id", "engine", "count", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["url"])), " ").alias("results"))
+    out = E.search_fallback(_captured(spark, sf_dir), _planned(spark, sf_dir))
+    return out.where("success").select("query_id", "engine", "count", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["url"])), " ").alias("results"), "duration_ms")
 
 
-@query(f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 else 1 end as ep from sh where engine <> 'bing'), f as (select *, row_number() over (partition by query_id, url order by ep, page, pos) as k from o),
-t as (select *, row_number() over (partition by query_id order by ep, page, pos) as r from f where k = 1), c as (select *, row_number() over (partition by query_id, {S.canonical("url")} order by ep, page, pos) as kk from t where r <= 10)
-select query_id, url, row_number() over (partition by query_id order by ep, page, pos) as rank from c where kk = 1""")
+_MERGED = f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 else 1 end as ep from sh where engine <> 'bing'), f as (select *, row_number() over (partition by query_id, url order by ep, page, pos) as k from o),
+t as (select *, row_number() over (partition by query_id order by ep, page, pos) as r from f where k = 1), c as (select *, row_number() over (partition by query_id, {S.canonical("url")} order by ep, page, pos) as kk from t where r <= 10),
+mg as (select query_id, url, row_number() over (partition by query_id order by ep, page, pos) as rank from c where kk = 1)"""
+
+
+@query(f"{_MERGED} select * from mg")
 def e2_search_merge(spark, sf_dir):
-    return E.search_merge(V.results(spark, sf_dir), _planned(spark, sf_dir)).select("query_id", "url", "rank")
+    return E.search_merge(_captured(spark, sf_dir), _planned(spark, sf_dir))[0].select("query_id", "url", "rank")
+
 
+@query(f"""{_MERGED}, d as (select query_id, engine, sum(query_id % 7 * 100 + page)::double as ms from (select distinct query_id, engine, page from res where engine <> 'bing') group by 1, 2)
+select query_id, count(*) as engines_tried, count(*) filter (exists (select 1 from o where o.query_id = d.query_id and o.engine = d.engine)) as engines_ok, max(ms) as duration_ms, 'lite' as sources,
+any_value((select count(*) from mg where mg.query_id = d.query_id)) as "count" from d group by query_id""")
+def e2_merge_summary(spark, sf_dir):
+    return E.search_merge(_captured(spark, sf_dir), _planned(spark, sf_dir))[1]
 
-@query(f"""{_SHAPED}, c as (select *, row_number() over (partition by query_id, {S.canonical("url")} order by engine_pos, page, pos) as k from sh), d as (select * from c where query_id % 2 = 1 or k = 1),
-f as (select *, row_number() over (partition by query_id, url order by engine_pos, page, pos) as kk from d where title <> ''), q as (select page_id as query_id from pages where page_id < 20)
-select q.query_id as query_id, count(f.url) as n, coalesce(array_to_string(list(url order by engine_pos, page, pos) filter (url is not null), ' '), '') as links from q left join (select * from f where kk = 1) f using (query_id) group by q.query_id""")
+
+@query(f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 when 'google' then 1 else 2 end as ep from sh where query_id % 3 <> 0 or engine <> 'bing'),
+c as (select *, row_number() over (partition by query_id, engine, {S.canonical("url")} order by page, pos) as k from o), d as (select * from c where query_id % 2 = 1 or k = 1),
+w as (select query_id, min(ep) as ep from d group by query_id), m as (select d.*, row_number() over (partition by query_id, url order by page, pos) as kk from d join w using (query_id, ep) where title <> '')
+select q.query_id as query_id, count(m.url) as n, coalesce(array_to_string(list(url order by page, pos) filter (url is not null), ' '), '') as links from {_QUERIES} q left join (select * from m where kk = 1) m using (query_id) group by q.query_id""")
 def e3_search_compact(spark, sf_dir):
-    out = E.search_compact(V.results(spark, sf_dir), _planned(spark, sf_dir), ["q"])
+    out = E.search_compact(_captured(spark, sf_dir), _planned(spark, sf_dir), ["q"])
     return out.select("query_id", F.size("organic").cast("long").alias("n"), F.array_join(F.transform("organic", lambda x: x["link"]), " ").alias("links"))
 
 
-@query(f"""with {V.RESULTS}, q as (select distinct query_id from res union select 1000 + query_id from res), n as (select query_id, count(*) as n from res r where engine_pos = (select min(engine_pos) from res x where x.query_id = r.query_id) group by query_id)
-select q.query_id as query_id, q.query_id % 5 = 0 as cached, case when q.query_id % 5 = 0 then null else coalesce(n, 0) end as "count" from q left join n using (query_id)""")
+def _batch(spark, sf_dir):
+    """The queries twice in batches of ten, through the reader's form: the second list asks for pages that nobody took."""
+    ids = V.pages(spark, sf_dir, "page_id").select(V.query_of(F.col("page_id")).alias("query_id")).distinct()
+    ids = ids.unionByName(ids.select((F.col("query_id") + 1_000_000_000).alias("query_id")))
+    listed = ids.groupBy(F.floor(F.col("query_id") / 10).alias("b")).agg(F.sort_array(F.collect_list("query_id")).alias("l"))
+    path = new_folder(spark, "batch")
+    listed.select(F.transform("l", lambda x: F.concat(F.lit(" q"), x.cast("string"))).alias("queries")).write.json(path)
+    q = R.read_queries(spark, path, lines=True).withColumn("query_id", F.substring("q", 2, 20).cast("long"))
+    at = F.expr("timestampadd(SECOND, position, TIMESTAMP_NTZ'2024-01-01 10:00:00')")
+    queries = q.select("query_id", F.floor(F.col("query_id") / 10).alias("batch_id"), "position", F.col("q").alias("key"), at.alias("ts"))
+    old = F.when(F.col("query_id") % 5 == 0, F.lit("2024-01-01 09:59:00").cast("timestamp_ntz")).otherwise(F.lit("2024-01-01 09:00:00").cast("timestamp_ntz"))
+    stored = ids.where("query_id % 5 = 0 or query_id % 5 = 1").select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("key"), old.alias("stored_ts"), F.lit(1).alias("n"))
+    return E.batch_search(_captured(spark, sf_dir), queries, stored)
+
+
+_BATCH = f"""{_CAPTURED}, q as (select query_id, query_id // 10 as batch_id from (select query_id from {_QUERIES} union all select 1000000000 + query_id from {_QUERIES})),
+p as (select *, row_number() over (partition by batch_id order by query_id) - 1 as position from q),
+fe as (select query_id, min(engine_pos) as engine_pos from cap group by query_id),
+n as (select query_id, engine, count(*) as n from cap join fe using (query_id, engine_pos) group by query_id, engine),
+d as (select query_id, engine, sum(query_id % 7 * 100 + page)::double as ms from (select distinct query_id, engine, page from res) group by 1, 2),
+an as (select p.*, query_id % 5 = 0 as cached, case when query_id % 5 = 0 then null else coalesce(n, 0) end as "count", case when query_id % 5 = 0 then 0.0 else coalesce(ms, 0.0) end as duration_ms
+       from p left join n using (query_id) left join d using (query_id, engine))"""
+
+
+@query(f'{_BATCH} select query_id, position, cached, "count", duration_ms from an')
 def e4_batch_search(spark, sf_dir):
-    r = V.results(spark, sf_dir)
-    ids = r.select("query_id").distinct()
-    ids = ids.unionByName(ids.select((F.col("query_id") + 1000).alias("query_id")))
-    at = F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")
-    key = F.concat(F.lit("q"), F.col("query_id").cast("string"))
-    queries = ids.select("query_id", F.lit(1).alias("batch_id"), F.col("query_id").alias("position"), key.alias("key"), at.alias("ts"))
-    stored = ids.where("query_id % 5 = 0 or query_id % 5 = 1").select(key.alias("key"), F.when(F.col("query_id") % 5 == 0, at).otherwise(F.lit("2024-01-01 09:00:00").cast("timestamp_ntz")).alias("stored_ts"), F.lit(1).alias("n"))
-    answers, _ = E.batch_search(r, queries, stored)
-    return answers.select("query_id", "cached", "count")
-
-
-@query(r"""with h as (select page_id, url, unnest(regexp_extract_all(html, '\bhref="(/[^"]*)"', 1)) as href from pages where page_id % 5 = 0),
-l as (select distinct url, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || href as dst from h), s as (select url as start_url from pages where page_id % 5 = 0)
+    return _batch(spark, sf_dir)[0].select("query_id", F.col("position").cast("long").alias("position"), "cached", "count", "duration_ms")
+
+
+@query(f'{_BATCH} select batch_id, count(*) as batch_size, count(*) filter (cached or "count" > 0) as completed, max(position * 1000 + duration_ms) - min(position * 1000) as duration_ms from an group by batch_id')
+def e4_batch_summary(spark, sf_dir):
+    return _batch(spark, sf_dir)[1]
+
+
+@query(r"""with h as (select page_id, url, unnest(regexp_extract_all(html, '\bhref="(/[^"]*)"', 1)) as href from pages),
+l as (select distinct url, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || href as dst from h), s as (select distinct url as start_url from pages)
 select start_url, least(count(dst) filter (dst <> start_url) + 1, 8) as crawled from s left join l on url = start_url group by start_url""")
 def e5_crawl(spark, sf_dir):
     p = V.pages(spark, sf_dir)
-    starts = p.where("page_id % 5 = 0").select(F.col("url").alias("start_url"))
+    starts = p.select(F.col("url").alias("start_url"))
     return E.crawl(p, starts, 8, 1)[1].select("start_url", F.col("crawled").cast("long"))
 
 
-@query(f"""with {V.SCAN}, p as (select page_id, case when page_id % 11 = 0 then 'bad' else '10.' || (page_id % 7) || '.' || (page_id % 251) || '.9' end as ip from pages)
+@query(f"""with {V.SCAN}, p as (select page_id, case when page_id % 11 = 0 then 'bad' else {V.address_sql("page_id")} end as ip from pages)
 select page_id, p.ip as ip, sc.ip is not null as found, case when page_id % 11 = 0 then null else p.ip end as ip_str, case when page_id % 11 <> 0 then 80 end as port, case when page_id % 11 <> 0 then array_to_string(coalesce(sc.ports, []), ',') end as ports, product from p left join sc on p.ip = sc.ip""")
 def e6_host_inventory(spark, sf_dir):
     k = F.col("page_id")
-    ip = F.when(k % 11 == 0, "bad").otherwise(F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("9")))
+    ip = F.when(k % 11 == 0, "bad").otherwise(V.address(k))
     rows, _ = E.host_inventory(V.pages(spark, sf_dir, "page_id").select("page_id", ip.alias("ip")), V.scan(spark, sf_dir))
     return rows.select("page_id", "ip", "found", "host.ip_str", "host.port", F.array_join(F.col("host.ports").cast("array<string>"), ",").alias("ports"), "host.product")
 
@@ -296,11 +379,6 @@ def e7_health_report(spark, sf_dir):
     return E.health_report(V.outcomes(spark, sf_dir), registry).select("engine", "ok", "fail", "lite", "blocked", "p50")
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="siftframe-")
-    return f"{base.rstrip('/')}/siftframe/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf_dir, table: str):
     # A pattern, since a stream's path may not be a single file.
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
@@ -319,9 +397,25 @@ def _outcome_stream(spark, sf_dir):
 _us = lambda c: F.unix_micros(c).alias(c)
 
 
-@query(rf"""select page_id, 'ok' as label, {_decode(r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))")} as title from pages""")
+@query(rf"""select page_id, case when page_id % 4 = 0 then 'blocked' else 'ok' end as label, {_decode(r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))")} as title from pages""")
 def t1_stream_extract(spark, sf_dir):
-    return ST.run_available(ST.stream_extract(_stream(spark, sf_dir, "pages")), _folder(spark, "t1")).select("page_id", "label", "title")
+    p = _stream(spark, sf_dir, "pages")
+    p = p.withColumn("html", F.concat("html", F.when(F.col("page_id") % 4 == 0, "<p>Verify you are human").otherwise("")))
+    return ST.run_available(ST.stream_extract(p), new_folder(spark, "t1")).select("page_id", "label", "title")
+
+
+@query(f"""with p as (select page_id, {_decode(r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))")} as title, url from pages)
+select page_id, title, url, 1 as rank from p where page_id % 4 <> 0 and length(title) >= 2
+union all select page_id, 'second', 'https://second.example/' || page_id, case when length(title) >= 2 then 2 else 1 end from p where page_id % 4 <> 0""")
+def t1_stream_results(spark, sf_dir):
+    """Result pages of bing as they arrive: each page's own url and title, and a second result."""
+    p = _stream(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    one = lambda url, label: F.concat(F.lit('<li class="b_algo"><h2><a href="'), url, F.lit('">'), label, F.lit("</a></h2></li>"))
+    second = one(F.concat(F.lit("https://second.example/"), F.col("page_id").cast("string")), F.lit("second"))
+    html = F.concat(F.lit("<title>x</title>"), one(F.replace("url", F.lit("&"), F.lit("&amp;")), title), second, F.when(F.col("page_id") % 4 == 0, "<p>access denied").otherwise(""))
+    out = ST.run_available(p.select("page_id", F.lit("bing").alias("engine"), F.lit(None).cast("string").alias("url"), html.alias("html")), new_folder(spark, "t1"), each=ST.batch_results)
+    return out.select("page_id", "title", "url", "rank")
 
 
 @query(f"""with {V.OUTCOMES}, ru as (select *, count(*) filter (ok) over (partition by key order by ts, event_id rows unbounded preceding) as run from outc),
@@ -329,15 +423,14 @@ sk as (select *, count(*) filter (not ok) over (partition by key, run order by t
 select key, epoch_us(ts) as ts, 'open' as state, epoch_us(ts) + 120000000 as open_until, streak from pv where streak >= 3
 union all select key, epoch_us(ts), 'closed', epoch_us(ts), 0 from pv where ok and before >= 3""")
 def t2_stream_breaker(spark, sf_dir):
-    out = ST.run_available(ST.stream_breaker(_outcome_stream(spark, sf_dir)), _folder(spark, "t2"))
+    out = ST.run_available(ST.stream_breaker(_outcome_stream(spark, sf_dir)), new_folder(spark, "t2"))
     return out.select("key", _us("ts"), "state", _us("open_until"), "streak")
 
 
-@query("select distinct 'k' || (user_id % 40) || date_trunc('day', ts)::date as key from events")
+@query("""with recursive r as (select 'k' || (user_id % 40) as key, epoch_us(ts) as t from events), k as (select key, min(t) as t from r group by key
+union all select key, (select min(r.t) from r where r.key = k.key and r.t > k.t + 3600000000) as t from k where k.t is not null) select key, t as ts from k where t is not null""")
 def t3_stream_dedupe(spark, sf_dir):
-    s = _outcome_stream(spark, sf_dir)
-    s = s.withColumn("key", F.concat("key", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("ts") / 86400).cast("int")), "yyyy-MM-dd")))
-    return ST.run_available(ST.stream_dedupe(s), _folder(spark, "t3")).select("key")
+    return ST.run_available(ST.stream_dedupe(_outcome_stream(spark, sf_dir), 3600), new_folder(spark, "t3")).select("key", _us("ts"))
 
 
 @query("""with k as (select 'k' || (user_id % 40) as key, ts, case event_type when 'error' then 'dead' when 'view' then 'plain' when 'click' then 'gated' else 'tunnel' end as kind from events),
@@ -348,7 +441,7 @@ def t4_stream_status(spark, sf_dir):
     ts = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))"))
     kind = F.when(F.col("event_type") == "error", "dead").when(F.col("event_type") == "view", "plain").when(F.col("event_type") == "click", "gated").otherwise("tunnel")
     s = e.select(ts.alias("ts"), F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("key"), kind.alias("kind"))
-    out = ST.run_available(ST.stream_status(s), _folder(spark, "t4"), "update")
+    out = ST.run_available(ST.stream_status(s), new_folder(spark, "t4"), "update")
     last = out.groupBy("key").agg(F.max_by(F.struct("kind", "ts", "expires"), "_batch").alias("s")).select("key", "s.*")
     now = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))")).alias("t")).agg(F.max("t")).withColumnRenamed("max(t)", "now")
     return ST.usable(last.join(F.broadcast(now), F.lit(True)), F.col("now")).select("key", "kind", _us("ts"), "usable")
@@ -356,7 +449,7 @@ def t4_stream_status(spark, sf_dir):
 
 @query(f"with {V.OUTCOMES} select epoch_us(time_bucket(interval 6 hours, ts, timestamp '1970-01-01')) as start, key, count(*) filter (ok) as ok, count(*) filter (not ok) as fail, count(*) filter (source = 'lite') as lite from outc group by 1, 2")
 def t5_stream_outcomes(spark, sf_dir):
-    out = ST.run_available(ST.stream_outcomes(_outcome_stream(spark, sf_dir), "6 hours", watermark="40 days"), _folder(spark, "t5"), "update")
+    out = ST.run_available(ST.stream_outcomes(_outcome_stream(spark, sf_dir), "6 hours", watermark="40 days"), new_folder(spark, "t5"), "update")
     last = out.groupBy("start", "key").agg(F.max_by(F.struct("ok", "fail", "lite"), "_batch").alias("s"))
     return last.select(_us("start"), "key", "s.*")
 
@@ -364,5 +457,5 @@ def t5_stream_outcomes(spark, sf_dir):
 @query(f"""with {V.OUTCOMES}, l as (select key, duration_ms, row_number() over (partition by key order by ts desc, event_id desc) as k from outc)
 select key, count(*) as n, floor(quantile_disc(duration_ms, 0.5) + 0.5)::bigint as p50, floor(quantile_disc(duration_ms, 0.95) + 0.5)::bigint as p95, floor(max(duration_ms) + 0.5)::bigint as max from l where k <= 100 group by key""")
 def t6_stream_latency(spark, sf_dir):
-    out = ST.run_available(ST.stream_latency(_outcome_stream(spark, sf_dir), 100), _folder(spark, "t6"), "update")
+    out = ST.run_available(ST.stream_latency(_outcome_stream(spark, sf_dir), 100), new_folder(spark, "t6"), "update")
     return out.groupBy("key").agg(F.max_by(F.struct("n", "p50", "p95", "max"), "_batch").alias("s")).select("key", "s.*")

@@ -157,7 +157,7 @@ def p13_parse_cpe(spark, sf_dir):
 select page_id, case when page_id % 9 <> 0 then ((split_part(ip, '.', 1)::bigint * 256 + split_part(ip, '.', 2)::bigint) * 256 + split_part(ip, '.', 3)::bigint) * 256 + split_part(ip, '.', 4)::bigint end as ip_number from a""")
 def p14_ip_to_number(spark, sf_dir):
     k = F.col("page_id")
-    ip = F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("9"))
+    ip = V.address(k)
     return P.ip_to_number(V.pages(spark, sf_dir, "page_id").withColumn("ip", F.when(k % 9 == 0, "none").otherwise(ip)), "ip").select("page_id", "ip_number")
 
 

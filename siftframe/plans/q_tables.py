@@ -35,14 +35,23 @@ def query(sql: str | None = None):
 _TEXT = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"""
 
 
-@query(rf"""with p as (select page_id, html, case when page_id % 7 = 0 then url || '/sorry/x' else url end as url, case page_id % 5 when 1 then ' access denied ' when 2 then ' robot ' else '' end as extra from pages),
-t as (select page_id, url, {_TEXT} || extra as low from p)
-select page_id, case when page_id % 7 = 0 then 'url' when page_id % 5 = 1 then 'strong: access denied' when page_id % 5 = 2 then 'medium: robot' end as reason,
-case when page_id % 7 = 0 or page_id % 5 in (1, 2) then 'blocked' else 'ok' end as label from t""")
+@query("""select page_id, case when page_id % 7 = 0 then 'url' when page_id % 5 = 1 then 'strong: access denied' when page_id % 5 = 2 and page_id % 2 = 0 then 'medium: robot'
+when page_id % 5 = 3 and page_id % 4 = 0 then 'strong: our systems have detected' when page_id % 5 = 3 and page_id % 4 in (1, 2) then 'strong: just a moment'
+when page_id % 5 = 4 and page_id % 4 = 0 then 'challenge script' when page_id % 5 = 4 and page_id % 4 = 3 then 'login' end as reason,
+case when page_id % 7 = 0 or page_id % 5 = 1 or (page_id % 5 = 2 and page_id % 2 = 0) or (page_id % 5 = 3 and page_id % 4 <> 3) or (page_id % 5 = 4 and page_id % 4 in (0, 3)) then 'blocked' else 'ok' end as label from pages""")
 def f1_classify_pages(spark, sf_dir):
+    """Pages of four engines with a sign of a block page each; those with an odd number also have a result of their engine."""
     p = V.pages(spark, sf_dir)
     k = F.col("page_id")
-    p = p.select("page_id", F.when(k % 7 == 0, F.concat("url", F.lit("/sorry/x"))).otherwise(F.col("url")).alias("url"), F.concat("html", F.when(k % 5 == 1, "<p>Access <b>denied</b>").when(k % 5 == 2, "<p>ROBOT").otherwise("")).alias("html"))
+    engine = F.get(F.array(*[F.lit(e) for e in ("google", "bing", "brave", "shodan")]), (k % 4).cast("int"))
+    result = F.when(k % 4 == 1, '<li class="x b_algo"><a href="http://a/">r</a></li>').when(k % 4 == 3, '<a href="https://s.example/host/1.2.3.4">h</a>').otherwise("")
+    google = "<div>Our systems have detected something</div>"
+    sign = (
+        F.when(k % 5 == 1, "<p>Access <b>denied</b>").when(k % 5 == 2, "<p>ROBOT").when((k % 5 == 3) & (k % 4 == 0), google).when((k % 5 == 3) & (k % 4 != 3), "<p>Just a moment...")
+        .when((k % 5 == 4) & (k % 4 == 0), '<div id="captcha"></div>').when((k % 5 == 4) & (k % 4 == 3), "<p>Please log in").otherwise("")
+    )
+    url = F.when(k % 7 == 0, F.concat("url", F.lit("/sorry/x"))).otherwise(F.col("url"))
+    p = p.select("page_id", engine.alias("engine"), url.alias("url"), F.concat("html", result, sign).alias("html"))
     return FI.classify_pages(p).select("page_id", "label", "reason")
 
 
@@ -129,7 +138,7 @@ def f9_valid_results(spark, sf_dir):
     return FI.valid_results(r).select("query_id", "engine", "page", "pos", F.col("_t").alias("title"), "url")
 
 
-_LOOKUPS = rf"""with {V.SCAN}, d as (select doc_id, coalesce(nullif(regexp_extract(text, '\b(\d{{1,3}}(\.\d{{1,3}}){{3}})\b', 1), ''), case when doc_id % 3 = 0 then 'no address' else '10.' || (doc_id % 7) || '.' || (doc_id % 251) || '.9' end) as ip from documents),
+_LOOKUPS = rf"""with {V.SCAN}, d as (select doc_id, coalesce(nullif(regexp_extract(text, '\b(\d{{1,3}}(\.\d{{1,3}}){{3}})\b', 1), ''), case when doc_id % 3 = 0 then 'no address' else {V.address_sql("doc_id")} end) as ip from documents),
 lu as (select doc_id, ip, regexp_full_match(ip, '\d{{1,3}}(\.\d{{1,3}}){{3}}') as valid, ip in (select ip from sc) as known from d)"""
 
 
@@ -137,7 +146,7 @@ def _lookups(spark, sf_dir):
     from ..functions.hosts import ip_in
 
     k = F.col("doc_id")
-    other = F.when(k % 3 == 0, "no address").otherwise(F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("9")))
+    other = F.when(k % 3 == 0, "no address").otherwise(V.address(k))
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(ip_in(F.col("text")), other).alias("ip"))
     return FI.label_ip_rows(d, V.scan(spark, sf_dir))
 
@@ -152,13 +161,17 @@ def a8_host_lookup_summary(spark, sf_dir):
     return A.host_lookup_summary(_lookups(spark, sf_dir))
 
 
-@query(rf"""with hs as (select distinct {S.bare("url")} as h from pages), q as (select h, row_number() over (order by h) as query_id from hs),
-p as (select page_id, url, {S.bare("url")} as h, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title from pages)
-select query_id, page_id from q join p on p.h = q.h or ends_with(p.h, '.' || q.h) where contains(lower(url), 'http') and not contains(lower(title), 'the') and not contains(lower(url), 'zzz')""")
+@query(rf"""with p as (select page_id, url, {S.bare("url")} as h, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, {_TEXT} as body from pages),
+hs as (select distinct h from p), q as (select ('0x' || substr(md5(h), 1, 12))::bigint as query_id, h from hs),
+b as (select p.*, regexp_replace(title, '\s+', ' ', 'g') || ' ' || body as both_ from p)
+select 2 * query_id as query_id, page_id from q join b on b.h = q.h or ends_with(b.h, '.' || q.h) where contains(lower(url), 'http') and not contains(both_, 'the')
+union all select 2 * query_id + 1, page_id from q join b on b.h = q.h or ends_with(b.h, '.' || q.h) where contains(both_, 'of') and contains(body, 'a')""")
 def f11_search_pages(spark, sf_dir):
-    p = V.pages(spark, sf_dir).select("page_id", "url", FI.title_of(F.col("html")).alias("title"), F.lit("").alias("text"))
-    names = p.select(urls.bare_host(F.col("url")).alias("h")).distinct()
-    q = names.select(F.row_number().over(Window.orderBy("h")).cast("long").alias("query_id"), F.concat(F.lit("site:"), "h", F.lit(" inurl:http -the")).alias("q"))
+    p = V.pages(spark, sf_dir).select("page_id", "url", FI.title_of(F.col("html")).alias("title"), FI.visible_text(F.col("html")).alias("text"))
+    names = V.pages(spark, sf_dir, "url").select(urls.bare_host(F.col("url")).alias("h")).distinct()
+    number = F.conv(F.substring(F.md5("h"), 1, 12), 16, 10).cast("long")
+    forms = F.array(F.concat(F.lit("site:"), "h", F.lit(" inurl:http -the")), F.concat(F.lit("site:"), "h", F.lit(' "of" intext:a')))
+    q = names.select(number.alias("n"), F.posexplode(forms).alias("k", "q")).select((F.col("n") * 2 + F.col("k")).alias("query_id"), "q")
     return FI.search_pages(p, P.parse_query_operators(q)).select("query_id", "page_id")
 
 
@@ -259,7 +272,8 @@ def a5_merge_summary(spark, sf_dir):
     return A.merge_summary(V.results(spark, sf_dir), _query_outcomes(spark, sf_dir))
 
 
-@query(f"with {V.OUTCOMES} select event_id // 100 as batch_id, count(*) as batch_size, count(*) filter (ok) as completed, round(sum(duration_ms), 4) as duration_ms from outc group by 1")
+@query(f"""with {V.OUTCOMES} select event_id // 100 as batch_id, count(*) as batch_size, count(*) filter (ok) as completed,
+(max(epoch_us(ts) + floor(duration_ms * 1000)::bigint) - min(epoch_us(ts))) / 1000.0 as duration_ms from outc group by 1""")
 def a6_batch_summary(spark, sf_dir):
     out = A.batch_summary(V.outcomes(spark, sf_dir).withColumn("batch_id", F.floor(F.col("event_id") / 100)))
     return out.withColumn("duration_ms", F.round("duration_ms", 4))

@@ -35,14 +35,19 @@ deco as (select page_id, k, case k when 0 then url when 1 then bare || case when
          when 2 then bare || '#x' else case when contains(bare, '?') then bare else bare || '/' end end as url from deco0)"""
 
 
+def query_of(page_id):
+    """The query that a page is a result of: as many queries as pages allow, with 30 pages each."""
+    return F.floor(page_id / 30).cast("long")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of 20 queries: each page comes from two or three engines under one of its spellings."""
+    """Result rows, a query for each 30 pages: each page comes from two or three engines under one of its spellings."""
     deco = decorated(spark, sf_dir).join(pages(spark, sf_dir, "page_id", "html").select("page_id", title_of(F.col("html")).alias("title")), "page_id")
     names = F.array(*[F.lit(e) for e in ENGINES])
     rows = deco.where("k < 3").where("(page_id + k) % 4 <> 0")
     return rows.select(
-        (F.col("page_id") % 20).alias("query_id"), F.get(names, F.col("k")).alias("engine"), F.col("k").alias("engine_pos"),
-        (F.floor(F.col("page_id") / 20) % 3 + 1).cast("int").alias("page"), F.col("page_id").cast("int").alias("pos"), "title", "url",
+        query_of(F.col("page_id")).alias("query_id"), F.get(names, F.col("k")).alias("engine"), F.col("k").alias("engine_pos"),
+        (F.floor(F.col("page_id") / 10) % 3 + 1).cast("int").alias("page"), F.col("page_id").cast("int").alias("pos"), "title", "url",
         F.concat(F.lit(" page "), F.col("page_id").cast("string"), F.lit(" ")).alias("snippet"),
     )
 
@@ -50,7 +55,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS = (
     DECORATED
     + """,
-res as (select page_id % 20 as query_id, ['google', 'bing', 'duckduckgo'][k + 1] as engine, k as engine_pos, (page_id // 20 % 3 + 1)::int as page, page_id::int as pos,
+res as (select page_id // 30 as query_id, ['google', 'bing', 'duckduckgo'][k + 1] as engine, k as engine_pos, (page_id // 10 % 3 + 1)::int as page, page_id::int as pos,
         trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title, deco.url as url, ' page ' || page_id || ' ' as snippet
         from deco join pages using (page_id) where k < 3 and (page_id + k) % 4 <> 0)"""
 )
@@ -114,11 +119,21 @@ li0 as (select l_orderkey, l_partkey, lead(l_partkey) over w as nxt, row_number(
 lk as (select 'https://p.example/' || l_partkey as src_url, min(l_orderkey * 100 + n) as pos, 'https://p.example/' || nxt as dst_url from li0 where nxt is not null and nxt <> l_partkey group by l_partkey, nxt)"""
 
 
+def address(k, first: int = 10):
+    """An address of its own for each number under three billion."""
+    octet = lambda n: F.floor(k / 251**n) % 251
+    return F.concat_ws(".", (first + 20 * octet(3)).cast("string"), *[octet(n).cast("string") for n in (2, 1, 0)])
+
+
+def address_sql(k: str, first: int = 10) -> str:
+    return f"(({first} + 20 * ({k} // {251**3} % 251)) || '.' || ({k} // {251**2} % 251) || '.' || ({k} // 251 % 251) || '.' || ({k} % 251))"
+
+
 def host_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search cards of hosts, one a page: an address or a name, ports and names."""
     p = pages(spark, sf_dir, "page_id", "url")
     k = F.col("page_id")
-    ip = F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("9"))
+    ip = address(k)
     h = urls.host(F.col("url"))
     return p.select(
         "page_id", F.when(k % 3 == 0, F.concat(F.lit("http://"), ip, F.lit(":8080/"))).otherwise(F.col("url")).alias("url"), F.concat(F.lit("host "), ip).alias("title"),
@@ -127,25 +142,27 @@ def host_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-HOST_PAGES = r"""
-hp0 as (select page_id as k, url, '10.' || (page_id % 7) || '.' || (page_id % 251) || '.9' as ip, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as h from pages),
+HOST_PAGES = rf"""
+hp0 as (select page_id as k, url, {address_sql("page_id")} as ip, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as h from pages),
 hp as (select k as page_id, h, case when k % 3 = 0 then 'http://' || ip || ':8080/' else url end as url, 'host ' || ip as title, case when k % 4 = 0 then ip end as ip, ip as any_ip,
        case when k % 2 = 0 then [(k % 3 * 100)::int, 22] end as ports, case when k % 5 < 3 then ['a.' || h, ip, ' '] end as hostnames, case when k % 6 = 0 then ' Org ' end as org from hp0)"""
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A host scan: two of three addresses of host_pages."""
+    """A host scan with a row for each page: two of three have the address of host_pages, the others one of their own."""
     k = F.col("page_id")
-    p = pages(spark, sf_dir, "page_id").where(k % 3 != 1).where(k < 1757)  # addresses repeat after 7 * 251 pages
-    ip = F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 251).cast("string"), F.lit("9"))
+    p = pages(spark, sf_dir, "page_id")
+    ip = F.when(k % 3 == 1, address(k, 11)).otherwise(address(k))
     cpe = F.when(k % 2 == 0, F.concat(F.lit("cpe:2.3:a:nginx:nginx:1."), (k % 20).cast("string"), F.lit(":*:*:*:*:*:*:*"))).otherwise("cpe:/a:openbsd:openssh:-")
     return p.select(
-        ip.alias("ip"), F.array(F.lit(22), (k % 9 + 80).cast("int")).alias("ports"), F.array(F.lit("scan.example"), ip).alias("hostnames"), F.array(F.lit("junk"), cpe).alias("cpes"),
-        F.array(F.lit("cloud")).alias("tags"), F.when(k % 4 == 0, F.array(F.lit("CVE-1"), F.lit("CVE-2"))).otherwise(F.array().cast("array<string>")).alias("vulns"),
+        ip.alias("ip"), F.array(F.lit(22), (k % 9 + 80).cast("int")).alias("ports"), F.array(F.lit("scan.example"), ip).alias("hostnames"),
+        F.array(F.lit("junk"), cpe).alias("cpes"), F.array(F.lit("cloud")).alias("tags"),
+        F.when(k % 4 == 0, F.array(F.lit("CVE-1"), F.lit("CVE-2"))).otherwise(F.array().cast("array<string>")).alias("vulns"),
     )
 
 
-SCAN = """
-sc as (select '10.' || (page_id % 7) || '.' || (page_id % 251) || '.9' as ip, [22, (page_id % 9 + 80)::int] as ports, ['scan.example', '10.' || (page_id % 7) || '.' || (page_id % 251) || '.9'] as hostnames,
-       case when page_id % 2 = 0 then 'nginx' else 'openbsd' end as vendor, case when page_id % 2 = 0 then 'nginx' else 'openssh' end as product, case when page_id % 2 = 0 then '1.' || (page_id % 20) end as version,
-       case when page_id % 4 = 0 then ['CVE-1', 'CVE-2'] else []::varchar[] end as vulns from pages where page_id % 3 <> 1 and page_id < 1757)"""
+SCAN = f"""
+sc0 as (select page_id, case when page_id % 3 = 1 then {address_sql("page_id", 11)} else {address_sql("page_id")} end as ip from pages),
+sc as (select ip, [22, (page_id % 9 + 80)::int] as ports, ['scan.example', ip] as hostnames,
+       case when page_id % 2 = 0 then 'nginx' else 'openbsd' end as vendor, case when page_id % 2 = 0 then 'nginx' else 'openssh' end as product,
+       case when page_id % 2 = 0 then '1.' || (page_id % 20) end as version, case when page_id % 4 = 0 then ['CVE-1', 'CVE-2'] else []::varchar[] end as vulns from sc0)"""

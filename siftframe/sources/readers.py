@@ -30,11 +30,16 @@ def clean_query_list(df: DataFrame, col: str = "q", cap: int | None = None) -> D
     return rows
 
 
-def read_queries(spark: SparkSession, path: str, cap: int | None = None, most: int = 2000) -> DataFrame:
-    """(position, q) from JSON documents {"queries": [...]}; more than `cap` (at most `most`) queries raise."""
-    raw = spark.read.schema("queries array<string>").json(path, multiLine=True)
-    rows = raw.select(F.posexplode("queries").alias("position", "q"))
-    return clean_query_list(rows, "q", min(cap, most) if cap else most)
+def read_queries(spark: SparkSession, path: str, cap: int = 200, most: int = 2000, *, lines: bool = False) -> DataFrame:
+    """(batch_id, position, q) from JSON documents {"queries": [...]}, one a file, or one a line with `lines`. Queries
+    are trimmed and blank ones dropped; a document with more than `cap` (at most `most`) of them raises a ValueError.
+    What is no such document has no queries; batch_id numbers the documents of this scan."""
+    raw = spark.read.schema("queries array<string>").json(path, multiLine=not lines)
+    rows = raw.withColumn("batch_id", F.monotonically_increasing_id()).select("batch_id", F.posexplode("queries").alias("position", "q"))
+    rows, cap = clean_query_list(rows, "q"), min(cap, most)
+    if not rows.groupBy("batch_id").agg(F.count("*").alias("n")).where(F.col("n") > cap).isEmpty():
+        raise ValueError(f"a document has more than {cap} queries")
+    return rows
 
 
 def read_host_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ def envelopes(results: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def write_envelopes(results: DataFrame, outcomes: DataFrame, path: str, *, run_date: str, fmt: str = "json") -> None:
+    """Append envelopes to the folder of their run date."""
     envelopes(results, outcomes).withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").format(fmt).save(path)
 
 
@@ -37,4 +38,5 @@ def organic(results: DataFrame, queries: DataFrame, order=("engine_pos", "page",
 
 
 def write_organic(results: DataFrame, queries: DataFrame, path: str) -> None:
+    """Append compact rows as JSON lines."""
     organic(results, queries).write.mode("append").json(path)

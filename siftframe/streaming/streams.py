@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.extract import extract_page
+from ..operators.extract import extract_page, extract_results
 from ..operators.filters import classify_pages
 
+#: State of a key without rows goes when the watermark is so far past its last one.
+IDLE_MS = 7 * 86_400_000
+
 
 def stream_extract(pages: DataFrame) -> DataFrame:
     """Each page as it arrives: its label and reason, title, description and text. Stateless, so a stream gives what a
@@ -19,53 +23,115 @@ def stream_extract(pages: DataFrame) -> DataFrame:
     return extract_page(classify_pages(pages), keep=("label", "reason"))
 
 
-BREAKER = "key string, ts timestamp, state string, open_until timestamp, streak long"
+def batch_results(pages: DataFrame) -> DataFrame:
+    """The result rows of the pages of a micro-batch that are no block pages, for run_available(each=...): ranks and
+    first-wins are per page, and a page is in one micro-batch, so a stream gives what a batch gives."""
+    good = classify_pages(pages).where("label = 'ok'").select("page_id", "engine", "html")
+    return extract_results(good)
+
+
+def _expire(state: GroupState, at_ms: int) -> None:
+    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs() + 1))
+
+
+def _columns(batches: Iterator[pd.DataFrame], *names: str) -> list[np.ndarray]:
+    """Columns of all batches as arrays, times in nanoseconds: what of a key's rows in a micro-batch has to be sorted."""
+    parts = [[b[n].astype("datetime64[ns]").astype("int64").to_numpy() if n == "ts" else b[n].to_numpy() for n in names] for b in batches]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(names))]
+
+
+BREAKER = "key string, ts timestamp, state string, open_until timestamp, streak long, dropped_late long"
 
 
-def stream_breaker(outcomes: DataFrame, fails: int = 3, open_ms: int = 120_000, *, watermark: str = "1 hour") -> DataFrame:
-    """Breaker changes (key, ts, state, open_until, streak): "open" for each failure that makes or extends an open
-    breaker, "closed" for the success that ends one. Rows of a key are taken by time within a micro-batch; rows that are
-    older than the key's last one change nothing. Engines use 3 failures and two minutes, hosts 2 and three."""
+def stream_breaker(outcomes: DataFrame, fails: int = 3, open_ms: int = 120_000, *, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """Breaker changes (key, ts, state, open_until, streak, dropped_late): "open" for each failure that makes or extends
+    an open breaker, "closed" for the success that ends one. Rows of a key are taken by time within a micro-batch; rows
+    that are older than the key's last one of an earlier micro-batch change nothing and are counted in dropped_late;
+    those older than the watermark are dropped before (see run_available). Engines use 3 failures and two minutes, hosts
+    windows.HOST_PRESET.
+
+    The state is a streak, a time and a count, and goes after idle_ms without rows. A task holds 17 bytes a row of one
+    key and micro-batch; the source's maxFilesPerTrigger or maxBytesPerTrigger bounds that."""
     fails, span = max(2, fails), pd.Timedelta(milliseconds=max(5_000, open_ms))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, ok in zip(rows["ts"], rows["ok"], strict=True):
-            if ts.value < last:
+        out, columns = [], ["key", "ts", "state", "open_until", "streak", "dropped_late"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(out, columns=columns)
+            return
+        streak, last, late = state.get if state.exists else (0, 0, 0)
+        times, ids, oks = _columns(batches, "ts", "event_id", "ok")
+        late += int((times < last).sum())
+        for k in np.lexsort((ids, times)):
+            if times[k] < last:
                 continue
-            last = ts.value
+            ok, ts = bool(oks[k]), pd.Timestamp(int(times[k]))
             if ok and streak >= fails:
-                out.append((key[0], ts, "closed", ts, 0))
+                out.append((key[0], ts, "closed", ts, 0, late))
             streak = 0 if ok else streak + 1
             if streak >= fails:
-                out.append((key[0], ts, "open", ts + span, streak))
-        state.update((streak, last))
-        yield pd.DataFrame(out, columns=["key", "ts", "state", "open_until", "streak"])
+                out.append((key[0], ts, "open", ts + span, streak, late))
+        last = max(last, int(times.max()) if len(times) else 0)
+        state.update((streak, last, late))
+        _expire(state, last // 1_000_000 + idle_ms)
+        yield pd.DataFrame(out, columns=columns)
 
     rows = outcomes.select("key", "ts", "event_id", "ok").withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(step, BREAKER, "streak long, last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, BREAKER, "streak long, last long, late long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_dedupe(requests: DataFrame, ttl: str = "300 seconds", key: str = "key", ts: str = "ts") -> DataFrame:
-    """The first request of each key within the time that an answer may be reused."""
-    return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def stream_dedupe(requests: DataFrame, ttl_s: int = 300, key: str = "key", ts: str = "ts", *, watermark: str = "1 hour") -> DataFrame:
+    """(key, ts): the requests that are answered anew. An answer is reused by requests of its key that are at most ttl_s
+    seconds younger; the next one is answered anew, and its answer reused in turn. Requests that are older than their
+    key's last answer (late ones) count as answered. The state is the time of the last answer, and goes with it."""
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            (times,) = _columns(batches, "ts")
+            for t in np.sort(times).tolist():
+                if last is None or t - last > ttl_s * 1_000_000_000:
+                    last = t
+                    out.append((k[0], pd.Timestamp(t)))
+            state.update((last,))
+            _expire(state, last // 1_000_000 + 1000 * ttl_s)
+        yield pd.DataFrame(out, columns=["key", "ts"])
+
+    rows = requests.select(F.col(key).alias("key"), F.col(ts).alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_status(events: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
-    """Updates (key, kind, ts, expires): the last status of each key; `dead` holds for 5 minutes, the others for 10."""
+    """Updates (key, kind, ts, expires, dropped_late): the last status of each key; `dead` holds for 5 minutes, the
+    others for 10, and the state goes when the watermark is past that. Rows older than the key's status change nothing
+    and are counted in dropped_late."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "kind"])
-        kind, ts = rows["kind"].iloc[-1], rows["ts"].iloc[-1]
-        if state.exists and state.get[1] > ts.value:
-            kind, ts = state.get[0], pd.Timestamp(state.get[1])
-        state.update((kind, ts.value))
-        yield pd.DataFrame({"key": [key[0]], "kind": [kind], "ts": [ts], "expires": [ts + pd.Timedelta(minutes=5 if kind == "dead" else 10)]})
+        columns = ["key", "kind", "ts", "expires", "dropped_late"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        kind, last, late = state.get if state.exists else ("", -1, 0)
+        before = last
+        for pdf in batches:  # a running best: one batch is held at a time
+            times = pdf["ts"].astype("datetime64[ns]").astype("int64").to_numpy()
+            late += int((times < before).sum())
+            best = max(zip(times.tolist(), pdf["kind"], strict=True))
+            if best > (last, kind):
+                last, kind = best
+        expires = last + (300 if kind == "dead" else 600) * 1_000_000_000
+        state.update((kind, last, late))
+        _expire(state, expires // 1_000_000)
+        yield pd.DataFrame([(key[0], kind, pd.Timestamp(last), pd.Timestamp(expires), late)], columns=columns)
 
     rows = events.select("key", "ts", "kind").withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, kind string, ts timestamp, expires timestamp", "kind string, ts long", "update", GroupStateTimeout.NoTimeout)
+    schema = "key string, kind string, ts timestamp, expires timestamp, dropped_late long"
+    return rows.groupBy("key").applyInPandasWithState(step, schema, "kind string, ts long, late long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def usable(status: DataFrame, now) -> DataFrame:
@@ -82,35 +148,51 @@ def stream_outcomes(outcomes: DataFrame, window: str = "1 hour", *, watermark: s
     return counts.select(F.col("window.start").alias("start"), "key", "ok", "fail", "lite", "render")
 
 
-def stream_latency(outcomes: DataFrame, last: int = 500, *, watermark: str = "1 hour") -> DataFrame:
-    """Updates (key, n, p50, p95, max) over the last durations of each key, which are the state."""
+def stream_latency(outcomes: DataFrame, last: int = 500, *, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """Updates (key, n, p50, p95, max) over the last durations of each key, which are the state; it goes after idle_ms
+    without rows. A late row takes its place by time, if it is among the last at all."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ([], [], [])
-        rows = pd.concat(list(batches))
-        rows = rows[rows["duration_ms"] >= 0]
-        times = list(old[0]) + rows["ts"].astype("int64").tolist()
-        ids, ms = list(old[1]) + rows["event_id"].tolist(), list(old[2]) + rows["duration_ms"].tolist()
-        newest = sorted(zip(times, ids, ms, strict=True))[-last:]
-        state.update(([t for t, _, _ in newest], [i for _, i, _ in newest], [m for _, _, m in newest]))
+        columns = ["key", "n", "p50", "p95", "max"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        newest = list(zip(*state.get, strict=True)) if state.exists else []
+        for pdf in batches:  # one batch and the newest rows are held at a time
+            pdf = pdf[pdf["duration_ms"] >= 0]
+            times = pdf["ts"].astype("datetime64[ns]").astype("int64").tolist()
+            newest = sorted([*newest, *zip(times, pdf["event_id"].tolist(), pdf["duration_ms"].tolist(), strict=True)])[-last:]
+        state.update(tuple([r[k] for r in newest] for k in range(3)))
+        _expire(state, (newest[-1][0] // 1_000_000 if newest else 0) + idle_ms)
         values = sorted(m for _, _, m in newest)
         n = len(values)
         p = lambda q: int(values[max(0, -int(-q * n // 1) - 1)] + 0.5) if n else 0
-        yield pd.DataFrame({"key": [key[0]], "n": [n], "p50": [p(0.5)], "p95": [p(0.95)], "max": [int(values[-1] + 0.5) if n else 0]})
+        yield pd.DataFrame([(key[0], n, p(0.5), p(0.95), int(values[-1] + 0.5) if n else 0)], columns=columns)
 
     rows = outcomes.select("key", "ts", "event_id", "duration_ms").withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, n long, p50 long, p95 long, max long", "ts array<long>, ids array<long>, ms array<double>", "update", GroupStateTimeout.NoTimeout)
+    schema, kept = "key string, n long, p50 long, p95 long, max long", "ts array<long>, ids array<long>, ms array<double>"
+    return rows.groupBy("key").applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, into a table at `path` with the micro-batch as `_batch`. Complete and update
-    modes keep every batch; readers take the newest row of each key."""
+def run_available(stream: DataFrame, path: str, mode: str = "append", *, each: Callable[[DataFrame], DataFrame] | None = None, metrics: dict | None = None) -> DataFrame:
+    """Run a stream over what there is, into a table at `path` with the micro-batch as `_batch`; `each` is applied to
+    every micro-batch. Update mode keeps every batch; readers take the newest row of each key.
+
+    A micro-batch has a folder of its own, which is overwritten when it runs again after a failure, so nothing is
+    doubled; a later call with the same path goes on where the last one ended. metrics gets dropped_late, the rows that
+    this run dropped because they were older than the watermark."""
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    schema = (each(empty) if each else empty).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/out/_batch=-1")
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{path}/out")
+        (each(df) if each else df).write.mode("overwrite").parquet(f"{path}/out/_batch={batch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    spark = stream.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return spark.read.schema(f"{schema}, _batch long").parquet(f"{path}/out")
+    if metrics is not None:
+        metrics["dropped_late"] = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return spark.read.schema(f"{names}, _batch long").parquet(f"{path}/out")

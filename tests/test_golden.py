@@ -1,13 +1,18 @@
 """Literal cases of single operators."""
 
+import datetime
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftframe.functions import hosts, query_ops, text, urls
-from siftframe.operators import extract, filters, joins, limits, sets, windows
+from siftframe.operators import aggregates, extract, filters, joins, limits, sets, windows
 from siftframe.operators import projections as P
 from siftframe.operators.crawl import crawl_frontier
-from siftframe.sources import readers
+from siftframe.plans import pipelines
+from siftframe.sources import folders, readers, sinks
 
 
 def values(spark, expr, *items):
@@ -40,6 +45,20 @@ def test_resolve(spark):
     assert got == {0: "https://example.com/rel", 1: None, 2: None, 3: "https://example.com/up?x", 4: "https://o.example/y", 5: "https://example.com/dir/page?q=1", 6: None}
 
 
+def test_dot_segments(spark):
+    from urllib.parse import urljoin
+
+    rng = random.Random(1)
+    paths = ["/" + "/".join(rng.choice(["a", "b", "..", ".", "...", "", "c.d"]) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    df = spark.createDataFrame([(p,) for p in paths], "href string").withColumn("base", F.lit("https://example.com/dir/page"))
+    for r in P.resolve_links(df, "href", "base").collect():
+        if "//" not in r.href:  # empty segments are no matter of dots
+            want = urljoin("https://example.com/dir/page", r.href)
+            assert r.resolved == (want if want.count("/") > 2 else want + "/"), r.href
+    links = extract.extract_links(spark.createDataFrame([(1, "https://example.com/a/b/c", '<a href="../up">u</a><a href="./same">s</a>')], "page_id long, url string, html string"))
+    assert [r.dst_url for r in links.orderBy("pos").collect()] == ["https://example.com/a/up", "https://example.com/a/b/same"]
+
+
 def test_breadcrumb_and_index(spark):
     assert values(spark, urls.from_breadcrumb, "example.com › a › b", "example.com › a › ...", "nope", "https://x.example/p?a=1", "") == ["https://example.com/a/b", "https://example.com/", "", "https://x.example/p?a=1", ""]
     df = spark.createDataFrame([("https://x.example/q?z=1#f", "Index of /wp-content/uploads/backup"), ("https://x.example/q", "Other")], "url string, title string")
@@ -131,13 +150,56 @@ def test_enrich(spark):
 
 
 def test_block_layout(spark):
-    block = '<div class="g"><a href="/url?q=https%3A%2F%2Fsite{0}.example.com%2Fpage{0}&amp;sa=U"><h3>Result {0}</h3></a><cite>site{0}.example.com</cite><div class="VwiC3b">Snip {0}</div><span class="LEwnzc">Jan 1, 2026</span></div>'
-    bare = '<h3>Only heading</h3><p><a href="https://late.example/x">go</a>'
-    pages = spark.createDataFrame([(1, "".join(block.format(k) for k in range(10))), (2, bare), (3, '<h3>T</h3><a href="https://www.google.com/x">own</a>'), (4, None)], "page_id long, html string")
-    rows = extract.extract_blocks(pages).orderBy("page_id", "rank").collect()
+    block = '<div class="g"><a href="/url?q=https%3A%2F%2Fsite{0}.example.com%2Fpage{0}&amp;sa=U"><h3>Result {0} &amp; x</h3></a><cite>site{0}.example.com</cite><div class="VwiC3b">Snip {0}</div><span class="LEwnzc">Jan 1, 2026</span></div>'
+    bare = '<h3>Only heading</h3><p><cite>late.example › x</cite></p>'
+    pages = [
+        (1, "".join(block.format(k) for k in range(10))), (2, bare), (3, '<h3>T</h3><a href="https://www.google.com/x">own</a>'), (4, None), (5, ""),
+        (6, '<h3>Head</h3><a href="https://after.example/">after</a><a href="https://around.example/"><h3>Around it</h3></a>'),
+        (7, '<div class="x g"><h3>No link here</h3></div><div class="g"><h3>H</h3><a href="https://in.example/" ping="/url?q=https://in.example/longer">inside</a><div class="HiHjCd"><a href="https://l.example/">l</a></div></div>'),
+    ]
+    rows = extract.extract_blocks(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "rank").collect()
     assert [r.rank for r in rows if r.page_id == 1] == list(range(1, 11))
-    assert (rows[0].url, rows[0].date, rows[0].snippet) == ("https://site0.example.com/page0", "Jan 1, 2026", "Snip 0")
-    assert [(r.title, r.url) for r in rows if r.page_id > 1] == [("Only heading", "https://late.example/x")] or [(r.title, r.url) for r in rows if r.page_id > 1] == [("go", "https://late.example/x")]
+    assert (rows[0].title, rows[0].url, rows[0].date, rows[0].snippet) == ("Result 0 & x", "https://site0.example.com/page0", "Jan 1, 2026", "Snip 0")
+    assert [(r.page_id, r.title, r.url) for r in rows if r.page_id > 1] == [
+        (2, "Only heading", "https://late.example/x"), (6, "after", "https://after.example/"), (6, "Around it", "https://around.example/"), (7, "inside", "https://in.example/longer"),
+    ]
+    assert [(x.title, x.link) for x in rows[-1].sitelinks] == [("l", "https://l.example/")]
+
+
+@pytest.mark.parametrize("layout", [extract.extract_blocks, extract.extract_cards, extract.extract_serp_features, extract.extract_organic, extract.extract_anchors, extract.extract_results])
+def test_batches_without_results(spark, layout):
+    """Empty tables, null and empty pages, engines without a rule, and partitions in which nothing is found."""
+    pages = spark.createDataFrame([(1, "google", None), (2, "bing", ""), (3, "none", "<p>x"), (4, None, None), (5, "google", "<p>quiet</p>")], "page_id long, engine string, html string").repartition(5, "page_id")
+    n = 5 if layout is extract.extract_serp_features else 0
+    assert layout(pages).count() == n and layout(pages.limit(0)).count() == 0
+
+
+def test_layout_hook(spark):
+    def fn(batches):
+        for pdf in batches:
+            found = [[p, e, 0, h.upper(), ["https://hook.example/"], "", "s", "", []] for p, e, h in zip(pdf["page_id"], pdf["engine"], pdf["html"], strict=True) if h]
+            yield extract._rows(found)
+
+    pages = spark.createDataFrame([(1, "mine", "own layout"), (2, "mine", None)], "page_id long, engine string, html string").repartition(2, "page_id")
+    assert [(r.page_id, r.title, r.url, r["rank"]) for r in extract.extract_results(pages, fn=fn).collect()] == [(1, "OWN LAYOUT", "https://hook.example/", 1)]
+
+
+def test_results_of_all_layouts(spark):
+    archive = '{"response":{"docs":[{"identifier":"book","title":"A book"}]}}'
+    pages = [(1, "google", '<div class="g"><a href="https://g.example/"><h3>Google</h3></a></div>'), (2, "bing", '<h2><a href="https://b.example/">Bing</a></h2>'), (3, "archive", archive), (4, "wikipedia", '["q",["W"],["d"],["https://en.wikipedia.org/wiki/W"]]')]
+    got = {(r.page_id, r.url) for r in extract.extract_results(spark.createDataFrame(pages, "page_id long, engine string, html string")).collect()}
+    assert {(1, "https://g.example/"), (2, "https://b.example/"), (3, "https://archive.org/details/book")} <= got
+
+
+def test_organic_cards(spark):
+    card = '<div class="MjjYud"><div><div class="yuRUbf"><a href="https://o{0}.example/"><h3>Organic {0}</h3></a></div><cite>o{0}.example</cite></div><div><div class="VwiC3b">A snippet that is long enough {0}</div></div></div>'
+    chrome = '<div class="x"><a href="https://chrome.example/"><h3>Chrome card</h3></a><h3>Other one</h3><h3>Other two</h3></div>'
+    nav = '<nav><a href="https://nav.example/"><h3>Navigation</h3></a></nav>'
+    pages = [(1, "<div id='rso'>" + "".join(card.format(k) for k in range(5)) + chrome + nav + "</div>"), (2, "<div id='rso'>" + "".join(card.format(k) for k in range(4)) + chrome + "</div>")]
+    rows = extract.extract_organic(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "rank").collect()
+    assert [r.title for r in rows if r.page_id == 1] == [f"Organic {k}" for k in range(5)]
+    assert [r.title for r in rows if r.page_id == 2] == [*[f"Organic {k}" for k in range(4)], "Chrome card"]
+    assert rows[1].snippet == "A snippet that is long enough 1" and rows[0].displayed_link == "o0.example"
 
 
 def test_anchor_layouts(spark):
@@ -220,3 +282,152 @@ def test_empty_tables(spark):
 
 def test_operator_values(spark):
     assert values(spark, lambda c: query_ops.operator_values(c, "filetype"), 'ext:pdf filetype:"doc" ext:pdf', "filetype:") == [["pdf", "doc"], []]
+
+
+def test_block_pages_of_engines(spark):
+    serp = "".join(f'<div class="g"><a href="/url?q=https://s{k}.example/"><h3>T {k}</h3></a></div>' for k in range(3))
+    cases = [
+        ("mojeek", '<title>Captcha</title><script src="/js/vendor/altcha.js"></script>', None, True), ("qwant", "<title>Service unavailable</title><p>Prove you are human</p>", None, True),
+        ("yandex", '<title>Are you not a robot?</title><div class="smartcaptcha"></div>', None, True), ("mojeek", '<ul class="results-standard"><li><a class="ob" href="https://e.example/a">Alpha</a></li></ul>', None, False),
+        ("google_lite", '<noscript><meta http-equiv="refresh" content="0;url=/httpservice/retry/enablejs?sei=x"></noscript>', None, True), ("google", "<title>Enable JavaScript to use search</title>", None, True),
+        ("google", "<div>Our systems have detected unusual traffic</div>", None, True), ("google", '<div id="captcha"></div>', None, True), ("google", serp, None, False), ("google", serp, "https://www.google.com/sorry/index", True),
+        ("bing", '<title>b</title><li class="b_algo"><h2><a href="https://e.example/">About robots that are blocked</a></h2></li>', None, False), ("bing", "<title>b</title><p>You are blocked", None, True),
+        ("brave", "<title>b</title><p>Just a moment...", None, True), ("duckduckgo", '<title>d</title><div id="captcha">x</div>', None, True), ("shodan", '<title>s</title><p>Please log in to search <a href="/host/1.1.1.1">h</a>', None, True),
+        ("archive", '{"response": "captcha"}', None, False), ("other", None, None, True), (None, f"<title>t</title>{serp} captcha", None, False),
+    ]
+    df = spark.createDataFrame([(k, e, h, u) for k, (e, h, u, _) in enumerate(cases)], "page_id long, engine string, html string, url string")
+    got = {r.page_id: r.label for r in filters.classify_pages(df).collect()}
+    assert got == {k: "blocked" if b else "ok" for k, (*_, b) in enumerate(cases)}
+    assert filters.classify_pages(df.limit(0)).count() == 0
+
+
+def test_page_search(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "the", "of", "omega"]
+    pages = [(k, f"https://h{k % 3}.example/{rng.choice(words)}/{k}.{'pdf' if k % 4 else 'html'}", " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=6))) for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, title string, text string")
+    asked = ["intitle:alpha", 'inurl:beta "gamma delta"', "intext:omega -the", "site:h1.example intitle:the", 'filetype:pdf intext:gam', '"beta"']
+    q = P.parse_query_operators(spark.createDataFrame(list(enumerate(asked)), "query_id int, q string"))
+    ok = [
+        lambda u, t, b: "alpha" in t, lambda u, t, b: "beta" in u and "gamma delta" in f"{t} {b}", lambda u, t, b: "omega" in b and "the" not in f"{t} {b}", lambda u, t, b: "h1.example" in u and "the" in t,
+        lambda u, t, b: u.endswith(".pdf") and "gam" in b, lambda u, t, b: "beta" in f"{t} {b}",
+    ]
+    got = {(r.query_id, r.page_id) for r in filters.search_pages(df, q).collect()}
+    assert got == {(n, k) for n, f in enumerate(ok) for k, u, t, b in pages if f(u, t, b)} and len(got) > 20
+    with pytest.raises(ValueError, match="three characters"):
+        filters.search_pages(df, P.parse_query_operators(spark.createDataFrame([(1, "plain words")], "query_id int, q string")))
+    assert filters.search_pages(df.limit(0), q).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [windows.BUCKET_S, 60])
+def test_streaks_by_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(windows, "BUCKET_S", bucket)
+    monkeypatch.setattr(windows._streaks, "__defaults__", (bucket,))
+    rng, start = random.Random(4), datetime.datetime(2026, 1, 1)
+    rows = [(k, start + datetime.timedelta(seconds=rng.randint(0, 4000)), f"k{rng.randint(0, 2)}", rng.random() < 0.35) for k in range(400)]
+    o = spark.createDataFrame(rows, "event_id long, ts timestamp, key string, ok boolean")
+    streak, want, spans, open_ = {}, {}, [], {}
+    for k, ts, key, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+        n = streak[key] = 0 if ok else streak.get(key, 0) + 1
+        want[k] = n
+        if ok and key in open_:
+            a, b = open_.pop(key)
+            spans.append((key, a, min(b, max(ts, a))))
+        if n >= 3:
+            if key in open_ and ts > open_[key][1]:
+                spans.append((key, *open_.pop(key)))
+            a = open_[key][0] if key in open_ else ts
+            open_[key] = (a, ts + datetime.timedelta(milliseconds=120_000))
+    spans += [(key, *s) for key, s in open_.items()]
+    assert {r.event_id: r.streak for r in windows.failure_streak(o).collect()} == want
+    assert Counter(map(tuple, windows.breaker_intervals(o).collect())) == Counter(spans)
+
+
+def test_crawl_by_brute_force(spark):
+    rng = random.Random(5)
+    links = list({(f"p{rng.randint(0, 12)}", f"p{rng.randint(0, 40)}"): None for _ in range(200)}) + [("hub", f"p{k}") for k in range(300)] + [("hub", "p0")]
+    rows = [(a, k, b) for k, (a, b) in enumerate(links) if a != b]
+    df = spark.createDataFrame(rows, "src_url string, pos long, dst_url string")
+    starts = sorted({a for a, _, _ in rows})
+    for most, depth in ((5, 3), (12, 2), (1, 1)):
+        want = []
+        for s in starts:
+            seen, queue = {s}, [(s, 0)]
+            order = []
+            while queue and len(order) < most:
+                url, d = queue.pop(0)
+                order.append((s, url, d, len(order) + 1))
+                for _, _, b in sorted((r for r in rows if r[0] == url), key=lambda r: r[1]) if d < depth else ():
+                    if b not in seen:
+                        seen.add(b)
+                        queue.append((b, d + 1))
+            want += order
+        got = crawl_frontier(df, spark.createDataFrame([(s,) for s in starts], "start_url string"), most, depth).collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_query_documents(spark, tmp_path):
+    for k, body in enumerate(['{"queries": [" a ", "", "b"]}', '{"queries": "no list"}', "junk", '{"queries": [1, null, "x"]}']):
+        (tmp_path / f"{k}.json").write_text(body)
+    rows = readers.read_queries(spark, str(tmp_path)).collect()
+    assert sorted(r.q for r in rows) == ["1", "a", "b", "x"] and {r.position for r in rows if r.q == "b"} == {2}
+    (tmp_path / "many.json").write_text('{"queries": [' + ",".join('"q"' for _ in range(201)) + "]}")
+    with pytest.raises(ValueError, match="more than 200"):
+        readers.read_queries(spark, str(tmp_path))
+    assert readers.read_queries(spark, str(tmp_path), 300).count() == 205
+    (tmp_path / "many.json").write_text('{"queries": [' + ",".join('"q"' for _ in range(2001)) + "]}")
+    with pytest.raises(ValueError, match="more than 2000"):
+        readers.read_queries(spark, str(tmp_path), 5000)
+
+
+def test_batch_takes_as_long_as_its_last_query(spark):
+    rows = [(1, "2026-01-01 10:00:00", 5_000.0, True), (1, "2026-01-01 10:00:01", 1_500.5, False), (2, "2026-01-01 10:00:00", None, True)]
+    df = spark.createDataFrame(rows, "batch_id int, ts string, duration_ms double, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+    assert {r.batch_id: (r.batch_size, r.completed, r.duration_ms) for r in aggregates.batch_summary(df).collect()} == {1: (2, 1, 5_000.0), 2: (1, 1, 0.0)}
+
+
+def test_search_paths(spark):
+    google = '<div class="g"><a href="https://{0}/"><h3>Host {0}</h3></a></div>'
+    pages = [(1, 1, "google", 1, google.format("8.8.8.8") + google.format("1.1.1.1") + google.format("www.facebook.com"), 40.0), (2, 1, "bing", 1, '<li class="b_algo"><h2><a href="https://b.example/">Bing</a></h2></li>', 5.0), (3, 2, "google", 1, "<p>unusual traffic", 7.0), (4, 2, "bing", 1, '<li class="b_algo"><h2><a href="https://c.example/">Bing</a></h2></li>', 5.0)]
+    captured = spark.createDataFrame(pages, "page_id long, query_id long, engine string, page int, html string, duration_ms double")
+    asked = [(1, "words", "google", {}), (2, "words", "google", {"fallback": "0"}), (3, "words", "google", {"auto_fallback": "false"})]
+    q = pipelines.plan_queries(spark.createDataFrame(asked, "query_id long, q string, engines string, params map<string,string>"))
+    tried = {r.query_id: r.try_list for r in q.collect()}
+    assert tried == {1: ["google", "duckduckgo", "bing"], 2: ["google"], 3: ["google"]}
+    out = {r.query_id: r for r in pipelines.search_fallback(captured, q).collect()}
+    assert [x.url for x in out[1].results] == ["https://8.8.8.8/", "https://1.1.1.1/"] and out[1].duration_ms == 40.0
+    assert not out[2].success and out[2].code == "EMPTY_RESULTS" and out[2]["count"] == 0 and not out[3].success
+    hosts = pipelines.search_fallback(captured, q, hosts={"sort": "ip", "fields": ["ip_str"]}).where("query_id = 1").first()
+    assert [x.url for x in hosts.results] == ["https://1.1.1.1/", "https://8.8.8.8/"]
+    assert not pipelines.search_fallback(captured, q, hosts={"has_vulns": True}).where("query_id = 1 and engine = 'google'").first()
+    merged, summary = pipelines.search_merge(captured, pipelines.plan_queries(spark.createDataFrame([(1, "words", "google,bing", {}), (2, "words", "google,bing", {})], "query_id long, q string, engines string, params map<string,string>")))
+    assert sorted((r.query_id, r.url) for r in merged.collect()) == [(1, "https://1.1.1.1/"), (1, "https://8.8.8.8/"), (1, "https://b.example/"), (2, "https://c.example/")]
+    assert {r.query_id: (r.engines_tried, r.engines_ok, r["count"], r.duration_ms) for r in summary.collect()} == {1: (2, 2, 3, 40.0), 2: (2, 1, 1, 7.0)}
+
+
+def test_envelopes_are_written_and_read(spark, tmp_path):
+    r = spark.createDataFrame([(1, 1, "t", "https://a/", "s")], "query_id long, rank int, title string, url string, snippet string")
+    o = spark.createDataFrame([(1, "e", True, "OK", 1.0), (2, "e", False, "EMPTY_RESULTS", 2.0)], "query_id long, engine string, ok boolean, code string, duration_ms double")
+    sinks.write_envelopes(r, o, str(tmp_path / "e"), run_date="2026-01-01", fmt="parquet")
+    got = {x.query_id: (x["count"], str(x.run_date), len(x.results)) for x in spark.read.parquet(str(tmp_path / "e")).collect()}
+    assert got == {1: (1, "2026-01-01", 1), 2: (0, "2026-01-01", 0)}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        folders.shared_dir(Session())
+    assert folders.shared_dir(spark)
