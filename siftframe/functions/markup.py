@@ -19,21 +19,20 @@ class Node:
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
         self.children: list[Node | str] = []
 
+    def _all(self, skip=frozenset()):
+        """Nodes and strings below, in order; without recursion, since pages nest as deep as they like."""
+        todo = list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            yield c
+            if isinstance(c, Node) and c.tag not in skip:
+                todo.extend(reversed(c.children))
+
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def _strings(self):
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in HIDDEN:
-                yield from c._strings()
+        return (c for c in self._all() if isinstance(c, Node))
 
     def text(self) -> str:
-        return " ".join("".join(self._strings()).split())
+        return " ".join("".join(c for c in self._all(HIDDEN) if isinstance(c, str)).split())
 
     def get(self, name: str) -> str:
         return self.attrs.get(name) or ""

@@ -174,6 +174,14 @@ def test_batches_without_results(spark, layout):
     assert layout(pages).count() == n and layout(pages.limit(0)).count() == 0
 
 
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 30_000 + '<div class="g"><a href="https://deep.example/"><h3>Deep down</h3></a></div>' + "</div>" * 10
+    pages = spark.createDataFrame([(1, "google", deep), (2, "google", "<<a <h3" + "<div class='g'" * 50), (3, "google", '<div class="g">' + "<h3>x</h3>" * 3_000)], "page_id long, engine string, html string")
+    assert [r.url for r in extract.extract_blocks(pages).collect()] == ["https://deep.example/"]
+    assert [r.url for r in extract.extract_organic(pages).collect()] == ["https://deep.example/"]
+    assert extract.extract_serp_features(pages).count() == 3
+
+
 def test_layout_hook(spark):
     def fn(batches):
         for pdf in batches:
@@ -366,6 +374,13 @@ def test_crawl_by_brute_force(spark):
         assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_host_order(spark):
+    rows = [(1, "10.0.0.9", [1], []), (2, "9.1.1.1", [1, 2, 3], ["v"]), (3, None, None, ["v", "w"]), (4, "10.0.0.10", [1, 2, 3], None)]
+    df = spark.createDataFrame([(p, (ip, ports, vulns)) for p, ip, ports, vulns in rows], "pos int, host struct<ip_str:string,ports:array<int>,vulns:array<string>>")
+    order = lambda by: [r.pos for r in limits.sort_hosts(df, by).collect()]
+    assert (order("ip"), order("ports"), order("vulns")) == ([2, 1, 4, 3], [2, 4, 1, 3], [3, 2, 1, 4])
+
+
 def test_query_documents(spark, tmp_path):
     for k, body in enumerate(['{"queries": [" a ", "", "b"]}', '{"queries": "no list"}', "junk", '{"queries": [1, null, "x"]}']):
         (tmp_path / f"{k}.json").write_text(body)
