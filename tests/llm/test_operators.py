@@ -398,6 +398,28 @@ def test_random_strings_of_letters():
     assert not any(secrets.random_spans(f"x {c} y", enc) for c in clean)
 
 
+def test_planted_keys(spark):
+    """Precision and recall over documents of prose with one planted string each: keys of letters, of letters and digits, in
+    base64, and strings that are no secrets."""
+    import uuid
+
+    rng, path = random.Random(21), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = [w for t in texts_of(spark).values() for w in t.split()[:200] if w.isalpha() and w.isascii()]
+    plants = [(True, pick(letters, rng.randint(20, 48))) for _ in range(100)] + [(True, pick(letters + digits, rng.randint(20, 48))) for _ in range(100)]
+    plants += [(True, base64.b64encode(rng.randbytes(rng.randint(18, 40))).decode()) for _ in range(100)]
+    plants += [(False, pick("0123456789abcdef", n)) for n in (32, 40, 56, 64, 96, 128) * 10] + [(False, str(uuid.UUID(int=rng.getrandbits(128)))) for _ in range(60)]
+    names = ["get", "user", "account", "name", "value", "list", "index", "config", "path", "buffer", "manager", "handler", "request", "response"]
+    plants += [(False, "_".join(rng.choices(names, k=5))) for _ in range(60)] + [(False, "".join(w.title() for w in rng.choices(names, k=5))) for _ in range(60)] + [(False, pick(digits, 24)) for _ in range(60)]
+    rows = [(k, " ".join([*rng.choices(words, k=30), plant, *rng.choices(words, k=30)])) for k, (_, plant) in enumerate(plants)]
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "random"} for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    where = lambda k, plant: (rows[k][1].index(plant), rows[k][1].index(plant) + len(plant))
+    hit = [k for k, (secret, plant) in enumerate(plants) if secret and any(a <= where(k, plant)[0] + 2 and b >= where(k, plant)[1] - 2 for a, b in found[k])]
+    wrong = sum(len(v) for v in found.values()) - len(hit)
+    assert len(hit) >= 0.98 * 300 and wrong <= 0.02 * 300, (len(hit), wrong)
+
+
 def test_secret_rows(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     assert secrets.scan_secrets(docs, path).count() == docs.count()
