@@ -119,8 +119,8 @@ def cut_pieces(long: DataFrame, *, chunk: int = CHUNK, overlap: int = OVERLAP) -
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>), and with `decoded` what decode makes of the ids, in the same pass: the ids of each whole text under the rank file at `path`, each match of the public
-    pattern encoded separately, without special tokens.
+    """(doc_id, ids array<int>), and with `decoded` what decode makes of the ids, in the same pass: the ids of each whole
+    text under the rank file at `path`, each match of the public pattern encoded separately, without special tokens.
 
     A null text counts as empty and has no ids; repeated rows and ids come out as often as they go in; an empty table
     gives an empty result. Texts up to `chunk` code points are encoded in place, without a shuffle; longer ones by

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import new_folder
+
 #: ASCII white space, as a class for Java and RE2 patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -17,21 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a new folder
-    of this machine; a cluster gets an error, since no executor would find what another one wrote there."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftframe-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def _write(df: DataFrame, tag: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/siftframe/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return path
 
