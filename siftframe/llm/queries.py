@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, secrets, sharding, spotsigs, token_count, toxicity
+from . import bitplanes, bpe, exact_dedup, filter_audit, jaccard_join, line_dedup, minhash, mixing, secrets, sharding, spotsigs, token_count, toxicity
 from .common import materialize, table
 
 
@@ -99,6 +99,24 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component of the join by 3-word shingles at 90 percent, and the number of its links. Texts that
+    are null or empty link with nothing; repeated rows and equal texts link with each other."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's cluster among 16, its squared distance, and the inertias. Vectors that have not 64 finite components
+    are left out; rows that are equal are vectors of their own."""
+    return bitplanes.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source at each step of each order. Null texts count as empty, null
+    sources as the empty string; rows that are equal count as often as they occur."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -107,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_line_dedup, op3_minhash, op4_bpe, op5_secrets, op6_exact_dedup, op7_toxicity, op8_mixing, op9_token_counts, op10_spotsigs, pipeline]
+    own = [op1_sharding, op2_line_dedup, op3_minhash, op4_bpe, op5_secrets, op6_exact_dedup, op7_toxicity, op8_mixing, op9_token_counts, op10_spotsigs, op11_jaccard_join, op12_bit_planes, op13_filter_audit, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -151,5 +169,49 @@ r as (select d.*, source_size, target, case when source_size > 0 then target / s
 select doc_id, size, source_size, target, (size * (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end))::bigint as taken from r"""
 
 
+OP13_SQL = r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as ws from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad, {
+        'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+        'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) over (partition by t), false)} as x from w left join l using (doc_id)),
+g as (select part, good, bad, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: case k when 'A' then x.A when 'B' then x.B when 'C' then x.C when 'D' then x.D else x.E end) as fails, count(*) as n
+      from f group by all),
+c as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+p as (select a.c || b.c || d.c || e.c || k.c as filter_order from c a, c b, c d, c e, c k where len(list_distinct([a.c, b.c, d.c, e.c, k.c])) = 5),
+o as (select filter_order, step, substr(filter_order, step, 1) as here, string_split(substr(filter_order, 1, step - 1), '') as before from p, (select unnest([1, 2, 3, 4, 5]) as step)),
+r as (select part, filter_order, step, n, good, bad, list_contains(fails, here) as fail, list_has_any(fails, before) as gone, fails = [here] as only_ from g, o),
+q as (select part, filter_order, step, substr(filter_order, step, 1) as here,
+        sum(case when not fail and not gone then n else 0 end)::bigint as kept, sum(case when fail and not gone then n else 0 end)::bigint as removed,
+        sum(case when fail and gone then n else 0 end)::bigint as redundant, sum(case when only_ then n else 0 end)::bigint as unique_fails,
+        sum(case when fail and not gone then n * good else 0 end)::bigint as good_lost, sum(case when fail and not gone then n * bad else 0 end)::bigint as toxic_lost
+      from r group by part, filter_order, step)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, here)::bigint as shapley from q"""
+
+
+def _op12_sql() -> str:
+    text = """
+with f as (select vec_id, list_transform(embedding, lambda x: x::double) as e, row_number() over () as r from embeddings),
+k as (select r, vec_id, list_transform(e, lambda x: floor(64 * x)::bigint) as v from f
+      where len(e) = 64 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+x as (select r, unnest(v) as a, unnest(range(64)) as p from k),
+c0 as (select row_number() over (order by sha256('1:' || vec_id::varchar) nulls last, v) - 1 as c, v from k order by c limit 16),
+m0 as (select c, unnest(v) as b, unnest(range(64)) as p from c0)"""
+    for i in range(bitplanes.ROUNDS + 1):
+        text += f""",
+d{i} as (select r, c, sum((a - b) * (a - b))::bigint as d from x join m{i} using (p) group by r, c),
+n{i} as (select r, arg_min(c, d * 64 + c) as c, min(d) as d from d{i} group by r)"""
+        if i < bitplanes.ROUNDS:
+            text += f""",
+s{i} as (select c, p, sum(a)::bigint as s, count(*) as n from x join n{i} using (r) group by c, p),
+m{i + 1} as (select c, p, case when s is null then b else (s - ((s % n) + n) % n) // n end as b from m{i} left join s{i} using (c, p))"""
+    i = bitplanes.ROUNDS
+    return text + f""",
+h as (select c, sha256(string_agg(b::bigint::varchar, ',' order by p)) as centroid_sha256 from m{i} group by c)
+select vec_id, c::int as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256
+from n{i} join k using (r) join h using (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_line_dedup": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op12_bit_planes": _op12_sql(), "op13_filter_audit": OP13_SQL}
