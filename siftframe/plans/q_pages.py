@@ -111,14 +111,35 @@ def x4_extract_organic(spark, sf_dir):
     return X.extract_organic(p).select("page_id", "title", "url", "rank", "snippet", "date", F.size("sitelinks").alias("n_sitelinks"))
 
 
-@query(r"""with h as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 1)) as tag, generate_subscripts(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 1), 1) as n, unnest(regexp_extract_all(html, '(?is)<a\b([^>]*)>(.*?)</a>', 2)) as label from pages),
-l as (select page_id, url, n, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_extract(tag, '\bhref="([^"]*)"', 1) as dst, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as t from h),
+_ANCHORS = r"'(?is)<a\b([^>]*)>(.*?)</a>'"
+_LINKS = rf"""with a as (select page_id, url, regexp_extract_all(html, {_ANCHORS}, 1) as tags, regexp_extract_all(html, {_ANCHORS}, 2) as labels from pages),
+h as (select page_id, url, unnest(tags) as tag, generate_subscripts(tags, 1) as n, unnest(labels) as label from a),
+l as (select page_id, url, n, {S.origin("url")} || regexp_extract(tag, '\bhref="([^"]*)"', 1) as dst,
+      trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as t from h),
 f as (select *, row_number() over (partition by page_id, dst order by n) as k from l)
-select page_id, dst as dst_url, substr(t, 1, 160) as text, row_number() over (partition by page_id order by n) as pos from f where k = 1""")
+select page_id, dst as dst_url, substr(t, 1, 160) as text, row_number() over (partition by page_id order by n) as pos from f where k = 1"""
+
+
+@query(_LINKS)
 def x5_extract_links(spark, sf_dir):
     return X.extract_links(V.pages(spark, sf_dir)).select("page_id", "dst_url", "text", "pos")
 
 
+def respelled(html):
+    """A page whose links are written in other ways, by the letter that their path begins with: in single quotes after a
+    value with a >, without quotes in capitals, as data-url. Comments and scripts with links of their own are put in."""
+    for letters, form in (("a-f", "title='x > y' href='$1'"), ("g-m", 'HREF = $1 data-x="a>b"'), ("n-r", 'data-url="$1"'), ("s-v", "class=k\nhref\n=\n'$1'")):
+        html = F.regexp_replace(html, rf'\bhref="(/[{letters}][^"\s]*)"', form)
+    return F.concat(F.lit('<!-- <a href="/hidden">no</a> --><script>var s = "<a href=\'/s\'>no</a>";</script>'), html)
+
+
+@query(_LINKS)
+def x5_link_spellings(spark, sf_dir):
+    """Pages that mix the spellings of attributes give the links of the same pages in double quotes."""
+    p = V.pages(spark, sf_dir)
+    return X.extract_links(p.withColumn("html", respelled(F.col("html")))).select("page_id", "dst_url", "text", "pos")
+
+
 @query(rf"""select page_id, {_decode(r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))")} as title,
 substr({_decode(r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))")}, 1, 2000) as text from pages""")
 def x5_extract_page(spark, sf_dir):
@@ -419,10 +440,13 @@ def t1_stream_results(spark, sf_dir):
 
 
 @query(f"""with {V.OUTCOMES}, ru as (select *, count(*) filter (ok) over (partition by key order by ts, event_id rows unbounded preceding) as run from outc),
-sk as (select *, count(*) filter (not ok) over (partition by key, run order by ts, event_id rows unbounded preceding) as streak from ru), pv as (select *, lag(streak) over (partition by key order by ts, event_id) as before from sk)
+sk as (select *, count(*) filter (not ok) over (partition by key, run order by ts, event_id rows unbounded preceding) as streak from ru), pv as (select *, lead(ts) over w as next_ts, lead(ok) over w as next_ok, max(ts) over () as newest from sk window w as (partition by key order by ts, event_id))
 select key, epoch_us(ts) as ts, 'open' as state, epoch_us(ts) + 120000000 as open_until, streak from pv where streak >= 3
-union all select key, epoch_us(ts), 'closed', epoch_us(ts), 0 from pv where ok and before >= 3""")
+union all select key, case when ran_out then until else epoch_us(next_ts) end as ts, 'closed', case when ran_out then until else epoch_us(next_ts) end, case when ran_out then streak else 0 end
+from (select *, epoch_us(ts) + 120000000 as until, coalesce(epoch_us(next_ts) > epoch_us(ts) + 120000000, epoch_us(ts) + 120000000 <= epoch_us(newest) - 3600000000) as ran_out from pv where streak >= 3)
+where ran_out or next_ok""")
 def t2_stream_breaker(spark, sf_dir):
+    """Openings, and their ends: by a success, by a later row, or by the watermark that has passed the last one's end."""
     out = ST.run_available(ST.stream_breaker(_outcome_stream(spark, sf_dir)), new_folder(spark, "t2"))
     return out.select("key", _us("ts"), "state", _us("open_until"), "streak")
 
@@ -434,17 +458,18 @@ def t3_stream_dedupe(spark, sf_dir):
 
 
 @query("""with k as (select 'k' || (user_id % 40) as key, ts, case event_type when 'error' then 'dead' when 'view' then 'plain' when 'click' then 'gated' else 'tunnel' end as kind from events),
-l as (select key, arg_max(kind, (ts, kind)) as kind, max(ts) as ts from k group by key)
-select key, kind, epoch_us(ts) as ts, kind in ('gated', 'tunnel') or epoch_us(ts) + case when kind = 'dead' then 300000000 else 600000000 end < epoch_us((select max(ts) from events)) as usable from l""")
+l as (select key, arg_max(kind, (ts, kind)) as kind, epoch_us(max(ts)) as t from k group by key),
+x as (select *, t + case when kind = 'dead' then 300000000 else 600000000 end as expires, (select epoch_us(max(ts)) from events) - 3600000000 as mark from l)
+select key, kind, t as ts, expires, kind in ('gated', 'tunnel') as usable from x union all select key, null, expires, expires, true from x where expires <= mark""")
 def t4_stream_status(spark, sf_dir):
+    """The last status of each key, and the expiry of those that the watermark has passed."""
     e = _stream(spark, sf_dir, "events")
     ts = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))"))
     kind = F.when(F.col("event_type") == "error", "dead").when(F.col("event_type") == "view", "plain").when(F.col("event_type") == "click", "gated").otherwise("tunnel")
     s = e.select(ts.alias("ts"), F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("key"), kind.alias("kind"))
     out = ST.run_available(ST.stream_status(s), new_folder(spark, "t4"), "update")
-    last = out.groupBy("key").agg(F.max_by(F.struct("kind", "ts", "expires"), "_batch").alias("s")).select("key", "s.*")
-    now = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts as timestamp_ntz))")).alias("t")).agg(F.max("t")).withColumnRenamed("max(t)", "now")
-    return ST.usable(last.join(F.broadcast(now), F.lit(True)), F.col("now")).select("key", "kind", _us("ts"), "usable")
+    last = out.groupBy("key", F.col("kind").isNull().alias("gone")).agg(F.max_by(F.struct("kind", "ts", "expires", "usable"), "_batch").alias("s")).select("key", "s.*")
+    return last.select("key", "kind", _us("ts"), _us("expires"), "usable")
 
 
 @query(f"with {V.OUTCOMES} select epoch_us(time_bucket(interval 6 hours, ts, timestamp '1970-01-01')) as start, key, count(*) filter (ok) as ok, count(*) filter (not ok) as fail, count(*) filter (source = 'lite') as lite from outc group by 1, 2")
@@ -455,7 +480,7 @@ def t5_stream_outcomes(spark, sf_dir):
 
 
 @query(f"""with {V.OUTCOMES}, l as (select key, duration_ms, row_number() over (partition by key order by ts desc, event_id desc) as k from outc)
-select key, count(*) as n, floor(quantile_disc(duration_ms, 0.5) + 0.5)::bigint as p50, floor(quantile_disc(duration_ms, 0.95) + 0.5)::bigint as p95, floor(max(duration_ms) + 0.5)::bigint as max from l where k <= 100 group by key""")
+select key, count(*) as n, floor(quantile_disc(duration_ms, 0.5) + 0.5)::bigint as p50, floor(quantile_disc(duration_ms, 0.95) + 0.5)::bigint as p95, floor(max(duration_ms) + 0.5)::bigint as max, 0 as dropped_late from l where k <= 100 group by key""")
 def t6_stream_latency(spark, sf_dir):
     out = ST.run_available(ST.stream_latency(_outcome_stream(spark, sf_dir), 100), new_folder(spark, "t6"), "update")
-    return out.groupBy("key").agg(F.max_by(F.struct("n", "p50", "p95", "max"), "_batch").alias("s")).select("key", "s.*")
+    return out.groupBy("key").agg(F.max_by(F.struct("n", "p50", "p95", "max", "dropped_late"), "_batch").alias("s")).select("key", "s.*")

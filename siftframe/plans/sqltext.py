@@ -13,6 +13,10 @@ def host(u: str) -> str:
     return f"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
 
 
+def origin(u: str) -> str:
+    return f"regexp_extract({u}, '^(https?)://', 1) || '://' || lower(regexp_extract({u}, '^https?://([^/?#]+)', 1))"
+
+
 def bare(u: str) -> str:
     return rf"regexp_replace({host(u)}, '^www\.', '')"
 
