@@ -20,12 +20,12 @@ from ..sources.sinks import envelopes, organic
 
 def captured_results(captured: DataFrame, rules=None, fn=None) -> DataFrame:
     """Result rows (query_id, engine, page, pos, title, url, snippet) of captured pages (page_id, query_id, engine, page,
-    html): the layout of each page's engine, or fn (see extract_results). Block pages give none. The rows are written
-    once, since every path reads them several times and pages are far larger than their results."""
-    good = FI.classify_pages(captured.withColumn("url", F.lit(None).cast("string"))).where("label = 'ok'")
-    rows = extract_results(good.select("page_id", "engine", "html"), rules, fn)
-    rows = rows.select("page_id", F.col("rank").alias("pos"), "title", "url", "snippet")
-    return written(captured.select("page_id", "query_id", "engine", "page").join(rows, "page_id").drop("page_id"), "results")
+    html): the layout of each page's engine, or fn (see extract_results). Block pages give none. The pages are read once,
+    in one pass without a shuffle, and the rows are written, since every path reads them several times."""
+    label = FI.classify_pages(captured.withColumn("url", F.lit(None).cast("string")))
+    good = label.where("label = 'ok'").select("page_id", "query_id", "engine", "page", "html")
+    rows = extract_results(good, rules, fn, keep=("query_id", "page"))
+    return written(rows.select("query_id", "engine", "page", F.col("rank").alias("pos"), "title", "url", "snippet"), "results")
 
 
 def host_options(results: DataFrame, options: dict | None, by=("query_id", "engine")) -> DataFrame:

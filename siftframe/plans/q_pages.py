@@ -435,7 +435,8 @@ def t1_stream_results(spark, sf_dir):
     one = lambda url, label: F.concat(F.lit('<li class="b_algo"><h2><a href="'), url, F.lit('">'), label, F.lit("</a></h2></li>"))
     second = one(F.concat(F.lit("https://second.example/"), F.col("page_id").cast("string")), F.lit("second"))
     html = F.concat(F.lit("<title>x</title>"), one(F.replace("url", F.lit("&"), F.lit("&amp;")), title), second, F.when(F.col("page_id") % 4 == 0, "<p>access denied").otherwise(""))
-    out = ST.run_available(p.select("page_id", F.lit("bing").alias("engine"), F.lit(None).cast("string").alias("url"), html.alias("html")), new_folder(spark, "t1"), each=ST.batch_results)
+    bing = p.select("page_id", F.lit("bing").alias("engine"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    out = ST.run_available(ST.stream_results(bing), new_folder(spark, "t1"))
     return out.select("page_id", "title", "url", "rank")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import text, urls
+from ..functions import tags, text, urls
 
 #: A side is broadcast up to so many rows; beyond, Spark joins by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -58,45 +58,56 @@ def _first_of(field: Column) -> Column:
     return F.when(raw.startswith("["), F.get(F.from_json(raw, "array<string>"), 0)).otherwise(F.coalesce(F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), 0), raw))
 
 
+def result_items(raw: Column, kind: str) -> Column:
+    """array<struct<pos, title, url, snippet>> of a JSON payload (see read_result_json): urls once, the first wins, in
+    order, inside the payload's row."""
+    words = lambda c: text.collapse(text.text(c))
+    item = lambda k, title, url, snippet: F.struct(k.alias("pos"), title.alias("title"), url.alias("url"), snippet.alias("snippet"))
+    if kind == "docs":
+        docs = F.from_json(raw, "response struct<docs array<struct<identifier string, title string, description string>>>").getField("response").getField("docs")
+
+        def doc(d, k):
+            def named(i):
+                title = text.collapse(F.coalesce(F.nullif(_first_of(d["title"]), F.lit("")), i))
+                url = F.concat(F.lit("https://archive.org/details/"), F.replace(F.url_encode(i), F.lit("+"), F.lit("%20")))
+                snippet = F.substring(text.collapse(F.coalesce(_first_of(d["description"]), F.lit(""))), 1, 300)
+                return F.when((i != "") & ~i.rlike(r"[/\s]"), item(k, title, url, snippet))
+
+            return text.let(F.trim(F.coalesce(d["identifier"], F.lit(""))), named)
+
+        found = F.filter(F.transform(docs, doc), lambda x: F.length(x["title"]) >= 2)
+    elif kind == "opensearch":
+
+        def pages_of(parts):
+            lists = [F.from_json(F.get(parts, k), "array<string>") for k in (1, 2, 3)]
+            zipped = F.arrays_zip(lists[0].alias("t"), lists[1].alias("d"), lists[2].alias("u"))
+            return F.when(F.size(parts) >= 4, F.transform(zipped, lambda z, k: item(k, words(z["t"]), F.trim(z["u"]), F.substring(words(z["d"]), 1, 300))))
+
+        stands = lambda x: x["url"].rlike(urls.HTTP) & urls.host(x["url"]).rlike(r"(?:^|\.)wikipedia\.org$") & (F.length(x["title"]) >= 2)
+        found = F.filter(text.let(F.from_json(raw, "array<string>"), pages_of), stands)
+    elif kind == "items":
+        items = F.from_json(raw, "array<struct<title string, link string, snippet string>>")
+        found = F.transform(items, lambda x, k: item(k, words(x["title"]), urls.clean(x["link"]), words(x["snippet"])))
+        found = F.filter(found, lambda x: x["url"].rlike(urls.HTTP))
+    else:
+        raise ValueError(f"no such kind of payload: {kind}")
+    return tags.first_of_each(found, "url")
+
+
 def read_result_json(df: DataFrame, kind: str, body: str = "body", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Result rows (by, pos, title, url, snippet) of JSON payloads, or (by, pos, suggestion) for kind suggest.
+    """Result rows (by, pos, title, url, snippet, rank) of JSON payloads, or (by, pos, suggestion) for kind suggest.
 
     docs: {"response": {"docs": [{identifier, title, description}]}}, opensearch: [query, titles, texts, urls], items:
     [{title, link, snippet}], suggest: [query, [strings]], perhaps after a )]}' line. Payloads that cannot be read give
-    no rows. Urls repeat once a payload, the first wins."""
-    from ..operators.windows import first_wins, with_ranks
-
-    keys = list(by)
-    raw = text.text(F.col(body))
+    no rows. Urls repeat once a payload, the first wins; nothing is shuffled."""
+    keys, raw = list(by), text.text(F.col(body))
     if kind == "suggest":
         plain = F.regexp_replace(text.trim_space(raw), r"^\)\]\}'[^\n]*\n", "")
         items = F.from_json(F.get(F.from_json(plain, "array<string>"), 1), "array<string>")
         rows = df.select(*keys, F.posexplode(items).alias("pos", "_s")).withColumn("suggestion", text.clean(F.col("_s"), feed=True))
         return rows.where(F.col("suggestion") != "").select(*keys, "pos", "suggestion")
-    if kind == "docs":
-        docs = F.from_json(raw, "response struct<docs array<struct<identifier string, title string, description string>>>").getField("response").getField("docs")
-        rows = df.select(*keys, F.posexplode(docs).alias("pos", "_d"))
-        rows = rows.withColumn("_id", F.trim(F.coalesce("_d.identifier", F.lit("")))).where((F.col("_id") != "") & ~F.col("_id").rlike(r"[/\s]"))
-        title = text.collapse(F.coalesce(F.nullif(_first_of(F.col("_d.title")), F.lit("")), F.col("_id")))
-        snippet = F.substring(text.collapse(F.coalesce(_first_of(F.col("_d.description")), F.lit(""))), 1, 300)
-        rows = rows.select(*keys, "pos", title.alias("title"), F.concat(F.lit("https://archive.org/details/"), F.replace(F.url_encode("_id"), F.lit("+"), F.lit("%20"))).alias("url"), snippet.alias("snippet"))
-    elif kind == "opensearch":
-        parts = F.from_json(raw, "array<string>")
-        lists = [F.from_json(F.get(parts, k), "array<string>") for k in (1, 2, 3)]
-        zipped = F.arrays_zip(lists[0].alias("t"), lists[1].alias("d"), lists[2].alias("u"))
-        rows = df.where(F.size(parts) >= 4).select(*keys, F.posexplode(zipped).alias("pos", "_z"))
-        rows = rows.select(*keys, "pos", text.collapse(text.text(F.col("_z.t"))).alias("title"), F.trim(F.col("_z.u")).alias("url"), F.substring(text.collapse(text.text(F.col("_z.d"))), 1, 300).alias("snippet"))
-        rows = rows.where(F.col("url").rlike(urls.HTTP) & urls.host(F.col("url")).rlike(r"(?:^|\.)wikipedia\.org$"))
-    elif kind == "items":
-        items = F.from_json(raw, "array<struct<title string, link string, snippet string>>")
-        rows = df.select(*keys, F.posexplode(items).alias("pos", "_i"))
-        rows = rows.select(*keys, "pos", text.collapse(text.text(F.col("_i.title"))).alias("title"), urls.clean(F.col("_i.link")).alias("url"), text.collapse(text.text(F.col("_i.snippet"))).alias("snippet"))
-        rows = rows.where(F.col("url").rlike(urls.HTTP))
-        return with_ranks(first_wins(rows, "url", keys, ("pos",)), keys, ("pos",))
-    else:
-        raise ValueError(f"no such kind of payload: {kind}")
-    rows = rows.where(F.length("title") >= 2)
-    return with_ranks(first_wins(rows, "url", keys, ("pos",)), keys, ("pos",))
+    rows = df.select(*keys, F.posexplode(result_items(raw, kind)).alias("_at", "_r"))
+    return rows.select(*keys, "_r.*", (F.col("_at") + 1).alias("rank"))
 
 
 def read_news_rss(df: DataFrame, col: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -27,11 +27,12 @@ def stream_extract(pages: DataFrame) -> DataFrame:
     return extract_page(classify_pages(pages), keep=("label", "reason"))
 
 
-def batch_results(pages: DataFrame) -> DataFrame:
-    """The result rows of the pages of a micro-batch that are no block pages, for run_available(each=...): ranks and
-    first-wins are per page, and a page is in one micro-batch, so a stream gives what a batch gives."""
+def stream_results(pages: DataFrame, rules=None) -> DataFrame:
+    """The result rows of pages (page_id, engine, url, html) as they arrive, block pages left out: (page_id, engine, title,
+    url, snippet, rank). First-wins and ranks are found inside a page's row, so the stream is stateless, appends, and
+    gives what a batch gives."""
     good = classify_pages(pages).where("label = 'ok'").select("page_id", "engine", "html")
-    return extract_results(good)
+    return extract_results(good, rules)
 
 
 def _expire(state: GroupState, at_ms: int) -> None:
