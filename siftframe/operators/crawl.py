@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import written
@@ -11,30 +11,43 @@ from .windows import top
 MAX_PAGES, MAX_DEPTH = 20, 3
 
 
+def link_lists(links: DataFrame, most: int) -> DataFrame:
+    """(src_url, dsts): the first `most` distinct links of each page, in order, as one row, written once. They are cut
+    before they are listed, so a hub's row is as short as any other's."""
+    first = links.where("src_url is not null and dst_url is not null").groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos"))
+    cut = top(first, most, ("src_url",), ("pos", "dst_url"))
+    listed = cut.groupBy("src_url").agg(F.array_sort(F.collect_list(F.struct("pos", "dst_url"))).alias("l"))
+    return written(listed.select("src_url", F.transform("l", lambda x: x["dst_url"]).alias("dsts")), "crawl-links")
+
+
 def crawl_frontier(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: int = 1, *, cap_pages: int = MAX_PAGES) -> DataFrame:
     """(start_url, url, depth, visit_order): for each start, the first max_pages pages (20 at most) in breadth-first
     order, no deeper than max_depth links (3 at most; 0 is the start alone).
 
     links has src_url, pos and dst_url. A page is visited once, from the first page in order that links to it; its
-    order is that of its parent, then the link's position. All starts advance together, one level a step: a join of the
-    frontier with the links, the first of each new page, and what was not seen before.
+    order is that of its parent, then the link's position. All starts advance together. A start is one row: the pages
+    that it has visited, in order, and how many there were after each level. A level is one join of the newest pages with
+    their lists of links and one fold by start, which puts the lists in the order of their parents and appends what is
+    new; a row holds max_pages urls at most, and its lists max_pages times as many.
 
     A page needs no more than its first max_pages distinct links: at most that many pages are visited, so those that
-    were seen before leave enough. Links are cut to them once, before any join, so a hub brings max_pages rows and not
-    its whole out-degree, and a level keeps at most max_pages rows a start."""
+    were seen before leave enough."""
     max_pages, max_depth = min(cap_pages, max(1, max_pages)), min(MAX_DEPTH, max(0, max_depth))
-    seen = starts.select("start_url").distinct().select("start_url", F.col("start_url").alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("visit_order"))
-    frontier = seen
-    if max_depth:
-        first = links.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos"))
-        links = written(top(first, max_pages, ("src_url",), ("pos", "dst_url")), "crawl-links")
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(links.select("src_url", "pos", "dst_url"), F.col("url") == F.col("src_url"))
-        step = step.groupBy("start_url", F.col("dst_url").alias("url")).agg(F.min(F.struct("visit_order", "pos")).alias("_via"))
-        new = step.join(seen.select("start_url", "url"), ["start_url", "url"], "left_anti")
-        new = top(new, max_pages, ("start_url",), ("_via", "url"))
-        so_far = seen.groupBy("start_url").agg(F.max("visit_order").alias("_n"))
-        new = new.join(so_far, "start_url").withColumn("visit_order", F.col("_n") + F.row_number().over(Window.partitionBy("start_url").orderBy("_via", "url")))
-        frontier = written(new.where(F.col("visit_order") <= max_pages).select("start_url", "url", F.lit(depth).alias("depth"), "visit_order"), "crawl")
-        seen = seen.unionByName(frontier)
-    return seen
+    none = F.array().cast("array<string>")
+    state = starts.select("start_url").distinct().select("start_url", F.array("start_url").alias("seen"), F.array(F.lit(1)).alias("ends"))
+    lists = link_lists(links, max_pages) if max_depth else None
+    for _ in range(max_depth):
+        before = F.when(F.size("ends") > 1, F.element_at("ends", -2)).otherwise(0)
+        newest = F.slice("seen", before + 1, F.size("seen") - before)
+        rows = state.select("start_url", "seen", "ends", F.posexplode_outer(newest).alias("at", "url"))
+        # What a start has seen travels with the first of its rows only.
+        lead = F.coalesce(F.col("at"), F.lit(0)) == 0
+        rows = rows.select("start_url", "at", "url", F.when(lead, F.struct("seen", "ends")).alias("state"))
+        met = rows.join(lists, F.col("url") == F.col("src_url"), "left")
+        found = met.groupBy("start_url").agg(F.max("state").alias("state"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("dsts", none).alias("dsts")))).alias("found"))
+        every = F.array_distinct(F.concat("state.seen", F.flatten(F.transform("found", lambda x: x["dsts"]))))
+        seen = found.select("start_url", F.slice(every, 1, max_pages).alias("seen"), F.col("state.ends").alias("ends"))
+        state = seen.withColumn("ends", F.concat("ends", F.array(F.size("seen"))))
+    out = state.select("start_url", "ends", F.posexplode("seen").alias("at", "url"))
+    depth = F.size(F.filter("ends", lambda e: e <= F.col("at")))
+    return out.select("start_url", "url", depth.alias("depth"), (F.col("at") + 1).alias("visit_order"))

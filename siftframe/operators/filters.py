@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hosts, text, urls
 from ..functions.text import any_of
+from ..sources.readers import broadcast_if_small
 from .joins import host_categories
 from .windows import ORDER, first_wins, with_ranks
 
@@ -26,8 +27,14 @@ MEDIUM = ["captcha", "challenge", "robot", "anomaly", "verification", "blocked",
 PLAIN_STRONG = ["are you not a robot", "вы не робот", "just a moment", "wait a moment", "aggressive bot activity", "barraged by queries from bots"]
 PLAIN_TITLE = r"(?i)^(?:captcha|are you not a robot|вы не робот|service unavailable)\??$"
 PLAIN_MARK = r"(?i)altcha\.js|data-altcha|smartcaptcha|showcaptcha|\banomaly"
+# Those of strong phrases that also count anywhere in the source of a plain page, and google's own.
+RAW_STRONG = ["unusual traffic", "prove you are human", "verify you are human", "protected by altcha", "verification required", "service unavailable"]
+GOOGLE_RAW = ["unusual traffic", "our systems have detected", "to continue, please type the characters"]
+# The consent wall of google, and what a plain page of it has at least of a result page.
+CONSENT = r"(?i)consent\.google\.com|before you continue to google"
+GOOGLE_SERP = r"(?is)<h3.*<h3|/url\?q=|<cite"
+# Marks of challenge scripts of google; the box of a captcha; what a login wall says.
 GOOGLE_MARK = r"(?i)/sorry/|/recaptcha/|id=\"captcha\"|g-recaptcha|/httpservice/retry/enablejs"
-GOOGLE_STRONG = ["our systems have detected", "to continue, please type the characters"]
 GOOGLE_TITLE = r"(?i)^enable javascript to use search$"
 CAPTCHA_BOX = r"(?i)id=\"captcha\""
 LOGIN = ["please log in", "log in to search", "create a free account"]
@@ -69,45 +76,65 @@ def visible_text(html: Column) -> Column:
     return text.strip_tags(F.regexp_replace(text.text(html), r"(?is)<(script|style|head)\b[^>]*>.*?</\1>", " "))
 
 
-def classify_pages(pages: DataFrame, marks: dict[str, str] = RESULT_MARKS) -> DataFrame:
+def mark_table(df: DataFrame, marks: dict[str, str] = RESULT_MARKS) -> DataFrame:
+    """The marks as a table (engine, mark), which a caller may extend or replace; it has a row an engine."""
+    return df.sparkSession.createDataFrame(list(marks.items()), "engine string, mark string")
+
+
+def classify_pages(pages: DataFrame, marks: dict[str, str] | DataFrame = RESULT_MARKS) -> DataFrame:
     """pages with label (ok or blocked) and reason (null for ok).
 
-    A page is judged by the url, by a title that is only "captcha", by strong phrases wherever they stand and, for a
+    A page is judged by the url, by a title that is only "captcha", by strong phrases in its text or title and, for a
     host search, by a login wall. Where it has no result, weaker words count too, and having neither title nor 300
-    characters of text. What a result looks like is the engine's mark (`marks` by the column `engine`, which a caller
-    may extend); engines without one, and pages without that column, are judged by headings and displayed links.
-    Pages with an engine are also judged by the signs of a bare answer: scripts, titles and phrases of challenges;
-    payloads of engines that answer in JSON are never blocked. Null pages count as empty."""
+    characters of text. What a result looks like is the engine's mark (`marks`: a dictionary, or a table as mark_table
+    gives it, which is broadcast after a check of its size); engines without one, and pages without the column
+    `engine`, are judged by headings and displayed links.
+
+    Pages with an engine that were fetched plainly (all but those whose column `source`, if there is one, is render) are
+    also judged by their source: titles, scripts and phrases of challenges wherever they stand, and for google a consent
+    wall, or nothing at all that a result page has. Payloads of engines that answer in JSON are never blocked. Null
+    pages count as empty."""
     html, url = text.text(F.col("html")), text.text(F.col("url"))
     known = "engine" in pages.columns
     engine = F.lower(text.text(F.col("engine"))) if known else F.lit("")
-    page = text.computed(pages, "_text", F.lower(visible_text(F.col("html")))).withColumn("_title", title_of(F.col("html")))
-    low = F.col("_text")
+    plain = (engine != "") & (F.coalesce(F.col("source"), F.lit("lite")) != "render") if "source" in pages.columns else engine != ""
+    google, lite_google = engine.isin(*GOOGLES), plain & engine.isin("google", "google_lite")
+    rows = pages
     bare = ~html.rlike(RESULT_MARK)
+    if known and isinstance(marks, dict):
+        rows = rows.withColumn("_mark", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]), engine), F.lit(RESULT_MARK)))
+    elif known:
+        table = broadcast_if_small(marks.select(F.lower("engine").alias("_engine"), F.col("mark").alias("_mark")))
+        rows = rows.join(table, engine == F.col("_engine"), "left").withColumn("_mark", F.coalesce("_mark", F.lit(RESULT_MARK))).drop("_engine")
     if known:
-        mark = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]), engine), F.lit(RESULT_MARK))
-        page = page.withColumn("_mark", mark)
         bare = ~F.expr("rlike(coalesce(html, ''), _mark)")
-    found = lambda words: F.regexp_extract(low, f"({any_of(words)})", 1)
-    plain = F.when((engine != "") & ~engine.isin(*GOOGLES), found(PLAIN_STRONG)).when(engine.isin(*GOOGLES), found(GOOGLE_STRONG)).otherwise("")
-    strong = let_first(found(STRONG), plain)
-    page = text.computed(page, "_found", F.struct(strong.alias("strong"), F.when(bare, found(MEDIUM)).otherwise("").alias("medium"), bare.alias("bare")))
+    page = text.computed(rows.withColumn("_title", title_of(F.col("html"))), "_text", F.lower(visible_text(F.col("html"))))
+    low, title = F.col("_text"), F.col("_title")
+    found = lambda words, where: F.regexp_extract(where, f"({any_of(words)})", 1)
+    # What the title says is looked at as well as the text; of a plain page, the whole source.
+    raw = F.lower(html)
+    own = F.when(plain & ~google, found([*PLAIN_STRONG, *RAW_STRONG], raw)).when(plain, found(GOOGLE_RAW, raw)).otherwise("")
+    strong = let_first(found(STRONG, F.concat_ws(" ", low, F.lower(title))), own)
+    weak = let_first(found(MEDIUM, low), F.when(low.contains("altcha"), "altcha").otherwise(""))
+    wall = (engine == "shodan") & (url.rlike("(?i)/login") | (found(LOGIN, low) != ""))
+    page = text.computed(page, "_found", F.struct(strong.alias("strong"), F.when(bare, weak).otherwise("").alias("medium"), bare.alias("bare"), wall.alias("wall")))
     pick = {"strong": F.col("_found.strong"), "medium": F.col("_found.medium")}
-    script = F.when(engine.isin(*GOOGLES), html.rlike(GOOGLE_MARK)).when(engine != "", html.rlike(PLAIN_MARK) | ((engine == "duckduckgo") & html.rlike(CAPTCHA_BOX))).otherwise(False)
-    titled = F.when(engine.isin(*GOOGLES), F.col("_title").rlike(GOOGLE_TITLE)).when(engine != "", F.col("_title").rlike(PLAIN_TITLE)).otherwise(False)
-    wall = (engine == "shodan") & (url.rlike("(?i)/login") | (found(LOGIN) != ""))
+    script = F.when(plain & google, html.rlike(GOOGLE_MARK)).when(plain, html.rlike(PLAIN_MARK) | ((engine == "duckduckgo") & html.rlike(CAPTCHA_BOX))).otherwise(False)
+    titled = F.when(plain & google, title.rlike(GOOGLE_TITLE)).when(plain, title.rlike(PLAIN_TITLE)).otherwise(False)
     reason = (
         F.when(url.rlike(BLOCK_URL), "url")
-        .when(wall, "login")
-        .when(F.col("_title").rlike(r"(?i)^captcha$"), "captcha title")
+        .when(F.col("_found.wall"), "login")
+        .when(title.rlike(r"(?i)^captcha$"), "captcha title")
         .when(titled, "challenge title")
         .when(pick["strong"] != "", F.concat(F.lit("strong: "), pick["strong"]))
         .when(script, "challenge script")
         .when(pick["medium"] != "", F.concat(F.lit("medium: "), pick["medium"]))
-        .when(F.col("_found.bare") & (F.col("_title") == "") & (F.length(low) < 300), "empty")
+        .when(lite_google & ~html.rlike("(?i)<h3") & html.rlike(CONSENT), "consent")
+        .when(lite_google & ~html.rlike(GOOGLE_SERP), "no result mark")
+        .when(F.col("_found.bare") & (title == "") & (F.length(low) < 300), "empty")
     )
     payload = engine.isin(*JSON_ENGINES) & html.rlike(r"^\s*[\[{]")
-    page = page.withColumn("reason", F.when(~payload, reason)).drop("_text", "_title", "_found", "_mark")
+    page = page.withColumn("reason", F.when(~payload, reason)).select(*pages.columns, "reason")
     return page.withColumn("label", F.when(F.col("reason").isNull(), "ok").otherwise("blocked"))
 
 
@@ -146,15 +173,16 @@ FORUM_PATH = r"(?i)(?:showthread|viewtopic|viewforum|showpost|viewthread)\.php|(
 DEFAULTS = {"social": True, "dev": False, "ugc": False, "forum": False, "blog": False}
 
 
-def filter_domains(results: DataFrame, policy: dict | None = None, *, policy_col: str | None = None) -> DataFrame:
+def filter_domains(results: DataFrame, policy: dict | None = None, *, policy_col: str | None = None, categories: DataFrame | None = None) -> DataFrame:
     """Without the results whose host belongs to a category that the policy leaves out.
 
     policy: {social, dev, ugc, forum, blog: bool, exclude_domains, allow_domains: lists}, the same for all rows, or in
     policy_col a struct as resolve_filter_policy makes it. Unset categories take their defaults (social only). Rows
     without a host stay; an allowed host stays whatever else it is. Categories come from a literal map of the fixed
-    domain list, looked up by host suffix; forums and blogs are also known by a label of the host or a part of the path."""
+    domain list, looked up by host suffix, or from `categories` (domain, category), a table of the caller that the
+    distinct hosts are joined with; forums and blogs are also known by a label of the host or a part of the path."""
     policy = policy or {}
-    rows = host_categories(results, "url", "_cats")
+    rows = host_categories(results, "url", "_cats", categories)
     u = text.text(F.col("url"))
     host, lab = urls.host(u), urls.labels(u)
     full_path = F.concat(urls.path(u), F.when(urls.query(u) != "", F.concat(F.lit("?"), urls.query(u))).otherwise(""))
@@ -245,50 +273,3 @@ def label_ip_rows(df: DataFrame, scan: DataFrame, ip: str = "ip") -> DataFrame:
     valid = hosts.is_ip(F.col(ip))
     rows = rows.withColumn("found", valid & F.col("_known").isNotNull())
     return rows.withColumn("code", F.when(~valid, "INVALID_IP").when(~F.col("found"), "NOT_FOUND")).drop("_ip", "_known")
-
-
-def search_pages(pages: DataFrame, queries: DataFrame, *, url: str = "url", title: str = "title", body: str = "text") -> DataFrame:
-    """(query_id, page columns): pages that match a query of our own table: any site: target, any filetype:, every
-    inurl:, intitle: and intext: token, every phrase, no exclusion; plain words are not looked at. Pages that are equal
-    in all columns count once.
-
-    queries has query_id and the columns of parse_query_operators. No query meets all pages: one with site: is joined
-    on host suffixes; others on a three-letter piece of what they require of the page, the one that fewest pages have
-    among the pieces of all such queries. A query that names no site and requires nothing of three characters (in its
-    url, title, body or as a phrase) would match nearly everything and raises a ValueError."""
-    from ..sources.readers import broadcast_if_small
-
-    q = queries.select("query_id", "operators", "phrases", "exclusions", "site_targets")
-    values = lambda k: F.coalesce(F.try_element_at("operators", F.lit(k)), F.array().cast("array<string>"))
-    low = lambda c: F.lower(text.text(F.col(c)))
-    kinds = F.concat(values("filetype"), values("mime"))
-    both = F.concat_ws(" ", low(title), low(body))
-    ok = (
-        F.forall(values("inurl"), lambda t: low(url).contains(F.lower(t)))
-        & F.forall(values("intitle"), lambda t: low(title).contains(F.lower(t)))
-        & F.forall(values("intext"), lambda t: low(body).contains(F.lower(t)))
-        & ((F.size(kinds) == 0) | F.exists(kinds, lambda k: F.lower(urls.path(F.col(url))).endswith(F.concat(F.lit("."), F.lower(F.regexp_replace(k, r"^\.", ""))))))
-        & F.forall("phrases", lambda t: both.contains(F.lower(t)))
-        & ~F.exists("exclusions", lambda t: both.contains(F.lower(t)))
-    )
-    cols = ["query_id", *pages.columns]
-    bare = F.transform("site_targets", lambda t: F.regexp_replace(t, r"^(?:\.|www\.)", ""))
-    sited = q.where(F.size("site_targets") > 0).withColumn("_target", F.explode(F.array_distinct(bare)))
-    by_host = pages.withColumn("_suffix", F.explode(urls.suffixes(urls.bare_host(F.col(url)))))
-    out = by_host.join(broadcast_if_small(sited), F.col("_suffix") == F.col("_target")).where(ok).select(*cols).distinct()
-
-    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(0))), lambda i: F.substring(t, i, F.lit(3)))
-    grams = lambda t: F.when(F.length(t) >= 3, pieces(t)).otherwise(F.array().cast("array<string>"))
-    needs = F.concat(F.col("phrases"), *[values(k) for k in ("inurl", "intitle", "intext")])
-    free = q.where(F.size("site_targets") == 0).withColumn("_needs", F.array_distinct(F.flatten(F.transform(needs, lambda t: grams(F.lower(t))))))
-    if free.isEmpty():
-        return out
-    if not free.where(F.size("_needs") == 0).isEmpty():
-        raise ValueError("a query without site: has to require three characters of a page")
-    wanted = free.select(F.explode("_needs").alias("_piece")).distinct()
-    has = pages.select(F.struct(*pages.columns).alias("_page"), F.explode(F.array_distinct(F.concat(grams(low(url)), grams(both)))).alias("_piece"))
-    has = has.join(broadcast_if_small(wanted), "_piece")
-    counts = wanted.join(has.groupBy("_piece").agg(F.count("*").alias("_n")), "_piece", "left").fillna(0, ["_n"])
-    rarest = free.select("query_id", F.explode("_needs").alias("_piece")).join(counts, "_piece").groupBy("query_id").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
-    by_piece = has.join(broadcast_if_small(free.join(rarest, "query_id")), "_piece").select("_page.*", *q.columns)
-    return out.unionByName(by_piece.where(ok).select(*cols).distinct())

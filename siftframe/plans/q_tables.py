@@ -11,6 +11,7 @@ from ..operators import filters as FI
 from ..operators import joins as J
 from ..operators import limits as L
 from ..operators import projections as P
+from ..operators import search as SE
 from ..operators import sets as U
 from ..operators import windows as W
 from . import sqltext as S
@@ -35,26 +36,50 @@ def query(sql: str | None = None):
 _TEXT = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"""
 
 
-@query("""select page_id, case when page_id % 7 = 0 then 'url' when page_id % 5 = 1 then 'strong: access denied' when page_id % 5 = 2 and page_id % 2 = 0 then 'medium: robot'
-when page_id % 5 = 3 and page_id % 4 = 0 then 'strong: our systems have detected' when page_id % 5 = 3 and page_id % 4 in (1, 2) then 'strong: just a moment'
-when page_id % 5 = 4 and page_id % 4 = 0 then 'challenge script' when page_id % 5 = 4 and page_id % 4 = 3 then 'login' end as reason,
-case when page_id % 7 = 0 or page_id % 5 = 1 or (page_id % 5 = 2 and page_id % 2 = 0) or (page_id % 5 = 3 and page_id % 4 <> 3) or (page_id % 5 = 4 and page_id % 4 in (0, 3)) then 'blocked' else 'ok' end as label from pages""")
+# What each page is made to show, as a table of conditions; the first that holds is the reason.
+_F1 = """with p as (select page_id, page_id % 4 as e, page_id % 5 as sign, page_id % 3 as way from pages),
+r as (select page_id, case when page_id % 7 = 0 then 'url' when sign = 4 and e = 3 then 'login' when sign = 1 then 'strong: access denied'
+  when sign = 3 and e = 0 then 'strong: our systems have detected' when sign = 3 and e in (1, 2) then 'strong: just a moment'
+  when sign = 4 and e = 0 then 'challenge script' when sign = 4 and e = 2 then 'medium: altcha' when sign = 2 and e in (0, 2) and not (e = 0 and way > 0) then 'medium: robot'
+  when e = 0 and way = 0 then 'no result mark' end as reason from p)
+select page_id, reason, case when reason is null then 'ok' else 'blocked' end as label from r"""
+
+
+@query(_F1)
 def f1_classify_pages(spark, sf_dir):
-    """Pages of four engines with a sign of a block page each; those with an odd number also have a result of their engine."""
+    """Plain pages of four engines with a sign of a block page each. Pages of bing and shodan, and two of three of google,
+    have a result of their engine. "Just a moment" stands in the text, in the title or in a script."""
     p = V.pages(spark, sf_dir)
-    k = F.col("page_id")
+    k, sign, way = F.col("page_id"), F.col("page_id") % 5, F.col("page_id") % 3
     engine = F.get(F.array(*[F.lit(e) for e in ("google", "bing", "brave", "shodan")]), (k % 4).cast("int"))
-    result = F.when(k % 4 == 1, '<li class="x b_algo"><a href="http://a/">r</a></li>').when(k % 4 == 3, '<a href="https://s.example/host/1.2.3.4">h</a>').otherwise("")
-    google = "<div>Our systems have detected something</div>"
-    sign = (
-        F.when(k % 5 == 1, "<p>Access <b>denied</b>").when(k % 5 == 2, "<p>ROBOT").when((k % 5 == 3) & (k % 4 == 0), google).when((k % 5 == 3) & (k % 4 != 3), "<p>Just a moment...")
-        .when((k % 5 == 4) & (k % 4 == 0), '<div id="captcha"></div>').when((k % 5 == 4) & (k % 4 == 3), "<p>Please log in").otherwise("")
+    result = (
+        F.when((k % 4 == 0) & (way > 0), "<h3>one</h3><h3>two</h3>").when(k % 4 == 1, '<li class="x b_algo"><a href="http://a/">r</a></li>')
+        .when(k % 4 == 3, '<a href="https://s.example/host/1.2.3.4">h</a>').otherwise("")
+    )
+    moment = F.when(way == 0, "<p>Just a moment...").when(way == 1, "<script>say('just a MOMENT')</script>").otherwise("")
+    sign_html = (
+        F.when(sign == 1, "<p>Access <b>denied</b>").when(sign == 2, "<p>ROBOT").when((sign == 3) & (k % 4 == 0), "<div>Our systems have detected something</div>")
+        .when((sign == 3) & (k % 4 != 3), moment).when((sign == 4) & (k % 4 == 0), '<div id="captcha"></div>').when((sign == 4) & (k % 4 == 3), "<p>Please log in")
+        .when((sign == 4) & (k % 4 == 2), "<p>ALTCHA widget").otherwise("")
     )
+    titled = (sign == 3) & (k % 4).isin(1, 2) & (way == 2)
+    html = F.when(titled, F.regexp_replace("html", r"(?is)<title[^>]*>.*?</title>", "<title>Just a moment...</title>")).otherwise(F.col("html"))
     url = F.when(k % 7 == 0, F.concat("url", F.lit("/sorry/x"))).otherwise(F.col("url"))
-    p = p.select("page_id", engine.alias("engine"), url.alias("url"), F.concat("html", result, sign).alias("html"))
+    p = p.select("page_id", engine.alias("engine"), url.alias("url"), F.concat(html, result, sign_html).alias("html"))
     return FI.classify_pages(p).select("page_id", "label", "reason")
 
 
+@query("""select page_id, case when page_id % 3 = 1 then 'medium: robot' end as reason, case when page_id % 3 = 1 then 'blocked' else 'ok' end as label from pages""")
+def f1_mark_table(spark, sf_dir):
+    """Pages of an engine that the library does not know, all of them with a weak word: a row of the caller's table says what
+    its results look like, and pages that have one are fine."""
+    p = V.pages(spark, sf_dir)
+    hit = F.when(F.col("page_id") % 3 == 0, "<hit-row>r</hit-row>").when(F.col("page_id") % 3 == 2, '<div class="own result">r</div>').otherwise("<div>none</div>")
+    rules = FI.mark_table(p).unionByName(spark.createDataFrame([("Mine", '(?i)<hit-row|class="own result"')], "engine string, mark string"))
+    shown = p.select("page_id", "url", F.lit("mine").alias("engine"), F.concat("html", F.lit("<p>a robot"), hit).alias("html"))
+    return FI.classify_pages(shown, rules).select("page_id", "label", "reason")
+
+
 @query("select page_id, page_id % 3 = 1 as has_results, page_id % 3 = 2 as soft_empty from pages")
 def f2_looks_like_results(spark, sf_dir):
     k = F.col("page_id") % 3
@@ -80,6 +105,15 @@ def f4_filter_domains(spark, sf_dir):
     return FI.filter_domains(V.results(spark, sf_dir), policy).select(*RES)
 
 
+@query(rf"""with {V.RESULTS}, c as (select distinct {S.bare("url")} as d from pages where {S.bare("url")} < 'm')
+select {", ".join(RES)} from res where not exists (select 1 from c where {S.bare("url")} = d or ends_with({S.bare("url")}, '.' || d))""")
+def f4_category_table(spark, sf_dir):
+    """A caller's table in place of the built-in list: half of the hosts are of a category that the policy leaves out."""
+    hosts = V.pages(spark, sf_dir, "url").select(urls.bare_host(F.col("url")).alias("domain")).distinct().where("domain < 'm'")
+    policy = {"dev": True, "social": False}
+    return FI.filter_domains(V.results(spark, sf_dir), policy, categories=hosts.withColumn("category", F.lit("dev"))).select(*RES)
+
+
 @query(rf"""with {V.QUERIES}, {V.RESULTS[V.RESULTS.index("deco0") :]}, r as (select * replace (page_id_ as query_id) from (select *, pos as page_id_ from res))
 select r.query_id, engine, page, pos, title, url from r join qs using (query_id)
 where case query_id % 5 when 0 then contains(lower(url), 'en') when 1 then regexp_matches(lower({S.part("url", 3)}), '\.(pdf|html)$') when 3 then ({S.bare("url")} like '%.com') and contains(lower(url), 'page') when 4 then false else true end""")
@@ -172,7 +206,30 @@ def f11_search_pages(spark, sf_dir):
     number = F.conv(F.substring(F.md5("h"), 1, 12), 16, 10).cast("long")
     forms = F.array(F.concat(F.lit("site:"), "h", F.lit(" inurl:http -the")), F.concat(F.lit("site:"), "h", F.lit(' "of" intext:a')))
     q = names.select(number.alias("n"), F.posexplode(forms).alias("k", "q")).select((F.col("n") * 2 + F.col("k")).alias("query_id"), "q")
-    return FI.search_pages(p, P.parse_query_operators(q)).select("query_id", "page_id")
+    return SE.search_pages(p, P.parse_query_operators(q)).select("query_id", "page_id")
+
+
+_FREE = rf"""with p as (select page_id, lower(regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '\s+', ' ', 'g')) as title, {_TEXT} as body from pages),
+w as (select page_id, title, body, string_split(title, ' ') as ts, string_split(body, ' ') as bs from p),
+q as (select 2 * page_id as query_id, ts[1] as need_title, bs[3] || ' ' || bs[4] as phrase, bs[len(bs)] as never from w where len(bs) >= 6 and length(ts[1]) >= 3 and bs[3] || ' ' || bs[4] <> bs[len(bs)]),
+q2 as (select query_id, need_title, phrase from q where regexp_full_match(need_title, '[a-z]+') and regexp_full_match(phrase, '[a-z]+ [a-z]+'))
+select query_id, w.page_id as page_id from q2 join w on contains(title, need_title) and contains(title || ' ' || body, phrase)"""
+
+
+@query(_FREE)
+def f11_piece_index(spark, sf_dir):
+    """Searches without site:, a phrase and a word of the title for each page, over a saved index that two searches share."""
+    import uuid
+
+    p = V.pages(spark, sf_dir).select("page_id", "url", FI.title_of(F.col("html")).alias("title"), FI.visible_text(F.col("html")).alias("text"))
+    title, body = F.split(F.lower("title"), " "), F.split(F.lower("text"), " ")
+    words = p.select("page_id", F.get(title, 0).alias("t"), F.concat_ws(" ", F.get(body, 2), F.get(body, 3)).alias("ph"), F.size(body).alias("n"), F.get(body, F.size(body) - 1).alias("z"))
+    words = words.where("n >= 6 and length(t) >= 3 and t rlike '^[a-z]+$' and ph rlike '^[a-z]+ [a-z]+$' and ph <> z")
+    q = P.parse_query_operators(words.select((2 * F.col("page_id")).alias("query_id"), F.concat(F.lit("intitle:"), "t", F.lit(' "'), "ph", F.lit('"')).alias("q")))
+    name = f"siftframe_{uuid.uuid4().hex}"
+    SE.index_pages(p, name=name, buckets=16)
+    halves = [SE.search_index(SE.open_index(spark, name), q.where(f"query_id % 4 = {k}")) for k in (0, 2)]
+    return halves[0].unionByName(halves[1]).select("query_id", "page_id")
 
 
 @query(rf"""with {V.QUERIES} select query_id, case query_id % 4 when 0 then 'bing' when 1 then 'google' when 2 then 'wiby' else 'unknown' end as engine,

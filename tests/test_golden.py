@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftframe.functions import hosts, query_ops, text, urls
-from siftframe.operators import aggregates, extract, filters, joins, limits, sets, windows
+from siftframe.operators import aggregates, extract, filters, joins, limits, search, sets, windows
 from siftframe.operators import projections as P
 from siftframe.operators.crawl import crawl_frontier
 from siftframe.plans import pipelines
@@ -320,11 +320,11 @@ def test_page_search(spark):
         lambda u, t, b: "alpha" in t, lambda u, t, b: "beta" in u and "gamma delta" in f"{t} {b}", lambda u, t, b: "omega" in b and "the" not in f"{t} {b}", lambda u, t, b: "h1.example" in u and "the" in t,
         lambda u, t, b: u.endswith(".pdf") and "gam" in b, lambda u, t, b: "beta" in f"{t} {b}",
     ]
-    got = {(r.query_id, r.page_id) for r in filters.search_pages(df, q).collect()}
+    got = {(r.query_id, r.page_id) for r in search.search_pages(df, q).collect()}
     assert got == {(n, k) for n, f in enumerate(ok) for k, u, t, b in pages if f(u, t, b)} and len(got) > 20
     with pytest.raises(ValueError, match="three characters"):
-        filters.search_pages(df, P.parse_query_operators(spark.createDataFrame([(1, "plain words")], "query_id int, q string")))
-    assert filters.search_pages(df.limit(0), q).count() == 0
+        search.search_pages(df, P.parse_query_operators(spark.createDataFrame([(1, "plain words")], "query_id int, q string")))
+    assert search.search_pages(df.limit(0), q).count() == 0
 
 
 @pytest.mark.parametrize("bucket", [windows.BUCKET_S, 60])
