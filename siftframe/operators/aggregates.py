@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import failure_streak
+
 BLOCKED, EMPTY = ("BLOCKED", "SORRY"), ("EMPTY_RESULTS", "LITE_EMPTY")
+#: Kinds of runs that are counted apart from searches.
+RUNS = ("batch", "crawl")
 
 
 def _counts():
@@ -17,9 +21,13 @@ def _counts():
 
 
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
-    """One row: searches, ok, fail, lite and render counts, and batch and crawl runs by `kind` where there is one."""
-    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("batch", "crawl")] if "kind" in outcomes.columns else []
-    return outcomes.agg(F.count("*").alias("search"), *_counts(), *kinds)
+    """One row: searches, ok, fail, lite and render counts of searches. Where there is a column `kind`, rows of the kinds
+    batch and crawl are runs of those, which are counted apart and are no searches; null is a search."""
+    if "kind" not in outcomes.columns:
+        return outcomes.agg(F.count("*").alias("search"), *_counts())
+    runs = F.coalesce(F.col("kind").isin(*RUNS), F.lit(False))
+    searches = outcomes.withColumns({"ok": F.when(~runs, F.col("ok")), "source": F.when(~runs, F.col("source"))})
+    return searches.agg(F.count_if(~runs).alias("search"), *_counts(), *[F.count_if(F.col("kind") == k).alias(k) for k in RUNS])
 
 
 def outcomes_by_key(outcomes: DataFrame, key: str = "key") -> DataFrame:
@@ -51,6 +59,19 @@ def breaker_counters(outcomes: DataFrame, key: str = "key", *, per_host: bool =
     return outcomes.groupBy(key).agg(*cols, *([F.count("*").alias("uses")] if per_host else []))
 
 
+def breaker_state(outcomes: DataFrame, now: Column, fails: int = 3, open_ms: int = 120_000, key: str = "key", order=("ts", "event_id")) -> DataFrame:
+    """(key, consecutive_fail, open, skip_remaining_ms) of each key at a time `now`, from the rows that are not younger:
+    failures since the last success, whether the key takes no traffic, and for how many milliseconds yet. Each failure
+    that makes or extends a streak of `fails` keeps it away for open_ms. Streaks are handed on from day to day (see
+    windows.failure_streak), so no key's history is in one task."""
+    fails, open_ms = max(2, fails), max(5_000, open_ms)
+    known = outcomes.where(F.col(order[0]) <= now)
+    last = failure_streak(known, key, order).groupBy(key).agg(F.max_by("streak", F.struct(*order)).alias("consecutive_fail"), F.max(order[0]).alias("_last"), F.max(now).alias("_now"))
+    ms = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1000)
+    left = F.when(F.col("consecutive_fail") >= fails, F.greatest(ms("_last") + open_ms - ms("_now"), F.lit(0))).otherwise(0).cast("long")
+    return last.select(key, "consecutive_fail", (left > 0).alias("open"), left.alias("skip_remaining_ms"))
+
+
 def merge_summary(results: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per query: engines tried and ok, the number of results, the longest duration, and the sources joined by +."""
     tried = outcomes.groupBy("query_id").agg(

@@ -158,10 +158,12 @@ def attach_enrichment(results: DataFrame, suggestions: DataFrame, news: DataFram
     return results
 
 
-def engine_status(registry: DataFrame, breaker: DataFrame) -> DataFrame:
-    """Every registered engine with its counters, zeros where none were recorded."""
-    counters = [c for c in breaker.columns if c not in ("key", "last_code")]
-    rows = registry.join(breaker.withColumnRenamed("key", "engine"), "engine", "left")
-    return rows.select(*registry.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counters], *[c for c in breaker.columns if c == "last_code"])
-
-
+def engine_status(registry: DataFrame, breaker: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Every registered engine with its counters, zeros where none were recorded, and, with the state of its breaker
+    (see aggregates.breaker_state), whether it is open, its failures in a row and how long it is skipped yet."""
+    sides = [breaker] if state is None else [breaker, state]
+    rows = registry
+    for side in sides:
+        rows = rows.join(side.withColumnRenamed("key", "engine"), "engine", "left")
+    counted = [F.coalesce(c, F.lit(False if c == "open" else 0)).alias(c) for side in sides for c in side.columns if c not in ("key", "last_code")]
+    return rows.select(*registry.columns, *counted, *[c for c in breaker.columns if c == "last_code"])

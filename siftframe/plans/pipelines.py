@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -13,8 +13,9 @@ from ..operators import projections as P
 from ..operators import sets as U
 from ..operators import windows as W
 from ..operators.crawl import crawl_frontier
-from ..operators.extract import extract_links, extract_results
+from ..operators.extract import BLOCK_ENGINES, extract_links, extract_results, extract_serp_features
 from ..sources.folders import written
+from ..sources.readers import read_embedded_extras
 from ..sources.sinks import envelopes, organic
 
 
@@ -60,17 +61,53 @@ def plan_queries(queries: DataFrame) -> DataFrame:
     return rows.drop("_off")
 
 
-def search_fallback(captured: DataFrame, queries: DataFrame, num: int = 10, *, hosts: dict | None = None) -> DataFrame:
+EXTRAS = ("knowledge_graph", "answer_box", "people_also_ask", "related_searches")
+
+
+def page_extras(captured: DataFrame) -> DataFrame:
+    """(query_id, engine, knowledge_graph, answer_box, people_also_ask, related_searches) of captured pages of block
+    layouts: each from the first page of a query and engine that has it, as the page shows it, or else as a comment in
+    it says. Pages without a query or engine, and null pages, have none. Only these engines' pages reach Python."""
+    pages = captured.where(F.col("engine").isin(*BLOCK_ENGINES) & F.col("html").isNotNull())
+    shown = extract_serp_features(pages.select(F.struct("query_id", "engine", "page", "page_id").alias("page_id"), "html"))
+    said = read_embedded_extras(pages).select(F.struct("query_id", "engine", "page", "page_id").alias("at"), "extras")
+    graph = F.col("extras.knowledgeGraph")
+    renamed = F.struct(graph["title"].alias("title"), graph["type"].alias("type"), graph["description"].alias("description"), graph["imageUrl"].alias("image_url"), graph["attributes"].alias("attributes"))
+    said = said.where("extras is not null").select(
+        "at", F.lit(1).alias("_k"), F.when(graph.isNotNull(), renamed).alias("knowledge_graph"), F.col("extras.answerBox").alias("answer_box"),
+        F.transform("extras.peopleAlsoAsk", lambda x: x["question"]).alias("people_also_ask"), F.transform("extras.relatedSearches", lambda x: x["query"]).alias("related_searches"),
+    )
+    shown = shown.select(F.col("page_id").alias("at"), F.lit(0).alias("_k"), *EXTRAS)
+    both = shown.unionByName(said)
+    first = lambda c, there: F.min_by(F.col(c), F.when(there, F.struct("at.page", "at.page_id", "_k"))).alias(c)
+    there = {c: F.col(c).isNotNull() & (F.size(c) > 0 if c in EXTRAS[2:] else F.lit(True)) for c in EXTRAS}
+    return both.groupBy("at.query_id", "at.engine").agg(*[first(c, there[c]) for c in EXTRAS])
+
+
+def search_fallback(captured: DataFrame, queries: DataFrame, num: int = 10, *, hosts: dict | None = None, extras: bool = False, suggestions: DataFrame | None = None, news: DataFrame | None = None) -> DataFrame:
     """One envelope a query: results of the first engine, in the order tried, that still has any after all filters, one a
     canonical url, ranked. captured are result pages (page_id, query_id, engine, page, html) and perhaps duration_ms;
-    queries comes from plan_queries; hosts are the host options."""
+    queries comes from plan_queries; hosts are the host options.
+
+    With extras, an envelope also has what the pages of its engine show beside the results (see page_extras): knowledge
+    graph, answer box, questions and related searches. suggestions (query_id, suggestions) and news (query_id, news) are
+    attached to envelopes of block engines, ten at most; lists that are empty are null."""
     tried = queries.select("query_id", F.posexplode("try_list").alias("engine_pos", "engine"))
     rows = captured_results(captured).join(tried, ["query_id", "engine"])
     kept = W.dedupe_canonical(_shaped(rows, queries, hosts), num, ("query_id", "engine"))
     won, asked = U.first_nonempty_engine(kept, tried)
     ranked = W.with_ranks(W.top(won, num))
     last = asked.groupBy("query_id").agg(F.max_by("engine", "engine_pos").alias("engine"), F.max_by("code", "engine_pos").alias("code"), F.max("ok").alias("ok"))
-    return envelopes(ranked, last.join(_durations(captured), ["query_id", "engine"], "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0.0))))
+    out = envelopes(ranked, last.join(_durations(captured), ["query_id", "engine"], "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0.0))))
+    if extras:
+        out = out.join(page_extras(captured), ["query_id", "engine"], "left").select(*out.columns, *[F.when(F.col("success"), F.col(c)).alias(c) for c in EXTRAS])
+    none = lambda name: queries.select("query_id", F.lit(None).cast("array<string>").alias(name)).limit(0)
+    if suggestions is not None or news is not None:
+        names = [c for side in (suggestions, news) if side is not None for c in side.columns if c != "query_id"]
+        full = J.attach_enrichment(out, suggestions if suggestions is not None else none("suggestions"), news if news is not None else none("news"))
+        mine = F.col("success") & F.col("engine").isin(*BLOCK_ENGINES)
+        out = full.select(*out.columns, *[F.when(mine, F.col(c)).alias(c) for c in names])
+    return out
 
 
 def _durations(captured: DataFrame) -> DataFrame:
@@ -104,22 +141,41 @@ def search_compact(captured: DataFrame, queries: DataFrame, params: list[str]) -
     return organic(U.engine_of_first(some.unionByName(rest)), queries.select("query_id", *params))
 
 
-def batch_search(captured: DataFrame, queries: DataFrame, stored: DataFrame, ttl_s: int = 300) -> tuple[DataFrame, DataFrame]:
+ANSWER = "array<struct<rank:int,title:string,url:string,snippet:string>>"
+
+
+def batch_search(captured: DataFrame, queries: DataFrame, stored: DataFrame, ttl_s: int = 300, *, num: int = L.MOST) -> tuple[DataFrame, DataFrame]:
     """(answers, summary) of a query list (query_id, batch_id, position, key, ts), as read_queries gives it with numbers,
-    keys and times. Stored answers that are young enough are taken; the others get the results of their first engine
-    that has any, from captured pages. No filters run on this path; an answer from the store takes no time."""
-    hits, misses = J.split_cached(queries.select("query_id", "batch_id", "position", "key", "ts"), stored, ttl_s)
+    keys and times. An answer has engine, count and results (rank, title, url, snippet), one a url, num at most.
+
+    Stored answers that are young enough are taken with the engine, count and results that they were stored with
+    (columns of `stored`; null where it has none); storable gives the form. The others get the results of their first
+    engine that has any, from captured pages. No filters run on this path; an answer from the store takes no time."""
+    have = [c for c in ("engine", "count", "results") if c in stored.columns]
+    kept = stored.select("key", "stored_ts", *[F.col(c).alias(f"_{c}") for c in have])
+    hits, misses = J.split_cached(queries.select("query_id", "batch_id", "position", "key", "ts"), kept, ttl_s)
     rows = captured_results(captured.join(misses.select("query_id"), "query_id", "left_semi"))
     order = captured.select("query_id", "engine", "engine_pos").distinct()
     fresh = U.engine_of_first(rows.join(order, ["query_id", "engine"]))
-    n = fresh.groupBy("query_id").agg(F.count("*").alias("count"), F.first("engine").alias("engine")).join(_durations(captured), ["query_id", "engine"])
+    fresh = W.with_ranks(W.top(W.first_wins(fresh), min(L.MOST, max(1, num))))
+    lists = fresh.groupBy("query_id", "engine").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "url", "snippet"))).cast(ANSWER).alias("results"))
     cols = ["query_id", "batch_id", "position", "ts"]
-    a = misses.join(n, "query_id", "left").select(*cols, "engine", F.coalesce("count", F.lit(0)).alias("count"), F.lit(False).alias("cached"), F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"))
-    b = hits.select(*cols, F.lit(None).cast("string").alias("engine"), F.lit(None).cast("long").alias("count"), F.lit(True).alias("cached"), F.lit(0.0).alias("duration_ms"))
+    none = F.array().cast(ANSWER)
+    a = misses.join(lists.join(_durations(captured), ["query_id", "engine"]), "query_id", "left")
+    a = a.select(*cols, "engine", F.size(F.coalesce("results", none)).cast("long").alias("count"), F.lit(False).alias("cached"), F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"), F.coalesce("results", none).alias("results"))
+    old = lambda c, kind: (F.col(f"_{c}") if c in have else F.lit(None)).cast(kind).alias(c)
+    b = hits.select(*cols, old("engine", "string"), old("count", "long"), F.lit(True).alias("cached"), F.lit(0.0).alias("duration_ms"), old("results", ANSWER))
     answers = a.unionByName(b).withColumn("ok", F.col("cached") | (F.col("count") > 0))
     return answers, A.batch_summary(answers)
 
 
+def storable(answers: DataFrame, queries: DataFrame) -> DataFrame:
+    """(key, stored_ts, engine, count, results): what a later batch may take from these answers: successful ones with
+    results that were not taken from the store themselves, as of their query's time."""
+    good = answers.where((~F.col("cached")) & (F.col("count") > 0))
+    return good.join(queries.select("query_id", "key"), "query_id").select("key", F.col("ts").alias("stored_ts"), "engine", "count", "results")
+
+
 def crawl(pages: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: int = 1, *, same_origin: bool = False) -> tuple[DataFrame, DataFrame]:
     """(visited pages, summary) of bounded traversals over captured pages; links to private hosts are not followed."""
     links = FI.guard_links(extract_links(pages), origin="src_url" if same_origin else None)
@@ -141,9 +197,12 @@ def host_inventory(lookups: DataFrame, scan: DataFrame) -> tuple[DataFrame, Data
     return J.enrich_hosts(shaped.drop("url", "title", "ports", "hostnames", "org"), scan), A.host_lookup_summary(rows)
 
 
-def health_report(outcomes: DataFrame, registry: DataFrame) -> DataFrame:
-    """Every registered engine with its breaker counters, outcome counts, and the latency figures of all."""
-    status = J.engine_status(registry, A.breaker_counters(outcomes))
+def health_report(outcomes: DataFrame, registry: DataFrame, now: Column | None = None) -> DataFrame:
+    """Every registered engine with its breaker counters, the state of its breaker at a time (the newest outcome's, if
+    none is given), its outcome counts, and the latency figures of all."""
+    log = outcomes.join(F.broadcast(outcomes.agg(F.max("ts").alias("_newest"))), F.lit(True))
+    state = A.breaker_state(log, F.col("_newest") if now is None else now)
+    status = J.engine_status(registry, A.breaker_counters(outcomes), state)
     counts = A.outcomes_by_key(outcomes).select(F.col("key").alias("engine"), "fail", "lite", "render")
     rows = status.join(counts, "engine", "left").fillna(0, ["fail", "lite", "render"])
     return rows.join(F.broadcast(A.latency_percentiles(outcomes)), F.lit(True))

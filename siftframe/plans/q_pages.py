@@ -86,6 +86,16 @@ def x3_extract_cards(spark, sf_dir):
     return X.extract_cards(serp(spark, sf_dir, block, ("brave", "bing", "ecosia"))).select("page_id", "title", "url", "rank", "snippet")
 
 
+@query(_ranked("url", 2).replace("title, url as url", "title, url as url, trim(snippet) as snippet"))
+def x3_card_table(spark, sf_dir):
+    """Layouts that only a caller's rows know: three engines of their own, with containers, links and own hosts as the rows say."""
+    raw = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    block = F.concat(F.lit('<section class="hit"><a class="go" href="'), raw, F.lit('"><b>'), "title", F.lit("</b></a><i>"), "snippet", F.lit('</i></section><section class="hit"><a class="go" href="https://own.example/x"><b>own page</b></a></section>'))
+    own = [(e, "section.hit", "a.go[href]", "b", "i", r"own\.example$", "", "") for e in ("mine", "yours", "theirs")]
+    p = serp(spark, sf_dir, block, ("mine", "yours", "theirs"))
+    return X.extract_cards(p, X.card_rule_table(p).unionByName(spark.createDataFrame(own, X.CARD_RULE))).select("page_id", "title", "url", "rank", "snippet")
+
+
 @query(f"""with {V.RESULTS}, a as (select query_id * 10 + engine_pos as page_id, list('Question ' || pos || '?' order by page, pos) as l, list('rel ' || pos order by page, pos) as m from res group by 1)
 select page_id, 'Graph' as graph_title, 'forty-two' as answer, array_to_string(l[1:8], '|') as asked, array_to_string(m[1:12], '|') as related from a""")
 def x4_extract_serp_features(spark, sf_dir):
@@ -100,14 +110,15 @@ def x4_extract_serp_features(spark, sf_dir):
 
 @query(_ranked("cleaned", 3, 200).replace("title, cleaned as url", "title, cleaned as url, 'snippet of ' || trim(snippet) as snippet, 'Feb 2, 2026' as date, 2 as n_sitelinks"))
 def x4_extract_organic(spark, sf_dir):
-    """Rendered cards: a heading in one cell, its snippet in another, two sitelinks with headings of their own, and a card without
-    snippet or displayed link, which goes."""
+    """Rendered cards: a heading in one cell, its snippet in another, two sitelinks with headings of their own
+    and one of a single letter, which goes, as do cards titled by navigation and one without snippet or displayed link."""
     block = F.concat(
         F.lit('<div class="MjjYud"><div><a jsname="UWckNb" href="/url?q='), "enc", F.lit('&amp;sa=U"><h3>'), "title", F.lit('</h3></a><cite>host › a</cite></div><div><div class="VwiC3b">snippet of <em>'), "snippet",
-        F.lit('</em></div><span class="LEwnzc">Feb 2, 2026</span><div class="HiHjCd"><h3>no</h3><a href="https://s.example/1">one</a><a href="https://s.example/2">two</a></div></div></div>'),
+        F.lit('</em></div><span class="LEwnzc">Feb 2, 2026</span><div class="HiHjCd"><h3>no</h3><a href="https://s.example/1">one</a><a href="https://s.example/2">two</a><a href="https://s.example/3">x</a></div></div></div>'),
     )
     p = serp(spark, sf_dir, block, ("google", "google", "google"))
-    p = p.withColumn("html", F.replace("html", F.lit("</body>"), F.lit('<div><div><a href="https://chrome.example/"><h3>Not organic</h3></a></div></div></body>')))
+    bar = "".join(f'<div class="MjjYud"><a href="https://nav.example/{k}"><h3>{k}</h3></a><cite>nav</cite><div class="VwiC3b">a bar of navigation</div></div>' for k in ("Images", "VIDEOS", "Sign in"))
+    p = p.withColumn("html", F.replace("html", F.lit("</body>"), F.lit(bar + '<div><div><a href="https://chrome.example/"><h3>Not organic</h3></a></div></div></body>')))
     return X.extract_organic(p).select("page_id", "title", "url", "rank", "snippet", "date", F.size("sitelinks").alias("n_sitelinks"))
 
 
@@ -314,6 +325,32 @@ def e1_search_fallback(spark, sf_dir):
     return out.where("success").select("query_id", "engine", "count", F.array_join(F.transform("results", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["url"])), " ").alias("results"), "duration_ms")
 
 
+@query(f"""with {V.RESULTS}, q as (select query_id, min(page) as page from res where engine = 'google' group by query_id), s as (select query_id, list(title order by pos, page) as l from res where engine = 'google' group by query_id)
+select q.query_id as query_id, case when q.query_id % 2 = 0 then 'Shown ' || page else 'Said ' || page end as graph_title, case when q.query_id % 2 = 0 then 'forty-two' end as answer,
+case when q.query_id % 2 = 0 then 'What is it, really?' else 'q1|q2' end as asked, case when q.query_id % 2 = 0 then 'related one' end as related, array_to_string(l[1:10], '|') as suggestions,
+case when q.query_id % 3 = 0 then 'item' end as news from q join s using (query_id) where q.query_id in (select query_id from res where engine = 'google' and length(title) >= 3 group by query_id)""")
+def e1_search_extras(spark, sf_dir):
+    """Envelopes of google with what its pages show beside results (even queries) or say in a comment (odd ones), suggestions and news."""
+    at = F.col("page").cast("string")
+    shown = F.concat(
+        F.lit('<div data-attrid="title"><span>Shown '), at, F.lit('</span></div><div class="hgKElc">forty-two</div><div class="related-question-pair" data-q="What is it, really?"></div>'),
+        F.lit('<div class="s75CSd"><a href="/search?q=x">related one</a></div><div class="s75CSd"><a href="/search?q=y">Images</a></div></body>'),
+    )
+    said = F.concat(F.lit('<!--serp-extras:{"knowledgeGraph":{"title":"Said '), at, F.lit('"},"peopleAlsoAsk":[{"question":"q1"},{"question":"q2"}]}--></body>'))
+    pages = _captured(spark, sf_dir).where("engine = 'google'")
+    pages = pages.withColumn("html", F.replace("html", F.lit("</body>"), F.when(F.col("query_id") % 2 == 0, shown).otherwise(said)))
+    q = V.pages(spark, sf_dir, "page_id").select(V.query_of(F.col("page_id")).alias("query_id"), F.lit("google").alias("engines")).distinct()
+    off = F.create_map(*[F.lit(x) for c in ("social", "blog", "forum", "dev", "ugc", "fallback") for x in (c, "0")])
+    q = E.plan_queries(q.withColumns({"params": off, "q": F.lit("plain words")}))
+    google = V.results(spark, sf_dir).where("engine = 'google'")
+    listed = google.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "page", "title"))).alias("l")).select("query_id", F.transform("l", lambda x: x["title"]).alias("suggestions"))
+    news = q.select("query_id", F.when(F.col("query_id") % 3 == 0, F.array(F.lit("item"))).otherwise(F.array().cast("array<string>")).alias("news"))
+    out = E.search_fallback(pages, q, extras=True, suggestions=listed, news=news).where("success")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    lists = F.nullif(F.array_join("related_searches", "|"), F.lit("")).alias("related")
+    return out.select("query_id", F.col("knowledge_graph.title").alias("graph_title"), F.col("answer_box.answer").alias("answer"), F.array_join("people_also_ask", "|").alias("asked"), lists, joined("suggestions"), joined("news"))
+
+
 _MERGED = f"""{_SHAPED}, o as (select *, case engine when 'duckduckgo' then 0 else 1 end as ep from sh where engine <> 'bing'), f as (select *, row_number() over (partition by query_id, url order by ep, page, pos) as k from o),
 t as (select *, row_number() over (partition by query_id order by ep, page, pos) as r from f where k = 1), c as (select *, row_number() over (partition by query_id, {S.canonical("url")} order by ep, page, pos) as kk from t where r <= 10),
 mg as (select query_id, url, row_number() over (partition by query_id order by ep, page, pos) as rank from c where kk = 1)"""
@@ -351,22 +388,34 @@ def _batch(spark, sf_dir):
     at = F.expr("timestampadd(SECOND, position, TIMESTAMP_NTZ'2024-01-01 10:00:00')")
     queries = q.select("query_id", F.floor(F.col("query_id") / 10).alias("batch_id"), "position", F.col("q").alias("key"), at.alias("ts"))
     old = F.when(F.col("query_id") % 5 == 0, F.lit("2024-01-01 09:59:00").cast("timestamp_ntz")).otherwise(F.lit("2024-01-01 09:00:00").cast("timestamp_ntz"))
-    stored = ids.where("query_id % 5 = 0 or query_id % 5 = 1").select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("key"), old.alias("stored_ts"), F.lit(1).alias("n"))
+    key = F.concat(F.lit("q"), F.col("query_id").cast("string"))
+    kept = F.transform(F.sequence(F.lit(1), (F.col("query_id") % 3 + 1).cast("int")), lambda k: F.struct(k.alias("rank"), F.lit("Kept").alias("title"), F.concat(F.lit("https://kept.example/"), key, F.lit("/"), k.cast("string")).alias("url"), F.lit("s").alias("snippet")))
+    stored = ids.where("query_id % 5 = 0 or query_id % 5 = 1").select(key.alias("key"), old.alias("stored_ts"), F.lit("mojeek").alias("engine"), (F.col("query_id") % 3 + 1).alias("count"), kept.alias("results"))
     return E.batch_search(_captured(spark, sf_dir), queries, stored)
 
 
 _BATCH = f"""{_CAPTURED}, q as (select query_id, query_id // 10 as batch_id from (select query_id from {_QUERIES} union all select 1000000000 + query_id from {_QUERIES})),
 p as (select *, row_number() over (partition by batch_id order by query_id) - 1 as position from q),
 fe as (select query_id, min(engine_pos) as engine_pos from cap group by query_id),
-n as (select query_id, engine, count(*) as n from cap join fe using (query_id, engine_pos) group by query_id, engine),
+br0 as (select *, row_number() over (partition by query_id, url order by page, pos) as bk from cap join fe using (query_id, engine_pos)),
+br as (select *, row_number() over (partition by query_id order by page, pos) as rank from br0 where bk = 1),
+n as (select query_id, engine, count(*) as n from br group by query_id, engine),
 d as (select query_id, engine, sum(query_id % 7 * 100 + page)::double as ms from (select distinct query_id, engine, page from res) group by 1, 2),
-an as (select p.*, query_id % 5 = 0 as cached, case when query_id % 5 = 0 then null else coalesce(n, 0) end as "count", case when query_id % 5 = 0 then 0.0 else coalesce(ms, 0.0) end as duration_ms
+an as (select p.*, query_id % 5 = 0 as cached, case when query_id % 5 = 0 then 'mojeek' else engine end as engine, case when query_id % 5 = 0 then query_id % 3 + 1 else coalesce(n, 0) end as "count", case when query_id % 5 = 0 then 0.0 else coalesce(ms, 0.0) end as duration_ms
        from p left join n using (query_id) left join d using (query_id, engine))"""
 
 
-@query(f'{_BATCH} select query_id, position, cached, "count", duration_ms from an')
+@query(f'{_BATCH} select query_id, position, cached, engine, "count", duration_ms from an')
 def e4_batch_search(spark, sf_dir):
-    return _batch(spark, sf_dir)[0].select("query_id", F.col("position").cast("long").alias("position"), "cached", "count", "duration_ms")
+    return _batch(spark, sf_dir)[0].select("query_id", F.col("position").cast("long").alias("position"), "cached", "engine", "count", "duration_ms")
+
+
+@query(f"""{_BATCH} select an.query_id as query_id, an.engine as engine, rank, title, url from an join br using (query_id) where not cached
+union all select query_id, engine, k, 'Kept', 'https://kept.example/q' || query_id || '/' || k from an, (select unnest([1, 2, 3]) as k) where cached and k <= query_id % 3 + 1""")
+def e4_batch_results(spark, sf_dir):
+    """The results of each answer: of captured pages, and as they were stored."""
+    answers = _batch(spark, sf_dir)[0]
+    return answers.select("query_id", "engine", F.explode("results").alias("r")).select("query_id", "engine", "r.rank", "r.title", "r.url")
 
 
 @query(f'{_BATCH} select batch_id, count(*) as batch_size, count(*) filter (cached or "count" > 0) as completed, max(position * 1000 + duration_ms) - min(position * 1000) as duration_ms from an group by batch_id')
@@ -392,12 +441,14 @@ def e6_host_inventory(spark, sf_dir):
     return rows.select("page_id", "ip", "found", "host.ip_str", "host.port", F.array_join(F.col("host.ports").cast("array<string>"), ",").alias("ports"), "host.product")
 
 
-@query(f"""with {V.OUTCOMES}, c as (select key, count(*) filter (ok) as ok, count(*) filter (not ok) as fail, count(*) filter (source = 'lite') as lite, count(*) filter (code = 'BLOCKED') as blocked from outc group by key),
+@query(f"""with {V.OUTCOMES}, {V.LAST_STREAK}, c as (select key, count(*) filter (ok) as ok, count(*) filter (not ok) as fail, count(*) filter (source = 'lite') as lite, count(*) filter (code = 'BLOCKED') as blocked from outc group by key),
 l as (select quantile_disc(duration_ms, 0.5) as p from (select duration_ms from outc order by ts desc, event_id desc limit 500)), reg as (select distinct 'k' || (page_id % 60) as engine from pages)
-select engine, coalesce(ok, 0) as ok, coalesce(fail, 0) as fail, coalesce(lite, 0) as lite, coalesce(blocked, 0) as blocked, (select floor(p + 0.5)::bigint from l) as p50 from reg left join c on key = engine""")
+select engine, coalesce(ok, 0) as ok, coalesce(fail, 0) as fail, coalesce(lite, 0) as lite, coalesce(blocked, 0) as blocked, (select floor(p + 0.5)::bigint from l) as p50,
+coalesce(consecutive_fail, 0) as consecutive_fail, coalesce(skip_remaining_ms > 0, false) as "open", coalesce(skip_remaining_ms, 0) as skip_remaining_ms from reg left join c on c.key = engine left join ls on ls.key = engine""")
 def e7_health_report(spark, sf_dir):
     registry = V.pages(spark, sf_dir, "page_id").select(F.concat(F.lit("k"), (F.col("page_id") % 60).cast("string")).alias("engine")).distinct()
-    return E.health_report(V.outcomes(spark, sf_dir), registry).select("engine", "ok", "fail", "lite", "blocked", "p50")
+    out = E.health_report(V.outcomes(spark, sf_dir), registry)
+    return out.select("engine", "ok", "fail", "lite", "blocked", "p50", "consecutive_fail", "open", "skip_remaining_ms")
 
 
 def _stream(spark, sf_dir, table: str):

@@ -288,10 +288,15 @@ _BREAKER = f"""with {V.OUTCOMES}, br as (select key, count(*) filter (code = 'OK
 count(*) filter (code not in ('OK', 'BLOCKED', 'SORRY', 'EMPTY_RESULTS', 'LITE_EMPTY')) as error, arg_max(code, (ts, event_id)) as last_code from outc group by key)"""
 
 
-@query(f"{_BREAKER}, reg as (select distinct 'k' || (page_id % 60) as engine from pages) select engine, coalesce(ok, 0) as ok, coalesce(blocked, 0) as blocked, coalesce(empty, 0) as empty, coalesce(error, 0) as error, last_code from reg left join br on engine = key")
+@query(f"""{_BREAKER}, {V.LAST_STREAK}, reg as (select distinct 'k' || (page_id % 60) as engine from pages)
+select engine, coalesce(ok, 0) as ok, coalesce(blocked, 0) as blocked, coalesce(empty, 0) as empty, coalesce(error, 0) as error, coalesce(consecutive_fail, 0) as consecutive_fail,
+coalesce(skip_remaining_ms > 0, false) as "open", coalesce(skip_remaining_ms, 0) as skip_remaining_ms, last_code from reg left join br on br.key = engine left join ls on ls.key = engine""")
 def j6_engine_status(spark, sf_dir):
+    """Counters of each engine, and its breaker as it is at the newest outcome."""
     registry = V.pages(spark, sf_dir, "page_id").select(F.concat(F.lit("k"), (F.col("page_id") % 60).cast("string")).alias("engine")).distinct()
-    return J.engine_status(registry, A.breaker_counters(V.outcomes(spark, sf_dir)))
+    o = V.outcomes(spark, sf_dir)
+    state = A.breaker_state(o.join(F.broadcast(o.agg(F.max("ts").alias("now"))), F.lit(True)), F.col("now"))
+    return J.engine_status(registry, A.breaker_counters(o), state)
 
 
 _COUNTS = "count(*) filter (ok) as ok, count(*) filter (not ok) as fail, count(*) filter (source = 'lite') as lite, count(*) filter (source = 'render') as render"
@@ -302,6 +307,15 @@ def a1_outcome_totals(spark, sf_dir):
     return A.outcome_totals(V.outcomes(spark, sf_dir))
 
 
+@query(f"""with {V.OUTCOMES}, k as (select outc.*, event_type from outc join events using (event_id)), s as (select * from k where event_type not in ('purchase', 'signup'))
+select (select count(*) from s) as search, (select count(*) from s where ok) as ok, (select count(*) from s where not ok) as fail, (select count(*) from s where source = 'lite') as lite,
+(select count(*) from s where source = 'render') as render, count(*) filter (event_type = 'purchase') as batch, count(*) filter (event_type = 'signup') as crawl from k""")
+def a1_run_totals(spark, sf_dir):
+    """Two kinds of events as runs of batches and crawls, which are no searches."""
+    e = V.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "purchase", "batch").when(F.col("event_type") == "signup", "crawl").alias("kind"))
+    return A.outcome_totals(V.outcomes(spark, sf_dir).join(e, "event_id"))
+
+
 @query(f"with {V.OUTCOMES}, k as (select *, unnest(case when event_id % 10 = 0 then [key, 'all'] else [key] end) as one from outc) select one as key, {_COUNTS} from k group by one")
 def a2_outcomes_by_key(spark, sf_dir):
     o = V.outcomes(spark, sf_dir).withColumn("key", F.when(F.col("event_id") % 10 == 0, F.concat("key", F.lit(",all"))).otherwise(F.col("key")))
@@ -318,6 +332,16 @@ def a4_breaker_counters(spark, sf_dir):
     return A.breaker_counters(V.outcomes(spark, sf_dir))
 
 
+@query(f"""with {V.OUTCOMES}, h as (select 'h' || (event_id % 7) as key, ts, event_id, case when code = 'TIMEOUT' then 'SOFT_BLOCK' else code end as code from outc)
+select key, count(*) filter (code = 'OK') as ok, count(*) filter (code = 'BLOCKED') as blocked, count(*) filter (code = 'SOFT_BLOCK') as empty, count(*) filter (code = 'LITE_EMPTY') as error,
+arg_max(code, (ts, event_id)) as last_code, count(*) as uses from h group by key""")
+def a4_host_counters(spark, sf_dir):
+    """Per host: a soft block counts as empty, an empty answer as an error, and every use counts."""
+    host = F.concat(F.lit("h"), (F.col("event_id") % 7).cast("string"))
+    o = V.outcomes(spark, sf_dir).withColumns({"key": host, "code": F.when(F.col("code") == "TIMEOUT", "SOFT_BLOCK").otherwise(F.col("code"))})
+    return A.breaker_counters(o, per_host=True)
+
+
 def _query_outcomes(spark, sf_dir):
     r = V.results(spark, sf_dir)
     return r.select("query_id", "engine", (F.col("pos") % 3 != 0).alias("ok"), F.when(F.col("pos") % 2 == 0, "lite").otherwise("render").alias("source"), (F.col("pos") % 97).cast("double").alias("duration_ms"), "engine_pos")
@@ -414,6 +438,16 @@ def l2_sort_hosts(spark, sf_dir):
     return _sorted_hosts(spark, sf_dir)
 
 
+@query(f"""{_ENRICH}, q as (select en.*, page_id // 30 as query_id from en) select 'ports' as by_, page_id, row_number() over (partition by query_id order by len(ports) desc, page_id) as position from q
+union all select 'vulns', page_id, row_number() over (partition by query_id order by len(vulns) desc, page_id) from q""")
+def l2_host_orders(spark, sf_dir):
+    """The places of each query's hosts by their number of ports and of vulnerabilities."""
+    rows = _enriched(spark, sf_dir).select(V.query_of(F.col("page_id")).alias("query_id"), "page_id", "host")
+    place = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(*L.host_order(by), "page_id"))
+    parts = [rows.select(F.lit(by).alias("by_"), "page_id", place(by).alias("position")) for by in ("ports", "vulns")]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""with {V.RESULTS}, rk as (select *, row_number() over (partition by query_id order by engine_pos, page, pos) as rank from res),
 rq as (select query_id, case when query_id % 2 = 0 then 'google' else 'bing' end as e, 10 + query_id % 3 * 5 as num, query_id % 3 + 1 as pg from (select distinct query_id from res))
 select query_id, engine, pos, rank from rk join rq using (query_id) where rank > (pg - 1) * case when e = 'google' then 10 else num end and rank <= (pg - 1) * case when e = 'google' then 10 else num end + num""")

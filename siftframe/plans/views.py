@@ -79,6 +79,14 @@ outc as (select event_id, ts, 'k' || (user_id % 40) as key, code = 'OK' as ok, c
          case event_id % 5 when 0 then 'net::ERR_CONNECTION_RESET' when 1 then '' else 'Bad page' end as message from outc0)"""
 
 
+#: The failures in a row that each key ends with, and for how long it is skipped yet at the time of the newest outcome.
+LAST_STREAK = """
+lr as (select *, count(*) filter (ok) over (partition by key order by ts, event_id rows unbounded preceding) as run, max(ts) over () as newest from outc),
+lt as (select key, arg_max(run, (ts, event_id)) as run, max(ts) as last_ts, any_value(newest) as newest from lr group by key),
+lc as (select lt.key as key, count(*) filter (not ok) as n, any_value(lt.last_ts) as last_ts, any_value(lt.newest) as newest from lt join lr on lr.key = lt.key and lr.run = lt.run group by lt.key),
+ls as (select key, n as consecutive_fail, case when n >= 3 then greatest(epoch_ms(last_ts) + 120000 - epoch_ms(newest), 0) else 0 end as skip_remaining_ms from lc)"""
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, q): one query with operators for each page, over its own host and words."""
     p = pages(spark, sf_dir, "page_id", "url")
@@ -120,7 +128,7 @@ lk as (select 'https://p.example/' || l_partkey as src_url, min(l_orderkey * 100
 
 
 def address(k, first: int = 10):
-    """An address of its own for each number under three billion."""
+    """An address of its own for each number under 790 million (251 ** 3 * 50)."""
     octet = lambda n: F.floor(k / 251**n) % 251
     return F.concat_ws(".", (first + 20 * octet(3)).cast("string"), *[octet(n).cast("string") for n in (2, 1, 0)])
 
