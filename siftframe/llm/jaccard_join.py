@@ -188,13 +188,17 @@ def _product(percent: int):
 
 
 def _homes(nodes: DataFrame, percent: int, most_rows: int, most_cells: int) -> DataFrame:
-    """(node, BLOCK, side): the blocks of the product that each node (with n, copies, component) is part of.
+    """(node, copies, BLOCK, side): the blocks of the product that each node (with n, copies, component and perhaps
+    settled) is part of.
 
     A component of candidates is a diagonal piece of the product. One that is small enough is one block. In a larger
     one, the rows of each size class are dealt to row blocks by hash; a row block meets those of its own class and of
-    the next, since sets of other classes are too unlike in size."""
-    edges = F.lit(",".join(map(str, size_classes(percent).tolist())))
-    cls = F.size(F.filter(F.split(edges, ",").cast("array<long>"), lambda e: e <= F.col("n"))) - 1
+    its neighbours, since sets of other classes are too unlike in size. Rows that are `settled` are linked with each
+    other already, and only meet those that are not: they are classes of their own (odd numbers)."""
+    edges = F.split(F.lit(",".join(map(str, size_classes(percent).tolist()))), ",").cast("array<long>")
+    cls = 2 * (F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1)
+    if "settled" in nodes.columns:
+        cls = cls + F.when(F.col("settled"), 1).otherwise(0)
     salted = with_salt(nodes.withColumn("cls", cls), "node")
     sums = salted_groups(salted, ["component", "cls"], [F.count("*").alias("rows"), F.sum("n").alias("cells")])
     need = F.ceil(F.greatest(F.col("rows") / most_rows, F.col("cells") / most_cells)).cast("int")
@@ -209,13 +213,32 @@ def _homes(nodes: DataFrame, percent: int, most_rows: int, most_cells: int) -> D
     p = F.pmod(F.xxhash64("node"), F.element_at("parts", c)).cast("int")
     home = lambda c1, p1, c2, p2, side: F.struct(c1.alias("c1"), p1.alias("p1"), c2.alias("c2"), p2.alias("p2"), side.alias("side"))
     inside = F.transform(upto(F.element_at("parts", c)), lambda q: home(c, F.least(p, q), c, F.greatest(p, q), F.when(q < p, 1).otherwise(0)))
-    other = lambda d, f: F.when(F.map_contains_key("parts", c + d), F.transform(upto(F.try_element_at("parts", c + d)), f)).otherwise(F.array())
-    above = other(1, lambda q: home(c, p, c + 1, q, zero))
-    below = other(-1, lambda q: home(c - 1, q, c, p, F.lit(1)))
-    homes = F.when(F.col("small"), F.array(home(zero, zero, zero, zero, zero))).otherwise(F.concat(inside, above, below))
+    inside = F.when(c % 2 == 0, inside).otherwise(F.slice(inside, 1, 0))
+    near = F.filter(F.map_keys("parts"), lambda d: (F.abs(F.shiftright(d, 1) - F.shiftright(c, 1)) <= 1) & (d != c) & ((d % 2 == 0) | (c % 2 == 0)))
+    meet = lambda d: F.transform(upto(F.element_at("parts", d)), lambda q: F.when(d < c, home(d, q, c, p, F.lit(1))).otherwise(home(c, p, d, q, zero)))
+    whole = F.array(home(zero, zero, zero, zero, zero))
+    homes = F.when(F.col("small"), whole).otherwise(F.concat(inside, F.flatten(F.transform(near, meet))))
     return placed.select("node", "copies", "component", F.explode(homes).alias("home")).select("node", "copies", "component", "home.*")
 
 
+def blocked_product(nodes: DataFrame, sets: DataFrame, percent: int, most_rows: int = MOST_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(a, b, links) of nodes (node, n, copies, component, perhaps settled) with their sets (node, s): links within each
+    component as a forest of edges (a, b), and for each node (b null) how many documents it links with, block by block.
+    No pair leaves a task."""
+    homes = _homes(nodes, percent, most_rows, most_cells)
+    dealt = homes.join(sets.hint("merge"), "node").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "side")
+    return dealt.select(*BLOCK, "side", "node", "copies", "s").mapInArrow(_product(percent), "a long, b long, links long")
+
+
+def sets_of(rows: DataFrame, shingle: int, id_col: str = "rid") -> DataFrame:
+    """(id, s) of rows with a text: its sorted shingle hashes."""
+
+    def work(batch):
+        return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), shingle)]}
+
+    return add_columns(rows.select(id_col, "text"), [id_col], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))})
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, most_rows: int = MOST_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row: documents link when 100 * intersection >= percent *
     union of their sets of `shingle`-word shingles; component_id is the smallest id that links reach, n_links the number
@@ -253,15 +276,10 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     candidates = connected(tied).withColumnRenamed("component", "candidate")
 
     placed = scratch.write(nodes.select("node", "copies", "n").join(candidates, "node").withColumnRenamed("candidate", "component"), "placed")
-    homes = _homes(placed, percent, most_rows, most_cells)
-
-    def work(batch):
-        return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), shingle)]}
-
-    texts = _picked(rows.select("rid", "text"), placed.select(F.col("node").alias("rid"))).join(placed.select(F.col("node").alias("rid")).hint("merge"), "rid")
-    sets = scratch.write(add_columns(texts, ["rid"], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))}), "sets")
-    dealt = homes.join(sets.withColumnRenamed("rid", "node").hint("merge"), "node").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "side")
-    product = scratch.write(dealt.select(*BLOCK, "side", "node", "copies", "s").mapInArrow(_product(percent), "a long, b long, links long"), "product")
+    wanted = placed.select(F.col("node").alias("rid"))
+    texts = _picked(rows.select("rid", "text"), wanted).join(wanted.hint("merge"), "rid")
+    sets = scratch.write(sets_of(texts, shingle), "sets").withColumnRenamed("rid", "node")
+    product = scratch.write(blocked_product(placed, sets, percent, most_rows, most_cells), "product")
     labels = connected(product.where("b is not null").select("a", "b"))
     degrees = product.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, Scratch, add_columns, fresh, join_groups, join_salted, materialize, salted_groups, text_or_empty, with_row_id, with_salt
 from .components import connected, extended
+from .jaccard_join import blocked_product, sets_of
 from .textvec import LOWER, U64, groups_of, hash_spans, mix, shingle_sets, shingles_of, words
 
 #: Components of a signature, and rows of a band. A pair at similarity 0.75 shares one of the 32 bands of 4 with
@@ -21,9 +22,6 @@ M, ROWS = 128, 4
 BLOCK = 100_000
 #: Pairs of one first node that are confirmed in one task.
 PART = 256
-#: Two sets of similarity s agree in a share (1 + s) / 2 of their one-bit sketches; at 0.75 that is 112 of 128 bits, and
-#: fewer than 90 with probability 7 in a hundred million. Pairs with more unequal bits than this are not compared.
-MOST_UNEQUAL_BITS = M - 90
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = M) -> np.ndarray:
@@ -81,16 +79,10 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each component, packed into two longs."""
-    bits = (mix(sig) & U64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view("<i8")
-
-
 def _signatures(size: int):
     def work(batch):
         texts = batch.column("text").to_pylist()
-        digests, sizes, bands, s0, s1 = [], [], [], [], []
+        digests, sizes, bands = [], [], []
         for a, b in groups_of(texts, 1 << 19):
             buf, starts, lens, counts = words(texts[a:b], LOWER)
             h, at, sets = hash_spans(buf, starts, lens), 0, []
@@ -101,12 +93,9 @@ def _signatures(size: int):
                 at += n
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             sig = superminhash(np.concatenate(sets), owner, len(sets))
-            sketch = _sketch(sig)
-            s0 += sketch[:, 0].tolist()
-            s1 += sketch[:, 1].tolist()
             sizes += [len(s) for s in sets]
             bands += [x if len(s) else None for x, s in zip(_bands(sig), sets, strict=True)]
-        return {"digest": digests, "n_shingles": sizes, "bands": bands, "s0": s0, "s1": s1}
+        return {"digest": digests, "n_shingles": sizes, "bands": bands}
 
     return lambda: work
 
@@ -115,8 +104,6 @@ SIG_FIELDS = {
     "digest": ("string", pa.string),
     "n_shingles": ("long", pa.int64),
     "bands": ("array<long>", lambda: pa.list_(pa.int64())),
-    "s0": ("long", pa.int64),
-    "s1": ("long", pa.int64),
 }
 
 
@@ -157,37 +144,30 @@ def _open_buckets(members: DataFrame, labels: DataFrame, facts: DataFrame, links
     return mixed.join(facts, "node").join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """Sizes rule a link out for sure, sketches but for 7 pairs in a hundred million (see MOST_UNEQUAL_BITS)."""
-    unequal = F.expr(f"bit_count({x}s0 ^ {y}s0) + bit_count({x}s1 ^ {y}s1)")
-    sizes = F.expr(f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)")
-    return sizes & (unequal <= MOST_UNEQUAL_BITS)
+def _fit(x: str, y: str, percent: int) -> Column:
+    """Whether the sizes of two sets leave room for a link."""
+    return F.expr(f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)")
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """(a, b): the pairs of `rest` across components that can link, few others; see _may_link for what it may lose.
+def _last_links(rest: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """(a, b): edges that join the components of buckets that are still open, as a forest; `rest` has key, node,
+    component and n_shingles of their nodes.
 
-    With the shingles of every set in one order, rarest first, two sets that link share one among the first
-    n - ceil(n * percent / 100) + 1 of each. At the first one that they share, at places i and j, the overlap can be no
-    more than 1 + min(nx - i, ny - j), which has to reach percent / (100 + percent) of nx + ny. Members that are edited
-    too much have that many shingles of their own and meet nobody. A frequent shingle is seldom among a set's rarest;
-    where it is, Spark's skew join deals its rows to several tasks."""
-
-    def work(batch):
-        return {"s": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), size)]}
-
-    own = texts.join(rest.select(F.col("node").alias("rid")), "rid")
-    sets = add_columns(own, ["rid"], lambda: work, {"s": ("array<long>", lambda: pa.list_(pa.int64()))})
-    entries = scratch.write(sets.select(F.col("rid").alias("node"), F.size("s").alias("n"), F.explode("s").alias("s")), "entries")
-    counts = entries.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    placed = entries.join(counts, "s", "left")
-    placed = placed.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "s")))
-    first = placed.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull())
-    first = scratch.write(first.select("node", "s", "i").join(rest, "node"), "prefixes")
-    x, y = first.alias("x"), first.alias("y")
-    overlap = F.expr(f"(1 + least(x.n_shingles - x.i, y.n_shingles - y.i)) * {100 + percent} >= {percent} * (x.n_shingles + y.n_shingles)")
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & overlap & _may_link("x.", "y.", percent))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    Nodes of one bucket are candidates, and buckets that share a node are looked at together. Of such a group, all pairs
+    are verified in the tasks by the blocked product of their sets (see jaccard_join), but for the pairs within the
+    group's largest component, which are together already. No pair is made as a row, so a large group whose members all
+    fall just short of the threshold costs arithmetic and nothing else."""
+    tied = join_groups(rest, ["key"], "node", [F.min("node").alias("leader")], where="leader is not null").where("leader < node")
+    tied = scratch.write(tied.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    groups = connected(tied).withColumnRenamed("component", "candidate")
+    nodes = scratch.write(rest.select("node", "component", F.col("n_shingles").alias("n")).distinct().join(groups, "node"), "open-nodes")
+    sizes = nodes.groupBy("candidate", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("candidate").agg(F.max(F.struct("m", "component"))["component"].alias("component")).withColumn("settled", F.lit(True))
+    placed = nodes.join(largest, ["candidate", "component"], "left").select("node", "n", F.lit(1).alias("copies"), F.col("candidate").alias("component"), F.coalesce("settled", F.lit(False)).alias("settled"))
+    placed = scratch.write(placed, "placed")
+    sets = sets_of(texts.join(placed.select(F.col("node").alias("rid")), "rid"), size).withColumnRenamed("rid", "node")
+    product = scratch.write(blocked_product(placed, scratch.write(sets, "sets"), percent), "product")
+    return product.where("b is not null").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, row_id: str | None = None) -> DataFrame:
@@ -202,14 +182,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component are all `kept`, and so is a row whose id is null when no row of its component has one (then component_id
     is null). Empty tables give empty results; other columns are not read.
 
-    1. One pass hashes words and shingles and builds SuperMinHash signatures, 32 band keys and a 128-bit sketch.
+    1. One pass hashes words and shingles and builds SuperMinHash signatures and 32 band keys.
     2. Nodes of one band bucket are compared with the bucket's smallest node only, on full sets; links are grouped.
     3. A link between nodes that are already together says nothing new, so only buckets that still hold several
        components are looked at again. Their nodes are compared with the bucket's node that has most links.
-    4. The nodes of buckets that are still open are compared across components by prefixes (see _prefix_pairs). So no
-       bucket is capped, and a large group whose members all fall just short of the threshold does not make a pair of
-       every two. What may be lost: a pair at exactly 0.75 that shares no band (5 in a million), or whose sketches are
-       too far apart (7 in a hundred million), and only if no chain of other links joins the two.
+    4. The nodes of buckets that are still open are compared with each other across components (see _last_links). So no
+       bucket is capped, no pair that shares a band goes unverified, and a large group whose members all fall just short
+       of the threshold does not make a pair of every two. What banding may lose: a pair at exactly 0.75 that shares no
+       band (5 in a million), and only if no chain of other links joins the two.
 
     Rows of one digest, bucket or group are joined in parts (join_groups), so a hot one is dealt to many tasks."""
     scratch = Scratch(docs.sparkSession)
@@ -218,8 +198,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sig = scratch.write(add_columns(rows, ["doc_id", "rid"], _signatures(shingle), SIG_FIELDS), "signatures")
     salted = with_salt(sig, "rid")
     classes = scratch.write(salted_groups(salted.where("digest is not null"), ["digest"], [F.min("rid").alias("node")]), "classes")
-    nodes = join_salted(salted.select("rid", "digest", "n_shingles", "bands", "s0", "s1", "_salt"), classes, ["digest"]).where("rid = node")
-    nodes = scratch.write(nodes.select("node", "n_shingles", "bands", "s0", "s1"), "nodes")
+    nodes = join_salted(salted.select("rid", "digest", "n_shingles", "bands", "_salt"), classes, ["digest"]).where("rid = node")
+    nodes = scratch.write(nodes.select("node", "n_shingles", "bands"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
     members = join_groups(banded, ["key"], "node", [F.min("node").alias("leader"), F.count("*").alias("n")], where="n > 1")
@@ -229,19 +209,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = scratch.write(rows.join(wanted, "rid").select("rid", "text"), "texts")
     links = scratch.write(_links(pairs, texts, shingle, percent), "links")
     labels = connected(links)
-    facts = nodes.select("node", "n_shingles", "s0", "s1")
+    facts = nodes.select("node", "n_shingles")
     open_ = scratch.write(_open_buckets(members, labels, facts, links), "open")
     if not open_.isEmpty():
-        head = F.max_by(F.struct("node", "component", "n_shingles", "s0", "s1"), F.struct("degree", F.xxhash64("node"))).alias("y")
-        across = join_groups(open_, ["key"], "node", [head]).where((F.col("component") != F.col("y.component")) & _may_link("", "y.", percent))
+        head = F.max_by(F.struct("node", "component", "n_shingles"), F.struct("degree", F.xxhash64("node"))).alias("y")
+        across = join_groups(open_, ["key"], "node", [head]).where((F.col("component") != F.col("y.component")) & _fit("", "y.", percent))
         again = across.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
         more = scratch.write(_links(scratch.write(again, "pairs"), texts, shingle, percent), "links")
         labels, links = extended(labels, more), links.unionByName(more)
-        rest = _open_buckets(members, labels, facts, links).select("node", "component", "n_shingles", "s0", "s1").distinct()
-        # Each is written first: two Python steps in one stage would hold twice as many workers.
-        rest = scratch.write(rest, "rest")
-        pairs = scratch.write(_prefix_pairs(rest, texts, scratch, shingle, percent), "pairs")
-        labels = extended(labels, scratch.write(_links(pairs, texts, shingle, percent), "links"))
+        rest = scratch.write(_open_buckets(members, labels, facts, links).select("key", "node", "component", "n_shingles"), "rest")
+        if not rest.isEmpty():
+            labels = extended(labels, _last_links(rest, texts, scratch, shingle, percent))
 
     member = classes.join(labels, "node", "left").select("digest", "_salts", F.coalesce("component", "node").alias("component"))
     out = join_salted(salted.select("rid", "doc_id", "digest", "n_shingles", "_salt"), member, ["digest"], "left")
