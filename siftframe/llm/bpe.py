@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialize, text_or_empty, with_row_id
+from .common import add_columns, cut_text, materialize, text_or_empty, with_row_id
 from .textvec import code_points, pretoken_starts
 
 #: Code points of a chunk, and how far it reads into the next one. Texts up to one chunk are encoded where they are.
@@ -93,10 +93,9 @@ def cut_pieces(long: DataFrame, *, chunk: int = CHUNK, overlap: int = OVERLAP) -
     a match at the same place they agree from there on: the first such place in their shared part is the cut between
     them. Cuts after white space are not used, because the pattern looks one character past it. Neighbours that never
     agree (one word over the whole shared part) become one piece."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
-    chunks = long.select("rid", "doc_id", "text", F.length("text").alias("len"), F.posexplode(starts).alias("n", "start"))
-    piece = F.substring(F.col("text"), F.col("start") + 1, F.lit(chunk + overlap))
-    chunks = chunks.select("rid", "doc_id", "n", "start", "len", (F.col("start") + chunk >= F.col("len")).alias("last"), piece.alias("chunk"))
+    cut = F.posexplode(cut_text(F.col("text"), chunk, overlap)).alias("n", "chunk")
+    chunks = long.select("rid", "doc_id", F.length("text").alias("len"), cut).withColumn("start", F.col("n") * chunk)
+    chunks = chunks.select("rid", "doc_id", "n", "start", "len", (F.col("start") + chunk >= F.col("len")).alias("last"), "chunk")
     chunks = chunks.repartition(F.col("rid"), F.col("n"))
     ints = ("array<int>", lambda: pa.list_(pa.int32()))
     found = add_columns(chunks, ["rid", "doc_id", "n", "start", "len", "chunk"], _boundaries(chunk, overlap), {"head": ints, "tail": ints})

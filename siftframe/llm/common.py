@@ -51,6 +51,17 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def cut_text(text: Column, size: int, overlap: int = 0) -> Column:
+    """The chunks of a text: `size` code points each, and the `overlap` after them as well; an empty text is one chunk.
+    The text is gone through once, however long it is."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    blocks = F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(blocks)
+    if not overlap:
+        return blocks
+    behind = lambda b, k: F.substring(F.array_join(F.slice(b, k + 2, -(-overlap // size)), ""), 1, overlap)
+    return F.get(F.transform(F.array(blocks), lambda b: F.transform(b, lambda x, k: F.concat(x, behind(b, k)))), 0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, add_columns, join_groups, materialize, text_or_empty, with_row_id
+from .common import SPACES, Scratch, add_columns, cut_text, join_groups, materialize, text_or_empty, with_row_id
 
 #: Fixed values of the fingerprint: two primes under 2 ** 31, so that products stay in 62 bits, and a base for each.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -71,9 +71,7 @@ def normalised(text: Column) -> Column:
 
 def _chunks(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each CHUNK characters of `text`, at least one; columns `keep`, n and text."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(CHUNK))
-    rows = df.select(*keep, "text", F.posexplode(starts).alias("n", "_start"))
-    return rows.select(*keep, "n", F.substring(F.col("text"), F.col("_start") + 1, F.lit(CHUNK)).alias("text"))
+    return df.select(*keep, F.posexplode(cut_text(F.col("text"), CHUNK)).alias("n", "text"))
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:

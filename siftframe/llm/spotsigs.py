@@ -140,13 +140,16 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str
 
 #: Bytes of text of one run of neighbours; a run is sorted and read in order by one task.
 RUN_BYTES = 4 << 20
+#: Runs that there are at most: the driver gets one key for each, whatever the size of the table.
+MOST_RUNS = 16_384
 
 
 def _cut_keys(rows: DataFrame, run_bytes: int) -> list:
     """The first keys of runs of about run_bytes each, ascending; the first is the smallest of all. Keys alone are range-
-    partitioned, and the driver gets one a run: as many as Spark's own range partitioning holds for so many partitions."""
+    partitioned, and the driver gets one a run, MOST_RUNS at most: of a larger table the runs are longer, which costs a
+    task a larger sort and nothing else, since rows are sorted with spill and read in order."""
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    keys = rows.select("key.*").repartitionByRange(max(1, -(-total // run_bytes)), "last", "id", "hash")
+    keys = rows.select("key.*").repartitionByRange(max(1, min(MOST_RUNS, -(-total // run_bytes))), "last", "id", "hash")
     firsts = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("last", "id", "hash")).alias("first"))
     return sorted(tuple(r["first"]) for r in firsts.collect())
 
@@ -201,7 +204,7 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     signatures. One row is followed by itself; repeated rows follow each other; an empty table gives an empty result;
     other columns are not read.
 
-    Rows go to runs of about run_bytes, cut at keys that exist; the rows with a run's first key also go to the run
+    Rows go to runs of about run_bytes (longer ones beyond MOST_RUNS), cut at keys that exist; the rows with a run's first key also go to the run
     before, whose last row needs its follower, and those with the first key of all to the last run. So texts are
     shuffled once and sorted within a task, with spill, and a task holds one batch of them. Rows that are equal in id
     and text stay in one run, since nothing orders them."""

@@ -700,6 +700,24 @@ def test_signatures_are_the_chains(spark):
         assert len(np.intersect1d(sets[k], sets[k + 1])) == len(plain[k] & plain[k + 1])
 
 
+def test_the_driver_gets_a_bounded_number_of_keys(spark, docs, monkeypatch):
+    want = Counter((r.doc_id, r.text, r.edited) for r in spotsigs.compare_neighbours(docs, run_bytes=1).collect())
+    monkeypatch.setattr(spotsigs, "MOST_RUNS", 3)
+    found, real = [], spotsigs._cut_keys
+    monkeypatch.setattr(spotsigs, "_cut_keys", lambda *a: found.append(real(*a)) or found[-1])
+    assert Counter((r.doc_id, r.text, r.edited) for r in spotsigs.compare_neighbours(docs, run_bytes=1).collect()) == want
+    assert 1 < len(found[0]) <= 3
+
+
+@pytest.mark.parametrize("overlap", [0, 3, 10, 25])
+def test_chunks_of_a_text(spark, overlap):
+    rng = random.Random(9)
+    texts = ["", "a", "x" * 10, "y" * 11, *("".join(rng.choice("aé中😀\n \r") for _ in range(rng.randint(1, 90))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for k, got in df.select("k", common.cut_text(F.col("t"), 10, overlap)).collect():
+        assert got == [texts[k][i : i + 10 + overlap] for i in range(0, max(1, len(texts[k])), 10)]
+
+
 @pytest.mark.parametrize("run", [spotsigs.RUN_BYTES, 5_000, 1])
 def test_neighbours(spark, docs, empty, run):
     edit = lambda t, f: t[: len(t) - len(t) // 4] + f[: len(t) // 4]
