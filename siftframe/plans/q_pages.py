@@ -96,6 +96,24 @@ def x3_card_table(spark, sf_dir):
     return X.extract_cards(p, X.card_rule_table(p).unionByName(spark.createDataFrame(own, X.CARD_RULE))).select("page_id", "title", "url", "rank", "snippet")
 
 
+def _own_layout(batches):
+    """A caller's layout: one result a line, its url and title between tabs."""
+    for pdf in batches:
+        found = []
+        for page, engine, html in zip(pdf["page_id"], pdf["engine"], pdf["html"], strict=True):
+            lines = [x.split("\t") for x in (html or "").split("\n") if x.count("\t") == 3]
+            found += [[page, engine, k, title, [url], "", "", "", []] for k, (_, url, title, _) in enumerate(lines)]
+        yield X._rows(found)
+
+
+@query(_ranked("cleaned", 2, 200).replace("title, cleaned as url", "title, cleaned as url, '' as snippet"))
+def x_layout_hook(spark, sf_dir):
+    """Pages of a format of their own, read by a function of the caller in place of the layouts."""
+    block = F.concat(F.lit("\t"), "url", F.lit("\t"), "title", F.lit("\t"))
+    p = serp(spark, sf_dir, block).withColumn("html", F.regexp_replace("html", "</?(?:html|body)>", ""))
+    return X.extract_results(p, fn=_own_layout).select("page_id", "title", "url", "rank", "snippet")
+
+
 @query(f"""with {V.RESULTS}, a as (select query_id * 10 + engine_pos as page_id, list('Question ' || pos || '?' order by page, pos) as l, list('rel ' || pos order by page, pos) as m from res group by 1)
 select page_id, 'Graph' as graph_title, 'forty-two' as answer, array_to_string(l[1:8], '|') as asked, array_to_string(m[1:12], '|') as related from a""")
 def x4_extract_serp_features(spark, sf_dir):
