@@ -48,7 +48,7 @@ def boilerplate(df: DataFrame, site: Column, text: Column, *, ratio: float = RAT
 
     def frequent(lines: DataFrame, key: str) -> DataFrame:
         counts = lines.distinct().groupBy("site", key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        both = _at_site(counts, totals).where(F.col("n") > F.lit(ratio) * F.col("pages"))
+        both = _at_site(counts, totals, small=False).where(F.col("n") > F.lit(ratio) * F.col("pages"))
         return both.groupBy("site").agg(F.collect_set(key).alias("boiler"))
 
     hashed = rows.select("site", "page", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.when(x != "", F.xxhash64(x))))).alias("line"))
