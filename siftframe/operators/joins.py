@@ -119,7 +119,9 @@ def engine_support(queries: DataFrame, capabilities: DataFrame | None = None) ->
     default = F.array(*[F.lit(x) for x in query_ops.DEFAULT_CAPABILITY])
     rows = queries.join(takes, F.col("engine") == F.col("_e"), "left").withColumn("_takes", F.coalesce("_takes", default))
     used = F.map_keys("operators")
-    return rows.select("query_id", "engine", F.filter(used, lambda o: F.array_contains("_takes", o)).alias("supported"), F.filter(used, lambda o: ~F.array_contains("_takes", o)).alias("unsupported"))
+    taken = lambda o: F.array_contains("_takes", o)
+    sides = [F.filter(used, taken).alias("supported"), F.filter(used, lambda o: ~taken(o)).alias("unsupported")]
+    return rows.select("query_id", "engine", *sides)
 
 
 def request_key(cols: list[str]) -> Column:

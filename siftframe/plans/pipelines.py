@@ -72,7 +72,8 @@ def page_extras(captured: DataFrame) -> DataFrame:
     shown = extract_serp_features(pages.select(F.struct("query_id", "engine", "page", "page_id").alias("page_id"), "html"))
     said = read_embedded_extras(pages).select(F.struct("query_id", "engine", "page", "page_id").alias("at"), "extras")
     graph = F.col("extras.knowledgeGraph")
-    renamed = F.struct(graph["title"].alias("title"), graph["type"].alias("type"), graph["description"].alias("description"), graph["imageUrl"].alias("image_url"), graph["attributes"].alias("attributes"))
+    fields = {"title": "title", "type": "type", "description": "description", "imageUrl": "image_url", "attributes": "attributes"}
+    renamed = F.struct(*[graph[old].alias(new) for old, new in fields.items()])
     said = said.where("extras is not null").select(
         "at", F.lit(1).alias("_k"), F.when(graph.isNotNull(), renamed).alias("knowledge_graph"), F.col("extras.answerBox").alias("answer_box"),
         F.transform("extras.peopleAlsoAsk", lambda x: x["question"]).alias("people_also_ask"), F.transform("extras.relatedSearches", lambda x: x["query"]).alias("related_searches"),
@@ -84,7 +85,10 @@ def page_extras(captured: DataFrame) -> DataFrame:
     return both.groupBy("at.query_id", "at.engine").agg(*[first(c, there[c]) for c in EXTRAS])
 
 
-def search_fallback(captured: DataFrame, queries: DataFrame, num: int = 10, *, hosts: dict | None = None, extras: bool = False, suggestions: DataFrame | None = None, news: DataFrame | None = None) -> DataFrame:
+def search_fallback(
+    captured: DataFrame, queries: DataFrame, num: int = 10, *,
+    hosts: dict | None = None, extras: bool = False, suggestions: DataFrame | None = None, news: DataFrame | None = None,
+) -> DataFrame:
     """One envelope a query: results of the first engine, in the order tried, that still has any after all filters, one a
     canonical url, ranked. captured are result pages (page_id, query_id, engine, page, html) and perhaps duration_ms;
     queries comes from plan_queries; hosts are the host options.
@@ -162,9 +166,11 @@ def batch_search(captured: DataFrame, queries: DataFrame, stored: DataFrame, ttl
     cols = ["query_id", "batch_id", "position", "ts"]
     none = F.array().cast(ANSWER)
     a = misses.join(lists.join(_durations(captured), ["query_id", "engine"]), "query_id", "left")
-    a = a.select(*cols, "engine", F.size(F.coalesce("results", none)).cast("long").alias("count"), F.lit(False).alias("cached"), F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"), F.coalesce("results", none).alias("results"))
+    a = a.withColumns({"results": F.coalesce("results", none), "duration_ms": F.coalesce("duration_ms", F.lit(0.0)), "cached": F.lit(False)})
+    a = a.select(*cols, "engine", F.size("results").cast("long").alias("count"), "cached", "duration_ms", "results")
     old = lambda c, kind: (F.col(f"_{c}") if c in have else F.lit(None)).cast(kind).alias(c)
-    b = hits.select(*cols, old("engine", "string"), old("count", "long"), F.lit(True).alias("cached"), F.lit(0.0).alias("duration_ms"), old("results", ANSWER))
+    b = hits.withColumns({"cached": F.lit(True), "duration_ms": F.lit(0.0)})
+    b = b.select(*cols, old("engine", "string"), old("count", "long"), "cached", "duration_ms", old("results", ANSWER))
     answers = a.unionByName(b).withColumn("ok", F.col("cached") | (F.col("count") > 0))
     return answers, A.batch_summary(answers)
 
@@ -192,7 +198,9 @@ def crawl_links(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_dep
 def host_inventory(lookups: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hosts, summary) of a list of addresses (ip): labelled, shaped as host records and enriched from the scan."""
     rows = FI.label_ip_rows(lookups, scan)
-    shaped = rows.withColumns({"url": F.concat(F.lit("http://"), "ip"), "title": F.col("ip"), "ports": F.lit(None).cast("array<int>"), "hostnames": F.lit(None).cast("array<string>"), "org": F.lit(None).cast("string")})
+    none = {"ports": "array<int>", "hostnames": "array<string>", "org": "string"}
+    named = {"url": F.concat(F.lit("http://"), "ip"), "title": F.col("ip")}
+    shaped = rows.withColumns(named | {c: F.lit(None).cast(kind) for c, kind in none.items()})
     shaped = P.to_host_records(shaped).withColumn("host", F.when(F.coalesce(F.col("code"), F.lit("")) != "INVALID_IP", F.col("host")))
     return J.enrich_hosts(shaped.drop("url", "title", "ports", "hostnames", "org"), scan), A.host_lookup_summary(rows)
 

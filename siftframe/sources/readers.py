@@ -122,7 +122,10 @@ def read_news_rss(df: DataFrame, col: str, by: tuple[str, ...] = ("query_id",))
     some = lambda c: F.when(c != "", c)
     source_url = text.decode_entities(F.regexp_extract("_item", r'(?i)<source\b[^>]*\burl="([^"]*)"', 1), feed=True)
     published = F.try_to_timestamp(F.regexp_replace(field("pubDate"), r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss z"))
-    rows = rows.select(*by, "pos", field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("pub_date"), published.alias("published"), some(field("source")).alias("source"), some(source_url).alias("source_url"))
+    rows = rows.select(
+        *by, "pos", field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("pub_date"), published.alias("published"),
+        some(field("source")).alias("source"), some(source_url).alias("source_url"),
+    )
     return rows.where("title <> ''")
 
 
