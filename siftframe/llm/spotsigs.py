@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, add_columns, join_groups, materialize, text_or_empty
-from .textvec import LOWER_ALNUM, U64, groups_of, hash_spans, mix, words
+from .textvec import LOWER_ALNUM, U64, groups_of, hash_spans, mix, word_hashes, words
 
 # Anchors, the most common words of English, French, Spanish and German.
 ANCHORS = {
@@ -39,8 +39,7 @@ def _signature_sets(texts: list[str]) -> list[np.ndarray]:
     """The distinct sorted 32-bit signatures of each text."""
     out, anchors = [], _anchors()
     for a, b in groups_of(texts, 1 << 19):
-        buf, starts, lens, counts = words(texts[a:b], LOWER_ALNUM)
-        h, at = hash_spans(buf, starts, lens), 0
+        (h, counts), at = word_hashes(texts[a:b], LOWER_ALNUM), 0
         common = anchors[np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)] == h
         for n in counts:
             out.append(_signatures(h[at : at + n], common[at : at + n]))
@@ -142,6 +141,10 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str
 RUN_BYTES = 4 << 20
 #: Runs that there are at most: the driver gets one key for each, whatever the size of the table.
 MOST_RUNS = 16_384
+#: Bits of the map that picks rows whose id and text may repeat: 8 MB, whatever the data.
+BITS = 1 << 26
+#: Copies of a row that one task writes.
+COPIES = 1_024
 
 
 def _cut_keys(rows: DataFrame, run_bytes: int) -> list:
@@ -170,27 +173,45 @@ def _place(cuts: list, key: Column) -> tuple[Column, Column]:
     return run, at(F.col("run")) == key
 
 
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with equal ones once, those that repeat with the number of their other copies; None if there are none).
+
+    Keys are counted first. Only the texts of rows whose key repeats, picked by a bit map of BITS, are grouped, and
+    Spark combines equal ones before the shuffle; the others stay where they are."""
+    place = F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    maps = materialize(repeated.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")), "repeated")
+    if maps.isEmpty():
+        return rows, None
+    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(maps), "bucket", "left")
+    marked = marked.withColumn("may", F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False)))
+    groups = materialize(marked.where("may").groupBy(*rows.columns).agg((F.count("*") - 1).alias("copies")), "equal-rows")
+    return marked.where("not may").select(*rows.columns).unionByName(groups.select(*rows.columns)), groups.where("copies > 0")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order, (run, extra, doc_id, text): each row that is not extra with the one after it, in one pass."""
+    """Rows in order, (run, extra, doc_id, text, copies): each row that is not extra with the one after it, in one pass."""
     held = None
     for whole in batches:
         for start in range(0, whole.num_rows, SLICE):
             batch = whole.slice(start, SLICE)
-            runs, extras, ids, texts = (batch.column(c).to_pylist() for c in ("run", "extra", "doc_id", "text"))
+            runs, extras, ids, texts, copies = (batch.column(c).to_pylist() for c in ("run", "extra", "doc_id", "text", "copies"))
             found = []
-            for run, extra, doc, text, sigs in zip(runs, extras, ids, texts, _signature_sets(texts), strict=True):
+            for run, extra, doc, text, n, sigs in zip(runs, extras, ids, texts, copies, _signature_sets(texts), strict=True):
                 if held is not None and held[0] == run:
-                    _, own_id, own_text, own_sigs = held
-                    found.append((own_id, own_text, _edit(own_text, text), own_sigs, sigs))
-                held = None if extra else (run, doc, text, sigs)
+                    _, own_id, own_text, own_n, own_sigs = held
+                    found.append((own_id, own_text, _edit(own_text, text), own_sigs, sigs, own_n))
+                held = None if extra else (run, doc, text, n, sigs)
             longs = lambda sets: pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             new = [f[2] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array(new, pa.string()),
-                    longs([f[3] for f in found]), longs(_signature_sets(new)), longs([f[4] for f in found]),
+                    longs([f[3] for f in found]), longs(_signature_sets(new)), longs([f[4] for f in found]), pa.array([f[5] for f in found], pa.int64()),
                 ],
-                names=["doc_id", "text", "edited", "own", "other", "follower"],
+                names=["doc_id", "text", "edited", "own", "other", "follower", "copies"],
             )
         pa.default_memory_pool().release_unused()
 
@@ -206,20 +227,28 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Rows go to runs of about run_bytes (longer ones beyond MOST_RUNS), cut at keys that exist; the rows with a run's first key also go to the run
     before, whose last row needs its follower, and those with the first key of all to the last run. So texts are
-    shuffled once and sorted within a task, with spill, and a task holds one batch of them. Rows that are equal in id
-    and text stay in one run, since nothing orders them."""
+    shuffled once and sorted within a task, with spill, and a task holds one batch of them. Of rows that are equal in id
+    and text one goes to a run; the others, which are followed by themselves, are compared once and multiplied in parts
+    of COPIES, so that a row which makes up a third of the table is neither sorted nor written by one task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("hash"))
-    rows = rows.withColumn("key", key)
+    rows, repeated = _apart(rows.withColumn("key", key))
     cuts = _cut_keys(rows, run_bytes) or [(False, 0, 0)]
     run, first = _place(cuts, F.col("key"))
     rows = rows.withColumn("run", run).withColumn("first", first)
     before = F.when(F.col("run") == 0, len(cuts) - 1).otherwise(F.col("run") - 1)
     homes = F.array(F.struct("run", F.lit(0).alias("extra")), F.when(F.col("first"), F.struct(before.alias("run"), F.lit(1).alias("extra"))))
     dealt = rows.select("doc_id", "text", "key", F.explode(F.array_compact(homes)).alias("home")).select("doc_id", "text", "key", "home.*")
-    dealt = dealt.repartition("run").sortWithinPartitions("run", "extra", "key", "text").select("run", "extra", "doc_id", "text")
-    sets = "own array<long>, other array<long>, follower array<long>"
-    return dealt.mapInArrow(_compare, f"doc_id long, text string, edited string, {sets}")
+    dealt = dealt.repartition("run").sortWithinPartitions("run", "extra", "key", "text").select("run", "extra", "doc_id", "text", F.lit(0).cast("long").alias("copies"))
+    fields = "doc_id long, text string, edited string, own array<long>, other array<long>, follower array<long>, copies long"
+    out = dealt.mapInArrow(_compare, fields).drop("copies")
+    if repeated is None:
+        return out
+    twice = repeated.select(F.lit(0).alias("run"), F.explode(F.array(F.lit(0), F.lit(1))).alias("extra"), "doc_id", "text", "copies")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("part")
+    parts = twice.mapInArrow(_compare, fields).select("*", part).repartition("doc_id", "part")
+    here = F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES).cast("int")
+    return out.unionByName(parts.select(*out.columns, F.explode(F.array_repeat(F.lit(0), here)).alias("copy")).drop("copy"))
 
 
 def _edit(text: str, follower: str) -> str:

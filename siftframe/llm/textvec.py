@@ -5,6 +5,7 @@ Used inside Spark tasks; every function takes a bounded group of texts (see grou
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,6 +75,34 @@ def words(texts, table: bytes = LOWER) -> tuple[bytes, np.ndarray, np.ndarray, n
     return buf, starts, lens, np.diff(np.concatenate([[0], upto]))
 
 
+#: Code points that are turned into words at once; longer texts are cut at white space.
+PIECE = 1 << 20
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def pieces_of(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of `most` code points, and as many more as there are up to the next ASCII white space."""
+    start = 0
+    while len(text) - start > most and (space := _SPACE.search(text, start + most)):
+        yield text[start : space.start()]
+        start = space.start()
+    yield text[start:]
+
+
+def word_hashes(texts, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, number of words of each); a long text goes through the working arrays in pieces,
+    so that 8 bytes a word are all that is held of it."""
+
+    def hashed(some):
+        buf, starts, lens, counts = words(some, table)
+        return hash_spans(buf, starts, lens), counts
+
+    if max(map(len, texts), default=0) <= PIECE:
+        return hashed(texts)
+    parts = [[hashed([p])[0] for p in pieces_of(t, PIECE)] for t in texts]
+    return np.concatenate([h for own in parts for h in own]), np.array([sum(map(len, own)) for own in parts])
+
+
 def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     """Distinct sorted hashes of the `size`-word shingles of one text's word hashes; the whole text if it is shorter."""
     n = len(hashes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -11,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, text_or_empty
+from .bpe import cut_pieces
+from .common import add_columns, text_or_empty, with_row_id
 from .textvec import END, code_points, groups_of, hash_spans, pretoken_starts
 
 #: Pre-tokens whose counts a Python worker remembers before it starts afresh.
 REMEMBER = 500_000
 LIMIT = 512
+#: Code points of a text that is counted where it is. Longer ones are cut into chunks that read OVERLAP into the next one.
+LONG, CHUNK, OVERLAP = 1 << 20, 1 << 17, 1 << 12
 
 
 @lru_cache(maxsize=2)
@@ -118,15 +122,34 @@ def _count(path: str, whole, special: list[str], group: int):
     return make
 
 
-def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", group: int = 1 << 18) -> DataFrame:
+def _pieces(long: DataFrame, special: list[str], chunk: int, overlap: int) -> DataFrame:
+    """(row, piece text) of long texts: the stretches between special strings, each cut where pre-tokens of it begin.
+
+    row is (rid, doc_id, n_bytes, special strings in the text); each stretch is a text of its own to cut_pieces."""
+    stretches = F.split("text", re.escape(special[0])) if special else F.array("text")
+    rows = with_row_id(long, "rid").withColumn("stretches", stretches)
+    row = F.struct("rid", "doc_id", "n_bytes", (F.size("stretches") - 1).cast("long").alias("n_special"))
+    rows = rows.select(row.alias("doc_id"), F.explode("stretches").alias("text"))
+    return cut_pieces(with_row_id(rows, "rid"), chunk=chunk, overlap=overlap).select(F.col("doc_id").alias("row"), "text")
+
+
+def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", group: int = 1 << 18, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row: tokens of the whole text under the byte-level tokenizer at `path`, as
     its library counts them, with its special strings taken as special tokens and none added.
 
     Pre-tokens are found in vectors. Those that are a proven whole token count one after a lookup; the distinct ones
     among the rest are merged by the library and remembered. A null text counts as empty: 0 bytes, 0 tokens. Repeated
-    rows come out as often as they go in; an empty table gives an empty result. One pass without a shuffle; a worker
-    holds one batch, one group of texts and a bounded memory of counts."""
+    rows come out as often as they go in; an empty table gives an empty result.
+
+    Texts up to `long` code points are counted in one pass without a shuffle; a worker holds one batch, one group of
+    texts and a bounded memory of counts. Longer ones are taken apart at special strings and cut into chunks, which are
+    dealt to all tasks and stitched where both of two neighbours begin a pre-token (see cut_pieces); their counts are
+    added up. So no task makes arrays of a whole text, unless one word goes on for all of it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
-    return add_columns(rows, ["doc_id", "n_bytes"], _count(path, whole, special_strings(path), group), {"n_tokens": ("long", pa.int64)})
+    whole, special = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path)), special_strings(path)
+    field = {"n_tokens": ("long", pa.int64)}
+    short = add_columns(rows.where(F.length("text") <= long), ["doc_id", "n_bytes"], _count(path, whole, special, group), field)
+    pieces = _pieces(rows.where(F.length("text") > long), special, chunk, overlap)
+    counted = add_columns(pieces, ["row"], _count(path, whole, special, group), field).groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
+    return short.unionByName(counted.select("row.doc_id", "row.n_bytes", (F.col("n_tokens") + F.col("row.n_special")).alias("n_tokens")))

@@ -656,6 +656,20 @@ def test_token_counts(spark, docs, empty):
     assert token_count.count_tokens(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("long", [0, 400])
+def test_token_counts_by_pieces(spark, docs, empty, long):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    word = lambda: rng.choice(["don't", " ", "\n\n  ", "<|endoftext|>", "<|endof", "text|>", "été", "中文", "😀", "12345", "hello", "  x", "!!", "'ll", "w" * 30])
+    texts = ["".join(word() for _ in range(rng.randint(0, 900))) for _ in range(25)] + ["<|endoftext|>" * 90, "z" * 3_000]
+    more = spark.createDataFrame([(100 + k, x) for k, x in enumerate(texts)] * 2, "doc_id long, text string")
+    rows = token_count.count_tokens(docs.select("doc_id", "text").unionByName(more), path, long=long, chunk=120, overlap=40).collect()
+    every = [(d, x or "") for d, x, *_ in odd_rows()] + [(100 + k, x) for k, x in enumerate(texts)] * 2
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == Counter((d, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for d, x in every)
+    assert token_count.count_tokens(empty, path, long=long).count() == 0
+
+
 # --- 10 fingerprints
 
 
@@ -735,6 +749,33 @@ def test_neighbours(spark, docs, empty, run):
     assert alone.edited == edit("of the big table", "of the big table") and alone.follower == alone.own
 
 
+def test_equal_rows_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "COPIES", 7)
+    rng = random.Random(6)
+    sentence = lambda: " ".join(rng.choice(["the", "of", "and", "house", "river", "tree", "stone"]) for _ in range(rng.randint(0, 30)))
+    rows = [(k // 2, sentence()) for k in range(60)] + [(9, "the old house of stone")] * 61 + [(None, None)] * 30 + [(0, "")] * 8 + [(70, sentence())] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in frame.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    edit = lambda t, f: t[: len(t) - len(t) // 4] + f[: len(t) // 4]
+    want = Counter((d, t, edit(t, f)) for (d, t), (_, f) in zip(order, order[1:] + order[:1], strict=True))
+    for run in (spotsigs.RUN_BYTES, 200):
+        got = spotsigs.compare_neighbours(frame, run_bytes=run)
+        assert got.columns == ["doc_id", "text", "edited", "own", "other", "follower"]
+        assert Counter((r.doc_id, r.text, r.edited) for r in got.collect()) == want
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "é", "-", " ", "\n", "\x1c", "　", "😀"]) for _ in range(rng.randint(0, 400))) for _ in range(30)] + ["", " ", "x" * 90]
+    for table in (textvec.LOWER, textvec.LOWER_ALNUM):
+        monkeypatch.setattr(textvec, "PIECE", 1 << 20)
+        h, n = textvec.word_hashes(texts, table)
+        monkeypatch.setattr(textvec, "PIECE", 13)
+        h2, n2 = textvec.word_hashes(texts, table)
+        assert h.tolist() == h2.tolist() and n.tolist() == n2.tolist()
+
+
 def test_alike_is_jaccard_at_the_threshold(spark):
     rng = random.Random(12)
     sets = [sorted(rng.sample(range(60), rng.randint(0, 50))) for _ in range(60)] + [list(range(n)) for n in (3, 4, 40, 30, 8, 6)]
