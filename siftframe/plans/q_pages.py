@@ -220,13 +220,29 @@ def s3_read_result_json(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""select page_id, 1 as pos, 'Tom & Jerry <' || page_id as title, 'https://n.example/' || page_id as link, 'Mon, 05 Jan 2026 10:00:00 GMT' as pub_date, case when page_id % 2 = 0 then 'Paper' end as source from pages where page_id % 4 <> 0""")
+_RAW_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+_FEED_TITLE = rf"trim(replace(replace(replace(replace(replace(replace(trim(regexp_replace({_RAW_TITLE}, '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'))"
+
+
+@query(rf"""with p as (select page_id, url, {_FEED_TITLE} as title, {S.host("url")} as h, page_id % 24 as hour, page_id // 24 % 60 as minute from pages),
+n as (select *, row_number() over (partition by page_id // 30 order by page_id) as pos from p)
+select page_id // 30 as query_id, pos, title, url as link, 'Mon, 05 Jan 2026 ' || lpad(hour::varchar, 2, '0') || ':' || lpad(minute::varchar, 2, '0') || ':00 GMT' as pub_date,
+1767571200 + hour * 3600 + minute * 60 as published, case when page_id % 2 = 0 then h end as source, case when page_id % 2 = 0 then 'https://' || h || '/?a&b' end as source_url from n where title <> ''""")
 def s4_read_news_rss(spark, sf_dir):
-    k = F.col("page_id").cast("string")
-    item = F.concat(F.lit("<item><title>Tom &amp;amp; Jerry &amp;lt;"), k, F.lit("</title><link>https://n.example/"), k, F.lit("</link><pubDate>Mon, 05 Jan 2026 10:00:00 GMT</pubDate>"), F.when(F.col("page_id") % 2 == 0, '<source url="https://p.example">Paper</source>').otherwise(""), F.lit("</item>"))
-    item = F.regexp_replace(item, "&amp;", "&")
-    p = V.pages(spark, sf_dir, "page_id").select("page_id", F.concat(F.lit("<rss><item><link>x</link></item>"), F.when(F.col("page_id") % 4 != 0, item).otherwise(""), F.lit("</rss>")).alias("body"))
-    return R.read_news_rss(p, "body", ("page_id",)).select("page_id", "pos", "title", "link", "pub_date", "source")
+    """A feed for each 30 pages: an item a page, with its title as the page spells it (in every fifth item as CDATA), its
+    url and, for every other one, its host as the source."""
+    k, escaped = F.col("page_id"), F.regexp_replace("url", "&", "&amp;")
+    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    title = F.when(k % 5 == 0, F.concat(F.lit("<![CDATA["), raw, F.lit("]]>"))).otherwise(raw)
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    source = F.when(k % 2 == 0, F.concat(F.lit('<source url="https://'), host, F.lit('/?a&amp;b">'), host, F.lit("</source>"))).otherwise("")
+    date = F.format_string("Mon, 05 Jan 2026 %02d:%02d:00 GMT", k % 24, F.floor(k / 24) % 60)
+    item = F.concat(F.lit("\n<item ><title>"), title, F.lit("</title><link>"), escaped, F.lit("</link><pubDate>"), date, F.lit("</pubDate>"), source, F.lit("</item>"))
+    feeds = V.pages(spark, sf_dir).select(F.floor(k / 30).cast("long").alias("query_id"), k.alias("k"), item.alias("item"))
+    feeds = feeds.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), "").alias("items"))
+    feeds = feeds.select("query_id", F.concat(F.lit("<rss><channel><title>feed</title><item><link>no title</link></item>"), "items", F.lit("</channel></rss>")).alias("body"))
+    rows = R.read_news_rss(feeds, "body")
+    return rows.select("query_id", F.col("pos").cast("long").alias("pos"), "title", "link", "pub_date", F.unix_timestamp("published").alias("published"), "source", "source_url")
 
 
 @query(f"with {V.SCAN} select ip, array_to_string(ports, ',') as ports, len(vulns) as n_vulns, 0 as n_tags from sc")
@@ -238,14 +254,19 @@ def s5_read_host_scan(spark, sf_dir):
     return rows.select("ip", F.array_join(F.col("ports").cast("array<string>"), ",").alias("ports"), F.size("vulns").cast("long").alias("n_vulns"), F.size("tags").alias("n_tags"))
 
 
-@query("select page_id, case when page_id % 3 = 0 then 'G' || page_id end as graph_title, case when page_id % 3 = 0 then 'q1|q2' end as asked from pages")
+@query(f"""with p as (select page_id, url, {_RAW_TITLE} as title, [x for x in string_split({_RAW_TITLE}, ' ') if x <> ''] as w from pages)
+select page_id, case when page_id % 3 = 0 then title end as graph_title, case when page_id % 3 = 0 then url end as link, case when page_id % 3 = 0 then array_to_string(w, '|') end as asked from p""")
 def s6_read_embedded_extras(spark, sf_dir):
-    k = F.col("page_id").cast("string")
-    good = F.concat(F.lit('<!--serp-extras:{"knowledgeGraph":{"title":"G'), k, F.lit('"},"peopleAlsoAsk":[{"question":"q1"},{"question":"q2"}]}-->'))
-    m = F.col("page_id") % 3
-    p = V.pages(spark, sf_dir).withColumn("html", F.concat("html", F.when(m == 0, good).when(m == 1, "<!--serp-extras:{broken-->").otherwise("")))
-    out = R.read_embedded_extras(p)
-    return out.select("page_id", F.col("extras.knowledgeGraph.title").alias("graph_title"), F.array_join(F.transform("extras.peopleAlsoAsk", lambda x: x["question"]), "|").alias("asked"))
+    """Pages with their own title, url and words of the title as extras, with extras that are broken off, and without any."""
+    m, title = F.col("page_id") % 3, F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    asked = F.transform(F.filter(F.split(title, " "), lambda w: w != ""), lambda w: F.struct(w.alias("question")))
+    graph = F.struct(title.alias("title"), F.create_map(F.lit("link"), F.col("url")).alias("attributes"))
+    extras = F.to_json(F.struct(graph.alias("knowledgeGraph"), asked.alias("peopleAlsoAsk"), F.lit(1).alias("unknown")))
+    broken = F.substring(extras, 1, 12)
+    added = F.when(m == 0, F.concat(F.lit("<!--serp-extras:"), extras, F.lit("-->"))).when(m == 1, F.concat(F.lit("<!--serp-extras:"), broken, F.lit("-->"))).otherwise("")
+    out = R.read_embedded_extras(V.pages(spark, sf_dir).withColumn("html", F.concat("html", added)))
+    graph = F.col("extras.knowledgeGraph")
+    return out.select("page_id", graph["title"].alias("graph_title"), graph["attributes"]["link"].alias("link"), F.array_join(F.transform("extras.peopleAlsoAsk", lambda x: x["question"]), "|").alias("asked"))
 
 
 @query(f"""with {V.RESULTS}, t as (select *, row_number() over (partition by query_id order by engine_pos, page, pos) as rank from res),
