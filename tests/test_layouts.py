@@ -233,3 +233,20 @@ def test_fixture_of_spellings_changes_every_kind(spark):
     kinds = {"single": r"""href='/""", "bare": r"HREF = /", "data": r'data-url="/', "spread": r"href\n=\n'/"}
     assert all(html.where(F.col("h").rlike(k)).count() > 0 for k in kinds.values())
     assert new_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+# --- character references
+
+
+def test_references_without_semicolon(spark):
+    """A title that was cut inside a reference keeps what is left of it, in blocks, cards and rendered pages alike; what
+    ends with a semicolon is decoded, and odd references do not hide the tags behind them."""
+    tails = ["and&amp", "and&am", "a &copy b", "x &#38", "&#; y", "&foo; z"]
+    url, want = "https://a.example/x?a=1&amp;b=2", [f"R&D <x> {t}" for t in tails]
+    titles = [f"R&amp;D &lt;x&gt; {t}" for t in tails]
+    blocks = frame(spark, [(k, PAGE, f'<div class="g"><a href="{url}"><h3>{t}</h3></a></div><p>&#; &#;</p><div class="g"><a href="https://b.example/"><h3>second</h3></a></div>') for k, t in enumerate(titles)])
+    cards = frame(spark, [(k, PAGE, f'<section class="result"><a class="result-title" href="{url}">{t}</a></section>') for k, t in enumerate(titles)])
+    for fn in (extract.extract_blocks, extract.extract_organic):
+        assert [r.title for r in fn(blocks).orderBy("page_id", "pos").collect()] == [x for w in want for x in (w, "second")]
+    found = extract.extract_cards(cards.withColumn("engine", F.lit("ecosia"))).orderBy("page_id").collect()
+    assert [(r.title, r.url) for r in found] == [(w, "https://a.example/x?a=1&b=2") for w in want]
