@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
-from .text import text, trim_space
+from .text import let, text, trim_space
 
 IP = r"^\d{1,3}(?:\.\d{1,3}){3}$"
+# Private ranges, by their first two numbers and the bits that count.
+PRIVATE = ((0, 0, 8), (10, 0, 8), (127, 0, 8), (169, 254, 16), (192, 168, 16), (172, 16, 12), (100, 64, 10))
 IP_IN_TEXT = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
 
 
@@ -43,14 +45,36 @@ def cpe(c: Column) -> Column:
     return F.when(raw.startswith("cpe:2.3:"), of(new, 3)).when(raw.startswith("cpe:/"), of(old, 1))
 
 
+#: A host that a browser reads as an IPv4 address: its last part is a number.
+NUMERIC_HOST = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$"
+
+
+def _address(h: Column) -> Column:
+    """The address of a numeric host as browsers read it (hexadecimal and octal parts; the last part fills what is left),
+    as one number; null if it is none."""
+    octal = lambda x: F.when(x == "0x", F.lit("0")).when(x.startswith("0x"), F.conv(F.substring(x, 3, 99), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(x.rlike("^(?:0|[1-9][0-9]*)$"), x)
+    parts = F.transform(F.split(h, r"\."), lambda x: octal(x).try_cast("long"))
+
+    def number(p):
+        n = F.size(p)
+        fits = (n <= 4) & F.forall(p, lambda x: x.isNotNull()) & F.forall(F.slice(p, 1, n - 1), lambda x: x < 256) & (F.element_at(p, -1) < F.pow(F.lit(256), 5 - n))
+        placed = F.transform(p, lambda x, k: F.when(k < n - 1, x * F.pow(F.lit(256), 3 - k).cast("long")).otherwise(x))
+        return F.when(fits, F.aggregate(placed, F.lit(0).cast("long"), lambda x, y: x + y))
+
+    return let(parts, number)
+
+
 def is_private_host(h: Column) -> Column:
-    """Loopback, private, link-local and shared address ranges, metadata services and local names; empty counts too."""
-    h = F.regexp_replace(F.lower(text(h)), r"\.$", "")
-    a, b = F.get(F.split(h, r"\."), 0).try_cast("int"), F.get(F.split(h, r"\."), 1).try_cast("int")
-    named = h.isin("", "localhost", "localhost.localdomain", "metadata.google.internal", "metadata.google", "::1", "[::1]", "0.0.0.0")
-    local = h.endswith(".local") | h.endswith(".internal") | h.endswith(".localhost")
-    ranges = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31)) | ((a == 100) & b.between(64, 127))
-    return named | local | (h.rlike(IP) & F.coalesce(ranges, F.lit(False)))
+    """Loopback, private, link-local and shared address ranges, metadata services and local names; empty counts too, and
+    so does a host that ends with a number and is no address, which no browser would ask for."""
+    def private(h):
+        named = h.isin("", "localhost", "localhost.localdomain", "metadata.google.internal", "metadata.google", "::1", "[::1]")
+        local = h.endswith(".local") | h.endswith(".internal") | h.endswith(".localhost")
+        inside = lambda n, first, bits: F.shiftright(n, 32 - bits) == first >> 32 - bits
+        ranges = lambda n: F.coalesce(F.reduce(F.array(*[inside(n, (a << 24) + (b << 16), bits) for a, b, bits in PRIVATE]), F.lit(False), lambda x, y: x | y), F.lit(True))
+        return named | local | F.when(h.rlike(NUMERIC_HOST), let(_address(h), ranges)).otherwise(False)
+
+    return let(F.regexp_replace(F.lower(text(h)), r"\.$", ""), private)
 
 
 def host_record(url: Column, title: Column, ip: Column, ports: Column, hostnames: Column, org: Column) -> Column:

@@ -134,6 +134,14 @@ def test_private_hosts(spark):
     assert not any(values(spark, hosts.is_private_host, "example.com", "8.8.8.8", "172.32.0.1"))
 
 
+def test_numeric_hosts(spark):
+    """A host that ends with a number is an address as browsers read it, or none at all."""
+    private = ["10.0.0.1000", "10.0.0.256", "999.1.1.1", "1.2.3.4.5", "08.1.1.1", "a.1", "127.1", "0x7f.0.0.1", "2130706433", "0x7f000001", "0177.0.0.1", "172.1048577", "192.168.257", "4294967296", "0.1.2.3", "1..1", "99999999999999999999", "10.0.0.1000."]
+    assert all(values(spark, hosts.is_private_host, *private))
+    public = ["8.8.8.8", "134744072", "0x8.8.8.8", "8.526344", "172.15.255.255", "172.32.0.1", "100.63.1.1", "100.128.0.1", "169.253.1.1", "255.255.255.255", "10.example.com", "1.2.3.4.example", "x1"]
+    assert not any(values(spark, hosts.is_private_host, *public))
+
+
 def test_hosts(spark):
     assert [r and tuple(r) for r in values(spark, hosts.cpe, "cpe:2.3:a:nginx:nginx:1.18.0:*:*:*:*:*:*:*", "cpe:/a:openbsd:openssh:8.9", "", "nonsense", "cpe:2.3:a:-:x")] == [("nginx", "nginx", "1.18.0"), ("openbsd", "openssh", "8.9"), None, None, (None, "x", None)]
     assert values(spark, hosts.ip_number, "0.0.1.2", "x", None) == [258, None, None]
