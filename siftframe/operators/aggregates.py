@@ -63,10 +63,11 @@ def breaker_state(outcomes: DataFrame, now: Column, fails: int = 3, open_ms: int
     """(key, consecutive_fail, open, skip_remaining_ms) of each key at a time `now`, from the rows that are not younger:
     failures since the last success, whether the key takes no traffic, and for how many milliseconds yet. Each failure
     that makes or extends a streak of `fails` keeps it away for open_ms. Streaks are handed on from day to day (see
-    windows.failure_streak), so no key's history is in one task."""
+    windows.failure_streak), so no key's history is in one task. Of newest rows that are equal in order, as copies are, the
+    last one counted tells the streak."""
     fails, open_ms = max(2, fails), max(5_000, open_ms)
     known = outcomes.where(F.col(order[0]) <= now)
-    last = failure_streak(known, key, order).groupBy(key).agg(F.max_by("streak", F.struct(*order)).alias("consecutive_fail"), F.max(order[0]).alias("_last"), F.max(now).alias("_now"))
+    last = failure_streak(known, key, order).groupBy(key).agg(F.max_by("streak", F.struct(*order, "streak")).alias("consecutive_fail"), F.max(order[0]).alias("_last"), F.max(now).alias("_now"))
     ms = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1000)
     left = F.when(F.col("consecutive_fail") >= fails, F.greatest(ms("_last") + open_ms - ms("_now"), F.lit(0))).otherwise(0).cast("long")
     return last.select(key, "consecutive_fail", (left > 0).alias("open"), left.alias("skip_remaining_ms"))

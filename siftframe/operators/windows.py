@@ -63,7 +63,7 @@ def _streaks(outcomes: DataFrame, key: str, order, bucket_s: int = BUCKET_S) ->
     since = Window.partitionBy(key, "_b", "_oks").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_fails", F.count_if(~F.col("ok")).over(since))
 
-    sums = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count_if("ok").alias("_ok"), F.max_by("_fails", F.struct(*order)).alias("_tail"))
+    sums = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count_if("ok").alias("_ok"), F.max_by("_fails", F.struct(*order, "_oks", "_fails")).alias("_tail"))
     by_key = Window.partitionBy("_k").orderBy("_kb")
     so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("_seg", F.count_if(F.col("_ok") > 0).over(so_far)).withColumn("_oks_before", F.sum("_ok").over(so_far) - F.col("_ok"))
