@@ -188,8 +188,8 @@ def crawl(pages: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: in
     return crawl_links(links, starts, max_pages, max_depth)
 
 
-def crawl_links(links: DataFrame, starts: DataFrame, max_pages: int = 8, max_depth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """As crawl, over a link table."""
+def crawl_links(links: DataFrame, starts: DataFrame | None = None, max_pages: int = 8, max_depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """As crawl, over a link table; without starts, every page that has links is one."""
     reach = written(crawl_frontier(links, starts, max_pages + 1, max_depth, cap_pages=max_pages + 1), "crawl")
     visited = reach.where(F.col("visit_order") <= max_pages)
     return visited, A.crawl_summary(visited, reach, max_pages)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.crawl import LINKS_A_TASK
 from ..operators.filters import title_of
 from ..sources.readers import read_pages
 
@@ -108,17 +109,18 @@ qs as (select query_id, case query_id % 5 when 0 then 'site:' || h || ' inurl:en
 
 
 def lines_as_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order lines as a link table: from each line's part to the part of the next line of its order."""
+    """The order lines as a link table: from each line's part to the part of the next line of its order. A link that
+    comes up in several orders has a row for each; its first position counts."""
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = li.repartition(max(1, -(-li.count() // LINKS_A_TASK)), "l_orderkey")
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     w = Window.partitionBy("l_orderkey").orderBy(*order)
     step = li.withColumn("to", F.lead("l_partkey").over(w)).withColumn("n", F.row_number().over(w)).where("to is not null and to <> l_partkey")
-    # A link's position counts by order and line, so it fits in one number.
-    link = step.groupBy("l_partkey", "to").agg(F.min(F.col("l_orderkey") * 100 + F.col("n")).alias("pos"))
     url = lambda c: F.concat(F.lit("https://p.example/"), F.col(c).cast("string"))
-    return link.select(url("l_partkey").alias("src_url"), "pos", url("to").alias("dst_url"))
+    # A link's position counts by order and line, so it fits in one number.
+    return step.select(url("l_partkey").alias("src_url"), (F.col("l_orderkey") * 100 + F.col("n")).alias("pos"), url("to").alias("dst_url"))
 
 
 LINKS = """

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftframe.functions import hosts, query_ops, text, urls
-from siftframe.operators import aggregates, extract, filters, joins, limits, search, sets, windows
+from siftframe.operators import aggregates, crawl, extract, filters, joins, limits, search, sets, windows
 from siftframe.operators import projections as P
 from siftframe.operators.crawl import crawl_frontier
 from siftframe.plans import pipelines
@@ -382,6 +382,44 @@ def test_crawl_by_brute_force(spark):
         assert Counter(map(tuple, got)) == Counter(want)
 
 
+def _crawled(rows, start, most, depth):
+    seen, queue, order = {start}, [(start, 0)], []
+    while queue and len(order) < most:
+        url, d = queue.pop(0)
+        order.append((start, url, d, len(order) + 1))
+        for _, _, b in sorted((r for r in rows if r[0] == url), key=lambda r: r[1]) if d < depth else ():
+            if b not in seen:
+                seen.add(b)
+                queue.append((b, d + 1))
+    return order
+
+
+@pytest.mark.parametrize("urls_a_task", [100, 500_000])
+def test_crawl_by_number_of_links(spark, monkeypatch, urls_a_task):
+    """Lists are dealt by the number of links, whatever the bytes; no start is joined again that has its pages."""
+    monkeypatch.setattr(crawl, "LINKS_A_TASK", 100, raising=False)
+    monkeypatch.setattr(crawl, "URLS_A_TASK", urls_a_task, raising=False)
+    rng = random.Random(6)
+    pairs = [(f"p{rng.randint(0, 60)}", f"p{rng.randint(0, 90)}") for _ in range(300)] + [("hub", f"p{k % 90}") for k in range(400)] + [(f"leaf{k}", "hub") for k in range(40)]
+    pairs += rng.sample(pairs, 200) + [("p1", "p2")] * 100
+    rows = [(a, k, b) for k, (a, b) in enumerate(pairs) if a != b]
+    df = spark.createDataFrame(rows, "src_url string, pos long, dst_url string")
+    assert len(crawl.link_lists(df, 12).inputFiles()) > 4
+    linking = sorted({a for a, _, _ in rows})
+    for starts, most, depth in ((None, 12, 2), (None, 6, 3), (None, 4, 0), ([*linking, "p90", "none"], 12, 3)):
+        table = starts and spark.createDataFrame([(s,) for s in starts], "start_url string")
+        got = crawl_frontier(df, table, most, depth).collect()
+        assert Counter(map(tuple, got)) == Counter(r for s in starts or linking for r in _crawled(rows, s, most, depth))
+
+
+def test_crawl_without_positions(spark):
+    rows = [("a", None, f"n{k}") for k in range(9)] + [("a", k, f"n{k % 12}") for k in range(30)]
+    df = spark.createDataFrame(rows, "src_url string, pos long, dst_url string")
+    assert [r.dsts for r in crawl.link_lists(df, 4).collect()] == [["n0", "n1", "n2", "n3"]]
+    only = df.unionByName(spark.createDataFrame([("a", None, "z"), ("a", None, "y")], df.schema))
+    assert [r.dsts for r in crawl.link_lists(only, 4).collect()] == [["y", "z", "n0", "n1"]]
+
+
 def test_host_order(spark):
     rows = [(1, "10.0.0.9", [1], []), (2, "9.1.1.1", [1, 2, 3], ["v"]), (3, None, None, ["v", "w"]), (4, "10.0.0.10", [1, 2, 3], None)]
     df = spark.createDataFrame([(p, (ip, ports, vulns)) for p, ip, ports, vulns in rows], "pos int, host struct<ip_str:string,ports:array<int>,vulns:array<string>>")
