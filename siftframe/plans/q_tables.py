@@ -223,14 +223,14 @@ def f11_piece_index(spark, sf_dir):
     import uuid
 
     p = V.pages(spark, sf_dir).select("page_id", "url", FI.title_of(F.col("html")).alias("title"), FI.visible_text(F.col("html")).alias("text"))
-    p = written(p, "texts")
-    title, body = F.split(F.lower("title"), " "), F.split(F.lower("text"), " ")
-    words = p.select("page_id", F.get(title, 0).alias("t"), F.concat_ws(" ", F.get(body, 2), F.get(body, 3)).alias("ph"), F.size(body).alias("n"), F.get(body, F.size(body) - 1).alias("z"))
+    name = f"siftframe_{uuid.uuid4().hex}"
+    p = SE.index_pages(p, name=name, buckets=16).pages
+    first = F.split("text", " ", 6)
+    last = F.lower(F.substring_index("text", " ", -1))
+    words = p.select("page_id", F.lower(F.substring_index("title", " ", 1)).alias("t"), F.lower(F.concat_ws(" ", F.get(first, 2), F.get(first, 3))).alias("ph"), F.size(first).alias("n"), last.alias("z"))
     words = words.where("n >= 6 and length(t) >= 3 and t rlike '^[a-z]+$' and ph rlike '^[a-z]+ [a-z]+$' and ph <> z")
     q = P.parse_query_operators(words.select((2 * F.col("page_id")).alias("query_id"), F.concat(F.lit("intitle:"), "t", F.lit(' "'), "ph", F.lit('"')).alias("q")))
     q = written(q, "searches")
-    name = f"siftframe_{uuid.uuid4().hex}"
-    SE.index_pages(p, name=name, buckets=16)
     halves = [SE.search_index(SE.open_index(spark, name), q.where(f"query_id % 4 = {k}")) for k in (0, 2)]
     return halves[0].unionByName(halves[1]).select("query_id", "page_id")
 

@@ -260,3 +260,49 @@ def test_title_lists(spark):
     index = search.index_pages(pages)
     assert search.candidates(index, search._needs(q)).count() == 3
     assert sorted(r.page_id for r in search.search_index(index, q).collect()) == [0, 1, 2]
+
+
+def test_a_search_writes_no_pairs(spark, monkeypatch):
+    """Pages and queries that all match make n * n rows. They are found inside the pages' rows: what a search writes on
+    its way grows with pages and queries only."""
+    n, sizes, real = 120, [], search.written
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes.append(out.count())
+        return out
+
+    pages = frame(spark, [(k, f"https://a.example/{k}", f"common title {k}", "some shared words") for k in range(n)], "page_id long, url string, title string, text string")
+    index = search.index_pages(pages)
+    monkeypatch.setattr(search, "written", counted)
+    q = P.parse_query_operators(frame(spark, [(k, 'intitle:common "shared words"') for k in range(n)], "query_id int, q string"))
+    assert search.search_index(index, q).count() == n * n
+    assert max(sizes) <= n
+
+
+@pytest.mark.parametrize("rows", [100_000, 2])
+def test_index_by_brute_force(spark, monkeypatch, rows):
+    """Short terms, odd letters, several sites, file types and exclusions over a saved index; also where queries are more
+    than may be broadcast at once. Equal pages count once."""
+    monkeypatch.setattr(search, "BROADCAST_ROWS", rows)
+    words = ["the", "of", "a", "übergröße", "ou", "w\u00e9", "x𝒳y", "lang", "a b"]
+    pages = [(k, f"https://{'abc'[k % 3]}.h{k % 2}.example/{words[k % 9]}/{k}.{'pdf' if k % 4 else 'html'}", f"{words[k % 5]} {words[k % 7]}", " ".join(words[(k * j) % 9] for j in range(1, 5))) for k in range(80)]
+    df = frame(spark, pages + pages[:5], "page_id long, url string, title string, text string")
+    asked = ['intitle:the -of', '"a b"', 'intitle:x𝒳y', 'intext:ÜBER intitle:of', 'site:h1.example site:a.h1.example -the', 'site:b.h0.example "ou" inurl:html', '"the" filetype:pdf -lang', 'site:.example intext:lang intitle:a', '"nowhere at all"', "site:h0.example"]
+    q = P.parse_query_operators(frame(spark, list(enumerate(asked)), "query_id int, q string"))
+    low = [(k, u.lower(), t.lower(), b.lower()) for k, u, t, b in pages]
+    ok = [
+        lambda u, t, b: "the" in t and "of" not in f"{t} {b}", lambda u, t, b: "a b" in f"{t} {b}", lambda u, t, b: "x𝒳y" in t, lambda u, t, b: "über" in b and "of" in t,
+        lambda u, t, b: ".h1.example" in u and "the" not in f"{t} {b}", lambda u, t, b: "//b.h0.example" in u and "ou" in f"{t} {b}" and "html" in u, lambda u, t, b: "the" in f"{t} {b}" and u.endswith(".pdf") and "lang" not in f"{t} {b}",
+        lambda u, t, b: "lang" in b and "a" in t, lambda u, t, b: False, lambda u, t, b: ".h0.example" in u,
+    ]
+    want = sorted((n, k) for n, f in enumerate(ok) for k, u, t, b in low if f(u, t, b))
+    name = f"t_{uuid.uuid4().hex}"
+    try:
+        search.index_pages(df, name=name, buckets=3)
+        assert sorted((r.query_id, r.page_id) for r in search.search_index(search.open_index(spark, name), q).collect()) == want
+        assert sorted((r.query_id, r.page_id) for r in search.search_pages(df, q).collect()) == want
+    finally:
+        for table in ("pages", "pieces", "lengths"):
+            spark.sql(f"drop table if exists {name}_{table}")
+    assert {n for n, _ in want} == set(range(10)) - {8}
